@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "minhash", "langid", "mixing", "quality", "binary_output")
+MODULES = ("bpe", "minhash", "langid", "mixing", "quality", "secrets", "binary_output")
 
 
 def _all(name: str) -> dict:
