@@ -1,8 +1,8 @@
 """Token ids as Arrow stream files of fixed-size lists.
 
 A shard is one Arrow IPC stream file, written in the shared folder. Its rows are sequences of exactly
-`seq_len` ids (FixedSizeList<uint32>) with a mask of the same shape (FixedSizeList<uint8>, 1 for ids, 0
-for the padding of the shard's last row); all record batches but the last have the same number of rows,
+`seq_len` ids (FixedSizeList of uint16 for vocabularies of up to 65536 ids, else uint32) with a mask of the
+same shape (FixedSizeList of bits, set for ids, not set for the padding of the shard's last row); all record batches but the last have the same number of rows,
 so row i is row i % rows of batch i // rows, and a memory map gives any sequence or mask without a copy.
 A second stream file beside it lists the shard's documents (doc_id, start within the shard, n_tokens).
 Shards follow each other in ascending doc_id order; a manifest holds one row per shard.
@@ -53,12 +53,13 @@ class ShardWriter:
     whole files only.
     """
 
-    def __init__(self, folder: str, shard: int, seq_len: int, batch_rows: int):
+    def __init__(self, folder: str, shard: int, seq_len: int, batch_rows: int, kind: np.dtype):
         self.fs, base = file_system(folder)
         self.fs.create_dir(base, recursive=True)
         self.path, self.tmp = f"{base}/shard-{shard:06d}", f"{base}/.tmp-{shard:06d}-{uuid.uuid4().hex}"
         self.name, self.seq_len, self.room = f"{folder}/shard-{shard:06d}", seq_len, seq_len * batch_rows
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
+        self.kind = pa.from_numpy_dtype(kind)
+        self.schema = pa.schema([("ids", pa.list_(self.kind, seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
         self.out = self.fs.open_output_stream(f"{self.tmp}.arrow")
         self.stream = pa.ipc.new_stream(self.out, self.schema)
         self.held, self.n_held, self.n = [], 0, 0
@@ -75,12 +76,11 @@ class ShardWriter:
                 self._flush()
 
     def _flush(self) -> None:
-        ids = np.concatenate(self.held).astype("<u4")
+        ids = np.concatenate(self.held)
         rows = -(-len(ids) // self.seq_len)
-        mask = np.ones(rows * self.seq_len, dtype=np.uint8)
-        mask[len(ids) :] = 0
-        ids = np.concatenate([ids, np.zeros(len(mask) - len(ids), dtype="<u4")])
-        self.stream.write_batch(pa.RecordBatch.from_arrays([_fixed(ids, self.seq_len, pa.uint32()), _fixed(mask, self.seq_len, pa.uint8())], schema=self.schema))
+        mask = np.arange(rows * self.seq_len) < len(ids)
+        ids = np.concatenate([ids, np.zeros(len(mask) - len(ids), dtype=ids.dtype)])
+        self.stream.write_batch(pa.RecordBatch.from_arrays([_fixed(ids, self.seq_len, self.kind), _fixed(mask, self.seq_len, pa.bool_())], schema=self.schema))
         self.held, self.n_held = [], 0
 
     def close(self) -> tuple[str, int, int]:
@@ -108,21 +108,20 @@ class Shard:
         self.batches = list(pa.ipc.open_stream(self.source))
         self.rows = len(self.batches[0]) if self.batches else 0
 
-    def _values(self, column: int, batch: int) -> np.ndarray:
-        return self.batches[batch].column(column).flatten().to_numpy(zero_copy_only=True)
+    def _values(self, batch: int) -> np.ndarray:
+        return self.batches[batch].column(0).flatten().to_numpy(zero_copy_only=True)
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[pa.Array, pa.Array]:
         """Ids and mask of row i; views of the file."""
         b, r = divmod(i, self.rows)
-        length = self.batches[0].schema.field(0).type.list_size
-        return self._values(0, b)[r * length : (r + 1) * length], self._values(1, b)[r * length : (r + 1) * length]
+        return self.batches[b].column(0)[r].values, self.batches[b].column(1)[r].values
 
     def ids(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids from start on, as views: one a record batch."""
         per_batch = self.rows * self.batches[0].schema.field(0).type.list_size if self.batches else 1
         while n > 0:
             b, at = divmod(start, per_batch)
-            part = self._values(0, b)[at : at + n]
+            part = self._values(b)[at : at + n]
             yield part
             start, n = start + len(part), n - len(part)
 
@@ -168,7 +167,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int | None = 0,
                 if shard != current:
                     if writer:
                         yield closed()
-                    current, writer = shard, ShardWriter(folder, shard, seq_len, BATCH_ROWS)
+                    current, writer = shard, ShardWriter(folder, shard, seq_len, BATCH_ROWS, kind)
                 writer.add(doc_id, np.frombuffer(ids.as_buffer(), dtype=kind))
         if writer:
             yield closed()
@@ -197,7 +196,7 @@ def read_digests(spark: SparkSession, manifest: list) -> DataFrame:
                 for at, n in zip(starts.tolist(), counts.tolist(), strict=True):
                     crc = 0
                     for part in shard.ids(at, n):
-                        crc = zlib.crc32(part, crc)
+                        crc = zlib.crc32(part.astype("<u4"), crc)
                     crcs.append(crc)
                 docs = shard.docs.combine_chunks()
                 yield pa.RecordBatch.from_arrays([pa.array(docs["doc_id"].to_pylist(), pa.int64()), pa.array(starts + start), pa.array(counts), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
