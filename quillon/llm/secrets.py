@@ -343,6 +343,32 @@ def scan(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text")
     return narrow.mapInArrow(run, f"key {narrow.schema['key'].dataType.simpleString()}, base {kind}, spans {kind}").withColumnRenamed("key", key)
 
 
+def redact(docs: DataFrame, field: Field, text: str = "text", mask: str = "[secret]") -> DataFrame:
+    """docs with every found span of text (all columns stay) replaced by mask; spans that overlap, by one mask. Null texts stay null."""
+    bounded_batches(docs.sparkSession)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text)
+
+    def masked(t: str, spans: list[Span]) -> str:
+        out, end = [], 0
+        for _, a, b in spans:
+            if a >= end:
+                out += [t[end:a], mask]
+            end = max(end, b)
+        return "".join([*out, t[end:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            got = spans_of([t or "" for t in texts], field)
+            new = [masked(t, spans) if spans else t for t, (_, spans) in zip(texts, got, strict=True)]
+            columns = [pa.array(new, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
+    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = scan(docs, learn(docs))
