@@ -8,15 +8,16 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     """Unicode NFKC; Spark has no expression for it. Texts of ASCII only don't need it."""
     return x.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkd(x: pd.Series) -> pd.Series:
     return x.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKD", s))
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from quillon.functions.text import normalize
 from quillon.operators.pool import normalize_query
@@ -82,7 +83,7 @@ def clauses(query: str, lexicon: Lexicon = Lexicon()) -> list[Clause]:
 
 def _indexed(records: DataFrame, s: Surfaces) -> DataFrame:
     """Search forms of all surfaces, each made once."""
-    each = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), normalize) if c else F.array().cast("array<string>")
+    each = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: normalize(x)) if c else F.array().cast("array<string>")
     return records.select("*", *[F.coalesce(normalize(F.col(c)), F.lit("")).alias(f"_n{i}") for i, c in enumerate(s.names)], *[F.coalesce(normalize(F.col(c)), F.lit("")).alias(f"_e{i}") for i, c in enumerate(s.effects)], each(s.requirements).alias("_r"), each(s.synonyms).alias("_s"), each(s.concepts).alias("_c"))
 
 
@@ -194,7 +195,7 @@ def occurrences(raw: str, term: str) -> list[tuple[int, int]]:
     return out
 
 
-@pandas_udf("array<struct<start:int,end:int>>")
+@pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))
 def match_ranges(raw: pd.Series, term: pd.Series) -> pd.Series:
     """occurrences() for columns. Use it on hits only."""
     return pd.Series([[{"start": a, "end": b} for a, b in occurrences(r or "", t or "")] for r, t in zip(raw, term, strict=True)])

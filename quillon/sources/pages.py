@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 _PAYLOAD = re.compile(r"""<script\b[^>]*?(?:type=["']application/(?:ld\+)?json["']|id=["']__NEXT_DATA__["'])[^>]*>(.*?)</script>""", re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""data-record=(?:"([^"]*)"|'([^']*)')""")
@@ -60,7 +61,7 @@ def walk(value: object) -> Iterator[dict]:
             yield from walk(v)
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def embedded_objects(pages: pd.Series) -> pd.Series:
     """Every object of every JSON text in a page, each as JSON with sorted keys; what can't be parsed is left out."""
 
@@ -92,7 +93,7 @@ def elements(page: str, name: str) -> list[str]:
 def class_elements(name: str):
     """A column function: the inner HTML of elements of one class."""
 
-    @pandas_udf("array<string>")
+    @pandas_udf(ArrayType(StringType()))
     def of(pages: pd.Series) -> pd.Series:
         return pages.map(lambda p: elements(p or "", name))
 
