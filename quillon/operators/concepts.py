@@ -24,12 +24,16 @@ class Rule:
     records: Column | None = None
 
 
+def _element(name: str):
+    return lambda x, i: F.struct(F.format_string(f"{name}[%d]", i).alias("field"), i.alias("position"), x.alias("text"))
+
+
 def unpivot_fields(records: DataFrame, key: str, scalars: dict[str, Column], lists: dict[str, Column] | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """(key, field, position, text) of each searchable field; elements of lists are field[i].part, empty texts are left out."""
     cells = [F.struct(F.lit(n).alias("field"), F.lit(None).cast("int").alias("position"), c.alias("text")) for n, c in scalars.items()]
     array = F.array(*cells)
     for name, c in (lists or {}).items():
-        array = F.concat(array, F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x, i, n=name: F.struct(F.format_string(f"{n}[%d]", i).alias("field"), i.alias("position"), x.alias("text"))))
+        array = F.concat(array, F.transform(F.coalesce(c, F.array().cast("array<string>")), _element(name)))
     return records.select(key, *carry, F.inline(array)).where("coalesce(text, '') <> ''")
 
 

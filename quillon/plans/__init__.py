@@ -1,6 +1,6 @@
 """All named queries."""
 
-from quillon.plans import pool_queries, resolve_queries, search_queries
+from quillon.plans import audit_queries, pool_queries, resolve_queries, search_queries
 from quillon.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "pool_queries", "resolve_queries", "search_queries"]
+__all__ = ["ORACLE", "QUERIES", "audit_queries", "pool_queries", "resolve_queries", "search_queries"]
