@@ -9,11 +9,11 @@
    candidate edges. Edges are confirmed on the full sets. First each class tries its smallest centre;
    edges between classes that are then connected already needn't be tried.
 4. A star misses links between two members that don't resemble its centre. So buckets whose members still
-   lie in several components are looked at again: pairs from different components are confirmed. In large
-   buckets only those pairs are, that meet in a second bucket as well.
+   lie in several components are looked at again: members outside a bucket's main component meet all others
+   of their buckets, in blocks of bounded size; a task counts common shingles by an inverted index and
+   returns the links it finds, never the pairs it tried.
 
-Two sets of similarity 0.8 share no bucket with probability (1 - 0.8^8)^56 < 4e-5, and fewer than two
-with probability < 5e-4.
+Two sets of similarity 0.8 share no bucket with probability (1 - 0.8^8)^56 < 4e-5.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,8 @@ from quillon.llm.common import bounded_batches, mix, needs, table, word_hashes,
 from quillon.llm.components import components
 
 SEEDS, BINS, ROWS = 4, 112, 8
-#: Larger buckets with several components are cut by second buckets.
-LARGE = 64
+#: Documents of the two sides that meet in one task when mixed buckets are looked at again.
+BLOCK, CHUNK = 768, 512
 
 _U = np.uint64
 _FULL = _U(0xFFFFFFFFFFFFFFFF)
@@ -157,6 +158,64 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return both.mapInArrow(run, "a long, b long")
 
 
+def _links_of_block(words: int, percent: int):
+    """For a block of documents (role 0) and a chunk of others (role 1): one link to each component that a document links with."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        mine, others = rows[rows["role"] == 0], rows[rows["role"] == 1]
+        row, h = shingles(pa.array(mine["text"], pa.string()), words)
+        order = np.argsort(h, kind="stable")
+        row, h = row[order], h[order]
+        vocabulary, first, n = np.unique(h, return_index=True, return_counts=True)
+        sizes = np.bincount(row, minlength=len(mine))
+        other_row, other_h = shingles(pa.array(others["text"], pa.string()), words)
+        other_sizes = np.bincount(other_row, minlength=len(others))
+        at = np.minimum(np.searchsorted(vocabulary, other_h), max(0, len(vocabulary) - 1))
+        known = vocabulary[at] == other_h if len(vocabulary) else np.zeros(len(other_h), dtype=bool)
+        other_row, at = other_row[known], at[known]
+        ids, component = mine["id"].to_numpy(), mine["component"].to_numpy()
+        seen, out = set(), []
+        bounds = np.searchsorted(other_row, np.arange(len(others) + 1))
+        for j, (b, c) in enumerate(zip(others["id"].tolist(), others["component"].tolist(), strict=True)):
+            k = at[bounds[j] : bounds[j + 1]]
+            if not len(k):
+                continue
+            lengths = n[k]
+            # the documents of all postings of this one's shingles, end to end
+            place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(first[k], lengths)
+            common = np.bincount(row[place], minlength=len(mine))
+            good = (100 * common >= percent * (sizes + other_sizes[j] - common)) & (component != c) & (common > 0)
+            for i in np.flatnonzero(good).tolist():
+                if (i, c) not in seen:
+                    seen.add((i, c))
+                    out.append((ids[i], b))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def _missed_links(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between different components of a bucket. members: (bucket, id, component) of buckets with several.
+
+    Every such link has an end outside the bucket's main component. These documents are dealt out to
+    blocks of BLOCK, those of one main component together; a block meets all members of its documents'
+    buckets, in chunks of CHUNK.
+    """
+    main = members.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
+    outside = members.join(main, "bucket").where("component != main")
+    home = outside.groupBy("id").agg(F.min("main").alias("home"))
+    homes = home.groupBy("home").agg(F.count("*").alias("n"))
+    blocks = written(home.join(homes, "home").select("id", "home", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).alias("part")), "blocks")
+    met = outside.select("id", "bucket").join(blocks, "id").select("home", "part", "bucket").distinct().join(members, "bucket").select("home", "part", "id", "component").distinct()
+    met = written(met, "met")
+    chunks = met.groupBy("home", "part").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    others = met.join(chunks, ["home", "part"]).select("home", "part", F.pmod(F.xxhash64("id", F.lit(1)), "chunks").alias("chunk"), F.lit(1).alias("role"), "id", "component")
+    of = members.select("id", "component").distinct()
+    mine = blocks.join(chunks, ["home", "part"]).join(of, "id").select("home", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), "id", "component")
+    full = mine.unionByName(others).join(texts, "id").select("home", "part", "chunk", "role", "id", "component", "text")
+    return full.groupBy("home", "part", "chunk").applyInPandas(_links_of_block(words, percent), "a long, b long")
+
+
 def _labelled(pairs: DataFrame, labels: DataFrame, *ends: str) -> DataFrame:
     """With the component of each end; what has no link yet is its own."""
     for end in ends:
@@ -173,10 +232,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     """
     docs = needs(docs, key, text).select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     signed = written(signatures(docs, words), "signatures")
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("lo", "hi").agg(F.min("doc_id").alias("id"), F.any_value("n").alias("n"), F.any_value("buckets").alias("buckets"))
+    classes = signed.where("n > 0 and doc_id is not null").groupBy("lo", "hi").agg(F.min("doc_id").alias("id"), F.any_value("buckets").alias("buckets"))
     classes = written(classes, "classes")
-    spread = classes.select("id", "n", F.explode("buckets").alias("bucket"))
-    centres = spread.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("members")).where("members > 1")
+    spread = classes.select("id", F.explode("buckets").alias("bucket"))
+    centres = spread.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = written(spread.join(centres, "bucket"), "members")
     texts = written(docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
     stars = members.where("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b"))
@@ -187,15 +246,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     links = links.union(written(confirmed(rest, texts, words, percent), "links"))
     labels = written(components(links), "labels")
 
-    open_members = _labelled(members.select("bucket", "id", "n", "members"), labels, "id")
-    mixed = open_members.groupBy("bucket").agg(F.min("id_component").alias("low"), F.max("id_component").alias("high")).where("low != high").select("bucket")
+    open_members = _labelled(members.select("bucket", "id"), labels, "id").withColumnRenamed("id_component", "component")
+    mixed = open_members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
     open_members = written(open_members.join(mixed, "bucket"), "open")
-    small = open_members.where(F.col("members") <= LARGE).select("bucket", "id", "n", "id_component")
-    second = open_members.where(F.col("members") > LARGE).select(F.col("bucket").alias("first"), "id", "n", "id_component")
-    second = second.join(classes.select("id", "buckets"), "id").select("id", "n", "id_component", F.explode(F.filter("buckets", lambda x: x != F.col("first"))).alias("other"), "first").select(F.xxhash64("first", "other").alias("bucket"), "id", "n", "id_component")
-    of = lambda p: small.unionByName(second).select("bucket", F.col("id").alias(p), F.col("n").alias(f"{p}_n"), F.col("id_component").alias(f"{p}_c"))
-    likely = of("a").join(of("b"), "bucket").where(f"a_c < b_c and 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)").select("a", "b").distinct()
-    found = written(confirmed(likely, texts, words, percent), "links")
+    found = written(_missed_links(open_members, texts, words, percent), "links")
     if not found.isEmpty():
         labels = written(components(links.union(found)), "labels")
 
