@@ -143,7 +143,7 @@ def _one_language(words: list[str], counts: np.ndarray) -> tuple[list, float]:
             h.append(key)
             c.append(n.astype(np.float64))
             x.append(grams[k - 1][longer[first] - 1] if k > 1 else np.zeros(len(key), dtype=np.uint64))
-        h, c, x = map(np.concatenate, (h, c, x))
+        h, c, x = (np.concatenate(p) if p else np.empty(0, dtype=kind) for p, kind in ((h, np.uint64), (c, np.float64), (x, np.uint64)))
         once, twice = (c == 1).sum(), (c == 2).sum()
         discount = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
         context, back, kinds = np.unique(x, return_inverse=True, return_counts=True)
