@@ -72,7 +72,11 @@ def q_alias_audit(t: Tables) -> DataFrame:
     return A.occurrences(t.documents, F.col("text"), ALIASES)
 
 
-RULES = (C.Rule("licence", "(?i)licen[sc]ed? under"), C.Rule("licence", "All rights reserved", "needs_review", "wording"), C.Rule("contact", r"[\w.]+@[\w.]+", "needs_review", "personal"), C.Rule("shout", "[A-Z]{4,}!!"), C.Rule("german", "und", records=F.col("lang") == "de"), C.Rule("source_zero", "^src0$", fields=F.col("field") == "source"))
+def rules() -> tuple[C.Rule, ...]:
+    """Rules of all kinds: plain, flagged, and guarded by record or by field."""
+    return (C.Rule("licence", "(?i)licen[sc]ed? under"), C.Rule("licence", "All rights reserved", "needs_review", "wording"), C.Rule("contact", r"[\w.]+@[\w.]+", "needs_review", "personal"), C.Rule("shout", "[A-Z]{4,}!!"), C.Rule("german", "und", records=F.col("lang") == "de"), C.Rule("source_zero", "^src0$", fields=F.col("field") == "source"))
+
+
 _TAGS = [("licence", "(?i)licen[sc]ed? under", "high", "NULL", "true"), ("licence", "All rights reserved", "needs_review", "'wording'", "true"), ("contact", r"[\w.]+@[\w.]+", "needs_review", "'personal'", "true"), ("shout", "[A-Z]{4,}!!", "high", "NULL", "true"), ("german", "und", "high", "NULL", "lang = 'de'"), ("source_zero", "^src0$", "high", "NULL", "field = 'source'")]
 FIELDS = "f AS (SELECT doc_id, lang, 'text' AS field, text FROM documents WHERE text <> '' UNION ALL SELECT doc_id, lang, 'source', source FROM documents WHERE source <> '')"
 TAGS = "tags AS (" + " UNION ALL ".join(f"SELECT doc_id, field, {i} AS rule, '{c}' AS concept, '{conf}' AS confidence, {flag} AS flag, regexp_extract(text, '({p})', 1) AS evidence FROM f WHERE regexp_matches(text, '{p}') AND {guard}" for i, (c, p, conf, flag, guard) in enumerate(_TAGS)) + ")"
@@ -84,7 +88,7 @@ def fields(t: Tables) -> DataFrame:
 
 
 def tags(t: Tables) -> DataFrame:
-    return C.tag(fields(t), "doc_id", RULES)
+    return C.tag(fields(t), "doc_id", rules())
 
 
 @query("SELECT doc_id, 'text' AS field, NULL::INT AS position, text FROM documents WHERE text <> '' UNION ALL SELECT doc_id, 'words[' || i || ']', i::INT, w FROM (SELECT doc_id, unnest(string_split(source, 'c')) AS w, generate_subscripts(string_split(source, 'c'), 1) - 1 AS i FROM documents) WHERE w <> ''")
