@@ -212,8 +212,9 @@ def q_align_catalogue(t: Tables) -> DataFrame:
     return A.align(rows.where("n = 4"), rows.where("n = 5"), "position", "stable", "name")
 
 
-@query("""WITH c AS (SELECT p_name AS k, CASE WHEN p_type = 'PROMO' THEN p_brand || '_Prismatic' ELSE p_brand END AS api FROM part), g AS (SELECT k, count(*) AS n, min(api) AS any_api, count(*) FILTER (api NOT LIKE '%\\_Prismatic' ESCAPE '\\') AS bases, min(api) FILTER (api NOT LIKE '%\\_Prismatic' ESCAPE '\\') AS base FROM c GROUP BY 1)
-SELECT p_partkey, CASE WHEN n = 1 THEN any_api WHEN bases = 1 THEN base END AS base_identity, CASE WHEN n = 1 OR bases = 1 THEN 'existing' ELSE 'unresolved' END AS classification FROM part JOIN g ON g.k = p_name""")
+@query("""WITH c AS (SELECT p_name AS k, CASE WHEN p_type = 'PROMO' THEN p_brand || '_Prismatic' ELSE p_brand END AS api FROM part), g AS (SELECT k, count(*) AS n, min(api) AS any_api, count(*) FILTER (api NOT LIKE '%\\_Prismatic' ESCAPE '\\') AS bases, min(api) FILTER (api NOT LIKE '%\\_Prismatic' ESCAPE '\\') AS base FROM c GROUP BY 1),
+j AS (SELECT p_partkey, CASE WHEN n = 1 THEN any_api WHEN bases = 1 THEN base END AS client FROM part JOIN g ON g.k = p_name)
+SELECT p_partkey, replace(client, '_Prismatic', '') AS base_identity, CASE WHEN client IS NULL THEN 'unresolved' WHEN client LIKE '%\\_Prismatic' ESCAPE '\\' THEN 'variant' ELSE 'existing' END AS classification FROM j""")
 def q_classify(t: Tables) -> DataFrame:
     clients = t.part.select(F.col("p_name").alias("name"), F.when(F.col("p_type") == "PROMO", F.concat("p_brand", F.lit("_Prismatic"))).otherwise(F.col("p_brand")).alias("api_name"))
     return A.classify(t.part.select("p_partkey", "p_name"), clients, t.part.select("p_name").distinct(), "p_name").select("p_partkey", "base_identity", "classification")
