@@ -10,7 +10,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, langid, minhash, mixing, secrets
@@ -47,8 +47,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes its words, rounded. Rows without doc_id stay once."""
     docs = docs.select(*COLUMNS)
     known = docs.where("doc_id is not null")
-    taken = mixing.mix_sources(known).where("size > 0").select("doc_id", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies")).where("copies > 0")
-    mixed = known.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    taken = mixing.mix_sources(known).where("size > 0").withColumn("copies", copies)
+    on = ["doc_id"]
+    if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        # rows of one doc_id and one size go together by rank: which of them is repeated doesn't matter to the mix
+        on = ["doc_id", "size", "turn"]
+        known = known.withColumn("size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(mixing.WORD)).cast("long"))
+        known = known.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "size").orderBy("text", "source")))
+        taken = taken.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "size").orderBy(F.desc("copies"))))
+    mixed = known.join(taken.where("copies > 0").select(*on, "copies"), on).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     return mixed.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 

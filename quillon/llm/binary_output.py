@@ -28,8 +28,8 @@ from quillon.llm.common import bounded_batches, needs, shared_path, table
 SEQ_LEN = 2048
 #: Sequences in one record batch.
 BATCH_ROWS = 64
-#: Documents a shard should hold; the number of shards grows with the table.
-SHARD_DOCS = 4096
+#: Documents a shard should hold; the number of shards grows with the table, up to what a manifest should list.
+SHARD_DOCS, MOST_SHARDS = 4096, 20_000
 
 MANIFEST = "shard int, path string, docs long, ids long"
 
@@ -140,7 +140,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int | None = 0,
     bounded_batches(spark)
     narrow = needs(docs, key, text).select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     n = narrow.select("doc_id").count()
-    shards = max(1, -(-n // shard_docs))
+    shards = max(1, min(-(-n // shard_docs), MOST_SHARDS))
     at = [i / shards for i in range(1, shards)]
     borders = sorted(set((narrow.select(F.percentile_approx("doc_id", at, 20 * shards)).first()[0] if at else None) or []))
     ends = np.array(borders, dtype=np.int64)

@@ -289,3 +289,13 @@ def test_pipeline_edges(spark, data):
         for name, stage in p.STAGES:
             docs = written(stage(spark, docs, data), name)
     assert docs.count() == 0
+
+
+def test_mix_stage_with_repeated_rows(spark, data):
+    import corpus_pipeline as p
+
+    rows_in = [(i // 2, f"w{i // 4} " * (5 + i // 4), "en", f"s{i % 2}", 1) for i in range(40)] * 2
+    docs = spark.createDataFrame(rows_in, "doc_id long, text string, lang string, source string, n_chars long")
+    want = sum(int(r["taken"] / r["size"] + 0.5) for r in mixing.mix_sources(docs).collect())
+    out = p.mix_sources(spark, docs, data)
+    assert out.count() == want and out.columns == p.COLUMNS
