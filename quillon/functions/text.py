@@ -28,7 +28,7 @@ def normalize(x: Column, compatible: bool = True) -> Column:
     compatible says that x is in NFKC already, which keeps the expression inside the JVM. Null stays null.
     """
     x = x if compatible else nfkc(x)
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[\p{P}\p{S}]+", " "), r"(?U)[\s﻿]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[\p{P}\p{S}]+", " "), r"(?U)[\s\uFEFF]+", " "))
 
 
 def tokens(x: Column, distinct: bool = True) -> Column:
