@@ -34,9 +34,9 @@ CACHE = 500_000
 #: Longer fragments aren't cached.
 CACHED_CHARS = 40
 
-#: The byte-level vocabulary's way to cut text before the merges, and its white space.
+#: The byte-level vocabulary's way to cut text before the merges, and its white space as a class.
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -130,7 +130,7 @@ class ForcedBoundaryBPE:
         """One pre-token, cut at the byte pairs that no token holds."""
         b, start, out, forced = word.encode(), 0, b"", self.forced
         if b.isascii() and word[-1].isalpha():
-            return self._fragment(b)  # these pairs are in tokens; a cut the more or less doesn't change the ids
+            return self._fragment(b)  # plain words are short: no merge crosses a forced pair, so looking for them gains nothing
         for i in range(1, len(b)):
             if forced[b[i - 1] << 8 | b[i]]:
                 out += self._fragment(b[start:i])
