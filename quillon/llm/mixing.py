@@ -19,7 +19,7 @@ from quillon.llm.common import needs, table, written
 
 BLOCK = 32
 MOST_REPEATS = 3
-SHARD_DOCS = 65_536
+SHARD_DOCS = 4096
 WEIGHTS = (1, 2, 3)
 SEED = "mix-1"
 
