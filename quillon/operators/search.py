@@ -82,9 +82,11 @@ def clauses(query: str, lexicon: Lexicon = Lexicon()) -> list[Clause]:
 
 
 def _indexed(records: DataFrame, s: Surfaces) -> DataFrame:
-    """Search forms of all surfaces, each made once."""
+    """Search forms of all surfaces, each made once: as columns of a generator, which the optimizer doesn't inline into every test."""
     each = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: normalize(x)) if c else F.array().cast("array<string>")
-    return records.select("*", *[F.coalesce(normalize(F.col(c)), F.lit("")).alias(f"_n{i}") for i, c in enumerate(s.names)], *[F.coalesce(normalize(F.col(c)), F.lit("")).alias(f"_e{i}") for i, c in enumerate(s.effects)], each(s.requirements).alias("_r"), each(s.synonyms).alias("_s"), each(s.concepts).alias("_c"))
+    forms = [F.coalesce(normalize(F.col(c)), F.lit("")).alias(f"_n{i}") for i, c in enumerate(s.names)] + [F.coalesce(normalize(F.col(c)), F.lit("")).alias(f"_e{i}") for i, c in enumerate(s.effects)]
+    forms += [each(s.requirements).alias("_r"), each(s.synonyms).alias("_s"), each(s.concepts).alias("_c")]
+    return records.select("*", F.inline(F.array(F.struct(*forms))))
 
 
 def _first(tests: list[tuple[Column, str]], score: int, field: str, term: str, kind: str) -> list[tuple[Column, Column]]:
@@ -129,7 +131,7 @@ def search(pool: DataFrame, query: str, surfaces: Surfaces, lexicon: Lexicon = L
     if not built:
         return pool.withColumns({"matches": F.array().cast(none), "matched_fields": F.array().cast("array<string>"), "total": F.lit(0), "score": F.lit(0.0)})
     indexed = _indexed(pool, surfaces)
-    hits = indexed.withColumns({f"_m{i}": match(c, surfaces) for i, c in enumerate(built)})
+    hits = indexed.select("*", F.inline(F.array(F.struct(*[match(c, surfaces).alias(f"_m{i}") for i, c in enumerate(built)]))))
     all_hit = F.col("_m0").isNotNull()
     for i in range(1, len(built)):
         all_hit = all_hit & F.col(f"_m{i}").isNotNull()
