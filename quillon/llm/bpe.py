@@ -86,11 +86,10 @@ class ForcedBoundaryBPE:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.tokens = [self.bytes_of.get(i, b"") for i in range(self.size)]
         self.decimals = [str(i) for i in range(self.size)]
-        vocab, self.merges = model["vocab"], {}
-        for rank, pair in enumerate(model["merges"]):
+        vocab, merges = model["vocab"], []
+        for pair in model["merges"]:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        self.byte_ids = [vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])]
+            merges.append(vocab[a + b])
         inside = np.zeros((256, 256), dtype=bool)
         for b in raw.values():
             for x, y in zip(b, b[1:], strict=False):
@@ -100,7 +99,7 @@ class ForcedBoundaryBPE:
         blank = {0x20, *range(0x09, 0x0E)}
         if any(inside[b, 0x20] for b in range(256) if b not in blank and b not in (0x85, 0xA0) and not 0x80 <= b <= 0xBF):
             raise ValueError("this vocabulary has tokens that bridge words")
-        if sorted(self.merges.values()) != [(r, i) for r, (_, i) in enumerate(sorted(self.merges.values(), key=lambda x: x[1]))]:
+        if merges != sorted(merges):
             raise ValueError("ids must follow the order of the merges")
         self._code = "H" if self.dtype.itemsize == 2 else "I"
         # a merge loop over ranks in native code; with ids in the order of the merges, it makes the same choices
