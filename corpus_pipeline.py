@@ -44,11 +44,14 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes its words, rounded. Rows without doc_id stay once."""
+    """Each document as many times as the mix takes its words, rounded. Rows without doc_id stay once.
+
+    Shards follow each source's own rows, so that rounding is of one document a shard and a small source isn't lost in it.
+    """
     docs = docs.select(*COLUMNS)
     known = docs.where("doc_id is not null")
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    taken = mixing.mix_sources(known).where("size > 0").withColumn("copies", copies)
+    taken = mixing.mix_sources(known, own_shards=True).where("size > 0").withColumn("copies", copies)
     on = ["doc_id"]
     if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
         # rows of one doc_id and one size go together by rank: which of them is repeated doesn't matter to the mix

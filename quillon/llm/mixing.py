@@ -70,12 +70,15 @@ def shard_of(key: Column, digits: int) -> Column:
     return F.substring(key, 1, digits) if digits else F.lit("")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, most: int = MOST_REPEATS, shard_docs: int = SHARD_DOCS, seed: str = SEED, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, most: int = MOST_REPEATS, shard_docs: int = SHARD_DOCS, seed: str = SEED, key: str = "doc_id", text: str = "text", source: str = "source", own_shards: bool = False) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of each row.
 
     Null, empty and blank texts have size 0 and are taken 0 times; a null source is a source of its own,
     the last; repeated rows are separate documents. taken is at most most * size; a source's words come
     within one block per shard of its target. An empty table gives an empty table.
+
+    The number of shards follows the rows of the table, with own_shards those of each source: then a shard
+    has many documents, at most one of them taken in part, and a small source is one shard.
     """
     size = F.regexp_count(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
     label = F.col(f"`{source}`").cast("string")
@@ -83,7 +86,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int
     sized = written(sized, "sized")
     digits = max(0, math.ceil(math.log(max(1, sized.count()) / shard_docs, 16)))
     sized = sized.withColumn("shard", shard_of(F.col("mark"), digits))
-    by_shard = written(sized.groupBy("no_source", "source", "shard").agg(F.sum("size").alias("shard_size")), "shards")
+    by_shard = written(sized.groupBy("no_source", "source", "shard").agg(F.sum("size").alias("shard_size"), F.count("*").alias("rows")), "shards")
+    if own_shards:
+        digits_of = by_shard.groupBy("no_source", "source").agg(F.ceil(F.log(F.sum("rows") / shard_docs) / math.log(16)).alias("_digits"))
+        wider = by_shard.join(digits_of, ["no_source", "source"]).withColumn("wide", F.expr("substring(shard, 1, cast(greatest(0, _digits) as int))"))
+        # joined by source and shard of the table, so that no source's rows are joined in one task
+        sized = sized.join(wider.select("no_source", "source", "shard", "wide"), ["no_source", "source", "shard"]).drop("shard").withColumnRenamed("wide", "shard")
+        by_shard = wider.groupBy("no_source", "source", F.col("wide").alias("shard")).agg(F.sum("shard_size").alias("shard_size"))
+    by_shard = by_shard.select("no_source", "source", "shard", "shard_size")
     targets = source_targets(by_shard.groupBy("no_source", "source").agg(F.sum("shard_size").alias("source_size")), weights, most)
     targets = sainte_lague(targets.withColumn("_seats", F.floor(F.col("_total") / block + 0.5)).withColumn("_one", F.lit(0)), ["_one"], "target", "_seats", ["_i"])
     targets = targets.select("no_source", "source", "source_size", "target", F.col("quota").alias("_seats"))

@@ -299,3 +299,19 @@ def test_mix_stage_with_repeated_rows(spark, data):
     want = sum(int(r["taken"] / r["size"] + 0.5) for r in mixing.mix_sources(docs).collect())
     out = p.mix_sources(spark, docs, data)
     assert out.count() == want and out.columns == p.COLUMNS
+
+
+@pytest.mark.parametrize(("small", "other"), [("a", 10_500), ("b", 30_800)])
+def test_mix_stage_keeps_a_small_source_near_its_target(spark, data, small, other):
+    """70 documents in a table of so many rows that each would be a shard of its own; targets of 0.45 and 1.4 times their words."""
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    sizes = [rng.randrange(100, 700) for _ in range(70)]
+    few = spark.createDataFrame([(100_000 + i, "w " * n, "l", small, 0) for i, n in enumerate(sizes)], "doc_id long, text string, lang string, source string, n_chars long")
+    many = spark.range(66_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < other, "v").alias("text"), F.lit("l").alias("lang"), F.lit("b" if small == "a" else "a").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    got = corpus_pipeline.mix_sources(spark, few.unionByName(many), data).where(F.col("source") == small)
+    words = got.select(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).collect()[0][0]
+    target = (sum(sizes) + other) * (1 if small == "a" else 2) / 3
+    assert abs(words - target) <= 400, (words, target)  # half a document and a block
+    assert got.select("doc_id").distinct().count() >= (20 if small == "a" else 70)
