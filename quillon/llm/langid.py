@@ -6,8 +6,9 @@ per n-gram the discounted probability in each language, per context the weight o
 text's language is the one with the lowest cross-entropy per character. A text is rejected if even that
 entropy is far above what texts of that language have, or if the calibrated probability is low.
 
-Models are fitted on a bounded sample of labelled rows (DOCS_PER_LANGUAGE rows a language in expectation,
-chosen by a hash of the key); half of it counts n-grams, the other half calibrates.
+Every language among the labels is learned. Models are fitted on a sample of labelled rows, chosen by a hash
+of the key (DOCS_PER_LANGUAGE rows a language in expectation, fewer where there are many languages); seven
+eighths of it count n-grams, the others calibrate.
 """
 
 from __future__ import annotations
@@ -26,8 +27,14 @@ from quillon.llm.common import bounded_batches, mix, needs, table
 ORDER = 5
 #: Labelled rows of each language that models are fitted on, in expectation.
 DOCS_PER_LANGUAGE = 1600
-#: At most so many languages, the most frequent ones, are learned.
-LANGUAGES = 64
+#: Labelled rows of all languages that reach the driver, in expectation: with more than 64 languages each gets fewer.
+DOCS = 64 * DOCS_PER_LANGUAGE
+#: Of a language at least so many, whatever DOCS says, or all that it has.
+LEAST_DOCS = 64
+#: Of a language with fewer rows none is kept for calibration.
+FEW = 16
+#: Longer runs of letters, marks and digits are counted in pieces of so many characters, which overlap by ORDER - 1.
+PIECE = 100
 #: A text is rejected if its entropy is above its language's by so many standard errors and by such a share.
 FAR_OUT, FAR_SHARE = 8.0, 1.0
 #: ... or with a lower calibrated probability.
@@ -201,19 +208,23 @@ def calibrate(model: KneserNey, texts: list[tuple[str, str]]) -> None:
 def learn(docs: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = DOCS_PER_LANGUAGE) -> KneserNey | None:
     """Models from rows of docs where learnable holds; None if there are no labelled texts.
 
-    Only counts of languages, then the sample (at most LANGUAGES * per_language rows in expectation) reach
-    the driver, as words with their counts and as a tenth of that many texts.
+    Every language is learned. Only counts of languages, then the sample (at most DOCS rows in expectation, or
+    LEAST_DOCS a language if that is more) reach the driver, as words with their counts and as an eighth of that many texts.
     """
     labelled = needs(docs, key, text, lang).where(learnable & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
+    per_language = min(per_language, max(LEAST_DOCS, DOCS // len(sizes)))
     part = F.pmod(F.xxhash64("key"), F.lit(1_000_000))
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))]), F.col("lang"))
-    sample = labelled.where(F.col("lang").isin(*sizes) & (part < share * 1_000_000))
-    half = F.pmod(F.xxhash64("key", F.lit("half")), F.lit(8))
+    shares = labelled.sparkSession.createDataFrame([(k, min(1.0, per_language / n), n < FEW) for k, n in sizes.items()], "lang string, share double, few boolean")
+    sample = labelled.join(F.broadcast(shares), "lang").where(part < F.col("share") * 1_000_000)
+    half = F.when(F.col("few"), 1).otherwise(F.pmod(F.xxhash64("key", F.lit("half")), F.lit(8)))
     # strings of letters as Spark sees them; what Python calls a word is cut from them here
-    counted = sample.where(half != 0).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1))).alias("word")).where("length(word) <= 100").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    runs = sample.where(half != 0).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1))).alias("run"))
+    begins = F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("run") - (ORDER - 1)), F.lit(PIECE - ORDER + 1))
+    pieces = F.when(F.char_length("run") > PIECE, F.transform(begins, lambda i: F.substring("run", i, F.lit(PIECE)))).otherwise(F.array("run"))
+    counted = runs.select("lang", F.explode(pieces).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     got: dict[str, dict[str, int]] = {}
     rows = counted.toArrow()
     for x, word, n in zip(rows["lang"].to_pylist(), rows["word"].to_pylist(), rows["n"].to_pylist(), strict=True):

@@ -140,6 +140,22 @@ def test_language_edges(edge):
     assert langid.learn(edge.where("false"), F.lit(True)) is None
 
 
+def test_every_language_is_learned(spark):
+    """More than 64 languages, one of a single row, and one written without spaces in runs of more than 100 letters."""
+    rng = random.Random(9)
+    rows = []
+    for n in range(70):
+        letters = [chr(0x4E00 + 40 * n + i) for i in range(12)]
+        rows += [(f"{n}-{i}", " ".join("".join(rng.choices(letters, k=6)) for _ in range(10)), f"l{n:02}") for i in range(1 if n == 69 else 3)]
+    letters = [chr(0xAC00 + i) for i in range(30)]
+    rows += [(f"run-{i}", "".join(rng.choices(letters, k=250)), "run") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    model = langid.learn(df, F.lit(True))
+    assert model.languages == sorted({r[2] for r in rows})
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, model).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+
+
 def test_quality_held_out(spark, data):
     labels = dict(pq.read_table(f"{data}/labels.parquet", columns=["doc_id", "quality"]).to_pandas().itertuples(index=False))
     rows = quality.op4_quality(spark, data).collect()
