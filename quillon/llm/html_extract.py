@@ -1,6 +1,6 @@
 """Main text of web pages, by differencing with the page of the nearest URL.
 
-Pages of a host are sorted by URL path; each is paired with its nearest neighbour of another path. Both pages'
+Paths of a host are sorted; each page is paired with a page of the nearest other path. Both pages'
 text lines (one per block element) are aligned by a longest common subsequence; shared lines are what the
 site's template gave, and are deleted.
 
@@ -17,13 +17,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded_batches, needs, table
+from quillon.llm.common import bounded_batches, needs, table, written
 
-#: Pages at the start of a range without a neighbour of another path before them wait for so many pages.
-WAIT = 64
 #: Cells of an alignment beyond which it is cut in halves of the first page.
 CELLS = 200_000_000
 
@@ -203,54 +201,73 @@ def main_text(page: list[Line], neighbour: list[Line] | None) -> str:
     return " ".join(kept)
 
 
+def neighbours(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(host, path, near): the nearest other path, by order and leading characters, of each path in wanted that has one.
+
+    Only distinct paths, of hosts that have wanted pages, go through the window.
+    """
+    paths = pages.select("host", "path").distinct().join(wanted.select("host").distinct(), "host", "left_semi")
+    w = Window.partitionBy("host").orderBy("path")
+
+    def alike(other: str) -> Column:
+        return F.expr(f"size(filter(sequence(0, least(char_length(path), char_length({other}))), n -> left(path, n) = left({other}, n)))")
+
+    paths = paths.withColumn("_a", F.lag("path").over(w)).withColumn("_b", F.lead("path").over(w))
+    paths = paths.join(wanted.select("host", "path").distinct(), ["host", "path"], "left_semi")
+    near = F.when(F.col("_a").isNull(), F.col("_b")).when(F.col("_b").isNull(), F.col("_a")).when(alike("_b") > alike("_a"), F.col("_b")).otherwise(F.col("_a"))
+    return paths.select("host", "path", near.alias("near")).where("near is not null")
+
+
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of each row.
 
     Null, empty and blank pages, and pages without main text, have an empty text. Pages without a URL are
-    of one host and one path and have no neighbours; repeated rows are each extracted. Pages are dealt out
-    by ranges of (host, path, key), so that a large host lies in many tasks; a page's neighbour is the nearest
-    of another path before it in its range, for the first ones the next of the following WAIT pages. A task
-    holds one Arrow batch, two pages' lines and those that wait. An empty table gives an empty table.
+    of one host and one path and have no neighbours; repeated rows are each extracted. A page's neighbour is
+    the page of the smallest key of the nearest path of its host: the one before or the one after, whichever
+    has more leading characters in common with it, the one before if both have as many. That doesn't depend on
+    how pages are dealt out. Pages that markup decides are not dealt
+    out. The distinct paths of a host, without their pages, are sorted in one task. An empty table gives an empty table.
     """
     bounded_batches(pages.sparkSession)
     u = F.coalesce(F.col(f"`{url}`").cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(u, r"^[^:/?#]*://[^/?#]*([^?#]*)", 1)
     narrow = needs(pages, key, url, html).select(host.alias("host"), path.alias("path"), F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").cast("string").alias("html"))
-    spread = narrow.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = last = None  # (host, path, lines) of the nearest page of another path, and of the last page
-        waiting: list[tuple] = []
-
-        def batch_of(done: list[tuple]) -> pa.RecordBatch:
-            keys, urls, texts = zip(*done, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["key", "url", "text", "n_chars"])
+    kinds = {f.name: f.dataType.simpleString() for f in narrow.schema}
 
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Text by markup alone; where that leaves lines undecided no text, but the page."""
         for batch in batches:
-            kind, done = batch.column(2).type, []
-            for host, path, k, link, page in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
+            texts, left = [], []
+            for page in batch.column(4):
                 own = lines(page.as_py() or "")
-                if last and last[0] != host:
-                    before = None
-                elif last and last[1] != path:
-                    before = last
-                if waiting and (before or waiting[0][0] != host or len(waiting) >= WAIT):
-                    other = own if waiting[0][0] == host and before else None
-                    done += [(a, b, main_text(x, other)) for _, a, b, x in waiting]
-                    waiting = []
-                last = (host, path, own)
-                if before:
-                    done.append((k, link, main_text(own, before[2])))
-                else:
-                    waiting.append((host, k, link, own))
-            if done:
-                yield batch_of(done)
-        if waiting:
-            yield batch_of([(a, b, main_text(x, None)) for _, a, b, x in waiting])
-
-    kinds = {f.name: f.dataType.simpleString() for f in spread.schema}
-    return spread.mapInArrow(run, f"key {kinds['key']}, url {kinds['url']}, text string, n_chars long").withColumnRenamed("key", key)
+                open_ = any(s == PLAIN for _, s in own) and all(s != CONTENT for _, s in own)
+                texts.append(None if open_ else main_text(own, None))
+                left.append(page.as_py() if open_ else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(texts, pa.string()), pa.array(left, pa.string())], names=["host", "path", "key", "url", "text", "html"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, other = None, None  # pages of one path come together and have one neighbour
+        for batch in batches:
+            texts = []
+            for page, near in zip(batch.column(2), batch.column(3), strict=True):
+                near = near.as_py()
+                if near != seen:
+                    seen, other = near, lines(near) if near else None
+                texts.append(main_text(lines(page.as_py()), other))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["key", "url", "text"])
+
+    first = written(narrow.mapInArrow(decide, f"host string, path string, key {kinds['key']}, url {kinds['url']}, text string, html string"), "pages")
+    # written, so that joins know its size: pages aren't dealt out for the sake of a few neighbours
+    pairs = written(neighbours(narrow, first.where("text is null")), "pairs")
+    # one page of each neighbour; the pages of a path, however many, meet one row
+    near = narrow.select("host", F.col("path").alias("near"), "key", "html").join(pairs.select("host", "near").distinct(), ["host", "near"], "left_semi")
+    near = near.groupBy("host", "near").agg(F.min(F.struct("key", "html")).alias("_page"))
+    near = pairs.join(near, ["host", "near"]).select("host", "path", F.col("_page.html").alias("other"))
+    left = first.where("text is null").join(near, ["host", "path"], "left").select("key", "url", "html", "other")
+    compared = left.mapInArrow(compare, f"key {kinds['key']}, url {kinds['url']}, text string")
+    done = first.where("text is not null").select("key", "url", "text").unionByName(compared)
+    return done.select(F.col("key").alias(key), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

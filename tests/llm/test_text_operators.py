@@ -267,6 +267,17 @@ def test_html_differencing(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+def test_html_neighbour_is_found_whatever_the_dealing(spark):
+    """A run of pages of one path, longer than any wait, whose host has another path; and the nearer of two paths."""
+    site = "<body><div>{}</div><p>{}</p><div>Printed on paper</div>"
+    rows = [(i, f"http://q.example/item?id={i}", site.format("Items", f"item {i}")) for i in range(150)] + [(999, "http://q.example/zoo", site.format("Items", "zoo"))]
+    rows += [(1000, "http://n.example/a/9", site.format("Part A", "nine")), (1001, "http://n.example/b/1", site.format("Part B", "one")), (1002, "http://n.example/b/2", site.format("Part B", "two"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"item {i}" for i in range(150)} | {999: "zoo", 1000: "Part A nine", 1001: "one", 1002: "two"}
+    for n in (1, 6):
+        assert {r["page_id"]: r["text"] for r in html_extract.extract(df.repartition(n)).collect()} == want
+
+
 def test_html_query(spark, data):
     truth = {}
     for r in pq.read_table(f"{data}/pages.parquet").to_pylist():
