@@ -1,23 +1,28 @@
 """Main text of web pages, by differencing with the page of the nearest URL.
 
-Paths of a host are sorted; each page is paired with a page of the nearest other path. Both pages'
-text lines (one per block element) are aligned by a longest common subsequence; shared lines are what the
-site's template gave, and are deleted.
-
-Differencing alone can't give the right text: menus, adverts and footers with words of their own stay, and
-lines that two articles share would go. So markup decides first. Elements whose name, role, class or id says
-menu, header, footer, sidebar, notice, advert, form, script or comment are dropped whatever the other page
-has; lines inside <article> or <main> are kept even if shared. Differencing decides on all other lines.
+The pages of a host are ordered by their URL's path and query; each is paired with the page before or after it, whichever
+has more leading segments (then characters) of the URL in common. Both pages' text lines (one per block
+element) are aligned by a longest common subsequence; shared lines are what the site's template gave, and are
+deleted. Exact copies on one host are one page.
+
+Every page goes through that; where it alone can't give the right text, markup corrects it. A line that no
+other page has is still no text if it stands in an element whose name, role, class or id says menu, header,
+footer, sidebar, notice, advert, form, script or comment; and a line that two articles share is text if it stands
+inside <article> or <main>. All other lines are text if, and only if, differencing leaves them.
 """
 
 from __future__ import annotations
 
 import html as entities
+import os.path
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import bounded_batches, needs, table, written
@@ -31,12 +36,16 @@ _PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("nav footer aside form script style noscript template iframe svg canvas object button select textarea dialog menu head title audio video map datalist math applet".split())
+DROPPED = frozenset("nav footer aside script style noscript template iframe svg canvas object button select textarea label legend output progress meter dialog menu head title audio video map datalist applet annotation annotation-xml".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
+#: What an element's name may say; a name counts if all its parts are of these kinds or tell the place of a part.
 NAMES = frozenset("nav navbar navigation menu submenu breadcrumb breadcrumbs masthead topbar footer bottombar sidebar rail widget widgets ad ads adv advert adverts advertisement advertising adslot adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager disqus discussion reply replies respond toolbar copyright skip".split())
-#: Parts that tell that an element holds the content, whatever else its name says.
-HOLDS = frozenset("content main article body post entry story page wrapper container layout with has no".split())
+COMMENTS = frozenset("comment comments commentlist commenter commenters usercomments".split())
+PLACES = frozenset("site page post entry article story content main body global primary secondary top bottom left right inner outer upper lower mobile desktop sticky fixed box block bar list item items link links area section container wrapper wrap row col unit slot text title heading panel module thread form count meta author user reader icon icons buttons group holder region zone posts articles stories".split())
+#: Parts that tell that an element holds the content, whatever its other names say.
+HOLDS = frozenset("content main article body post entry story page wrapper container layout".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the first kind ends where one of the second begins.
 ENDS = {"li": {"li"}, "p": BLOCKS - {"br"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
@@ -45,21 +54,47 @@ CONTENT, PLAIN, GONE = 2, 1, 0
 Line = tuple[str, int]
 
 
+def _says(name: str, kinds: frozenset) -> bool:
+    """Whether a class or id is one of these kinds as a whole: with nothing else in it but places, numbers and letters."""
+    parts = {p.lower() for p in _PART.findall(name)}
+    return bool(parts & kinds) and all(p in kinds or p in PLACES or len(p) < 2 or p.isdigit() for p in parts)
+
+
 def _state(tag: str, attrs: str, above: int) -> int:
     """What the text of an element is: of the article, undecided, or dropped."""
     if above == GONE or tag in DROPPED:
         return GONE
     own = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs.strip() else {}
-    parts = {p.lower() for k in ("class", "id") for p in _PART.findall(own.get(k, ""))}
-    if any(p.startswith("comment") for p in parts) or own.get("role", "").lower() in ROLES or "hidden" in own or own.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", own.get("style", "")):
+    role = own.get("role", "").lower()
+    if role in ROLES or "hidden" in own or own.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", own.get("style", "")):
+        return GONE
+    classes = own.get("class", "").split()
+    ids = [] if tag in HEADINGS else own.get("id", "").split()
+    if any(_says(n, COMMENTS) for n in classes + ids):
         return GONE
-    if tag in ("article", "main") or own.get("role", "").lower() in ("main", "article"):
+    if tag in ("article", "main") or role in ("main", "article"):
         return CONTENT
     if tag == "header" and above != CONTENT:
         return GONE
-    if tag not in ("html", "body") and not parts & HOLDS and (parts & NAMES or "header" in parts and above != CONTENT):
-        return GONE
-    return above
+    if tag in ("html", "body"):
+        return above
+    if above != CONTENT:  # in an article a part's id is a name of its subject, as of a section "discussion"
+        classes += ids
+    gone = [n for n in classes if _says(n, NAMES) or above != CONTENT and _says(n, _HEADER)]
+    return GONE if gone and not any(n not in gone and {p.lower() for p in _PART.findall(n)} & HOLDS for n in classes) else above
+
+
+_HEADER = frozenset(["header"])
+_FORM_END = re.compile(r"</?form\b", re.IGNORECASE)
+_STORY = re.compile(r"<(?:article|main|h1)\b|role=[\"']?main\b", re.IGNORECASE)
+_PARAGRAPH = re.compile(r"<p\b", re.IGNORECASE)
+
+
+def _wraps(page: str, at: int) -> bool:
+    """Whether a form that begins at a place is the frame of a story and not a thing to fill in."""
+    end = _FORM_END.search(page, at)
+    stop = end.start() if end else len(page)
+    return bool(_STORY.search(page, at, stop)) or sum(1 for _, _ in zip(_PARAGRAPH.finditer(page, at, stop), range(3), strict=False)) > 2
 
 
 def lines(page: str) -> list[Line]:
@@ -105,6 +140,8 @@ def lines(page: str) -> list[Line]:
             continue
         attrs = m[3] if m[2] else m[6]
         new = _state(tag, attrs or "", state)
+        if tag == "form" and not _wraps(page, at):
+            new = GONE
         if tag in RAW:
             lower = page.lower() if lower is None else lower
             end = lower.find(f"</{tag}", at) if len(lower) == len(page) else -1
@@ -127,7 +164,7 @@ def lines(page: str) -> list[Line]:
     return out
 
 
-def shared(a: list[str], b: list[str]) -> set[int]:
+def shared(a: Sequence, b: Sequence) -> set[int]:
     """Places in a of a longest common subsequence of a and b, by bit vectors over b."""
     start, end = 0, 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
@@ -142,7 +179,7 @@ def shared(a: list[str], b: list[str]) -> set[int]:
         return out
     if len(x) * len(y) > CELLS and len(x) > 1:
         return out | _halved([a[i] for i in x], [b[j] for j in y], x)
-    places: dict[str, int] = {}
+    places: dict = {}
     for k, j in enumerate(y):
         places[b[j]] = places.get(b[j], 0) | 1 << k
     full = (1 << len(y)) - 1
@@ -163,9 +200,9 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def _lengths(a: list[str], b: list[str]) -> list[int]:
+def _lengths(a: Sequence, b: Sequence) -> list[int]:
     """Length of the longest common subsequence of a and each prefix of b."""
-    places: dict[str, int] = {}
+    places: dict = {}
     for k, t in enumerate(b):
         places[t] = places.get(t, 0) | 1 << k
     full = (1 << len(b)) - 1
@@ -179,7 +216,7 @@ def _lengths(a: list[str], b: list[str]) -> list[int]:
     return out
 
 
-def _halved(a: list[str], b: list[str], at: list[int]) -> set[int]:
+def _halved(a: Sequence, b: Sequence, at: list[int]) -> set[int]:
     """The same for very long pages, by Hirschberg's halving: a in two parts, b cut where their lengths add up best."""
     half = len(a) // 2
     first, second = _lengths(a[:half], b), _lengths(a[half:][::-1], b[::-1])
@@ -187,86 +224,134 @@ def _halved(a: list[str], b: list[str], at: list[int]) -> set[int]:
     return {at[i] for i in shared(a[:half], b[:cut])} | {at[half + i] for i in shared(a[half:], b[cut:])}
 
 
-def main_text(page: list[Line], neighbour: list[Line] | None) -> str:
-    """Lines of the article; without an article element, all undecided lines that the neighbour doesn't share.
+def main_text(page: list[Line], common: Sequence[set[int]]) -> str:
+    """The lines that stay. common: the places of lines shared with the nearest page, and with the one on the other side.
 
-    A page all of whose undecided lines are shared is a copy of its neighbour, and keeps them.
+    Undecided lines stay if the nearest page doesn't share them. If that leaves no text at all, the page is a copy of the
+    nearest but for its markup, and the page on the other side decides; if that shares all too, all stay. Lines of
+    an article stay in any case; undecided lines beside an article only if they are the longer part.
     """
-    if any(s == CONTENT for _, s in page):
-        kept = [t for t, s in page if s == CONTENT]
-        return " ".join(kept)
-    common = shared([t for t, _ in page], [t for t, _ in neighbour]) if neighbour else set()
-    undecided = [(i, t) for i, (t, s) in enumerate(page) if s == PLAIN]
-    kept = [t for i, t in undecided if i not in common] or [t for _, t in undecided]
-    return " ".join(kept)
+    content = [i for i, (_, s) in enumerate(page) if s == CONTENT]
+    plain = [i for i, (_, s) in enumerate(page) if s == PLAIN]
+    kept = [i for i in plain if not common or i not in common[0]]
+    if content:
+        length = lambda at: sum(len(page[i][0]) for i in at)
+        kept = sorted(content + kept) if length(kept) > length(content) else content
+    elif not kept:
+        kept = next((k for c in common[1:] if (k := [i for i in plain if i not in c])), plain)
+    return " ".join(page[i][0] for i in kept)
+
 
+_SEPARATORS = "\x01\x02\x03"
 
-def neighbours(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(host, path, near): the nearest other path, by order and leading characters, of each path in wanted that has one.
 
-    Only distinct paths, of hosts that have wanted pages, go through the window.
+def nearness(a: str, b: str) -> tuple[int, int]:
+    """How near two URLs of a host are: leading segments, then characters, in common."""
+    same = os.path.commonprefix([a, b])
+    return sum(map(same.count, _SEPARATORS)) + (a == b), len(same)
+
+
+def neighbours(pages: DataFrame) -> DataFrame:
+    """(host, mark, near, other): marks of the pages before and after each page in the order of host, url, mark; the nearer first.
+
+    pages: (host, url, mark), distinct; urls have their separators replaced by _SEPARATORS, so that pages with leading
+    segments in common are next to each other. All pages are sorted over all tasks, so no host is in one. A task
+    knows the neighbours of its pages but for those of the first and the last; these, two a task, go through the driver.
     """
-    paths = pages.select("host", "path").distinct().join(wanted.select("host").distinct(), "host", "left_semi")
-    w = Window.partitionBy("host").orderBy("path")
+    columns = ["host", "url", "mark"]
+    empty = {c: None for c in columns}
 
-    def alike(other: str) -> Column:
-        return F.expr(f"size(filter(sequence(0, least(char_length(path), char_length({other}))), n -> left(path, n) = left({other}, n)))")
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, before, row = TaskContext.get().partitionId(), empty, None
+        schema = pa.schema([("task", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_()), *[(f"{side}{c}", pa.string()) for side in ("", "b_", "a_") for c in columns]])
 
-    paths = paths.withColumn("_a", F.lag("path").over(w)).withColumn("_b", F.lead("path").over(w))
-    paths = paths.join(wanted.select("host", "path").distinct(), ["host", "path"], "left_semi")
-    near = F.when(F.col("_a").isNull(), F.col("_b")).when(F.col("_b").isNull(), F.col("_a")).when(alike("_b") > alike("_a"), F.col("_b")).otherwise(F.col("_a"))
-    return paths.select("host", "path", near.alias("near")).where("near is not null")
+        def linked(before: dict, row: dict, after: dict) -> dict:
+            ends = {"task": task, "first": before["host"] is None, "last": after["host"] is None}
+            return ends | {f"{side}{c}": r[c] for side, r in (("", row), ("b_", before), ("a_", after)) for c in columns}
+
+        for batch in batches:
+            out = []
+            for after in batch.to_pylist():
+                if row:
+                    out.append(linked(before, row, after))
+                    before = row
+                row = after
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+        if row:
+            yield pa.RecordBatch.from_pylist([linked(before, row, empty)], schema=schema)
+
+    kinds = ", ".join(f"{side}{c} string" for side in ("", "b_", "a_") for c in columns)
+    ordered = pages.select(*columns).repartitionByRange(*columns).sortWithinPartitions(*columns)
+    linked = written(ordered.mapInArrow(link, f"task int, first boolean, last boolean, {kinds}"), "order")
+    ends = linked.where("first or last").select("task", "first", "last", *columns).collect()  # two rows a task
+    tasks = sorted({r["task"] for r in ends})
+    firsts = {r["task"]: r.asDict() for r in ends if r["first"]}
+    lasts = {r["task"]: r.asDict() for r in ends if r["last"]}
+    before_task, after_task = dict(zip(tasks[1:], tasks, strict=False)), dict(zip(tasks, tasks[1:], strict=False))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                before = lasts.get(before_task.get(r["task"]), empty) if r["first"] else {c: r[f"b_{c}"] for c in columns}
+                after = firsts.get(after_task.get(r["task"]), empty) if r["last"] else {c: r[f"a_{c}"] for c in columns}
+                near = [x for x in (before, after) if x["host"] == r["host"]]
+                if len(near) == 2 and nearness(r["url"], after["url"]) > nearness(r["url"], before["url"]):
+                    near.reverse()
+                marks = [x["mark"] for x in near] + [None, None]
+                out.append({"host": r["host"], "mark": r["mark"], "near": marks[0], "other": marks[1]})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([(c, pa.string()) for c in ("host", "mark", "near", "other")]))
+
+    return linked.mapInArrow(choose, "host string, mark string, near string, other string")
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of each row.
 
-    Null, empty and blank pages, and pages without main text, have an empty text. Pages without a URL are
-    of one host and one path and have no neighbours; repeated rows are each extracted. A page's neighbour is
-    the page of the smallest key of the nearest path of its host: the one before or the one after, whichever
-    has more leading characters in common with it, the one before if both have as many. That doesn't depend on
-    how pages are dealt out. Pages that markup decides are not dealt
-    out. The distinct paths of a host, without their pages, are sorted in one task. An empty table gives an empty table.
+    Null, empty and blank pages, and pages without main text, have an empty text. Pages without a URL, and those alone on
+    their host, have no neighbour: all their undecided lines stay. Repeated rows are each extracted; exact copies on a host have one
+    text. Ties in nearness go to the page before. The text doesn't depend on how pages are dealt out. What is
+    sorted and compared are 64-bit hashes of lines; whole pages move once, to meet what is to be deleted from them; of
+    very many copies of one page Spark splits the join. An empty table gives an empty table.
     """
-    bounded_batches(pages.sparkSession)
+    spark = pages.sparkSession
+    bounded_batches(spark)
     u = F.coalesce(F.col(f"`{url}`").cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-    path = F.regexp_extract(u, r"^[^:/?#]*://[^/?#]*([^?#]*)", 1)
-    narrow = needs(pages, key, url, html).select(host.alias("host"), path.alias("path"), F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").cast("string").alias("html"))
+    path = F.translate(F.regexp_extract(u, r"^[^:/?#]*://[^/?#]*([^#]*)", 1), "/?&", _SEPARATORS)
+    page = F.coalesce(F.col(f"`{html}`").cast("string"), F.lit(""))
+    narrow = needs(pages, key, url, html).select(host.alias("host"), path.alias("path"), F.md5(page).alias("mark"), F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), page.alias("html"))
     kinds = {f.name: f.dataType.simpleString() for f in narrow.schema}
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Text by markup alone; where that leaves lines undecided no text, but the page."""
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, left = [], []
-            for page in batch.column(4):
-                own = lines(page.as_py() or "")
-                open_ = any(s == PLAIN for _, s in own) and all(s != CONTENT for _, s in own)
-                texts.append(None if open_ else main_text(own, None))
-                left.append(page.as_py() if open_ else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(texts, pa.string()), pa.array(left, pa.string())], names=["host", "path", "key", "url", "text", "html"])
+            own = [np.array([xxhash.xxh3_64_intdigest(t) for t, _ in lines(p.as_py())], dtype="<u8").tobytes() for p in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.binary())], names=["host", "url", "mark", "lines"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, other = None, None  # pages of one path come together and have one neighbour
+        for batch in batches:
+            out = []
+            for rows in zip(*batch.columns[2:], strict=True):
+                own, *others = (None if r.as_py() is None else np.frombuffer(r.as_py(), dtype="<u8").tolist() for r in rows)
+                out.append([np.array(sorted(shared(own, x)), dtype="<i4").tobytes() for x in others if x is not None])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.list_(pa.binary()))], names=["host", "mark", "common"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, near in zip(batch.column(2), batch.column(3), strict=True):
-                near = near.as_py()
-                if near != seen:
-                    seen, other = near, lines(near) if near else None
-                texts.append(main_text(lines(page.as_py()), other))
+            for p, common in zip(batch.column(2), batch.column(3), strict=True):
+                texts.append(main_text(lines(p.as_py()), [set(np.frombuffer(c, dtype="<i4").tolist()) for c in common.as_py() or []]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["key", "url", "text"])
 
-    first = written(narrow.mapInArrow(decide, f"host string, path string, key {kinds['key']}, url {kinds['url']}, text string, html string"), "pages")
-    # written, so that joins know its size: pages aren't dealt out for the sake of a few neighbours
-    pairs = written(neighbours(narrow, first.where("text is null")), "pairs")
-    # one page of each neighbour; the pages of a path, however many, meet one row
-    near = narrow.select("host", F.col("path").alias("near"), "key", "html").join(pairs.select("host", "near").distinct(), ["host", "near"], "left_semi")
-    near = near.groupBy("host", "near").agg(F.min(F.struct("key", "html")).alias("_page"))
-    near = pairs.join(near, ["host", "near"]).select("host", "path", F.col("_page.html").alias("other"))
-    left = first.where("text is null").join(near, ["host", "path"], "left").select("key", "url", "html", "other")
-    compared = left.mapInArrow(compare, f"key {kinds['key']}, url {kinds['url']}, text string")
-    done = first.where("text is not null").select("key", "url", "text").unionByName(compared)
+    seen = narrow.where("host != ''").select("host", "path", "mark", "html").mapInArrow(hashed, "host string, url string, mark string, lines binary")
+    seen = written(seen.groupBy("host", "mark").agg(F.min("url").alias("url"), F.min("lines").alias("lines")), "lines")
+    own = seen.select("host", "mark", "lines")
+    found = neighbours(seen).join(own, ["host", "mark"])
+    for side in ("near", "other"):
+        found = found.join(own.select("host", F.col("mark").alias(side), F.col("lines").alias(f"{side}_lines")), ["host", side], "left")
+    found = written(found.select("host", "mark", "lines", "near_lines", "other_lines").mapInArrow(compare, "host string, mark string, common array<binary>"), "shared")
+    done = narrow.join(found, ["host", "mark"], "left").select("key", "url", "html", "common").mapInArrow(finish, f"key {kinds['key']}, url {kinds['url']}, text string")
     return done.select(F.col("key").alias(key), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 

@@ -252,7 +252,7 @@ def test_shared_lines_are_longest(monkeypatch, cells):
 
 def test_html_by_markup():
     page = '<html><head><title>t</title></head><body class="has-sidebar"><header><h1>Site</h1></header><div class="content with-sidebar"><main><header><h1>Ti&amp;tle</h1></header><p>One <b>bo</b>ld&nbsp;x<p class="notice">cookie<p>Two<ul><li>i1<li>i2</ul><section id="comments"><h3>Comments</h3><article class="comment">hi</article></section><script>if(a<b)"</p>"</script><form><input>Sub</form><aside>rel</aside></main></div><div id="sideBar">s</div><footer>f</footer>'
-    assert html_extract.main_text(html_extract.lines(page), None) == "Ti&tle One bold x Two i1 i2"
+    assert html_extract.main_text(html_extract.lines(page), []) == "Ti&tle One bold x Two i1 i2"
 
 
 def test_html_differencing(spark):
@@ -278,6 +278,67 @@ def test_html_neighbour_is_found_whatever_the_dealing(spark):
         assert {r["page_id"]: r["text"] for r in html_extract.extract(df.repartition(n)).collect()} == want
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<body><form id=f><input type=hidden><div><h1>T</h1><p>a</p></div><label>Name</label><button>Go</button></form><form><p>Search</p></form>', "T a"),
+    ('<div class="post-content comments-open"><article><p>x <math><mi>y</mi></math></p><h2 id="related-work">R</h2><section id="discussion">D</section><div class="comment-list">c</div></article></div>', "x y R D"),
+    ('<article><p>teaser</p></article><div id="story"><p>the story is told at length in a plain part of the page</p></div>', "teaser the story is told at length in a plain part of the page"),
+    ('<div class="entry-footer">f</div><div class="main sidebar-left">kept</div><div class="sidebar-left">s</div><div class="social-studies">kept too</div><div id="comments">c</div>', "kept kept too"),
+    ("<p>" + "long " * 100_000 + "</p>", ("long " * 100_000).strip()),
+])
+def test_html_names(page, text):
+    assert html_extract.main_text(html_extract.lines(page), []) == text
+
+
+def brute_pages(pages):
+    """Text of each (page_id, url, html) by pairing on a sorted list of all pages of a host."""
+    hosts, out = {}, {}
+    for _, url, page in pages:
+        m = re.match(r"[a-z]+://([^/?#]*)([^#]*)", url or "")
+        if m:
+            hosts.setdefault(m[1].lower(), {}).setdefault(page or "", []).append(m[2])
+    for host in hosts:
+        hosts[host] = sorted((min(re.sub("[/?&]", lambda x: {"/": "\x01", "?": "\x02", "&": "\x03"}[x[0]], p) for p in paths), hashlib.md5(page.encode()).hexdigest(), page) for page, paths in hosts[host].items())
+    for key, url, page in pages:
+        own, near = html_extract.lines(page or ""), []
+        if m := re.match(r"[a-z]+://([^/?#]*)", url or ""):
+            order = hosts[m[1].lower()]
+            i = next(i for i, x in enumerate(order) if x[2] == (page or ""))
+            near = [order[j] for j in (i - 1, i + 1) if 0 <= j < len(order)]
+            near.sort(key=lambda x: [-v for v in html_extract.nearness(order[i][0], x[0])])
+            assert not near or html_extract.nearness(order[i][0], near[0][0]) == max(html_extract.nearness(order[i][0], x[0]) for j, x in enumerate(order) if j != i)
+        text = [t for t, _ in own]
+        out.setdefault(key, []).append(html_extract.main_text(own, [html_extract.shared(text, [t for t, _ in html_extract.lines(x[2])]) for x in near]))
+    return out
+
+
+@pytest.fixture(scope="module")
+def bare_pages(data):
+    """Pages without article markup, with a template of their host, query-routed pages, and exact copies."""
+    rng, out = random.Random(5), []
+    for r in pq.read_table(f"{data}/pages.parquet").to_pylist()[:40]:
+        host = re.match(r"[a-z]+://([^/?#]*)", r["url"])[1]
+        page = re.sub(r"</?article>", "", r["html"]).replace("<body>", f"<body><div>Home of {host}</div><div>Latest | Archive</div>").replace("<footer>", "<div>Printed by nobody</div><footer>")
+        out.append((r["page_id"], r["url"], page))
+    site = "<body><div>Shop</div><p>{}</p><p>{}</p><div>Terms of sale</div>"
+    out += [(1000 + i, f"http://q.example/view?id={i}&lang=x", site.format(f"thing {i}", rng.choice(["red", "blue"]) + f" {i}")) for i in range(300)]
+    return out + [(2000 + i, f"http://c.example/a?utm={i}", site.format("one", "two")) for i in range(5)] + [(2010, "http://c.example/b", site.format("three", "four")), (2011, None, "<p>no url</p>"), (2012, "http://alone.example/", "<p>alone</p>")]
+
+
+def test_html_differencing_by_brute_force(spark, bare_pages):
+    """Whatever the partitions; and with no article markup, differencing finds the text."""
+    want = brute_pages(bare_pages)
+    assert all(want[1000 + i] == [f"thing {i} {c} {i}"] for i in range(300) for c in [want[1000 + i][0].split()[2]])
+    assert all(want[2000 + i] == ["one two"] for i in range(5)) and want[2010] == ["three four"]
+    df = spark.createDataFrame(bare_pages, "page_id long, url string, html string")
+    for n in (1, 7, 211):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        got = {}
+        for r in html_extract.extract(df.repartition(n)).collect():
+            got.setdefault(r["page_id"], []).append(r["text"])
+        assert got == want, n
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_html_query(spark, data):
     truth = {}
     for r in pq.read_table(f"{data}/pages.parquet").to_pylist():
