@@ -3,9 +3,13 @@
 The words of all documents are the budget. Sources get targets by weight, none above MOST_REPEATS times its
 own size. Targets are counted in blocks of BLOCK words: the blocks of the budget go to sources by the
 highest quotients target / (2 k + 1), those of a source to its shards by the quotients of their sizes.
-A shard is a part of one source, by a digest of doc_id, and has about SHARD_DOCS documents at most, so no
-source is ever in one task. Within a shard, documents stand in a seeded order and form a row of blocks;
-each block is taken quota // blocks times, and the first quota % blocks of the row once more.
+A shard is a part of one source, by a digest of doc_id; their number follows the source's own rows, so a small source
+is one shard and no source of any size is in one task. Within a shard, documents stand in a seeded order and
+form a ring of words, which is taken block by block from its start until the shard's quota is used up: all of it so many
+times, then the first words once more. Blocks are real words all through: none is cut short at the ring's end.
+
+What whole blocks leave of a source's target, half a block per source and shard at most, is added to or taken from the
+quota of its largest shard in words, so that a source of any size gets its target to the word.
 """
 
 from __future__ import annotations
@@ -19,7 +23,11 @@ from quillon.llm.common import needs, table, written
 
 BLOCK = 32
 MOST_REPEATS = 3
+#: Documents that a shard has at most, about, until a source has 16 ** MOST_DIGITS shards; from there on shards grow.
 SHARD_DOCS = 4096
+MOST_DIGITS = 4
+#: Parts that each source's rows are dealt to when they learn the number of its shards.
+PARTS = 256
 WEIGHTS = (1, 2, 3)
 SEED = "mix-1"
 
@@ -66,44 +74,38 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     return ranked.withColumn("target", F.least((most * F.col("source_size")).cast("double"), F.coalesce(F.col("_level") * F.col("weight"), F.lit(0.0)))).drop("_level")
 
 
-def shard_of(key: Column, digits: int) -> Column:
-    return F.substring(key, 1, digits) if digits else F.lit("")
-
-
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, most: int = MOST_REPEATS, shard_docs: int = SHARD_DOCS, seed: str = SEED, key: str = "doc_id", text: str = "text", source: str = "source", own_shards: bool = False) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, most: int = MOST_REPEATS, shard_docs: int = SHARD_DOCS, seed: str = SEED, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of each row.
 
     Null, empty and blank texts have size 0 and are taken 0 times; a null source is a source of its own,
-    the last; repeated rows are separate documents. taken is at most most * size; a source's words come
-    within one block per shard of its target. An empty table gives an empty table.
-
-    The number of shards follows the rows of the table, with own_shards those of each source: then a shard
-    has many documents, at most one of them taken in part, and a small source is one shard.
+    the last; repeated rows are separate documents; very long texts are counted whole. taken is at most most * size. A source's
+    taken words differ from its target by less than a word; only if its quotas reach most times a shard, they may fall short by
+    half a block for each of its other shards. An empty table gives an empty table.
     """
     size = F.regexp_count(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
     label = F.col(f"`{source}`").cast("string")
     sized = needs(docs, key, text, source).select(F.col(f"`{key}`").alias("doc_id"), label.isNull().alias("no_source"), F.coalesce(label, F.lit("")).alias("source"), size.alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))).alias("mark"))
-    sized = written(sized, "sized")
-    digits = max(0, math.ceil(math.log(max(1, sized.count()) / shard_docs, 16)))
-    sized = sized.withColumn("shard", shard_of(F.col("mark"), digits))
-    by_shard = written(sized.groupBy("no_source", "source", "shard").agg(F.sum("size").alias("shard_size"), F.count("*").alias("rows")), "shards")
-    if own_shards:
-        digits_of = by_shard.groupBy("no_source", "source").agg(F.ceil(F.log(F.sum("rows") / shard_docs) / math.log(16)).alias("_digits"))
-        wider = by_shard.join(digits_of, ["no_source", "source"]).withColumn("wide", F.expr("substring(shard, 1, cast(greatest(0, _digits) as int))"))
-        # joined by source and shard of the table, so that no source's rows are joined in one task
-        sized = sized.join(wider.select("no_source", "source", "shard", "wide"), ["no_source", "source", "shard"]).drop("shard").withColumnRenamed("wide", "shard")
-        by_shard = wider.groupBy("no_source", "source", F.col("wide").alias("shard")).agg(F.sum("shard_size").alias("shard_size"))
-    by_shard = by_shard.select("no_source", "source", "shard", "shard_size")
-    targets = source_targets(by_shard.groupBy("no_source", "source").agg(F.sum("shard_size").alias("source_size")), weights, most)
+    sized = written(sized, "sized").withColumn("part", F.pmod(F.xxhash64("mark"), F.lit(PARTS)).cast("int"))
+    digits = F.least(F.lit(MOST_DIGITS), F.greatest(F.lit(0), F.ceil(F.round(F.log(F.count("*") / shard_docs) / math.log(16), 9)))).cast("int")
+    sources = sized.groupBy("no_source", "source").agg(F.sum("size").alias("source_size"), digits.alias("_digits"))
+    # joined by source and part, so that no source's rows are joined in one task
+    parts = sources.select("no_source", "source", "_digits", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    dealt = sized.join(parts, ["no_source", "source", "part"]).withColumn("shard", F.expr("substring(mark, 1, _digits)")).drop("part", "_digits")
+    by_shard = written(dealt.groupBy("no_source", "source", "shard").agg(F.sum("size").alias("shard_size")), "shards")
+    targets = source_targets(sources.drop("_digits"), weights, most)
     targets = sainte_lague(targets.withColumn("_seats", F.floor(F.col("_total") / block + 0.5)).withColumn("_one", F.lit(0)), ["_one"], "target", "_seats", ["_i"])
     targets = targets.select("no_source", "source", "source_size", "target", F.col("quota").alias("_seats"))
     shards = sainte_lague(by_shard.join(targets, ["no_source", "source"]), ["no_source", "source"], "shard_size", "_seats", ["shard"])
-    blocks = F.ceil(F.col("shard_size") / block)
-    shards = shards.withColumn("_times", F.when(blocks > 0, F.floor(F.col("quota") / blocks)).otherwise(0)).withColumn("_more", F.when(blocks > 0, F.col("quota") % blocks).otherwise(0) * block)
+    of = Window.partitionBy("no_source", "source")
+    whole = F.least(F.col("quota") * block, most * F.col("shard_size"))
+    largest = F.row_number().over(of.orderBy(F.desc("shard_size"), "shard")) == 1
+    shards = shards.withColumn("_words", whole).withColumn("_rest", F.floor(F.col("target") + 0.5) - F.sum("_words").over(of))
+    shards = shards.withColumn("_words", F.when(largest, F.greatest(F.lit(0), F.least(F.col("_words") + F.col("_rest"), most * F.col("shard_size")))).otherwise(F.col("_words")))
+    shards = shards.withColumn("_times", F.when(F.col("shard_size") > 0, F.expr("_words div shard_size")).otherwise(0)).withColumn("_more", F.col("_words") - F.col("_times") * F.col("shard_size"))
     w = Window.partitionBy("no_source", "source", "shard").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = sized.join(shards.select("no_source", "source", "shard", "source_size", "target", "_times", "_more"), ["no_source", "source", "shard"]).withColumn("_end", F.sum("size").over(w))
+    placed = dealt.join(shards.select("no_source", "source", "shard", "source_size", "target", "_times", "_more"), ["no_source", "source", "shard"]).withColumn("_end", F.sum("size").over(w))
     once_more = F.greatest(F.lit(0), F.least(F.col("_end"), F.col("_more")) - (F.col("_end") - F.col("size")))
-    return placed.select("doc_id", F.when(~F.col("no_source"), F.col("source")).alias("source"), "size", "source_size", "target", F.least(most * F.col("size"), F.col("_times") * F.col("size") + once_more).cast("long").alias("taken"))
+    return placed.select("doc_id", F.when(~F.col("no_source"), F.col("source")).alias("source"), "size", "source_size", "target", (F.col("_times") * F.col("size") + once_more).cast("long").alias("taken"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,10 +130,10 @@ def _quotas(name: str, parties: str, group: str, votes: str, seats: str, order:
 ORACLE = {
     "op2_mix_sources": f"""
 WITH sized AS (SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS mark FROM documents),
-cut AS (SELECT *, substr(mark, 1, (SELECT greatest(0, ceil(log(greatest(1, count(*)) / {SHARD_DOCS}) / log(16)))::BIGINT FROM sized)) AS shard FROM sized),
+s00 AS (SELECT no_source, source, sum(size)::BIGINT AS source_size, least({MOST_DIGITS}, greatest(0, ceil(round(ln(count(*) / {SHARD_DOCS}) / ln(16), 9))))::BIGINT AS digits FROM sized GROUP BY no_source, source),
+cut AS (SELECT z.*, substr(z.mark, 1, s.digits) AS shard FROM sized z JOIN s00 s ON s.no_source = z.no_source AND s.source = z.source),
 by_shard AS (SELECT no_source, source, shard, sum(size)::BIGINT AS shard_size FROM cut GROUP BY ALL),
-s00 AS (SELECT no_source, source, sum(shard_size)::BIGINT AS source_size FROM by_shard GROUP BY no_source, source),
-s0 AS (SELECT *, row_number() OVER (ORDER BY no_source, source) - 1 AS i FROM s00),
+s0 AS (SELECT no_source, source, source_size, row_number() OVER (ORDER BY no_source, source) - 1 AS i FROM s00),
 s1 AS (SELECT *, [{', '.join(map(str, WEIGHTS))}][(i % {len(WEIGHTS)}) + 1] AS weight FROM s0),
 s2 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum({MOST_REPEATS} * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, source_size / weight AS ratio FROM s1 WINDOW w AS (ORDER BY source_size / weight, i)),
 s3 AS (SELECT *, (SELECT arg_min(level, (ratio, i)) FROM s2 WHERE {MOST_REPEATS} * source_size >= level * weight) AS chosen FROM s2),
@@ -139,8 +141,11 @@ s4 AS (SELECT no_source, source, source_size, i, 0 AS one, least({MOST_REPEATS}
 {_quotas('sq', 's4', 'one', 'target', 'seats', 'i')},
 p AS (SELECT b.*, q.source_size, q.target, q.quota AS seats FROM by_shard b JOIN (SELECT no_source, source, source_size, target, quota FROM sq) q ON q.no_source = b.no_source AND q.source = b.source),
 {_quotas('pq', 'p', 'no_source, source', 'shard_size', 'seats', 'shard')},
-f AS (SELECT no_source, source, shard, source_size, target, CASE WHEN shard_size > 0 THEN floor(quota / ceil(shard_size / {BLOCK}))::BIGINT ELSE 0 END AS times, CASE WHEN shard_size > 0 THEN quota % ceil(shard_size / {BLOCK})::BIGINT * {BLOCK} ELSE 0 END AS more FROM pq),
+b1 AS (SELECT no_source, source, shard, shard_size, source_size, target, least(quota * {BLOCK}, {MOST_REPEATS} * shard_size) AS words FROM pq),
+b2 AS (SELECT *, floor(target + 0.5)::BIGINT - sum(words) OVER (PARTITION BY no_source, source) AS rest, row_number() OVER (PARTITION BY no_source, source ORDER BY shard_size DESC, shard) AS place FROM b1),
+b3 AS (SELECT * REPLACE (CASE WHEN place = 1 THEN greatest(0, least(words + rest, {MOST_REPEATS} * shard_size)) ELSE words END::BIGINT AS words) FROM b2),
+f AS (SELECT *, CASE WHEN shard_size > 0 THEN words // shard_size ELSE 0 END AS times, CASE WHEN shard_size > 0 THEN words % shard_size ELSE 0 END AS more FROM b3),
 e AS (SELECT c.*, f.source_size, f.target, f.times, f.more, sum(c.size) OVER (PARTITION BY c.no_source, c.source, c.shard ORDER BY c.mark, c.doc_id, c.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM cut c JOIN f ON f.no_source = c.no_source AND f.source = c.source AND f.shard = c.shard)
-SELECT doc_id, size, source_size, target, least({MOST_REPEATS} * size, times * size + greatest(0, least(stop, more) - (stop - size)))::BIGINT AS taken FROM e
+SELECT doc_id, size, source_size, target, (times * size + greatest(0, least(stop, more) - (stop - size)))::BIGINT AS taken FROM e
 """
 }
