@@ -1,17 +1,21 @@
 """Near-duplicate embeddings by iterative quantisation.
 
-ROTATIONS rotations are learned on a bounded sample: each starts from the sample's principal axes and a random
+Rotations are learned on a bounded sample of each vector length: each starts from the sample's principal axes and a random
 rotation and alternates between binary codes and the rotation that brings vectors nearest to them. The
-codes are cut into substrings of SUB_BITS bits, each with a hash table of its own (multi-index hashing);
-vectors of one label that share a substring are reranked by cosine on the original vectors. A pair is
-counted in the first table that both share, so no pairs need be kept to count them once.
-
-Two vectors of cosine 0.98 differ in a bit with probability about 0.064, so they share none of 24 tables of
-16 bits with probability about (1 - 0.936^16)^24 < 5e-5.
+codes are cut into substrings, each with a hash table of its own (multi-index hashing: two codes that differ in fewer bits
+than there are tables share a substring); vectors of one length and label that share a substring are
+reranked by cosine on the original vectors. A pair is counted in the first table that both share, so no pairs need be kept to
+count them once.
+
+Substrings are as long as log2 of the vectors of a length, so a bucket holds about one vector of balanced codes however
+many there are; the number of tables follows their length: two vectors of cosine 0.98 differ in a bit with probability
+about 0.064, so they share none of t tables of b bits with probability about (1 - 0.936^b)^t, and t is the least that keeps this
+below MISSED. That is 24 tables of 16 bits for 65536 vectors and 58 of 28 bits for 268 million.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,20 +25,32 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import table, written
 from quillon.llm.components import components
-from quillon.llm.vectors import matrix, read, usual_length
+from quillon.llm.vectors import matrix, read
 
+#: Vectors of each length that rotations are learned on, in expectation.
 SAMPLE = 4096
-TABLES = 24
-SUB_BITS = 16
-MOST_BITS = 64
+MISSED = 4.9e-5
+#: Bits of a substring.
+LEAST_BITS, MOST_BITS = 16, 40
+#: Where the number of the table stands in a code.
+TABLE_AT = 44
+#: Principal axes that a rotation turns, at most.
+AXES = 1024
 #: Vectors of a bucket that meet in one task are two blocks of about this size at most.
 BLOCK = 2048
 
 
-def learn_rotations(x: np.ndarray, tables: int = TABLES, sub_bits: int = SUB_BITS, steps: int = 25, seed: int = 5) -> np.ndarray:
+def plan(n: int, cosine: float = 0.98) -> tuple[int, int]:
+    """(tables, bits of a substring) for n vectors of one length."""
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(2, n)))))
+    alike = 1 - math.acos(min(1.0, max(-1.0, cosine))) / math.pi
+    return max(1, math.ceil(math.log(MISSED) / math.log1p(-(alike**bits) if alike < 1 else -0.999999))), bits
+
+
+def learn_rotations(x: np.ndarray, tables: int, sub_bits: int, steps: int = 25, seed: int = 5) -> np.ndarray:
     """Projections (dim, bits) to codes whose columns are cut into `tables` substrings, from a sample of vectors."""
     dim = x.shape[1]
-    bits = min(dim, MOST_BITS)
+    bits = min(dim, AXES)
     sub = min(sub_bits, bits)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     _, axes = np.linalg.eigh(x.T @ x)
@@ -50,10 +66,10 @@ def learn_rotations(x: np.ndarray, tables: int = TABLES, sub_bits: int = SUB_BIT
     return np.concatenate(out, axis=1)[:, : tables * sub]
 
 
-def codes(x: np.ndarray, projection: np.ndarray, tables: int = TABLES) -> np.ndarray:
+def codes(x: np.ndarray, projection: np.ndarray, tables: int) -> np.ndarray:
     """(rows, tables) substrings of the codes."""
-    ones = (x @ projection >= 0).reshape(len(x), tables, -1).astype(np.int32)
-    return (ones << np.arange(ones.shape[2], dtype=np.int32)).sum(axis=2, dtype=np.int32)
+    ones = (x @ projection >= 0).reshape(len(x), tables, -1).astype(np.int64)
+    return (ones << np.arange(ones.shape[2], dtype=np.int64)).sum(axis=2, dtype=np.int64)
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -75,40 +91,52 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row.
 
-    Rows of equal vectors and labels are one class, of which one member goes through the tables. Rows
-    whose label is null, or whose vector is null, empty, zero, of another than the usual length or holds
+    Rows of equal vectors and labels are one class, of which one member goes through the tables. Vectors of different lengths
+    have no cosine and never link; each length has rotations of its own. Rows
+    whose label is null, or whose vector is null, empty, zero or holds
     null or non-finite components, link with nothing. Repeated rows are vectors of their own; rows of one
     vec_id are one node of components. A row without vec_id is counted but is kept alone: its component_id is null.
+    An empty table gives an empty table.
     """
     spark = vectors.sparkSession
     rows = written(read(vectors, key, vector, label).withColumnRenamed(label, "label"), "vectors")
-    dim = usual_length(rows)
-    good = F.col("vec").isNotNull() & F.col("label").isNotNull() & (F.col("dim") == F.lit(dim))
-    classes = rows.where(good).groupBy("label", "same").agg(F.min("id").alias("id"), F.count("*").alias("size"), F.any_value("vec").alias("vec"))
+    good = F.col("vec").isNotNull() & F.col("label").isNotNull()
+    classes = rows.where(good).groupBy("label", "same").agg(F.min("id").alias("id"), F.count("*").alias("size"), F.any_value("vec").alias("vec"), F.any_value("dim").alias("dim"))
     classes = written(classes, "classes").where("id is not null")
-    n = classes.count()
-    if not n:
+    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row for each length of vectors
+    if not sizes:
         return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    share = F.create_map(*[F.lit(v) for d, n in sizes.items() for v in (d, max(1.0, min(1.0, sample / n) * 1_000_000))])[F.col("dim")]
     part = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
-    chosen = [bytes(r["vec"]) for r in classes.where(part < max(1.0, min(1.0, sample / n) * 1_000_000)).orderBy("id", "same").limit(4 * sample).select("vec").collect()]
-    projection = learn_rotations(matrix(chosen or [bytes(classes.first()["vec"])]))
+    chosen: dict[int, list[bytes]] = {}
+    for r in classes.where(part < share).select("dim", "id", "same", "vec").orderBy("id", "same").collect():
+        chosen.setdefault(r["dim"], []).append(bytes(r["vec"]))
+    plans, projections = {}, {}
+    for d, n in sizes.items():
+        plans[d] = plan(n, cosine)
+        projections[d] = learn_rotations(matrix(chosen[d]) if d in chosen else np.ones((1, d)), *plans[d])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            dims, raw = batch.column(4).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            out: list = [None] * len(batch)
+            for d in np.unique(dims).tolist():
+                at, tables = np.flatnonzero(dims == d), plans[d][0]
+                c = codes(matrix([raw[i] for i in at]), projections[d], tables) + (np.arange(tables, dtype=np.int64) << TABLE_AT)
+                for i, row in zip(at.tolist(), c, strict=True):
+                    out[i] = row
             if len(batch):
-                c = codes(matrix(batch.column(1).to_pylist()), projection) + (np.arange(TABLES, dtype=np.int32) << SUB_BITS)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * TABLES), pa.array(c.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2), batch.column(1), batch.column(3)], names=["id", "codes", "label", "vec", "size"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64())), *(batch.column(i) for i in (2, 1, 3, 4))], names=["id", "codes", "label", "vec", "size", "dim"])
 
     kind = classes.schema["label"].dataType.simpleString()
-    coded = written(classes.select("id", "vec", "label", "size").mapInArrow(encode, f"id long, codes array<int>, label {kind}, vec binary, size long"), "codes")
-    keys = coded.select("id", "label", F.explode("codes").alias("code"))
-    large = keys.groupBy("label", "code").agg(F.count("*").alias("n")).where("n > 1").select("label", "code", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    placed = keys.join(large, ["label", "code"]).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    coded = written(classes.select("id", "vec", "label", "size", "dim").mapInArrow(encode, f"id long, codes array<long>, label {kind}, vec binary, size long, dim int"), "codes")
+    keys = coded.select("id", "dim", "label", F.explode("codes").alias("code"))
+    large = keys.groupBy("dim", "label", "code").agg(F.count("*").alias("n")).where("n > 1").select("dim", "label", "code", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    placed = keys.join(large, ["dim", "label", "code"]).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.select("id", "label", "code", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    met = placed.join(coded.select("id", "codes", "vec", "size"), "id").select("label", "code", "i", "j", "own", "id", "size", "codes", "vec")
-    met = met.repartition("label", "code", "i", "j").sortWithinPartitions("label", "code", "i", "j", "own", "id")
+    placed = placed.select("id", "dim", "label", "code", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    met = placed.join(coded.select("id", "dim", "label", "codes", "vec", "size"), ["id", "dim", "label"]).select("dim", "label", "code", "i", "j", "own", "id", "size", "codes", "vec")
+    met = met.repartition("dim", "label", "code", "i", "j").sortWithinPartitions("dim", "label", "code", "i", "j", "own", "id")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -116,14 +144,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id
         def rerank(rows: pa.Table) -> pa.RecordBatch:
             code, i, j = rows["code"][0].as_py(), rows["i"][0].as_py(), rows["j"][0].as_py()
             own, ids, size = rows["own"].to_numpy(), rows["id"].to_numpy(), rows["size"].to_numpy()
-            c = np.array(rows["codes"].to_pylist(), dtype=np.int32)
+            c = np.array(rows["codes"].to_pylist(), dtype=np.int64)
             x = matrix(rows["vec"].to_pylist())
             norm = np.sqrt((x * x).sum(axis=1))
             left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j))
             a, b = np.nonzero((x[left] @ x[right].T) / (norm[left][:, None] * norm[right][None, :]) >= cosine)
             a, b = left[a], right[b]
             once = a < b if i == j else np.ones(len(a), dtype=bool)
-            t = code >> SUB_BITS
+            t = code >> TABLE_AT
             once &= ~(c[a][:, :t] == c[b][:, :t]).any(axis=1)
             a, b = a[once], b[once]
             n_links = np.bincount(a, weights=size[b], minlength=len(ids)) + np.bincount(b, weights=size[a], minlength=len(ids))
@@ -136,11 +164,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id
         for batch in batches:
             if not len(batch):
                 continue
-            keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
             cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
             for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
                 piece = batch.slice(at, to - at)
-                if held and any(held[0].column(k)[0] != piece.column(k)[0] for k in range(4)):
+                if held and any(held[0].column(k)[0] != piece.column(k)[0] for k in range(5)):
                     yield rerank(pa.Table.from_batches(held))
                     held = []
                 held.append(piece)

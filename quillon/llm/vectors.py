@@ -44,8 +44,3 @@ def read(df: DataFrame, key: str, vector: str, *more: str) -> DataFrame:
     out = narrow.mapInArrow(run, f"id long{kinds}, dim int, same binary, vec binary")
     return out.select("id", *[F.col(n).alias(m) for n, m in zip(names, more, strict=True)], "dim", "same", "vec")
 
-
-def usual_length(read_rows: DataFrame) -> int | None:
-    """The most frequent vector length, of equal ones the least; lengths are few."""
-    first = read_rows.where("dim is not null").groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    return first["dim"] if first else None
