@@ -21,6 +21,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -312,8 +313,9 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     Null, empty and blank pages, and pages without main text, have an empty text. Pages without a URL, and those alone on
     their host, have no neighbour: all their undecided lines stay. Repeated rows are each extracted; exact copies on a host have one
     text. Ties in nearness go to the page before. The text doesn't depend on how pages are dealt out. What is
-    sorted and compared are 64-bit hashes of lines; whole pages move once, to meet what is to be deleted from them; of
-    very many copies of one page Spark splits the join. An empty table gives an empty table.
+    sorted and compared are 64-bit hashes of lines; what may be text of a page moves once, compressed, to meet what is to be
+    deleted from it; of very many copies of one page Spark splits the join. Joins are by merging at every size. An empty table
+    gives an empty table.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
@@ -337,21 +339,33 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 out.append([np.array(sorted(shared(own, x)), dtype="<i4").tobytes() for x in others if x is not None])
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.list_(pa.binary()))], names=["host", "mark", "common"])
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(3).compress
+        for batch in batches:
+            own = [lines(p.as_py()) for p in batch.column(4)]
+            states = pa.array([bytes(state for _, state in x) for x in own], pa.binary())
+            texts = pa.array([pack("\n".join(t if state else "" for t, state in x).encode()) for x in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], states, texts], names=["host", "mark", "key", "url", "states", "texts"])
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             texts = []
-            for p, common in zip(batch.column(2), batch.column(3), strict=True):
-                texts.append(main_text(lines(p.as_py()), [set(np.frombuffer(c, dtype="<i4").tolist()) for c in common.as_py() or []]))
+            for states, text, common in zip(*batch.columns[2:], strict=True):
+                own = list(zip(unpack(text.as_py()).decode().split("\n"), states.as_py(), strict=False))
+                texts.append(main_text(own, [set(np.frombuffer(c, dtype="<i4").tolist()) for c in common.as_py() or []]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["key", "url", "text"])
 
     seen = narrow.where("host != ''").select("host", "path", "mark", "html").mapInArrow(hashed, "host string, url string, mark string, lines binary")
     seen = written(seen.groupBy("host", "mark").agg(F.min("url").alias("url"), F.min("lines").alias("lines")), "lines")
     own = seen.select("host", "mark", "lines")
-    found = neighbours(seen).join(own, ["host", "mark"])
+    found = neighbours(seen).join(own.hint("merge"), ["host", "mark"])
     for side in ("near", "other"):
-        found = found.join(own.select("host", F.col("mark").alias(side), F.col("lines").alias(f"{side}_lines")), ["host", side], "left")
+        found = found.join(own.select("host", F.col("mark").alias(side), F.col("lines").alias(f"{side}_lines")).hint("merge"), ["host", side], "left")
     found = written(found.select("host", "mark", "lines", "near_lines", "other_lines").mapInArrow(compare, "host string, mark string, common array<binary>"), "shared")
-    done = narrow.join(found, ["host", "mark"], "left").select("key", "url", "html", "common").mapInArrow(finish, f"key {kinds['key']}, url {kinds['url']}, text string")
+    kinds = f"key {kinds['key']}, url {kinds['url']}"
+    moved = narrow.select("host", "mark", "key", "url", "html").mapInArrow(packed, f"host string, mark string, {kinds}, states binary, texts binary")
+    done = moved.join(found.hint("merge"), ["host", "mark"], "left").select("key", "url", "states", "texts", "common").mapInArrow(finish, f"{kinds}, text string")
     return done.select(F.col("key").alias(key), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
