@@ -1,19 +1,22 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that adds to them.
 
 The field tags the words of a text as secret begin, inside or outside. A word's features are its shape
-(length, shares of digits and capitals, whether it is all hexadecimal, signs), the shapes of its
-neighbours, whether a word of the secret-keyword kind or an assignment sign stands before it, and how much
+(length, shares of digits and capitals, whether it is all hexadecimal), what it is made like (an address, a path, a
+number, a name in parts), how often it changes between kinds of characters, how its vowels and consonants are spread,
+the shapes of its neighbours, which of the three words before it name a secret or lead to a value, and how much
 the whole file looks like code or configuration. Weights are fitted by gradient steps on the likelihood; texts are
 decoded by Viterbi over all their words. A text in which no word can gain by any tag but outside, even
 with the best transitions on both sides, is all outside; the others are decoded step by step.
 
 Training sequences are windows of a bounded sample of documents (SAMPLE_DOCS in expectation), labelled by
-the fixed patterns, and copies of them with made-up secrets of many shapes put in.
+the fixed patterns, and windows of copies of them into which made-up secrets, or made-up things that look like secrets and are
+none, have been put at any place. Features are those of the whole text.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -59,22 +62,30 @@ def written_spans(spans: list[Span]) -> str:
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-#: Bits that a byte adds to its word: digit, capital, small letter, sign, assignment sign, not hexadecimal.
-_KIND = np.zeros((256, 6), dtype=np.int32)
-_KIND[48:58, 0] = 1
-_KIND[65:91, 1] = 1
-_KIND[97:123, 2] = 1
-_KIND[[c for c in range(33, 127) if not chr(c).isalnum()], 3] = 1
-_KIND[[ord(":"), ord("=")], 4] = 1
-_KIND[:, 5] = 1
-_KIND[[*range(48, 58), *range(97, 103)], 5] = 0
-_KEYWORD = re.compile(rb"passw|passphrase|secret|token|api_?key|access_?key|credential|auth|private", re.IGNORECASE)
+_LOWER = np.zeros(256, dtype=np.int32)
+_LOWER[97:123] = 1
+_NOT_HEX = np.ones(256, dtype=np.int32)
+_NOT_HEX[[*range(48, 58), *range(97, 103)]] = 0
+_VOWEL = np.zeros(256, dtype=np.int32)
+_VOWEL[[ord(c) for c in "aeiouyAEIOUY"]] = 1
+_CONSONANT = np.zeros(256, dtype=bool)
+_CONSONANT[[c for c in range(128) if chr(c).isalpha() and not _VOWEL[c]]] = True
+_SIGN = np.zeros(256, dtype=bool)
+_SIGN[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+#: Kinds between which a random string changes often: digit, capital, small letter, sign; beyond ASCII.
+_CHANGE = np.full(256, 4, dtype=np.int8)
+_CHANGE[48:58] = 0
+_CHANGE[65:91] = 1
+_CHANGE[97:123] = 2
+_CHANGE[_SIGN] = 3
+_KEYWORD = re.compile(rb"passw|passphrase|passcode|secret|token|api[_-]?key|access[_-]?key|credential|auth|private|\bpin\b|\bpwd\b", re.IGNORECASE)
+_LINKS = frozenset([b"is", b"was", b"are", b"to", b"as", b"=", b":", b":=", b"=>", b"->", b"=="])
 
 _LENGTHS = np.array([4, 8, 12, 16, 20, 32, 48])
-N_SHAPES = 8 * 4 * 3 * 2
-N_COARSE = 16
+_SIZES = np.array([8, 12, 24])
+N_SHAPES, N_COARSE, N_CONTEXT, N_FILES, N_MAKES, N_CHANGES, N_SOUNDS = 8 * 4 * 3 * 2, 16, 2 * 27, 4, 11 * 4, 7 * 4, 6 * 2 * 4
 #: Where each kind of feature starts among all weights.
-_AT = np.cumsum([0, N_SHAPES, N_COARSE, N_COARSE, 8, 4])
+_AT = np.cumsum([0, N_SHAPES, N_COARSE, N_COARSE, N_CONTEXT, N_FILES, N_MAKES, N_CHANGES, N_SOUNDS])
 N_FEATURES = int(_AT[-1])
 
 
@@ -92,39 +103,67 @@ def words_of(texts: list[bytes]) -> Words:
     data = np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     begins = np.cumsum(sizes + 1) - sizes - 1
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], _BLANK[data], [True]]).view(np.int8))) if len(data) else np.empty(0, dtype=np.int64)
+    blank = _BLANK[data]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).view(np.int8))) if len(data) else np.empty(0, dtype=np.int64)
     start, end = edge[0::2], edge[1::2]
-    if not len(start):
-        return Words(start, start, start, np.zeros((0, 5), dtype=np.int64))
+    n = len(start)
+    if not n:
+        return Words(start, start, start, np.zeros((0, len(_AT) - 1), dtype=np.int64))
     row = np.searchsorted(begins, start, side="right") - 1
     length = end - start
-    sums = [np.add.reduceat(_KIND[data, k], start) for k in range(6)]
-    # a word's sum also took in the blanks behind it, which add to the last count only
-    digits, upper, lower, signs, assign = sums[:5]
-    others = sums[5] - (np.concatenate([start[1:], [len(data)]]) - end)
+    # small letters and what isn't hexadecimal are most bytes; digits, capitals and signs are few
+    lower = np.add.reduceat(_LOWER[data], start)
+    vowels = np.add.reduceat(_VOWEL[data], start)
+    others = np.add.reduceat(_NOT_HEX[data], start) - (np.concatenate([start[1:], [len(data)]]) - end)  # less the blanks behind each word
+    kind = _CHANGE[data]
+
+    def count(mask: np.ndarray) -> np.ndarray:
+        return np.bincount(np.searchsorted(start, np.flatnonzero(mask), side="right") - 1, minlength=n)
+
+    digits, upper = count(kind == 0), count(kind == 1)
+    at = np.flatnonzero(_SIGN[data])
+    owner, char = np.searchsorted(start, at, side="right") - 1, data[at]
+    sign = lambda c: np.bincount(owner[char == ord(c)], minlength=n)
+    signs = np.bincount(owner, minlength=n)
+    slash, dot, dash, under, mail, colon = (sign(c) for c in "/.-_@:")
+    assign = colon + sign("=")
+    scheme = np.zeros(n, dtype=bool)
+    scheme[owner[:-1][(char[:-1] == ord(":")) & (char[1:] == ord("/")) & (at[1:] == at[:-1] + 1)]] = True
+    changes = count(np.concatenate([[False], (kind[1:] != kind[:-1]) & ~blank[1:] & ~blank[:-1]]))
+    c = _CONSONANT[data]
+    runs = np.zeros(n, dtype=bool)
+    runs[np.searchsorted(start, np.flatnonzero(c[:-3] & c[1:-2] & c[2:-1] & c[3:]), side="right") - 1] = True
+
     letters = np.maximum(length - signs, 1)
     share = np.searchsorted([1, 15, 60], 100 * digits // letters, side="right")
     case = np.where((upper > 1) & (lower > 1), 2, np.where(upper > 1, 1, 0))
     shape = ((np.searchsorted(_LENGTHS, length, side="right") * 4 + share) * 3 + case) * 2 + (others <= signs)
     coarse = np.minimum(length // 8, 3) * 4 + (digits > 0) * 2 + (assign > 0)
-    keyword = np.zeros(len(start), dtype=np.int64)
+    size = np.searchsorted(_SIZES, length, side="right")
+    uuid = (dash == 4) & (others <= signs) & (letters > 27) & (letters < 37)
+    make = np.select([scheme | (slash > 0) & (dot > 0), (mail == 1) & (dot > 0), uuid, digits + signs == length, slash > 0, under > 0, dash > 0, (digits == 0) & (signs == 0), (digits == 0) & (upper <= 1), (digits > 0) & (signs == 0)], range(1, 11), 0)
+    change = np.searchsorted([1, 8, 16, 28, 40, 55], 100 * changes // np.maximum(length, 1), side="right")
+    alphas = lower + upper
+    sound = np.where(alphas < 4, 5, np.searchsorted([14, 24, 33, 52], 100 * vowels // np.maximum(alphas, 1), side="right"))
+
+    role = np.zeros(n, dtype=np.int64)
+    short = np.flatnonzero((length <= 3) & (lower + signs == length))
     whole = data.tobytes()
-    found = [m.start() for m in _KEYWORD.finditer(whole)]
-    if found:
-        keyword[np.searchsorted(start, found, side="right") - 1] = 1
+    role[[i for i, a, b in zip(short.tolist(), start[short].tolist(), end[short].tolist(), strict=True) if whole[a:b] in _LINKS]] = 2
+    found = np.array([m.start() for m in _KEYWORD.finditer(whole)], dtype=np.int64)
+    role[np.searchsorted(start, found, side="right") - 1] = 1
     same = row[1:] == row[:-1]
     back = lambda x, fill: np.concatenate([[fill], np.where(same, x[:-1], fill)])
-    k1 = back(keyword, 0)
-    k2 = back(k1, 0)
-    a0, a1 = (assign > 0).astype(np.int64), back((assign > 0).astype(np.int64), 0)
-    context = np.maximum(keyword, np.maximum(k1, k2)) * 4 + a0 * 2 + a1
+    r1 = back(role, 0)
+    r2 = back(r1, 0)
+    context = (assign > 0) * 27 + r1 * 9 + r2 * 3 + back(r2, 0)
     # how much a file looks like code: signs and assignments among its words
     per = np.bincount(row, minlength=len(texts))
     signed = np.bincount(row, weights=(assign > 0) | (signs > 2), minlength=len(texts)) / np.maximum(per, 1)
     file = np.searchsorted([0.005, 0.05, 0.3], signed, side="right")[row]
     nxt = np.concatenate([np.where(same, coarse[1:], 0), [0]])
-    ids = np.stack([shape, _AT[1] + back(coarse, 0), _AT[2] + nxt, _AT[3] + context, _AT[4] + file], axis=1)
-    return Words(row, start - begins[row], end - begins[row], ids)
+    kinds = [shape, back(coarse, 0), nxt, context, file, make * 4 + size, change * 4 + size, (sound * 2 + runs) * 4 + size]
+    return Words(row, start - begins[row], end - begins[row], np.stack([k + a for k, a in zip(kinds, _AT[:-1], strict=True)], axis=1))
 
 
 # ---------------------------------------------------------------- the field
@@ -173,7 +212,7 @@ class Field:
 
 
 def fit(ids: np.ndarray, tags: np.ndarray, used: np.ndarray, steps: int = STEPS) -> Field:
-    """Maximum likelihood with a small penalty. ids: (sequences, words, 5); tags, used: (sequences, words)."""
+    """Maximum likelihood with a small penalty. ids: (sequences, words, features); tags, used: (sequences, words)."""
     n, length = tags.shape
     moves = np.zeros((3, 3))
     barred = np.zeros((3, 3))
@@ -212,62 +251,123 @@ def fit(ids: np.ndarray, tags: np.ndarray, used: np.ndarray, steps: int = STEPS)
     return Field(weights, moves + barred)
 
 
-_LETTERS = {"hex": "0123456789abcdef", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+_SMALL, _CAPITAL, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+_LETTERS = {"hex": _DIGITS + "abcdef", "upper": _CAPITAL + _DIGITS, "mixed": _SMALL + _CAPITAL + _DIGITS, "base64": _SMALL + _CAPITAL + _DIGITS + "+/", "small": _SMALL, "letters": _SMALL + _CAPITAL, "signs": _SMALL + _CAPITAL + _DIGITS + "!#$%&*+-?@^_~"}
+_NAMES = ("token", "secret", "password", "passphrase", "passwd", "pwd", "pin", "api_key", "apikey", "access_key", "auth", "credential", "credentials", "private_key")
+_PREFIXES = ("sk-", "key-", "tok_", "pat_", "live_")
+#: Words that follow a secret's name and are none.
+_AFTER = "required incorrect expired protected missing invalid wrong empty optional case-sensitive forgotten stored encrypted hashed changed reset below above here needed valid unknown long short strong weak shared given sent".split()
+
+
+def _random(rng: np.random.Generator, letters: str, least: int, most: int) -> str:
+    return "".join(rng.choice(list(letters), int(rng.integers(least, most))))
+
 
+Tagged = list[tuple[str, int]]
 
-def _made_up(rng: np.random.Generator) -> list[tuple[str, int]]:
+
+def _made_up(rng: np.random.Generator) -> Tagged:
     """Words of a made-up secret with its surroundings, and the tag of each."""
-    kind = rng.choice(list(_LETTERS))
-    value = "".join(rng.choice(list(_LETTERS[kind]), int(rng.integers(20, 56))))
-    if not any(c.isdigit() for c in value):
-        value = f"{value[:9]}7{value[9:]}4"
-    quote = rng.choice(["", '"', "'"])
-    word = (f"{quote}{value}{quote}", BEGIN)
-    name = rng.choice(["token", "secret", "password", "api_key", "access_key", "auth", "credential", "private_key"])
-    form = int(rng.integers(0, 5))
+    kind = str(rng.choice(list(_LETTERS)))
+    form = int(rng.integers(0, 8))
+    # without a name beside it only a long string of many kinds is a secret
+    value = _random(rng, _LETTERS[kind if form else str(rng.choice(["mixed", "base64", "upper"]))], 8 if form else 28, 44 if form else 64)
+    if form == 0 and rng.random() < 0.3:
+        value = str(rng.choice(_PREFIXES)) + value
+    quote = str(rng.choice(["", "", '"', "'"]))
+    word, name = (f"{quote}{value}{quote}", BEGIN), str(rng.choice(_NAMES))
+    name = name.upper() if rng.random() < 0.2 else name
     if form == 0:
-        return [(name, OUT), (rng.choice(["=", ":", ":="]), OUT), word]
+        return [word]
     if form == 1:
-        return [(f"{name}:", OUT), word]
+        return [(name, OUT), (str(rng.choice(["=", ":", ":=", "->"])), OUT), word]
     if form == 2:
-        return [(f"{name}={quote}{value}{quote}", BEGIN)]
+        return [(f"{name}:", OUT), word]
     if form == 3:
-        return [(name, OUT), ("=", OUT), (f"{quote}{value[:20]}", BEGIN), (f"{value[20:] or 'x1'}{quote}", IN)]
-    return [word]
+        return [(f"{name}={quote}{value}{quote}", BEGIN)]
+    if form == 4:
+        half = max(4, len(value) // 2)
+        return [(name, OUT), ("=", OUT), (f"{quote}{value[:half]}", BEGIN), (f"{value[half:]}{quote}", IN)]
+    if form == 5:
+        return [(name, OUT), word]
+    return [(str(rng.choice(["the", "my", "your", "our", "new"])), OUT), (name.replace("_", " ").split()[0] if form == 6 else name, OUT), (str(rng.choice(["is", "is", "was", "to"])), OUT), word]
+
+
+def _harmless(rng: np.random.Generator, words: list[str]) -> Tagged:
+    """Words that look like a secret, or stand where one might, and are none. words: those of the text, for names made of them."""
+    plain = [w for w in words if w.isascii() and w.isalpha()][:400] or ["user", "value", "name", "list"]
+    some = [str(w).lower() for w in rng.choice(plain, 6)]
+    form = int(rng.integers(0, 16))
+    if form <= 2:
+        path = "/".join(_random(rng, _LETTERS[str(rng.choice(["hex", "mixed", "small"]))], 3, 40) if rng.random() < 0.6 else str(rng.choice(some)) for _ in range(int(rng.integers(1, 6))))
+        out = f"{rng.choice(['https', 'http'])}://{rng.choice(['cdn', 'www', 'static', 'img', some[0]])}.{some[1]}.{rng.choice(['com', 'org', 'net', 'io'])}/{path}{rng.choice(['', '.js', '.png', '.html', '?v=' + _random(rng, _DIGITS, 1, 12), '?id=' + _random(rng, _LETTERS['mixed'], 4, 20)])}"
+    elif form <= 4:
+        h = _random(rng, _LETTERS["hex"], 32, 33)
+        out = "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))
+        out = out.upper() if rng.random() < 0.3 else out
+    elif form <= 6:
+        out = some[0] + "".join(w.capitalize() for w in some[1 : int(rng.integers(2, 7))]) + str(rng.choice(["", "", "V2", "2", "Id", "URL", "64"]))
+    elif form == 7:
+        out = str(rng.choice(["_", "-", "."])).join(some[: int(rng.integers(2, 6))]) + str(rng.choice(["", "()", "_2", ".py", ".txt"]))
+        out = out.upper() if rng.random() < 0.3 else out
+    elif form == 8:
+        out = "/" + "/".join(some[: int(rng.integers(2, 6))]) + str(rng.choice(["", ".conf", ".tar.gz", "/1.2.3"]))
+    elif form == 9:
+        out = f"{some[0]}.{some[1]}{rng.integers(0, 99)}@{some[2]}.com"
+    elif form == 10:
+        out = str(rng.choice([f"20{rng.integers(10, 40)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}T{rng.integers(10, 24)}:{rng.integers(10, 60)}:00Z", _random(rng, _DIGITS, 5, 20), f"+{rng.integers(10, 99)}-{_random(rng, _DIGITS, 3, 4)}-{_random(rng, _DIGITS, 6, 8)}", f"v{rng.integers(0, 20)}.{rng.integers(0, 20)}.{rng.integers(0, 200)}"]))
+    elif form == 11:
+        out = "-".join((_random(rng, _CAPITAL, 2, 4), _random(rng, _DIGITS, 3, 6), _random(rng, _CAPITAL + _DIGITS, 1, 4)))
+    elif form == 12:
+        out = "".join(some[: int(rng.integers(2, 5))])  # a long word
+    else:
+        name = str(rng.choice(_NAMES)).split("_")[0]
+        after = str(rng.choice(_AFTER)) if rng.random() < 0.6 else some[0]
+        return [(str(w), OUT) for w in (("the", name, "is", after), (f"{name}:", after), (name, after), ("your", name, "to", some[1]))[form % 4 if form < 15 else int(rng.integers(0, 4))]]
+    before = [(str(rng.choice(["see", "id", "the", "from", "at", "file", "call"])), OUT)] if rng.random() < 0.5 else []
+    return [*before, (out, OUT)]
 
 
 def training(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of texts, and copies with made-up secrets; tags from the fixed patterns and the making."""
-    rng, windows = np.random.default_rng(seed), []
+    """Windows of texts, and of copies with made-up things in them; tags from the fixed patterns and the making."""
+    rng, ids, tags, used = np.random.default_rng(seed), [], [], []
+
+    def add(found: np.ndarray, own: list[int], at: int) -> None:
+        at = max(0, min(at, len(own) - WINDOW))
+        cut = own[at : at + WINDOW]
+        if cut and cut[0] == IN:
+            cut = [BEGIN, *cut[1:]]
+        ids.append(np.zeros((WINDOW, found.shape[1]), dtype=np.int64))
+        ids[-1][: len(cut)] = found[at : at + WINDOW]
+        tags.append(cut + [OUT] * (WINDOW - len(cut)))
+        used.append([True] * len(cut) + [False] * (WINDOW - len(cut)))
+
     for text in texts:
         words = [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
         if not words:
             continue
-        secret = []
+        own, starts = [OUT] * len(words), [w[1] for w in words]
         for kind, a, b in base_spans(text):
             m = ASSIGN.match(text, a) if kind == "assign" else None
-            secret.append((m.start(2), m.end(2)) if m else (a, b))
-        tags = [OUT] * len(words)
-        for a, b in secret:
+            a, b = m.span(2) if m else (a, b)
             first = True
-            for i, (_, s, t) in enumerate(words):
-                if s < b and t > a and tags[i] == OUT:
-                    tags[i], first = BEGIN if first else IN, False
-        marked = [i for i, t in enumerate(tags) if t]
-        places = {int(rng.integers(0, len(words)))} | {max(0, i - int(rng.integers(2, WINDOW - 4))) for i in marked[:3]}
-        for at in sorted(places):
-            windows.append([(w[0], t if t != IN or j else BEGIN) for j, (w, t) in enumerate(zip(words[at : at + WINDOW], tags[at : at + WINDOW], strict=True))])
-        plain = [(w[0], OUT) for w, t in zip(words[: WINDOW - 4], tags[: WINDOW - 4], strict=True) if not t]
-        at = int(rng.integers(0, len(plain) + 1))
-        windows.append(plain[:at] + _made_up(rng) + plain[at:])
-    ids = np.zeros((len(windows), WINDOW, 5), dtype=np.int64)
-    tags, used = np.zeros((len(windows), WINDOW), dtype=np.int64), np.zeros((len(windows), WINDOW), dtype=bool)
-    found = words_of([" ".join(w for w, _ in x).encode("utf-8", "replace") for x in windows])
-    for i, x in enumerate(windows):
-        own = found.ids[np.searchsorted(found.row, i) : np.searchsorted(found.row, i + 1)][:WINDOW]
-        ids[i, : len(own)], used[i, : len(own)] = own, True
-        tags[i, : len(own)] = [t for _, t in x][: len(own)]
-    return ids, tags, used
+            for i in range(max(0, bisect_right(starts, a) - 1), bisect_left(starts, b)):
+                if words[i][2] > a and own[i] == OUT:
+                    own[i], first = BEGIN if first else IN, False
+        plain = [w[0] for w in words]
+        copies: list[tuple[list[str], list[int], list[int]]] = [(plain, own, [int(rng.integers(0, len(plain))), *[i - int(rng.integers(2, WINDOW - 4)) for i, t in enumerate(own) if t == BEGIN][:8]])]
+        for make in (_made_up, _made_up, _harmless, _harmless, _harmless):
+            new, at = _harmless(rng, plain) if make is _harmless else _made_up(rng), int(rng.integers(0, len(plain) + 1))
+            if at < len(own) and own[at] == IN:
+                continue  # not into the middle of a secret
+            copies.append((plain[:at] + [w for w, _ in new] + plain[at:], own[:at] + [t for _, t in new] + own[at:], [at - int(rng.integers(0, WINDOW - 4))]))
+        for w, t, places in copies:
+            found = words_of([" ".join(w).encode("utf-8", "replace")]).ids
+            for at in sorted(set(places)):
+                add(found, t, at)
+    if not ids:
+        return np.zeros((0, WINDOW, len(_AT) - 1), dtype=np.int64), np.zeros((0, WINDOW), dtype=np.int64), np.zeros((0, WINDOW), dtype=bool)
+    return np.stack(ids), np.array(tags), np.array(used)
 
 
 _TRIM = re.compile(r"""^["'`(\[{<]*(.*?)["'`)\]}>.,;:]*$""", re.DOTALL)
@@ -327,7 +427,8 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs:
 def scan(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, base, spans) of each row: arrays of (kind, start, end) in code points.
 
-    Null and empty texts have none; repeated rows are each scanned. No shuffle; a worker holds one Arrow batch.
+    Null and empty texts have none; repeated rows are each scanned; very long texts are scanned whole; an empty table gives an
+    empty table. No shuffle; a worker holds one Arrow batch.
     """
     bounded_batches(docs.sparkSession)
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -343,15 +444,23 @@ def scan(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text")
     return narrow.mapInArrow(run, f"key {narrow.schema['key'].dataType.simpleString()}, base {kind}, spans {kind}").withColumnRenamed("key", key)
 
 
+def values_of(text: str, spans: list[Span]) -> list[tuple[int, int]]:
+    """What of each span is the secret itself, by place: of an assignment its value, without key, sign and quote."""
+    return sorted(ASSIGN.match(text, a).span(2) if kind == "assign" else (a, b) for kind, a, b in spans)
+
+
 def redact(docs: DataFrame, field: Field, text: str = "text", mask: str = "[secret]") -> DataFrame:
-    """docs with every found span of text (all columns stay) replaced by mask; spans that overlap, by one mask. Null texts stay null."""
+    """docs with every found secret in text replaced by mask (all columns stay); those that overlap, by one mask.
+
+    Of an assignment only the value goes. Null texts stay null, empty ones empty; repeated rows are each treated; an empty table stays empty.
+    """
     bounded_batches(docs.sparkSession)
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text)
 
     def masked(t: str, spans: list[Span]) -> str:
         out, end = [], 0
-        for _, a, b in spans:
+        for a, b in values_of(t, spans):
             if a >= end:
                 out += [t[end:a], mask]
             end = max(end, b)
