@@ -1,6 +1,7 @@
 """Document quality by Bradley-Terry pairwise ranking.
 
-A document's strength is a linear function of features of its text. The model says that a good document
+A document's strength is a linear function of features of its text: counts that tell its make, and the shares of its words and
+pairs of neighbouring words that fall in each of HASHED buckets, which tell what it says. The model says that a good document
 beats a bad one with probability logistic(strength difference); it is fitted by logistic loss on the
 feature differences of preference pairs, drawn from labelled rows. The cut between good and bad is a
 quantile of the strengths of the labelled rows: the share of bad ones among them. Scores are a logistic
@@ -20,11 +21,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded_batches, needs, table, word_hashes
+from quillon.llm.common import bounded_batches, mix, needs, table, word_hashes
 
 THRESHOLD = 0.7
 ROWS_PER_CLASS = 4000
 PAIRS = 40_000
+#: Buckets of words, and as many of pairs of words.
+HASHED = 512
+#: Quadratic penalty of the weights of counts, and of those of buckets.
+PENALTY, HASHED_PENALTY = 1e-3, 1e-2
 
 #: Classes of bytes: space, newline, lower, upper, digit, sentence marks, other ASCII signs, beyond ASCII.
 _CLASS = np.full(256, 7, dtype=np.uint8)
@@ -40,16 +45,32 @@ _KINDS = 8
 FEATURES = ("words", "word_length", "spaces", "lines", "lower", "upper", "digits", "marks", "signs", "beyond", "distinct", "repeats", "distinct_pairs", "long_words", "short_words")
 
 
-def features(texts: pa.Array) -> np.ndarray:
-    """One row per text, one column per name in FEATURES; null, empty and blank texts are all 0."""
+@dataclass
+class Features:
+    """Of n texts: counts (n, names in FEATURES), and for every word and pair its text, bucket and share in the text's words."""
+
+    counts: np.ndarray
+    row: np.ndarray
+    bucket: np.ndarray
+    share: np.ndarray
+
+    def buckets(self) -> np.ndarray:
+        """(n, 2 * HASHED): the sum of shares in each bucket."""
+        n = len(self.counts)
+        return np.bincount(self.row * 2 * HASHED + self.bucket, weights=self.share, minlength=n * 2 * HASHED).reshape(n, 2 * HASHED)
+
+
+def features(texts: pa.Array) -> Features:
+    """One row per text; null, empty and blank texts are all 0. Words are told apart by case."""
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     n = len(sizes)
     data = np.frombuffer(b" ".join([*texts.to_pylist(), b""]), dtype=np.uint8)
     begins = np.cumsum(sizes + 1) - sizes - 1
     out = np.zeros((n, len(FEATURES)))
+    none = np.empty(0, dtype=np.int64)
     if not len(data):
-        return out
+        return Features(out, none, none, none.astype(np.float64))
     kinds = _CLASS[data]
     counts = np.stack([np.add.reduceat((kinds == k).astype(np.int64), begins) for k in range(_KINDS)], axis=1)
     counts[:, 0] -= 1  # the blank behind each text
@@ -79,16 +100,19 @@ def features(texts: pa.Array) -> np.ndarray:
     out[:, 13] = np.sqrt(per(length > 14) / some)
     out[:, 14] = np.sqrt(per(length < 3) / some)
     out[words == 0] = 0
-    return out
+    rows = np.concatenate([row, pair_row])
+    bucket = np.concatenate([(h >> np.uint64(40)) % np.uint64(HASHED), (mix(pair) >> np.uint64(40)) % np.uint64(HASHED) + np.uint64(HASHED)]).astype(np.int64)
+    return Features(out, rows, bucket, 1 / some[rows])
 
 
 @dataclass
 class BradleyTerry:
-    """Strength = weights . z, with z the standardised features and their squares."""
+    """Strength = weights . z + hashed . shares, with z the standardised counts and their squares."""
 
     middle: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
+    hashed: np.ndarray
     cut: float = 0.0
     slope: float = 1.0
 
@@ -96,33 +120,62 @@ class BradleyTerry:
         z = np.clip((x - self.middle) / self.scale, -6, 6)
         return np.concatenate([z, z * z / 6], axis=1)
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        strength = self.expand(x) @ self.weights
+    def score(self, x: Features) -> np.ndarray:
+        told = np.bincount(x.row, weights=self.hashed[x.bucket] * x.share, minlength=len(x.counts))
+        strength = self.expand(x.counts) @ self.weights + told
         return 1 / (1 + np.exp(-np.clip(self.slope * (strength - self.cut) + np.log(THRESHOLD / (1 - THRESHOLD)), -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, n_pairs: int = PAIRS, seed: int = 7) -> BradleyTerry:
-    """From features and labels 0 or 1. With one class only, every score says that class."""
+def ranked_weights(z: np.ndarray, better: np.ndarray, worse: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+    """The weights of least mean logistic loss on z[better] - z[worse], with a quadratic penalty, by Newton steps.
+
+    Each step is solved by conjugate gradients; neither the differences nor the matrix of second derivatives are ever formed.
+    """
+    n, weights = len(better), np.zeros(z.shape[1])
+
+    def spread(x: np.ndarray) -> np.ndarray:
+        return z.T @ (np.bincount(better, weights=x, minlength=len(z)) - np.bincount(worse, weights=x, minlength=len(z))) / n
+
+    for _ in range(30):
+        strength = z @ weights
+        p = 1 / (1 + np.exp(np.clip(strength[better] - strength[worse], -30, 30)))
+        gradient = spread(p) - penalty * weights
+        step, rest = np.zeros_like(weights), gradient.copy()
+        way, size = rest.copy(), rest @ rest
+        end = max(1e-24, 1e-6 * size)
+        for _ in range(100):
+            if size <= end:
+                break
+            u = z @ way
+            bent = spread(p * (1 - p) * (u[better] - u[worse])) + penalty * way
+            a = size / (way @ bent)
+            step += a * way
+            rest -= a * bent
+            size, before = rest @ rest, size
+            way = rest + size / before * way
+        weights = weights + step
+        if np.abs(step).max() < 1e-6:
+            break
+    return weights
+
+
+def fit(x: np.ndarray, shares: np.ndarray, y: np.ndarray, n_pairs: int = PAIRS, seed: int = 7) -> BradleyTerry:
+    """From counts, shares of buckets, and labels 0 or 1. With one class only, every score says that class."""
     middle = np.median(x, axis=0) if len(x) else np.zeros(len(FEATURES))
     scale = np.maximum(np.std(x, axis=0), 1e-2) if len(x) else np.ones(len(FEATURES))
-    model = BradleyTerry(middle, scale, np.zeros(2 * len(FEATURES)))
+    model = BradleyTerry(middle, scale, np.zeros(2 * len(FEATURES)), np.zeros(2 * HASHED))
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         model.cut = -20.0 if len(good) else 20.0
         return model
-    z, rng = model.expand(x), np.random.default_rng(seed)
-    difference = z[rng.choice(good, n_pairs)] - z[rng.choice(bad, n_pairs)]
-    # Newton steps on the mean logistic loss with a small quadratic penalty
-    for _ in range(25):
-        p = 1 / (1 + np.exp(np.clip(difference @ model.weights, -30, 30)))
-        gradient = -difference.T @ p / n_pairs + 1e-3 * model.weights
-        hessian = (difference * (p * (1 - p))[:, None]).T @ difference / n_pairs + 1e-3 * np.eye(len(model.weights))
-        step = np.linalg.solve(hessian, gradient)
-        model.weights = model.weights - step
-        if np.abs(step).max() < 1e-6:
-            break
+    rng = np.random.default_rng(seed)
+    # shares are small: ten times as large, a bucket's weight is of the size of the others
+    z = np.concatenate([model.expand(x), 10 * shares], axis=1)
+    k = 2 * len(FEATURES)
+    weights = ranked_weights(z, rng.choice(good, n_pairs), rng.choice(bad, n_pairs), np.where(np.arange(z.shape[1]) < k, PENALTY, HASHED_PENALTY))
+    model.weights, model.hashed = weights[:k], 10 * weights[k:]
     # each class weighs as the sample has it; the cut is the quantile that leaves the bad share below it
-    strength = z @ model.weights
+    strength = z @ weights
     ranked = np.sort(strength)
     model.cut = float((ranked[len(bad) - 1] + ranked[min(len(bad), len(ranked) - 1)]) / 2)
     centred, grid = strength - model.cut, 2.0 ** np.arange(-4, 5)
@@ -134,9 +187,9 @@ def fit(x: np.ndarray, y: np.ndarray, n_pairs: int = PAIRS, seed: int = 7) -> Br
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = ROWS_PER_CLASS) -> BradleyTerry:
     """A model from the rows of labels where learnable (a condition on the key) holds.
 
-    The sample's keys are broadcast (2 * per_class rows in expectation); its features reach the driver.
-    Labels other than 0 and 1 and labels without a document don't count. Each class is thinned alike, so that
-    their shares stay as they are.
+    The sample's keys are broadcast (2 * per_class rows in expectation); its features reach the driver, about 4 KB a row whatever the
+    length of its text. Labels other than 0 and 1, null keys and labels without a document don't count; repeated rows count each. Each
+    class is thinned alike, so that their shares stay as they are. Empty tables give a model that knows nothing.
     """
     bounded_batches(docs.sparkSession)
     known = needs(labels, key, label).where(learnable & F.col(f"`{key}`").isNotNull() & F.col(f"`{label}`").isin(0, 1)).select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label"))
@@ -147,18 +200,24 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, key: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["label", "x"])
-
-    got = chosen.mapInArrow(run, "label int, x array<double>").toArrow()
-    x = np.array(got["x"].to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
+            for at in range(0, len(batch), 256):
+                x = features(batch.column(1).slice(at, 256))
+                raw = [[r.tobytes() for r in part] for part in (x.counts, x.buckets().astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), *(pa.array(r, pa.binary()) for r in raw)], names=["label", "x", "shares"])
+
+    got = chosen.mapInArrow(run, "label int, x binary, shares binary").toArrow()
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), dtype=np.float64).reshape(-1, len(FEATURES))
+    shares = np.frombuffer(b"".join(got["shares"].to_pylist()), dtype=np.float32).reshape(-1, 2 * HASHED)
     y = got["label"].to_numpy()
-    order = np.lexsort((*x.T, y)) if len(y) else np.empty(0, dtype=np.int64)  # the same model whatever the order of rows
-    return fit(x[order], y[order])
+    order = np.lexsort((shares.max(axis=1), *x.T, y)) if len(y) else np.empty(0, dtype=np.int64)  # the same model whatever the order of rows
+    return fit(x[order], shares[order].astype(np.float64), y[order])
 
 
 def score(docs: DataFrame, model: BradleyTerry, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score, predicted) of each row. No shuffle. Null and empty texts are scored as texts without words."""
+    """(key, score, predicted) of each row. No shuffle.
+
+    Null and empty texts are scored as texts without words, very long ones whole, repeated rows each; an empty table gives an empty table.
+    """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
