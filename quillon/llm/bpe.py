@@ -127,14 +127,15 @@ class ForcedBoundaryBPE:
 
     def _word(self, word: str) -> bytes:
         """One pre-token, cut at the byte pairs that no token holds."""
-        b, start, out, forced = word.encode(), 0, b"", self.forced
-        if b.isascii() and word[-1].isalpha():
-            return self._fragment(b)  # plain words are short: no merge crosses a forced pair, so looking for them gains nothing
-        for i in range(1, len(b)):
-            if forced[b[i - 1] << 8 | b[i]]:
-                out += self._fragment(b[start:i])
-                start = i
-        return out + self._fragment(b[start:])
+        b, forced = word.encode(), self.forced
+        if len(b) > CACHED_CHARS:
+            v = np.frombuffer(b, dtype=np.uint8)
+            cuts = (np.flatnonzero(np.frombuffer(forced, dtype=bool)[v[:-1].astype(np.int64) << 8 | v[1:]]) + 1).tolist()
+        else:
+            cuts = [i for i, (x, y) in enumerate(zip(b, b[1:], strict=False), 1) if forced[x << 8 | y]]
+        if not cuts:
+            return self._fragment(b)
+        return b"".join(self._fragment(b[i:j]) for i, j in zip([0, *cuts], [*cuts, len(b)], strict=True))
 
     def _unit(self, unit: str) -> bytes:
         """A text whose surroundings don't matter: pre-tokens, forced cuts, merges."""
