@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -30,6 +31,8 @@ SEQ_LEN = 2048
 BATCH_ROWS = 64
 #: Documents a shard should hold; the number of shards grows with the table, up to what a manifest should list.
 SHARD_DOCS, MOST_SHARDS = 4096, 20_000
+#: doc_ids sampled for each shard, in expectation, to find the shards' borders.
+SAMPLED = 64
 
 MANIFEST = "shard int, path string, docs long, ids long"
 
@@ -126,32 +129,74 @@ class Shard:
             start, n = start + len(part), n - len(part)
 
 
+@dataclass
+class Ranges:
+    """Ranges of doc_id, and the shards of each: number of the first, and how many. Null counts as the least doc_id."""
+
+    ends: np.ndarray
+    first: np.ndarray
+    shards: np.ndarray
+
+    def shard(self, keys: pa.Array, rows: np.ndarray) -> np.ndarray:
+        """The shard of each row by doc_id; the rows of a doc_id that fills several by their numbers."""
+        r = np.searchsorted(self.ends, pc.fill_null(keys, _NULL).to_numpy(zero_copy_only=False), side="left")
+        return (self.first[r] + rows % self.shards[r]).astype(np.int32)
+
+
+_NULL = -(2**63)
+
+
+def ranges_of(ids: DataFrame, shard_docs: int) -> Ranges:
+    """Ranges of about shard_docs rows, by quantiles of a sample of SAMPLED ids a shard.
+
+    A doc_id that stands at two quantiles or more is a range of its own, which is cut into as many shards as its rows fill.
+    The sample, and then one count per range, reach the driver; no task merges anything.
+    """
+    n = ids.count()
+    shards = max(1, min(-(-n // shard_docs), MOST_SHARDS))
+    ends = np.empty(0, dtype=np.int64)
+    if shards > 1:
+        share = min(1.0, SAMPLED * shards / n)
+        sample = np.sort(pc.fill_null((ids if share == 1 else ids.sample(share, seed=3)).toArrow()["doc_id"], _NULL).to_numpy())
+        steps = sample[np.arange(1, shards) * len(sample) // shards] if len(sample) else ends
+        values, times = np.unique(steps, return_counts=True)
+        ends = np.unique(np.concatenate([values, np.maximum(values[times > 1], _NULL + 1) - 1]))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(ends) + 1, dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(np.searchsorted(ends, pc.fill_null(batch.column(0), _NULL).to_numpy(zero_copy_only=False), side="left"), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], names=["range", "n"])
+
+    counts = np.zeros(len(ends) + 1, dtype=np.int64)
+    for r in ids.mapInArrow(count, "range long, n long").groupBy("range").agg(F.sum("n").alias("n")).collect():
+        counts[r["range"]] = r["n"]
+    single = np.concatenate([ends[:1] == _NULL, np.diff(ends) == 1, [False]])[-len(counts) :]
+    pieces = np.where(single, np.maximum(1, -(-counts // max(shard_docs, -(-n // MOST_SHARDS)))), 1)
+    return Ranges(ends, np.cumsum(pieces) - pieces, pieces)
+
+
 def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int | None = 0, key: str = "doc_id", text: str = "text", seq_len: int = SEQ_LEN, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Encode every text, append end_id, write shards into folder; returns the manifest, one row per shard.
 
     Texts are encoded where they are read; then only ids move, two bytes each for small vocabularies.
-    Shards are ranges of doc_id with about as many documents each: their borders are quantiles of the
-    doc_id column alone, so no range holds more than about shard_docs documents unless one doc_id
-    repeats more often. A task sorts one shard's documents (with spill) and streams them to its file.
-    Null and empty texts hold end_id only; null doc_ids come first; repeated rows are all written, rows of
-    equal doc_id in the order of their ids. An empty table gives an empty manifest.
+    Shards are ranges of doc_id with about as many documents each. A task sorts one shard's documents (with spill) and streams
+    them to its file. Null and empty texts hold end_id only, very long ones all their ids; null doc_ids come first; repeated rows
+    are all written, rows of equal doc_id within a shard in the order of their ids. A doc_id, or null, whose rows fill several
+    shards is dealt out to them by the rows' place in the table. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    narrow = needs(docs, key, text).select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    n = narrow.select("doc_id").count()
-    shards = max(1, min(-(-n // shard_docs), MOST_SHARDS))
-    at = [i / shards for i in range(1, shards)]
-    borders = sorted(set((narrow.select(F.percentile_approx("doc_id", at, 20 * shards)).first()[0] if at else None) or []))
-    ends = np.array(borders, dtype=np.int64)
-    shards = len(borders) + 1
+    narrow = needs(docs, key, text).select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.monotonically_increasing_id().alias("place"))
+    ranges = ranges_of(narrow.select("doc_id"), shard_docs)
+    shards = int(ranges.shards.sum())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(vocabulary)
         end = b"" if end_id is None else np.array([end_id], dtype=bpe.dtype).tobytes()
         for batch in batches:
-            keys = pc.fill_null(batch.column(0), -(2**63)).to_numpy(zero_copy_only=False)
-            shard = np.searchsorted(ends, keys, side="left").astype(np.int32)
+            shard = ranges.shard(batch.column(0), batch.column(2).to_numpy())
             ids = [bpe.encode_bytes(x.as_py()) + end for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0), pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
 
