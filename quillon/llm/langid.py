@@ -1,8 +1,10 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Each language has a character model of order ORDER over words (runs of letters, lower-cased, with marks
-for start and end). Its n-grams are kept in hash arrays sorted for binary search, shared by all languages:
-per n-gram the discounted probability in each language, per context the weight of the shorter context. A
+for start and end). N-grams are kept in hash arrays sorted for binary search, shared by all languages: per n-gram the
+discounted probability in those languages that have it, per context the weight of the shorter context; what a
+language doesn't have takes no room. Below the models of single characters lies a uniform one over GROUND times as many
+characters as all samples have, so that characters never seen have a probability too, the same in every language. A
 text's language is the one with the lowest cross-entropy per character. A text is rejected if even that
 entropy is far above what texts of that language have, or if the calibrated probability is low.
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +42,12 @@ PIECE = 100
 FAR_OUT, FAR_SHARE = 8.0, 1.0
 #: ... or with a lower calibrated probability.
 LEAST_SCORE = 0.5
-#: Words a worker remembers.
-CACHE = 300_000
+#: The uniform lowest order has this many times the seen characters.
+GROUND = 10
+#: Words a worker remembers, with one language; with more, as many fewer, but LEAST_CACHE.
+CACHE, LEAST_CACHE = 1_200_000, 20_000
+#: Cells of the table of positions and languages that are computed at once.
+CELLS = 4_000_000
 
 _U = np.uint64
 _STEP = _U(0x9FB21C651E98DF25)
@@ -75,49 +82,87 @@ def _grams(chars: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+@dataclass
+class Sparse:
+    """Values by sorted hash and language: those of keys[i] are at start[i]..start[i + 1] of languages and values."""
+
+    keys: np.ndarray
+    start: np.ndarray
+    languages: np.ndarray
+    values: np.ndarray
+
+    @staticmethod
+    def of(parts: list[tuple[np.ndarray, np.ndarray]]) -> Sparse:
+        """From each language's hashes and values."""
+        h = np.concatenate([k for k, _ in parts]) if parts else np.empty(0, dtype=np.uint64)
+        lang = np.repeat(np.arange(len(parts), dtype=np.int32), [len(k) for k, _ in parts])
+        order = np.lexsort((lang, h))
+        h = h[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, dtype=np.int64)
+        values = np.concatenate([v for _, v in parts]).astype(np.float32) if parts else np.empty(0, dtype=np.float32)
+        return Sparse(h[first], np.append(first, len(h)), lang[order], values[order])
+
+    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in h, language, value) of all that is known of the hashes h; a place and a language come once."""
+        if not len(self.keys):
+            return np.empty(0, dtype=np.int64), self.languages, self.values
+        at = np.searchsorted(self.keys, h)
+        at[at == len(self.keys)] = 0
+        place = np.flatnonzero(self.keys[at] == h)
+        begin = self.start[at[place]]
+        n = self.start[at[place] + 1] - begin
+        entry = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(place, n), self.languages[entry], self.values[entry]
+
+
 @dataclass
 class KneserNey:
-    """All languages' models: for each length k, sorted hashes and a row of values per language."""
+    """All languages' models: for each length k, discounted probabilities of n-grams and weights of contexts."""
 
     languages: list[str]
-    keys: list[np.ndarray]
-    found: list[np.ndarray]
-    contexts: list[np.ndarray]
-    weights: list[np.ndarray]
-    ground: np.ndarray
+    found: list[Sparse]
+    weights: list[Sparse]
+    ground: float
     sharpness: float = 1.0
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
 
-    @staticmethod
-    def _look(keys: np.ndarray, values: np.ndarray, h: np.ndarray, default: float) -> np.ndarray:
-        if not len(keys):
-            return np.full((len(h), values.shape[1]), default, dtype=np.float32)
-        at = np.searchsorted(keys, h)
-        at[at == len(keys)] = 0
-        out = values[at]
-        out[keys[at] != h] = default
-        return out
-
     def score(self, words: list[str]) -> np.ndarray:
         """Row per word: its length with the end mark, then minus its log-probability in each language."""
-        out = np.zeros((len(words), 1 + len(self.languages)))
-        step = 20_000
-        for a in range(0, len(words), step):
-            chars, place, lengths = _positions(words[a : a + step])
+        n = len(self.languages)
+        out = np.zeros((len(words), 1 + n))
+        for a, b in self._pieces(words):
+            chars, place, lengths = _positions(words[a:b])
             grams = _grams(chars)
             own = np.flatnonzero(place > 0)
-            p = np.broadcast_to(self.ground, (len(own), len(self.languages))).astype(np.float32)
+            p = np.full((len(own), n), self.ground, dtype=np.float32)
+            flat = p.ravel()
             for k in range(1, ORDER + 1):
-                in_word = place[own] >= k - 1
-                at = own[in_word]
-                weight = self._look(self.contexts[k], self.weights[k], grams[k - 1][at - 1] if k > 1 else np.zeros(len(at), dtype=np.uint64), 1.0)
-                p[in_word] = weight * p[in_word] + self._look(self.keys[k], self.found[k], grams[k][at], 0.0)
+                rows = np.flatnonzero(place[own] >= k - 1)
+                at = own[rows]
+                if k == 1:
+                    p *= self.weights[1].values  # the empty context, which every language has
+                else:
+                    r, lang, value = self.weights[k].look(grams[k - 1][at - 1])
+                    flat[rows[r] * n + lang] *= value
+                r, lang, value = self.found[k].look(grams[k][at])
+                flat[rows[r] * n + lang] += value
             begins = np.cumsum(lengths) - lengths
-            out[a : a + step, 0] = lengths
-            out[a : a + step, 1:] = np.add.reduceat(-np.log(p, dtype=np.float64), begins, axis=0)
+            out[a:b, 0] = lengths
+            out[a:b, 1:] = np.add.reduceat(-np.log(p, dtype=np.float64), begins, axis=0)
         return out
 
+    def _pieces(self, words: list[str]) -> Iterator[tuple[int, int]]:
+        """Runs of words that have about CELLS positions and languages together."""
+        a, cells = 0, 0
+        for i, w in enumerate(words):
+            cells += (len(w) + 1) * len(self.languages)
+            if cells >= CELLS:
+                yield a, i + 1
+                a, cells = i + 1, 0
+        if a < len(words):
+            yield a, len(words)
+
     def decide(self, n_chars: float, n_words: int, sums: np.ndarray) -> tuple[int, float, bool]:
         """Language, calibrated probability, rejected."""
         entropy = sums / n_chars
@@ -163,17 +208,11 @@ def fit(samples: dict[str, tuple[list[str], np.ndarray]]) -> KneserNey:
     """Models from each language's words and their counts."""
     languages = sorted(samples)
     parts = [_one_language(*samples[x]) for x in languages]
-    keys, found, contexts, weights = [[None] for _ in range(4)]
-    for k in range(ORDER):
-        for names, values, i, default in ((keys, found, 0, 0.0), (contexts, weights, 2, 1.0)):
-            name = np.unique(np.concatenate([p[k][i] for p in parts]))
-            value = np.full((len(name), len(parts)), default, dtype=np.float32)
-            for j, p in enumerate(parts):
-                value[np.searchsorted(name, p[k][i]), j] = p[k][i + 1]
-            names.append(name)
-            values.append(value)
+    none = Sparse.of([])
+    found = [none, *(Sparse.of([p[k][:2] for p in parts]) for k in range(ORDER))]
+    weights = [none, *(Sparse.of([p[k][2:] for p in parts]) for k in range(ORDER))]
     kinds = max(2, len({c for x in languages for w in samples[x][0] for c in w}) + 1)
-    return KneserNey(languages, keys, found, contexts, weights, np.full(len(languages), 1 / (10 * kinds)))
+    return KneserNey(languages, found, weights, 1 / (GROUND * kinds))
 
 
 def calibrate(model: KneserNey, texts: list[tuple[str, str]]) -> None:
@@ -239,20 +278,64 @@ def learn(docs: DataFrame, learnable: Column, key: str = "doc_id", text: str = "
     return model
 
 
-class _Words(dict):
-    """Words to row numbers of their scores."""
+class _Numbers(dict):
+    """Words to row numbers, in the order in which they are first asked for."""
 
     def __missing__(self, word: str) -> int:
         i = self[word] = len(self)
         return i
 
 
+class Scorer:
+    """Sums of scores of texts' words; remembers a bounded number of words.
+
+    Words are scored when many new ones have come together, not text by text.
+    """
+
+    def __init__(self, model: KneserNey):
+        self.model = model
+        self.remembered = max(LEAST_CACHE, CACHE // len(model.languages))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.scored, self.chars = _Numbers(), 0, 0
+        self.table = np.zeros((0, 1 + len(self.model.languages)))
+
+    def sums(self, texts: list[list[str]]) -> np.ndarray:
+        """Row per text: characters with end marks, then minus the log-probability in each language, of all its words."""
+        out, waiting = np.zeros((len(texts), 1 + len(self.model.languages))), []
+        for i, words in enumerate(texts):
+            for a in range(0, len(words), LEAST_CACHE):
+                part = words[a : a + LEAST_CACHE]
+                waiting.append((i, np.fromiter(map(self.known.__getitem__, part), dtype=np.int64, count=len(part))))
+                if len(self.known) > self.remembered:
+                    self._add(out, waiting)
+        self._add(out, waiting)
+        return out
+
+    def _add(self, out: np.ndarray, waiting: list[tuple[int, np.ndarray]]) -> None:
+        if len(self.known) > self.scored:
+            new = list(islice(reversed(self.known), len(self.known) - self.scored))[::-1]
+            self.chars += sum(map(len, new))
+            if len(self.table) < len(self.known):
+                self.table = np.concatenate([self.table[: self.scored], np.zeros((len(new) + len(self.known) // 2, self.table.shape[1]))])
+            self.table[self.scored : len(self.known)] = self.model.score(new)
+            self.scored = len(self.known)
+        step = max(1, CELLS // self.table.shape[1])
+        for i, rows in waiting:
+            for a in range(0, len(rows), step):
+                out[i] += self.table[rows[a : a + step]].sum(axis=0)
+        waiting.clear()
+        if len(self.known) > self.remembered or self.chars > 32 * self.remembered:  # strings of letters without end aren't remembered either
+            self._forget()
+
+
 def identify(docs: DataFrame, model: KneserNey | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, lang_pred, score, rejected) of each row, with the columns in keep.
 
     Texts that are null or have no letter, and all texts if there is no model, are `und` with score 0 and
-    rejected. Repeated rows are each judged; equal entropies go to the first language by name. No shuffle;
-    a worker holds one Arrow batch, the models and a bounded number of words.
+    rejected. Repeated rows are each judged, very long texts whole; equal entropies go to the first language by name; an empty
+    table gives an empty table. No shuffle; a worker holds one Arrow batch, the models and a bounded number of words.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -260,43 +343,20 @@ def identify(docs: DataFrame, model: KneserNey | None, key: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        known, table = _Words(), np.zeros((0, 1 + len(model.languages))) if model else None
+        scorer = Scorer(model) if model else None
         for batch in batches:
-            langs, scores, rejected = [], [], []
-            for text in batch.column(batch.num_columns - 1):
-                text = text.as_py() or ""
-                words = words_of(text)
-                if model is None or not words or not has_letter(text, words):
-                    langs.append("und")
-                    scores.append(0.0)
-                    rejected.append(True)
-                    continue
-                if len(known) > CACHE:
-                    known, table = _Words(), table[:0]
-                before = len(known)
-                rows = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-                if len(known) > before:
-                    new = list(known)[before:] if before == 0 else _last(known, len(known) - before)
-                    pending = model.score(new)
-                    if len(table) < len(known):
-                        table = np.concatenate([table[:before], pending, np.zeros((max(1000, len(known) // 2), table.shape[1]))])
-                    else:
-                        table[before : len(known)] = pending
-                total = table[rows].sum(axis=0)
-                best, score, out = model.decide(total[0], len(words), total[1:])
-                langs.append(model.languages[best])
-                scores.append(score)
-                rejected.append(out)
-                if sum(map(len, words[:50])) > 5000:  # strings of letters without end aren't remembered
-                    known, table = _Words(), table[:0]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs), pa.array(scores, pa.float64()), pa.array(rejected)], names=[*names, "lang_pred", "score", "rejected"])
-
-    def _last(d: dict, n: int) -> list[str]:
-        from itertools import islice
-
-        out = list(islice(reversed(d), n))
-        out.reverse()
-        return out
+            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            words = [words_of(t) for t in texts]
+            known = [model is not None and bool(w) and has_letter(t, w) for t, w in zip(texts, words, strict=True)]
+            got = iter(scorer.sums([w for w, k in zip(words, known, strict=True) if k])) if scorer else None
+            rows = [("und", 0.0, True)] * len(texts)
+            for i, w in enumerate(words):
+                if known[i]:
+                    total = next(got)
+                    best, score, out = model.decide(total[0], len(w), total[1:])
+                    rows[i] = (model.languages[best], score, out)
+            langs, scores, rejected = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*names, "lang_pred", "score", "rejected"])
 
     kept = needs(docs, key, *keep)
     names = [f"c{i}" for i in range(len(kept.columns))]
