@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.common import bounded_batches, needs, table
 
-#: Entries of each of the two caches of a Python worker; a full cache is emptied.
+#: Entries of each of the four caches of a Python worker; a full cache is emptied.
 CACHE = 500_000
 #: Longer fragments aren't cached.
 CACHED_CHARS = 40
@@ -51,13 +51,13 @@ class _Irregular(Exception):
 
 
 class _Cache(dict):
-    """Pieces to the bytes of their ids."""
+    """Pieces (texts or bytes) to the bytes of their ids."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, piece: str | bytes) -> bytes:
         ids = self.make(piece)
         if len(piece) <= CACHED_CHARS:
             if len(self) >= CACHE:
@@ -96,6 +96,7 @@ class ForcedBoundaryBPE:
                 inside[x, y] = True
         #: forced[256 * a + b]: between bytes a and b there is a cut in every encoding.
         self.forced = bytes((~inside).ravel().tobytes())
+        self.forced_pairs = frozenset(zip(*(x.tolist() for x in np.nonzero(~inside)), strict=True))
         blank = {0x20, *range(0x09, 0x0E)}
         if any(inside[b, 0x20] for b in range(256) if b not in blank and b not in (0x85, 0xA0) and not 0x80 <= b <= 0xBF):
             raise ValueError("this vocabulary has tokens that bridge words")
@@ -109,40 +110,30 @@ class ForcedBoundaryBPE:
         self._units = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
         self._specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._white = frozenset(re.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001)))))
-        self._fragments: dict[bytes, bytes] = {}
+        self._fragments, self._words = _Cache(self._merged), _Cache(self._word)
         self._after_space, self._units_seen = _Cache(self._spaced), _Cache(self._unit)
 
     # -- encoding
 
-    def _fragment(self, piece: bytes) -> bytes:
+    def _merged(self, fragment: bytes) -> bytes:
         """Merges of one fragment: always the pair of the lowest rank, of equal ones the leftmost."""
-        ids = self._fragments.get(piece)
-        if ids is None:
-            ids = array(self._code, self._merge(piece)).tobytes()
-            if len(piece) <= CACHED_CHARS:
-                if len(self._fragments) >= CACHE // 2:
-                    self._fragments.clear()
-                self._fragments[piece] = ids
-        return ids
+        return array(self._code, self._merge(fragment)).tobytes()
 
     def _word(self, word: str) -> bytes:
         """One pre-token, cut at the byte pairs that no token holds."""
-        b, forced = word.encode(), self.forced
-        if len(b) > CACHED_CHARS:
-            v = np.frombuffer(b, dtype=np.uint8)
-            cuts = (np.flatnonzero(np.frombuffer(forced, dtype=bool)[v[:-1].astype(np.int64) << 8 | v[1:]]) + 1).tolist()
-        else:
-            cuts = [i for i, (x, y) in enumerate(zip(b, b[1:], strict=False), 1) if forced[x << 8 | y]]
-        if not cuts:
-            return self._fragment(b)
-        return b"".join(self._fragment(b[i:j]) for i, j in zip([0, *cuts], [*cuts, len(b)], strict=True))
+        b = word.encode()
+        if self.forced_pairs.isdisjoint(zip(b, b[1:], strict=False)):
+            return self._merged(b)
+        v = np.frombuffer(b, dtype=np.uint8)
+        cuts = (np.flatnonzero(np.frombuffer(self.forced, dtype=bool)[v[:-1].astype(np.int64) << 8 | v[1:]]) + 1).tolist()
+        return b"".join(self._fragments[b[i:j]] for i, j in zip([0, *cuts], [*cuts, len(b)], strict=True))
 
     def _unit(self, unit: str) -> bytes:
         """A text whose surroundings don't matter: pre-tokens, forced cuts, merges."""
         m = self._simple.fullmatch(unit)
         if m and m[2].isalpha():
-            return self._word(m[1] + m[2]) + (self._fragment(m[3].encode()) if m[3] else b"")
-        return b"".join(map(self._word, self._pretokens.findall(unit)))
+            return self._words[m[1] + m[2]] + self._words[m[3]] if m[3] else self._words[unit]
+        return b"".join(map(self._words.__getitem__, self._pretokens.findall(unit)))
 
     def _spaced(self, piece: str) -> bytes:
         if not piece or piece[0] in self._white or piece[-1] in self._white:

@@ -4,6 +4,8 @@ import hashlib
 import html
 import random
 import re
+import string
+import uuid
 import zlib
 
 import numpy as np
@@ -208,6 +210,60 @@ def test_field_finds_other_forms(field):
     assert spans == []
 
 
+def _strings(rng, letters, n):
+    return "".join(rng.choices(letters, k=n))
+
+
+HARMLESS = {
+    "address": lambda r: f"https://cdn.{_strings(r, string.ascii_lowercase, 6)}.net/{_strings(r, string.ascii_letters + string.digits, 24)}/{_strings(r, string.ascii_letters, 10)}.js",
+    "uuid": lambda r: str(uuid.UUID(int=r.getrandbits(128))),
+    "name in humps": lambda r: "get" + "".join(r.choice(["User", "Account", "Preferences", "By", "Identifier", "Session", "Order"]) for _ in range(5)) + "V2",
+    "name in parts": lambda r: "_".join(r.choice(["max", "retry", "count", "user", "timeout", "value"]) for _ in range(4)),
+    "path": lambda r: f"/usr/local/{_strings(r, string.ascii_lowercase, 6)}/lib/{_strings(r, string.ascii_lowercase, 8)}.so.1",
+    "number": lambda r: _strings(r, string.digits, 14),
+    "statement": lambda r: "the password is " + r.choice(["required", "incorrect", "mandatory", "visible", "obsolete", "displayed"]),
+}
+SECRET = {
+    "12 small letters": lambda r: ("the password is ", _strings(r, string.ascii_lowercase, 12)),
+    "12 letters": lambda r: ("the password is ", _strings(r, string.ascii_letters, 12)),
+    "10 signs": lambda r: ("the password is ", _strings(r, string.ascii_letters + string.digits + "!#$%&*?@", 10)),
+    "credential": lambda r: ("my credential is ", "'" + _strings(r, string.ascii_letters + string.digits, 27) + "'"),
+    "auth": lambda r: ("auth ", _strings(r, string.ascii_uppercase + string.digits, 22)),
+    "alone": lambda r: ("", _strings(r, string.ascii_letters + string.digits, 40)),
+}
+
+
+def _found(rng, texts, field, before, thing):
+    """Whether spans touch a thing that stands anywhere in a text."""
+    words = rng.choice(texts).split()
+    at = rng.randrange(len(words) + 1)
+    begin = len(" ".join(words[:at])) + 1 + len(before)
+    text = " ".join(words[:at]) + f" {before}{thing} " + " ".join(words[at:])
+    return any(a < begin + len(thing) and b > begin for _, a, b in secrets.spans_of([text], field)[0][1])
+
+
+@pytest.fixture(scope="module")
+def unseen():
+    """Texts that the field wasn't fitted on."""
+    return [t for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()[-600:] if t and not secrets.base_spans(t)]
+
+
+@pytest.mark.parametrize("kind", HARMLESS)
+def test_field_leaves_harmless_things(field, unseen, kind):
+    rng = random.Random(21)
+    assert sum(_found(rng, unseen, field, "", HARMLESS[kind](rng)) for _ in range(300)) <= 6
+
+
+@pytest.mark.parametrize("kind", SECRET)
+def test_field_finds_secrets(field, unseen, kind):
+    rng = random.Random(22)
+    assert sum(_found(rng, unseen, field, *SECRET[kind](rng)) for _ in range(300)) >= 270
+
+
+def test_field_leaves_clean_documents(field, unseen):
+    assert sum(bool(s) for s in secrets.field_spans(unseen, field)) <= 0.01 * len(unseen)
+
+
 def test_viterbi_is_exact(field):
     rng, m = np.random.default_rng(0), field.moves
     for _ in range(50):
@@ -228,7 +284,11 @@ def test_viterbi_is_exact(field):
 def test_secret_edges(edge, field):
     assert secrets.scan(edge, field).count() == len(EDGE)
     hidden = secrets.redact(edge.limit(1).withColumn("text", F.lit("a token = 'abcdefgh' b")), field).first()
-    assert hidden["text"] == "a [secret]' b" and hidden["key"] == "x"
+    assert hidden["text"] == "a token = '[secret]' b" and hidden["key"] == "x"
+    for text, clean in (("password=hunter22, api_key: \"0123456789abcdef0123456789\";", 'password=[secret], api_key: "[secret]";'), (f"id AKIA{'B' * 16} x", "id [secret] x"), ("", ""), (None, None)):
+        assert secrets.redact(edge.limit(1).withColumn("text", F.lit(text).cast("string")), field).first()["text"] == clean
+    assert secrets.scan(edge.where("false"), field).count() == 0 and secrets.redact(edge.where("false"), field).count() == 0
+    assert secrets.learn(edge.where("false")).viterbi(np.zeros((2, 3))) is not None
 
 
 def lcs(a, b):
