@@ -39,8 +39,8 @@ def evaluate(r: Column, state: State) -> Column:
 
 
 def none_fails(conditions: Column, state: State) -> Column:
-    """Whether no condition is surely false; unknown ones don't reject."""
-    return ~F.exists(conditions, lambda r: F.coalesce(~evaluate(r, state), F.lit(False)))
+    """Whether no condition is surely false; unknown ones don't reject, nor does a missing list."""
+    return F.coalesce(~F.exists(conditions, lambda r: F.coalesce(~evaluate(r, state), F.lit(False))), F.lit(True))
 
 
 def known_value(status: Column, value: Column, plain: Column | None = None) -> Column:
@@ -49,6 +49,18 @@ def known_value(status: Column, value: Column, plain: Column | None = None) -> C
     return inner if plain is None else F.when(status.isNull(), plain).otherwise(inner)
 
 
-def knowledge_state(status: Column, value: Column) -> Column:
-    """One of missing, unknown, confirmed_null, confirmed_value."""
-    return F.when(status.isNull(), "missing").when(status == "unknown", "unknown").when(value.isNull(), "confirmed_null").otherwise("confirmed_value")
+#: The five buckets that a field's knowledge falls in.
+BUCKETS = {"value": ("confirmed_value", "confirmed_null", "unknown", "legacy_value", "legacy_null"), "flag": ("confirmed_true", "confirmed_false", "unknown", "legacy_true", "legacy_false")}
+
+
+def knowledge_state(status: Column, value: Column, plain: Column | None = None, present: Column | None = None, flag: bool = False) -> Column:
+    """One of BUCKETS: confirmed by status; unknown by status, or because the field isn't there; else a plain (legacy) value or null.
+
+    value: what a confirmed one says; plain: a bare value; present: whether a bare field is there at all, by default if it isn't null.
+    flag: the value is a truth value, and null counts as false.
+    """
+    plain = F.lit(None) if plain is None else plain
+    there = plain.isNotNull() if present is None else present
+    names = BUCKETS["flag" if flag else "value"]
+    holds = (lambda v: F.coalesce(v.cast("boolean"), F.lit(False))) if flag else (lambda v: v.isNotNull())
+    return F.when(status == "confirmed", F.when(holds(value), names[0]).otherwise(names[1])).when((status == "unknown") | ~F.coalesce(there, F.lit(False)), names[2]).when(holds(plain), names[3]).otherwise(names[4])

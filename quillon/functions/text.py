@@ -8,27 +8,49 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
-@pandas_udf(StringType())
-def nfkc(x: pd.Series) -> pd.Series:
-    """Unicode NFKC; Spark has no expression for it. Texts of ASCII only don't need it."""
-    return x.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
+def _form(kind: str):
+    """A column function for a Unicode normal form; Spark has no expression for it. Texts of ASCII only don't leave the JVM."""
 
+    def of(s: str | None) -> str | None:
+        return None if s is None else unicodedata.normalize(kind, s)
 
-@pandas_udf(StringType())
-def nfkd(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKD", s))
+    @pandas_udf(StringType())
+    def one(x: pd.Series) -> pd.Series:
+        return x.map(of)
 
+    def column(x: Column) -> Column:
+        return F.coalesce(one(F.when(x.rlike(r"[^\x00-\x7F]"), x)), x)
 
-def normalize(x: Column, compatible: bool = True) -> Column:
-    """Search form: small letters, runs of punctuation and symbols as one space, white space folded and trimmed.
+    return column
 
-    compatible says that x is in NFKC already, which keeps the expression inside the JVM. Null stays null.
+
+nfkc, nfkd = _form("NFKC"), _form("NFKD")
+
+
+@pandas_udf(ArrayType(StringType()))
+def _nfkc_each(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: None if v is None else [None if s is None else unicodedata.normalize("NFKC", s) for s in v])
+
+
+def nfkc_each(x: Column) -> Column:
+    """NFKC of each element of an array of strings."""
+    return F.coalesce(_nfkc_each(F.when(F.exists(x, lambda s: s.rlike(r"[^\x00-\x7F]")), x)), x)
+
+
+#: White space as the search form knows it; a next-line mark is none.
+WHITE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
+
+
+def normalize(x: Column, compatible: bool = False) -> Column:
+    """Search form: NFKC, small letters, runs of punctuation and symbols as one space, white space folded and trimmed.
+
+    compatible says that x is in NFKC already, as it must be within a lambda, where no Python runs. Null stays null.
     """
     x = x if compatible else nfkc(x)
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[\p{P}\p{S}]+", " "), r"(?U)[\s\uFEFF]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[\p{P}\p{S}]+", " "), WHITE, " "))
 
 
 def tokens(x: Column, distinct: bool = True) -> Column:
@@ -37,23 +59,28 @@ def tokens(x: Column, distinct: bool = True) -> Column:
     return F.array_distinct(words) if distinct else words
 
 
-def name_key(x: Column, compatible: bool = True) -> Column:
+def name_key(x: Column, compatible: bool = False) -> Column:
     """Identity form of a name: small ASCII letters, digits and CJK ideographs only."""
     return F.regexp_replace(F.lower(x if compatible else nfkc(x)), r"[^a-z0-9㐀-鿿]", "")
 
 
-def catalogue_key(x: Column, compatible: bool = True) -> Column:
-    """Alignment form of a name: decomposed, without apostrophes; letters and digits of any script stay."""
+def catalogue_key(x: Column, compatible: bool = False) -> Column:
+    """Alignment form of a name: decomposed, so without accents, and without apostrophes; letters and digits of any script stay."""
     return F.regexp_replace(F.regexp_replace(F.lower(x if compatible else nfkd(x)), "[’']", ""), r"[^\p{L}\p{N}]", "")
 
 
+def review_key(x: Column) -> Column:
+    """Form of a review item's keys: composed, so accents stay; letters and digits of any script."""
+    return F.regexp_replace(F.lower(nfkc(x)), r"[^\p{L}\p{N}]", "")
+
+
 def canonical_text(x: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(x)), r"[\p{P}\p{S}\s]+", "")
+    return F.regexp_replace(F.lower(F.trim(nfkc(x))), r"[\p{P}\p{S}\s]+", "")
 
 
 def stable_key(x: Column) -> Column:
-    """First 16 digits of the SHA-256 of the text with white space folded, in small letters."""
-    return F.substring(F.sha2(F.lower(F.regexp_replace(F.trim(x), r"\s+", " ")), 256), 1, 16)
+    """First 16 digits of the SHA-256 of the text in NFKC with white space folded, in small letters."""
+    return F.substring(F.sha2(F.lower(F.regexp_replace(F.trim(nfkc(x)), r"\s+", " ")), 256), 1, 16)
 
 
 def slug(x: Column) -> Column:
@@ -92,17 +119,38 @@ def strip_tags(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, "<[^>]*>", ""))
 
 
-#: Named references in the order of their replacement; the ampersand comes last.
-REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+def distinct_second(first: Column, second: Column) -> Column:
+    """The second text without tags, if it says something else than the first; else null."""
+    return F.when(strip_tags(second) != strip_tags(first), F.nullif(strip_tags(second), F.lit("")))
 
 
-def visible_text(x: Column) -> Column:
-    """Text of a page: scripts and styles dropped, tags as spaces, references decoded, white space folded."""
-    out = F.regexp_replace(x, r"(?is)<(script|style)\b.*?</(script|style)>", " ")
-    out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
+#: Named references in the order of their replacement; what an ampersand gives may begin another.
+REFERENCES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
+
+
+def _numbered(x: Column, mark: str, shown: str, digits: str, base: int) -> Column:
+    """x with its numbered references decoded; numbers that no character has stay as they are."""
+    parts = F.split(x, mark)
+    number = lambda p: F.conv(F.regexp_extract(p, f"^({digits}+);", 1), base, 10).try_cast("long")
+    char = lambda p: F.decode(F.unhex(F.lpad(F.hex(number(p)), 8, "0")), "UTF-32")
+    known = lambda p: p.rlike(f"^{digits}+;") & (number(p) <= 0x10FFFF) & ~number(p).between(0xD800, 0xDFFF)
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.lit(0), F.size(parts) - 1)), lambda p: F.when(known(p), F.concat(char(p), F.regexp_replace(p, f"^{digits}+;", ""))).otherwise(F.concat(F.lit(shown), p)))
+    return F.concat(F.get(parts, 0), F.array_join(rest, ""))
+
+
+def decode_references(x: Column) -> Column:
+    """Character references: decimal and hexadecimal numbers, then the named ones in order."""
+    out = _numbered(_numbered(x, "&#(?![xX])", "&#", "[0-9]", 10), "(?i)&#x", "&#x", "[0-9a-fA-F]", 16)
     for a, b in REFERENCES:
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return out
+
+
+def visible_text(x: Column) -> Column:
+    """Text of a page: scripts and styles dropped, tags as spaces, references decoded, white space folded, none before punctuation."""
+    out = F.regexp_replace(x, r"(?is)<(?:script|style)\b.*?</(?:script|style)>", "")
+    out = decode_references(F.regexp_replace(out, r"(?s)<[^>]+>", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"(?U)\s+", " "), r" ([.,;:!?])", "$1"))
 
 
 def bigrams(key: Column) -> Column:
@@ -129,9 +177,14 @@ def fnv1a(x: Column) -> Column:
     return F.lower(F.lpad(F.hex(code), 8, "0"))
 
 
+def canonical_json(x: Column) -> Column:
+    """A JSON text with the keys of its objects sorted at every depth; null if it isn't JSON."""
+    return F.to_json(F.try_parse_json(x))
+
+
 def canonical_map_json(x: Column) -> Column:
-    """A map as JSON with its keys sorted."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(x))))
+    """A map, whatever its values, as JSON with all keys sorted."""
+    return canonical_json(F.to_json(x))
 
 
 def utf16_length(x: Column) -> Column:

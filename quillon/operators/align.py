@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from quillon.functions.text import catalogue_key, client_family, is_variant
-
+from quillon.operators.saved import saved
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -36,6 +41,40 @@ def leaves(value: Column, kind, path: str = "") -> list[tuple[str, Column]]:
     return [leaf for f in kind.fields for leaf in leaves(value[f.name], f.dataType, f"{path}.{f.name}" if path else f.name)]
 
 
+_ABSENT = object()
+
+
+def _changes(old: object, new: object, path: str) -> Iterator[tuple[str, str | None, str | None]]:
+    """(path, old, new) as JSON wherever two JSON values differ: objects by the union of their keys, arrays by place."""
+    if isinstance(old, dict) and isinstance(new, dict):
+        steps = [(f"{path}.{k}" if path else k, old.get(k, _ABSENT), new.get(k, _ABSENT)) for k in {**old, **new}]
+    elif isinstance(old, list) and isinstance(new, list):
+        longest = max(len(old), len(new))
+        steps = [(f"{path}[{i}]", *(v[i] if i < len(v) else _ABSENT for v in (old, new))) for i in range(longest)]
+    else:
+        if isinstance(old, bool) is not isinstance(new, bool) or old != new or (old is None) is not (new is None):
+            yield path, *(None if v is _ABSENT else json.dumps(v, ensure_ascii=False, separators=(",", ":")) for v in (old, new))
+        return
+    for at, a, b in steps:
+        yield from _changes(a, b, at)
+
+
+@pandas_udf(ArrayType(StructType([StructField("path", StringType()), StructField("old", StringType()), StructField("new", StringType())])))
+def json_changes(old: pd.Series, new: pd.Series) -> pd.Series:
+    """Every place at which two JSON texts differ; a value that isn't there is null, a null one is the text null."""
+    return pd.Series([[{"path": p, "old": a, "new": b} for p, a, b in _changes(json.loads(x), json.loads(y), "")] for x, y in zip(old, new, strict=True)])
+
+
+def nested_diff(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, path, old, new) of each leaf that differs between two snapshots' nested records.
+
+    One join; only records that differ as a whole leave the JVM. Values are JSON; added and removed records are snapshot_diff()'s.
+    """
+    a = before.select(key, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("_a"))
+    b = after.select(key, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("_b"))
+    return a.join(b, key).where("_a <> _b").select(key, F.inline(json_changes("_a", "_b")))
+
+
 def same_set(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(only_left, only_right, repeated, equal) in one row: equal means the same keys, each once on either side."""
     n = a.select(key, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionAll(b.select(key, F.lit(0).alias("_a"), F.lit(1).alias("_b"))).groupBy(key).agg(F.sum("_a").alias("a"), F.sum("_b").alias("b"))
@@ -50,48 +89,88 @@ def last_value_first_place(rows: DataFrame, keys: list[str], order: str) -> Data
     return out.select(*keys, "_row.*", order)
 
 
-def align(old: DataFrame, fresh: DataFrame, position: str, stable: str, name: str, compatible: bool = True) -> DataFrame:
+def align(old: DataFrame, fresh: DataFrame, position: str, stable: str, name: str) -> DataFrame:
     """(old_position, fresh_position, status) of each old row, and of fresh rows that none claims (fresh_only, ambiguous_fresh).
 
     A row matches by a stable identity that only one fresh row has, else by a name that is unique on both
-    sides. Each old row has one target at most; the first old row by position claims it.
+    sides. Each old row has one target at most; the first old row by position claims it. Stable identities travel as
+    digests, and rows without one are spread by their position instead of meeting in one task.
     """
-    o = old.select(F.col(position).alias("o"), F.col(stable).alias("s"), catalogue_key(F.col(name), compatible).alias("k"))
-    f = fresh.select(F.col(position).alias("f"), F.col(stable).alias("s"), catalogue_key(F.col(name), compatible).alias("k"))
-    by_stable = f.where("s is not null and s <> ''").groupBy("s").agg(F.min("f").alias("sf"), F.count("*").alias("sn"), F.min("k").alias("sk"))
-    old_names = o.where("k <> ''").groupBy("k").agg(F.count("*").alias("on"))
-    fresh_names = f.where("k <> ''").groupBy("k").agg(F.min("f").alias("nf"), F.count("*").alias("nn"))
-    m = o.join(by_stable, "s", "left").join(old_names, "k", "left").join(fresh_names, "k", "left")
+    stable_key = F.when(F.coalesce(F.col(stable).cast("string"), F.lit("")) != "", F.md5(F.col(stable).cast("string")))
+    o = saved(old.select(F.col(position).alias("o"), stable_key.alias("s"), catalogue_key(F.col(name)).alias("k")), "old")
+    f = saved(fresh.select(F.col(position).alias("f"), stable_key.alias("s"), catalogue_key(F.col(name)).alias("k")), "fresh")
+    spread = lambda c, p: F.coalesce(F.nullif(F.col(c), F.lit("")), F.concat(F.lit("\0"), F.col(p).cast("string")))
+    by_stable = f.where("s is not null").groupBy(F.col("s").alias("_s")).agg(F.min("f").alias("sf"), F.count("*").alias("sn"), F.min("k").alias("sk"))
+    old_names = o.where("k <> ''").groupBy(F.col("k").alias("_k")).agg(F.count("*").alias("on"))
+    fresh_names = f.where("k <> ''").groupBy(F.col("k").alias("_k")).agg(F.min("f").alias("nf"), F.count("*").alias("nn"))
+    m = o.withColumn("_s", spread("s", "o")).join(by_stable, "_s", "left").withColumn("_k", spread("k", "o")).join(old_names.join(fresh_names, "_k", "left"), "_k", "left").drop("_s", "_k")
     named = (F.col("on") == 1) & (F.col("nn") == 1)
     target = F.when(F.col("sn") == 1, F.col("sf")).when(named, F.col("nf"))
     unclear = target.isNull() & ((F.coalesce("sn", F.lit(0)) > 1) | (F.coalesce("nn", F.lit(0)) >= 1))
     m = m.select("o", "s", "k", target.alias("f"), unclear.alias("unclear"), ((F.col("sn") == 1) & ((F.col("sk") != F.col("k")) | (F.col("k") == ""))).alias("renamed"))
+    m = saved(m, "targets")
     first = m.where("f is not null").groupBy("f").agg(F.min("o").alias("first"))
-    m = m.join(first, "f", "left").withColumn("claims", F.col("o") == F.col("first"))
+    with_target = m.where("f is not null").join(first, "f").withColumn("claims", F.col("o") == F.col("first")).drop("first")
+    m = with_target.unionByName(m.where("f is null").withColumn("claims", F.lit(False)))
     status = F.when(F.col("unclear"), "ambiguous").when(F.col("f").isNull() | ~F.col("claims"), "old_only").when(F.col("renamed"), "renamed").when(F.col("o") == F.col("f"), "unchanged").otherwise("shifted")
-    mapped = m.select("o", "s", "k", F.when(F.col("claims"), F.col("f")).alias("f"), F.coalesce(status, F.lit("old_only")).alias("status"))
+    mapped = saved(m.select("o", "s", "k", F.when(F.col("claims"), F.col("f")).alias("f"), F.coalesce(status, F.lit("old_only")).alias("status")), "mapped")
     doubtful = mapped.where("status = 'ambiguous'")
-    suspects = f.join(doubtful.select("k").where("k <> ''").distinct(), "k", "left_semi").select("f").union(f.join(doubtful.select("s").where("s is not null and s <> ''").distinct(), "s", "left_semi").select("f")).distinct()
+    suspects = f.join(doubtful.select("k").where("k <> ''").distinct(), "k", "left_semi").select("f").union(f.join(doubtful.select("s").where("s is not null").distinct(), "s", "left_semi").select("f")).distinct()
     claimed = mapped.where("f is not null").select("f")
     free = f.join(claimed, "f", "left_anti").join(suspects.withColumn("_doubt", F.lit(True)), "f", "left")
     extra = free.select(F.lit(None).cast("long").alias("old_position"), F.col("f").cast("long").alias("fresh_position"), F.when(F.col("_doubt").isNotNull(), "ambiguous_fresh").otherwise("fresh_only").alias("status"))
     return mapped.select(F.col("o").cast("long").alias("old_position"), F.col("f").cast("long").alias("fresh_position"), "status").unionByName(extra)
 
 
-def classify(rows: DataFrame, clients: DataFrame, known: DataFrame, name: str, api: str = "api_name") -> DataFrame:
-    """rows with base identity and classification: existing, missing, variant or unresolved.
+def classify(rows: DataFrame, clients: DataFrame, known: DataFrame, name: str, api: str = "api_name", reviewed: DataFrame | None = None) -> DataFrame:
+    """rows with client, base identity and classification: existing, missing, variant or unresolved.
 
     A row resolves to the one client of its name, or to the one base among several. known: one column of
-    names and ids that the catalogue has already.
+    names and ids that the catalogue has already. reviewed: (api_name, id) mappings by people; one of the row's base or client is a
+    target too, if the catalogue knows the id.
     """
     c = clients.select(catalogue_key(F.col("name")).alias("_k"), F.col(api).alias("_api"))
     per = c.groupBy("_k").agg(F.count("*").alias("_n"), F.min("_api").alias("_any"), F.count_if(~is_variant(F.col("_api"))).alias("_bases"), F.min(F.when(~is_variant(F.col("_api")), F.col("_api"))).alias("_base"))
     client = F.when(F.col("_n") == 1, F.col("_any")).when(F.col("_bases") == 1, F.col("_base"))
     r = rows.withColumn("_k", catalogue_key(F.col(name))).join(per, "_k", "left").withColumn("client", client).withColumn("base_identity", client_family(F.col("client")))
+    r = r.withColumn("_b", catalogue_key(F.col("base_identity"))).withColumn("_c", catalogue_key(F.col("client")))
     have = known.select(catalogue_key(F.col(known.columns[0])).alias("_h")).distinct()
-    r = r.join(have.select(F.col("_h").alias("_k"), F.lit(True).alias("_by_name")), "_k", "left").join(have.select(F.col("_h"), F.lit(True).alias("_by_id")), catalogue_key(F.col("base_identity")) == F.col("_h"), "left")
-    kind = F.when(F.col("client").isNull(), "unresolved").when(is_variant(F.col("client")), "variant").when(F.col("_by_name").isNotNull() | F.col("_by_id").isNotNull(), "existing").otherwise("missing")
-    return r.select(*rows.columns, "base_identity", kind.alias("classification"))
+    targets = {"_by_name": (have, "_k"), "_by_id": (have, "_b")}
+    if reviewed is not None:
+        mapped = reviewed.withColumn("_h", catalogue_key(F.col("id"))).join(have, "_h", "left_semi").select(catalogue_key(F.col("api_name")).alias("_h")).distinct()
+        targets |= {"_by_base_review": (mapped, "_b"), "_by_client_review": (mapped, "_c")}
+    has = F.lit(False)
+    for flag, (keys, on) in targets.items():
+        r = r.join(keys.select(F.col("_h").alias(on), F.lit(True).alias(flag)), on, "left")
+        has = has | F.col(flag).isNotNull()
+    kind = F.when(F.col("client").isNull(), "unresolved").when(is_variant(F.col("client")), "variant").when(has, "existing").otherwise("missing")
+    return r.select(*rows.columns, "client", "base_identity", kind.alias("classification"))
+
+
+def delta_report(classified: DataFrame, clients: DataFrame, proposals: DataFrame, key: str, api: str = "api_name") -> DataFrame:
+    """(key, classification, base, upgrades, prismatics, cluster) of rows that only the fresh catalogue has.
+
+    classified: what classify() gives; its base identity's family of clients is listed by kind. proposals: (identity, cluster).
+    """
+    family = clients.select(client_family(F.col(api)).alias("base_identity"), F.col(api).alias("_api")).distinct()
+    suffix = lambda s: F.array_sort(F.collect_set(F.when(F.col("_api").rlike(f"(?i)_{s}$"), F.col("_api"))))
+    per = family.groupBy("base_identity").agg(F.min(F.when(~is_variant(F.col("_api")), F.col("_api"))).alias("base"), suffix("upgrade").alias("upgrades"), suffix("prismatic").alias("prismatics"))
+    p = proposals.groupBy(catalogue_key(F.col("identity")).alias("_i")).agg(F.min("cluster").alias("cluster"))
+    out = classified.join(per, "base_identity", "left").withColumn("_i", catalogue_key(F.col("base_identity"))).join(p, "_i", "left")
+    none = F.array().cast("array<string>")
+    return out.select(key, "classification", "base", F.coalesce("upgrades", none).alias("upgrades"), F.coalesce("prismatics", none).alias("prismatics"), "cluster")
+
+
+def delta_balance(alignment: DataFrame, report: DataFrame) -> DataFrame:
+    """One row: fresh rows less old ones, counts by classification, renamed rows, and whether the counts add up.
+
+    Every row that only the fresh catalogue has must be of exactly one class, and the catalogues must differ by as many rows as
+    fresh ones are without an old one, less old ones without a fresh one.
+    """
+    a = alignment.agg((F.count("fresh_position") - F.count("old_position")).alias("row_delta"), F.count_if(F.col("status") == "renamed").alias("renamed"), F.count_if(F.col("status") == "fresh_only").alias("_fresh_only"), F.count_if(F.col("old_position").isNull()).alias("_only_fresh"), F.count_if(F.col("fresh_position").isNull()).alias("_only_old"))
+    r = report.agg(F.count("*").alias("_all"), *[F.count_if(F.col("classification") == c).alias(c) for c in ("missing", "variant", "existing", "unresolved")])
+    adds_up = (F.col("_all") == F.col("_fresh_only")) & (F.col("missing") + F.col("variant") + F.col("existing") + F.col("unresolved") == F.col("_all")) & (F.col("row_delta") == F.col("_only_fresh") - F.col("_only_old"))
+    return a.crossJoin(r).select("row_delta", "missing", "variant", "existing", "renamed", "unresolved", adds_up.alias("balanced"))
 
 
 def impact(classification: Column, base: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.conditions import knowledge_state
+from quillon.functions.conditions import BUCKETS
 from quillon.functions.text import normalize
 
 
@@ -32,10 +32,12 @@ def lower_bound(known: Column, unmatched: Column, incomplete: Column) -> Column:
     return known + F.greatest(F.lit(0), incomplete - unmatched)
 
 
-def knowledge_histogram(rows: DataFrame, fields: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """(field, state, n) over (status, value) pairs, unpivoted in one pass."""
-    cells = F.array(*[F.struct(F.lit(n).alias("field"), knowledge_state(*sv).alias("state")) for n, sv in fields.items()])
-    return rows.select(F.inline(cells)).groupBy("field", "state").agg(F.count("*").alias("n"))
+def knowledge_histogram(rows: DataFrame, fields: dict[str, Column], flags: Sequence[str] = ()) -> DataFrame:
+    """(field, state, n) of knowledge_state() columns, unpivoted in one pass; all five buckets of a field, also those without rows."""
+    cells = F.array(*[F.struct(F.lit(n).alias("field"), state.alias("state")) for n, state in fields.items()])
+    counted = rows.select(F.inline(cells)).groupBy("field", "state").agg(F.count("*").alias("n"))
+    listed = rows.sparkSession.createDataFrame([(f, b) for f in fields for b in BUCKETS["flag" if f in flags else "value"]], "field string, state string")
+    return listed.join(counted, ["field", "state"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def map_histogram(rows: DataFrame, provenance: Column, part: str) -> DataFrame:
@@ -59,6 +61,20 @@ def occurrences(rows: DataFrame, text: Column, terms: Sequence[str]) -> DataFram
     return sums.select(F.inline(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"t{i}").alias("n")) for i, t in enumerate(terms)])))
 
 
+def occurrence_list(rows: DataFrame, key: str, fields: dict[str, Column], terms: Sequence[str]) -> DataFrame:
+    """(term, key, field) of each field whose search form holds a term: what occurrences() counts. Hits are exploded, not fields times terms."""
+    from quillon.operators.pool import normalize_query
+
+    forms = rows.select(key, *[normalize(c).alias(f"_f{i}") for i, c in enumerate(fields.values())])
+    hits = [F.when(F.col(f"_f{i}").contains(normalize_query(t)), F.struct(F.lit(t).alias("term"), F.lit(f).alias("field"))) for i, f in enumerate(fields) for t in terms]
+    return forms.select(key, F.inline(F.array_compact(F.array(*hits)))).select("term", key, "field")
+
+
+def rules_summary(rows: DataFrame, special: str, category: str) -> DataFrame:
+    """One row: records, those with special rules, and categories of these."""
+    return rows.agg(F.count("*").alias("records"), F.count_if(F.coalesce(F.col(special), F.lit(False))).alias("special"), F.count_distinct(F.when(F.col(special), F.col(category))).alias("special_categories"))
+
+
 def decision_summary(generated: DataFrame, decided: DataFrame, keys: list[str], action: str = "action") -> DataFrame:
     """One row: generated, decided, approved, rejected, modified, unreviewed and stale (decided but no longer generated)."""
     both = generated.select(*keys).distinct().withColumn("_g", F.lit(True)).join(decided.select(*keys, action).withColumn("_d", F.lit(True)), keys, "full_outer")

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.text import nfkc_each
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -85,6 +87,32 @@ def overlay_violations(generated: DataFrame, decisions: DataFrame, key: str, con
     return both.select(key, concept, F.explode(problems).alias("problem"))
 
 
+def stale_problems(reviewed: DataFrame, current: DataFrame, columns: Sequence[str] = ("patch", "version", "digest")) -> DataFrame:
+    """(column, problem) where a review was made against another state than the current one: one row of metadata each."""
+    both = reviewed.select(*[F.col(c).alias(f"_r_{c}") for c in columns]).crossJoin(F.broadcast(current.select(*[F.col(c).alias(f"_c_{c}") for c in columns])))
+    return both.select(F.explode(F.array_compact(F.array(*[F.when(~F.col(f"_r_{c}").eqNullSafe(F.col(f"_c_{c}")), F.lit(c)) for c in columns]))).alias("column")).withColumn("problem", F.lit("stale"))
+
+
+def alias_problems(groups: DataFrame, decisions: DataFrame, group: str = "group") -> DataFrame:
+    """(group, problem) of decisions on the aliases of expansion groups.
+
+    groups: (group, aliases); decisions: (group, approved, rejected array<struct<alias, reason>>). Every group must be decided once
+    (undecided, repeated, unknown_group); what is approved must be exactly the group's aliases (not_in_draft, not_approved), no alias
+    may be listed twice (repeated_alias) or both approved and rejected (contradictory), and a rejection needs a reason (no_reason).
+    """
+    form = lambda c: F.transform(c, lambda x: F.lower(F.trim(x)))
+    n = decisions.groupBy(group).agg(F.count("*").alias("_n"))
+    g = groups.select(group, form(nfkc_each(F.col("aliases"))).alias("_draft"))
+    d = decisions.select(group, form(nfkc_each(F.col("approved"))).alias("_yes"), form(nfkc_each(F.transform("rejected", lambda r: r["alias"]))).alias("_no"), F.transform("rejected", lambda r: r["reason"]).alias("_why"))
+    both = g.join(d.join(n, group), group, "full_outer")
+    decided = F.col("_n").isNotNull() & F.col("_draft").isNotNull()
+    unlike = lambda a, b: decided & (F.size(F.array_except(a, b)) > 0)
+    checks = [
+        (F.col("_n").isNull(), "undecided"), (F.col("_draft").isNull(), "unknown_group"), (F.col("_n") > 1, "repeated"), (unlike("_yes", "_draft"), "not_in_draft"), (unlike("_draft", "_yes"), "not_approved"),
+        ((F.size("_yes") > F.size(F.array_distinct("_yes"))) | (F.size("_no") > F.size(F.array_distinct("_no"))), "repeated_alias"), (F.size(F.array_intersect("_yes", "_no")) > 0, "contradictory"), (F.exists("_why", lambda w: F.coalesce(w, F.lit("")) == ""), "no_reason")]
+    return both.select(group, F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(p)) for c, p in checks]))).alias("problem")).distinct()
+
+
 def materialise(records: DataFrame, assigned: DataFrame, key: str, concept: str = "concept", name: str = "concepts") -> DataFrame:
     """records with a sorted array of concepts, empty where there are none; all else unchanged."""
     lists = assigned.groupBy(key).agg(F.array_sort(F.collect_set(concept)).alias(name))

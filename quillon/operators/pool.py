@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -76,7 +77,7 @@ def predicate(criteria: Criteria, c: Columns) -> Column | None:
     """All asked conditions together; null rows fail as SQL has it. Scalar parts reach the scan."""
     parts: list[Column] = []
     if criteria.excluded and len(criteria.excluded) <= LITERALS:
-        parts.append(~F.col(c.id).isin(*criteria.excluded))
+        parts.append(F.coalesce(~F.col(c.id).isin(*criteria.excluded), F.lit(True)))  # as the join has it: no id isn't an excluded one
     if criteria.categories:
         parts.append(F.col(c.category).isin(*criteria.categories))
     if criteria.min_cost is not None:
@@ -141,13 +142,15 @@ def suggestions(records: DataFrame, name: str, query: str, order: str, n: int =
     return records.where(normalize(F.col(name)).contains(normalize_query(query))).orderBy(order).limit(n)
 
 
+#: White space as in quillon.functions.text.WHITE.
+_WHITE = re.compile("[\t\n\x0b\f\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
+
+
 def normalize_query(text: str) -> str:
     """The search form of a query string, on the driver."""
-    import unicodedata
-
     t = unicodedata.normalize("NFKC", text).lower()
     t = "".join(" " if unicodedata.category(ch)[0] in "PS" else ch for ch in t)
-    return " ".join(t.split())
+    return _WHITE.sub(" ", t).strip(" ")
 
 
 # ---------------------------------------------------------------- forms to criteria

@@ -28,3 +28,8 @@ def per_record(records: DataFrame, eligible: Column) -> DataFrame:
     n = records.agg(F.count_if(F.coalesce(eligible, F.lit(False))).alias("_n"))
     p = F.when(F.coalesce(eligible, F.lit(False)), 1 / F.col("_n")).otherwise(0.0)
     return records.crossJoin(F.broadcast(n)).withColumn("probability", p).drop("_n")
+
+
+def per_card(pool: DataFrame, forced: Column, slot: str) -> DataFrame:
+    """pool with each record's probability in a slot: ordinary, forced, or uncertain, where a card shows that of the ordinary slot."""
+    return per_record(pool, forced) if slot == "forced" else per_record(pool, F.lit(True))

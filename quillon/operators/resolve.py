@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import bigrams, dice
+from quillon.operators.saved import saved
 
 
 def unique_index(rows: DataFrame, key: Column, name: str = "key") -> DataFrame:
@@ -41,17 +42,23 @@ def cascade(left: DataFrame, right: DataFrame, stages: Sequence[tuple[str, Colum
     """(left_id, right_id, method): stage after stage, exact matches of rows that no earlier stage used.
 
     A stage is (method, left key, right key, left must be unique). Right keys must be unique. A left row has
-    one target per stage at most, so the first left row by id claims it.
+    one target per stage at most, so the first left row by id claims it. Keys are made once for all stages and travel as
+    digests of 128 bits; a stage's matches are written, so that the next one doesn't find them again.
     """
-    left, right = left.withColumnRenamed(left_id, "_l"), right.withColumnRenamed(right_id, "_r")
+    digest = lambda key: F.when(F.coalesce(key, F.lit("")) != "", F.md5(key))
+    lefts = saved(left.select(F.col(left_id).alias("_l"), *[digest(x[1]).alias(f"_k{i}") for i, x in enumerate(stages)]), "left")
+    rights = saved(right.select(F.col(right_id).alias("_r"), *[digest(x[2]).alias(f"_k{i}") for i, x in enumerate(stages)]), "right")
     found = None
-    for method, left_key, right_key, unique_left in stages:
-        targets = unique_index(right, right_key, "_k").select("_k", "_r")
-        sources = unique_index(left, left_key, "_k") if unique_left else left.withColumn("_k", left_key).where(F.coalesce(F.col("_k"), F.lit("")) != "")
+    for i, (method, _, _, unique_left) in enumerate(stages):
+        # the row of a key that only one row has: a combined aggregate
+        targets = rights.where(f"_k{i} is not null").groupBy(F.col(f"_k{i}").alias("_k")).agg(F.min("_r").alias("_r"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
+        sources = lefts.where(f"_k{i} is not null").select(F.col(f"_k{i}").alias("_k"), "_l")
+        if unique_left:
+            sources = sources.groupBy("_k").agg(F.min("_l").alias("_l"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
         if found is not None:
             targets, sources = targets.join(found, "_r", "left_anti"), sources.join(found, "_l", "left_anti")
-        hit = sources.select("_k", "_l").join(targets, "_k").groupBy("_r").agg(F.min("_l").alias("_l")).select("_l", "_r", F.lit(method).alias("method"))
-        found = hit if found is None else found.unionByName(hit)
+        hit = sources.join(targets, "_k").groupBy("_r").agg(F.min("_l").alias("_l")).select("_l", "_r", F.lit(method).alias("method"))
+        found = saved(hit if found is None else found.unionByName(hit), "found")
     return found.select(F.col("_l").alias(left_id), F.col("_r").alias(right_id), "method")
 
 
@@ -59,7 +66,8 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id:
     """The n best targets of each left row by score, then id, with rank. One side must be a small catalogue.
 
     left and right have no column in common. Every pair is scored, as even pairs without a common bigram can
-    rank; the smaller side is broadcast only while Spark can see that it is small.
+    rank: this is for what a cascade left over of two catalogues. The smaller side is broadcast only while Spark can see that it is
+    small, and only the n best of each task's pairs are shuffled.
     """
     ranked = left.crossJoin(right).withColumn("score", score)
     w = Window.partitionBy(left_id).orderBy(F.desc("score"), right_id)
@@ -72,21 +80,43 @@ def name_similarity(a: str, b: str) -> Column:
 
 
 def with_bigrams(rows: DataFrame, key: Column, name: str) -> DataFrame:
-    return rows.withColumn(name, bigrams(key))
+    """rows with the bigrams of a key, which is made once."""
+    return rows.withColumn("_key", key).withColumn(name, bigrams(F.col("_key"))).drop("_key")
 
 
-def margins(candidates: DataFrame, left_id: str, least_margin: float = 0.1, least_score: float = 0.5) -> DataFrame:
-    """(left_id, best, margin, status, unresolved) of each left row: best minus second; a lone candidate has no margin."""
+def discovery_score(effect: Column, names: Sequence[Column], category: Column, cost: Column) -> Column:
+    """Fixed weights of a candidate search: similar effects, names (the best of several), equal category, equal cost. It never confirms."""
+    return effect + 0.25 * (F.greatest(*names) if len(names) > 1 else names[0]) + 0.15 * F.coalesce(category, F.lit(False)).cast("double") + 0.10 * F.coalesce(cost, F.lit(False)).cast("double")
+
+
+def margins(candidates: DataFrame, left_id: str, least_margin: float = 0.1, least_score: float = 0.5, left: DataFrame | None = None) -> DataFrame:
+    """(left_id, best, margin, status, unresolved) of each left row: best minus second; a lone candidate has no margin.
+
+    left: all left rows; those without a candidate are unresolved candidates without a best score.
+    """
     sums = candidates.groupBy(left_id).agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("best"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"))
+    if left is not None:
+        sums = left.select(left_id).distinct().join(sums, left_id, "left")
     margin = F.col("best") - F.col("second")
-    return sums.withColumn("margin", margin).withColumn("status", F.when(margin < least_margin, "ambiguous").otherwise("candidate")).withColumn("unresolved", F.col("best") < least_score).drop("second")
+    return sums.withColumn("margin", margin).withColumn("status", F.when(margin < least_margin, "ambiguous").otherwise("candidate")).withColumn("unresolved", F.coalesce(F.col("best") < least_score, F.lit(True))).drop("second")
 
 
-def duplicate_audit(rows: DataFrame, key: str, raw: Column, canonical: Column) -> DataFrame:
-    """(key, rows, status) of keys with several rows: exact, equivalent or conflicting duplicates; conflicting ones are blocked."""
+def _payloads(rows: DataFrame, key: str, raw: Column, canonical: Column) -> DataFrame:
     sums = rows.groupBy(key).agg(F.count("*").alias("rows"), F.count_distinct(raw).alias("raws"), F.count_distinct(canonical).alias("canonicals"))
-    status = F.when(F.col("raws") == 1, "exact_duplicate").when(F.col("canonicals") == 1, "equivalent_duplicate").otherwise("conflicting_duplicate")
-    return sums.where("rows > 1").select(key, "rows", status.alias("status"))
+    status = F.when(F.col("rows") == 1, "single").when(F.col("raws") == 1, "exact_duplicate").when(F.col("canonicals") == 1, "equivalent_duplicate").otherwise("conflicting_duplicate")
+    return sums.select(key, "rows", status.alias("status"))
+
+
+def duplicate_audit(rows: DataFrame, key: str, raw: Column, canonical: Column) -> DataFrame:
+    """(key, rows, status, blocked) of keys with several rows: exact, equivalent or conflicting duplicates; conflicting ones are blocked."""
+    return _payloads(rows, key, raw, canonical).where("rows > 1").withColumn("blocked", F.col("status") == "conflicting_duplicate")
+
+
+def safe_rows(rows: DataFrame, key: str, raw: Column, canonical: Column, order: str) -> DataFrame:
+    """The first row by order of each key whose rows don't conflict."""
+    first = rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("_row"))
+    blocked = duplicate_audit(rows, key, raw, canonical).where("blocked").select(key)
+    return first.join(blocked, key, "left_anti").select(key, "_row.*").select(*rows.columns)
 
 
 def collisions(rows: DataFrame, canonical: Column, name: str) -> DataFrame:
@@ -94,16 +124,67 @@ def collisions(rows: DataFrame, canonical: Column, name: str) -> DataFrame:
     return rows.withColumn("canonical", canonical).where("canonical is not null").groupBy("canonical").agg(F.array_sort(F.collect_set(name)).alias("names")).where(F.size("names") > 1)
 
 
+def canonical_index(safe: DataFrame, canonical: Column, name: str) -> DataFrame:
+    """safe with its canonical key, of keys that one name and one row come to: what may be looked up."""
+    keyed = safe.withColumn("canonical", canonical).where("canonical is not null")
+    one = keyed.groupBy("canonical").agg(F.count("*").alias("_n"), F.count_distinct(name).alias("_names")).where("_n = 1 and _names = 1").select("canonical")
+    return keyed.join(one, "canonical", "left_semi")
+
+
+def duplicate_metrics(rows: DataFrame, key: str, raw: Column, canonical: Column, kind: Column, base_key: Column, order: str) -> DataFrame:
+    """One row of fourteen counts: rows and safe names in all and by kind, groups by status, collisions, indexed identities, rows saved.
+
+    kind and base_key (null for variants) are expressions of the key.
+    """
+    groups = _payloads(rows, key, raw, canonical).withColumn("_kind", kind).withColumn("_canonical", base_key)
+    groups = groups.withColumn("_safe", F.col("status") != "conflicting_duplicate")
+    n = lambda c: F.count_if(c)
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("_kind") == k, F.col("rows"))), F.lit(0)).alias(f"raw_{k}")
+    sums = groups.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("raw_rows"), *[of(k) for k in ("base", "upgrade", "prismatic")], F.count("*").alias("names"), *[n(F.col("_safe") & (F.col("_kind") == k)).alias(f"safe_{k}") for k in ("base", "upgrade", "prismatic")],
+        *[n(F.col("status") == s).alias(s) for s in ("exact_duplicate", "equivalent_duplicate", "conflicting_duplicate")], F.coalesce(F.sum(F.when(F.col("_safe"), F.col("rows") - 1)), F.lit(0)).alias("rows_saved"))
+    per = groups.where("_safe and _canonical is not null and _kind = 'base'").groupBy("_canonical").agg(F.count("*").alias("_n"))
+    return sums.crossJoin(per.agg(n(F.col("_n") > 1).alias("canonical_collisions"), n(F.col("_n") == 1).alias("base_identities")))
+
+
 def proposal_score(name: Column, effect: Column, category: Column, cost: Column, stage: Column) -> Column:
     """Fixed weights of an identity search."""
     return 0.55 * name + 0.25 * effect + 0.10 * category.cast("double") + 0.05 * cost.cast("double") + 0.05 * stage.cast("double")
 
 
-def proposals(candidates: DataFrame, left_id: str, targets: Column, confirmed: Column, support: Column, exclusion: Column) -> DataFrame:
-    """One compliant target means the same identity; else there isn't enough evidence, with how strong the case for a missing one is."""
-    one = F.size(targets) == 1
-    strong = confirmed & (support >= 2) & (exclusion >= 1)
-    missing = F.when(one, None).when(strong & (F.size(targets) == 0), "strong").when(confirmed, "moderate").otherwise("none")
+def identity_search(pairs: DataFrame, left_id: str, right_id: str, tiers: dict[str, Column], binding: Sequence[str], name: Column, score: Column, least_name: float = 0.6, least_score: float = 0.62, n_unresolved: int = 10, n_best: int = 5) -> DataFrame:
+    """Per left row: the targets of each exact tier, those that bind, plausible others that remain unresolved, and the best by score.
+
+    pairs: left and right rows side by side (both sides are small catalogues). tiers: name and condition of each exact tier; the
+    targets of those in binding are what policy allows. Lists of candidates are cut by rank before the shuffle.
+    """
+    scored = pairs.withColumn("_name", name).withColumn("_score", score)
+    binds = F.lit(False)
+    for t in binding:
+        binds = binds | F.coalesce(tiers[t], F.lit(False))
+    scored = scored.withColumn("_binds", binds)
+    hit = F.lit(False)
+    for c in tiers.values():
+        hit = hit | F.coalesce(c, F.lit(False))
+    exact = scored.where(hit).groupBy(left_id).agg(*[F.array_sort(F.collect_set(F.when(c, F.col(right_id)))).alias(t) for t, c in tiers.items()], F.array_sort(F.collect_set(F.when(F.col("_binds"), F.col(right_id)))).alias("targets"))
+    w = Window.partitionBy(left_id).orderBy(F.desc("_score"), right_id)
+    listed = lambda rows, n, name: rows.select(left_id, right_id, "_score", F.row_number().over(w).alias("_rank")).where(F.col("_rank") <= n).groupBy(left_id).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", right_id))), lambda c: c[right_id]).alias(name))
+    unresolved = listed(scored.where(~F.col("_binds") & ((F.col("_name") >= least_name) | (F.col("_score") >= least_score))), n_unresolved, "unresolved")
+    best = listed(scored, n_best, "best")
+    none = F.array().cast(f"array<{pairs.schema[right_id].dataType.simpleString()}>")
+    out = best.join(exact, left_id, "left").join(unresolved, left_id, "left")
+    return out.select(left_id, *[F.coalesce(c, none).alias(c) for c in (*tiers, "targets", "unresolved", "best")])
+
+
+def proposals(candidates: DataFrame, left_id: str, targets: Column, confirmed: Column, support: Column, exclusion: Column, unresolved: Column | None = None) -> DataFrame:
+    """One compliant target means the same identity; else there isn't enough evidence, with how strong the case for a missing one is.
+
+    It is a case at all only for a confirmed member without any target; moderate if candidates remain (unresolved, their
+    number); strong with two pieces of support and one of exclusion.
+    """
+    one, none = F.size(targets) == 1, F.size(targets) == 0
+    left = F.lit(0) if unresolved is None else unresolved
+    missing = F.when(one | ~none | ~confirmed, "none").when((left == 0) & (support >= 2) & (exclusion >= 1), "strong").otherwise("moderate")
     return candidates.select(left_id, F.when(one, "same_identity").otherwise("insufficient_evidence").alias("action"), F.when(one, F.element_at(targets, 1)).alias("target"), missing.alias("missing_hypothesis"))
 
 
@@ -113,14 +194,28 @@ def conditional_edges(candidates: DataFrame, left_id: str, strong: float = 0.8,
     return candidates.withColumn("_next", F.lead("score").over(w)).where((F.col("rank") == 1) & (F.col("score") >= strong) & (F.col("_next").isNull() | (F.col("score") - F.col("_next") > lead))).drop("_next")
 
 
-def review_union(queues: Sequence[tuple[str, DataFrame]], key: str) -> DataFrame:
-    """(key, reasons): reasons in the order of the queues, each once."""
+def review_union(queues: Sequence[tuple[str, DataFrame]], key: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, reasons, keep...): reasons in the order of the queues, each once; the columns in keep as the first queue has them."""
     rows = None
     for i, (name, df) in enumerate(queues):
-        part = df.select(key, F.lit(i).alias("_i"), F.lit(name).alias("_name"))
+        part = df.select(key, *keep, F.lit(i).alias("_i"), F.lit(name).alias("_name"))
         rows = part if rows is None else rows.unionByName(part)
-    found = rows.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("_i", "_name"))).alias("_r"))
-    return found.select(key, F.transform("_r", lambda r: r["_name"]).alias("reasons"))
+    first = [F.min(F.struct("_i", *keep)).alias("_row")] if keep else []
+    found = rows.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("_i", "_name"))).alias("_r"), *first)
+    return found.select(key, F.transform("_r", lambda r: r["_name"]).alias("reasons"), *[F.col(f"_row.{c}").alias(c) for c in keep])
+
+
+def unmatched_queue(rows: DataFrame, key: str, candidates: DataFrame, evidence: DataFrame, names: DataFrame, n: int = 3) -> DataFrame:
+    """rows with what may match them: the n best candidates (key, target, score), client evidence (key, client), other names (key, other).
+
+    What is recommended is always insufficient_evidence: a queue never decides.
+    """
+    w = Window.partitionBy(key).orderBy(F.desc("score"), "target")
+    best = candidates.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "target"))), lambda c: c["target"]).alias("candidates"))
+    client = evidence.groupBy(key).agg(F.min("client").alias("client"))
+    other = names.groupBy(key).agg(F.array_sort(F.collect_set("other")).alias("names"))
+    out = rows.join(best, key, "left").join(client, key, "left").join(other, key, "left")
+    return out.select(*rows.columns, *[F.coalesce(F.transform(c, lambda x: x.cast("string")), F.array().cast("array<string>")).alias(c) for c in ("candidates", "names")], "client", F.lit("insufficient_evidence").alias("action"))
 
 
 def presence(ids: DataFrame, key: str, sources: dict[str, DataFrame]) -> DataFrame:
@@ -140,6 +235,12 @@ def compared(left: Column, right: Column, comparable: Column | None = None) -> C
     return F.when(~F.coalesce(ok, F.lit(False)), "semantic_review").when(left == right, "agreement").otherwise("conflict")
 
 
+def presence_audit(*flags: Column) -> Column:
+    """all_present, all_absent, or presence_conflict among any number of sources; null counts as absent."""
+    told = F.array(*[F.coalesce(f, F.lit(False)) for f in flags])
+    return F.when(F.forall(told, lambda x: x), "all_present").when(~F.exists(told, lambda x: x), "all_absent").otherwise("presence_conflict")
+
+
 #: What a condition's text states, first pattern of a kind first.
 FACTS = (
     ("gold", (r"(?i)(?:at least\s*)?(\d+)\s*gold\b", r"(?:至少拥有?\s*)?(\d+)\s*金币")),

@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.intervals import stage_ranges
+from quillon.functions.text import derived_id, distinct_second, strip_tags, variant_kind
+from quillon.operators.resolve import last_wins
+
 
 def rules_for(datasets: DataFrame, patch: str) -> DataFrame:
     return datasets.where(F.col("patch") == patch)
@@ -40,6 +44,11 @@ def index_order(ranges: str, name: str, key: str, collation: str | None = None)
     return [F.get(F.col(ranges), 0)["start"].asc_nulls_last(), n.asc_nulls_last(), F.col(key).asc_nulls_last()]
 
 
+def index_order_by_name(name: str, collation: str) -> list[Column]:
+    """By name alone, as a language's dictionary has it."""
+    return [F.collate(F.col(name), collation).asc_nulls_last()]
+
+
 def labels_of(column: Column, labels: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])[column]
 
@@ -54,3 +63,23 @@ def confirmed_elsewhere(records: DataFrame, other: DataFrame, key: str, flag: st
     o = other.where(F.col(flag)).select(key, F.lit(True).alias("_yes")).distinct()
     filled = F.when(F.col(flag).isNull() & F.col("_yes"), F.struct(F.lit("confirmed").alias("status"), F.lit(True).alias("value"))).when(F.col(flag).isNotNull(), F.struct(F.lit("confirmed").alias("status"), F.col(flag).alias("value"))).otherwise(F.struct(F.lit("unknown").alias("status"), F.lit(None).cast("boolean").alias("value")))
     return records.join(o, key, "left").withColumn(flag, filled).drop("_yes")
+
+
+def normalised(rows: DataFrame, clients: DataFrame, english: DataFrame, key: str, join: str, windows: str, remap: dict[str, str]) -> DataFrame:
+    """Source rows as normalised records: id, client, name_en, category, second, ranges, requirements, and the source of each field.
+
+    rows: key, name, position, category, labels array, upgrade, and the column join, which clients (join, api_name, text) share;
+    english: (api_name, name_en). A base client row of the name counts, else the first by id; the second text is the upgrade's, if the
+    client's upgrade says something else than its base. Labels are windows behind a prefix, or requirements.
+    """
+    kind = variant_kind(F.col("api_name"))
+    per = clients.groupBy(join).agg(F.min_by("api_name", F.struct((kind != "base").alias("later"), "api_name")).alias("client"), F.min(F.when(kind == "base", F.col("text"))).alias("_base"), F.min(F.when(kind == "upgrade", F.col("text"))).alias("_up"))
+    out = rows.join(per, join, "left").join(last_wins(english, "api_name", F.col("name_en")).withColumnRenamed("api_name", "client"), "client", "left")
+    is_window = lambda x: x.startswith(windows)
+    ranges = stage_ranges(F.array_join(F.filter("labels", is_window), ", "))
+    from_client = F.when(F.col("client").isNotNull(), "client").otherwise("catalogue")
+    sources = F.create_map(*[x for f, s in {"id": from_client, "name": from_client, "name_en": F.when(F.col("name_en").isNotNull(), "client").otherwise("catalogue"), "category": F.lit("catalogue"), "ranges": F.lit("catalogue"), "requirements": F.lit("catalogue")}.items() for x in (F.lit(f), s)])
+    category = F.col("category")
+    for a, b in remap.items():
+        category = F.when(F.col("category") == a, b).otherwise(category)
+    return out.select(key, derived_id(F.coalesce("client", F.lit("")), F.col("position"), F.col("name")).alias("id"), "client", F.coalesce("name_en", "name").alias("name_en"), category.alias("category"), F.when(distinct_second(F.col("_base"), F.col("_up")).isNotNull(), F.nullif(strip_tags(F.col("upgrade")), F.lit(""))).alias("second"), ranges.alias("ranges"), F.filter("labels", lambda x: ~is_window(x)).alias("requirements"), sources.alias("sources"))

@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from quillon.functions.text import normalize
+from quillon.functions.text import nfkc, nfkc_each, normalize
 from quillon.operators.pool import normalize_query
 
 #: Scores of the steps of the ladder, the first that holds counts.
@@ -83,36 +83,40 @@ def clauses(query: str, lexicon: Lexicon = Lexicon()) -> list[Clause]:
 
 def _indexed(records: DataFrame, s: Surfaces) -> DataFrame:
     """Search forms of all surfaces, each made once: as columns of a generator, which the optimizer doesn't inline into every test."""
-    each = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: normalize(x)) if c else F.array().cast("array<string>")
-    forms = [F.coalesce(normalize(F.col(c)), F.lit("")).alias(f"_n{i}") for i, c in enumerate(s.names)] + [F.coalesce(normalize(F.col(c)), F.lit("")).alias(f"_e{i}") for i, c in enumerate(s.effects)]
-    forms += [each(s.requirements).alias("_r"), each(s.synonyms).alias("_s"), each(s.concepts).alias("_c")]
-    return records.select("*", F.inline(F.array(F.struct(*forms))))
+    none = F.array().cast("array<string>")
+    lists = {"_r": s.requirements, "_s": s.synonyms, "_c": s.concepts}
+    plain = [nfkc(F.col(c)).alias(f"_x{i}") for i, c in enumerate((*s.names, *s.effects))]
+    plain += [nfkc_each(F.coalesce(F.col(c), none)).alias(f"_x{n}") for n, c in lists.items() if c]
+    composed = records.select("*", *plain)
+    forms = [F.coalesce(normalize(F.col(f"_x{i}"), True), F.lit("")).alias(f"_n{i}" if i < len(s.names) else f"_e{i - len(s.names)}") for i in range(len(s.names) + len(s.effects))]
+    forms += [(F.transform(F.col(f"_x{n}"), lambda x: normalize(x, True)) if c else none).alias(n) for n, c in lists.items()]
+    return composed.select(*records.columns, F.inline(F.array(F.struct(*forms))))
 
 
-def _first(tests: list[tuple[Column, str]], score: int, field: str, term: str, kind: str) -> list[tuple[Column, Column]]:
-    return [(test, F.struct(F.lit(score).alias("score"), F.lit(field).alias("field"), F.lit(path).alias("path"), F.lit(term).alias("term"), F.lit(kind).alias("kind"))) for test, path in tests]
+def _first(tests: list[tuple[Column, Column]], score: int, field: str, term: str, kind: str) -> list[tuple[Column, Column]]:
+    return [(test, F.struct(F.lit(score).alias("score"), F.lit(field).alias("field"), path.alias("path"), F.lit(term).alias("term"), F.lit(kind).alias("kind"))) for test, path in tests]
 
 
 def match(clause: Clause, s: Surfaces) -> Column:
-    """What the clause hits in a record of _indexed(): a struct, or null."""
-    names = [(F.col(f"_n{i}"), c) for i, c in enumerate(s.names)]
-    effects = [(F.col(f"_e{i}"), c) for i, c in enumerate(s.effects)]
-    lists = [(F.col("_r"), s.requirements, "requirement"), (F.col("_s"), s.synonyms, "synonym")]
+    """What the clause hits in a record of _indexed(): a struct, or null. The path of an element of a list ends in its number."""
+    names = [(F.col(f"_n{i}"), F.lit(c)) for i, c in enumerate(s.names)]
+    effects = [(F.col(f"_e{i}"), F.lit(c)) for i, c in enumerate(s.effects)]
+    lists = [(F.col(c), p, f) for c, p, f in (("_r", s.requirements, "requirement"), ("_s", s.synonyms, "synonym")) if p]
     within = lambda column, t: F.exists(column, lambda x: x.contains(t))
+    place = lambda column, path, t: F.concat(F.lit(f"{path}."), (F.array_position(F.transform(column, lambda x: x.contains(t)), True) - 1).cast("string"))
     t, steps = clause.source, []
     for field, test in (("nameExact", lambda x: x == t), ("namePrefix", lambda x: x.startswith(t)), ("name", lambda x: x.contains(t))):
         steps += _first([(test(x), p) for x, p in names], LADDER[field], field, t, "direct")
     steps += _first([(x.contains(t), p) for x, p in effects], LADDER["effect"], "effect", t, "direct")
     for column, path, field in lists:
-        if path:
-            steps += _first([(within(column, t), path)], LADDER[field], field, t, "direct")
+        steps += _first([(within(column, t), place(column, path, t))], LADDER[field], field, t, "direct")
     for term in clause.expansions:
         if term != t:
-            tests = [(x.contains(term), p) for x, p in [*names, *effects]] + [(within(c, term), p) for c, p, _ in lists if p]
+            tests = [(x.contains(term), p) for x, p in [*names, *effects]] + [(within(c, term), place(c, p, term)) for c, p, _ in lists]
             steps += _first(tests, LADDER["expansion"], "synonym", term, "queryExpansion")
     if s.concepts:
         for key in clause.concepts:
-            steps += _first([(F.array_contains("_c", normalize_query(key)), s.concepts)], LADDER["concept"], "concept", key, "concept")
+            steps += _first([(F.array_contains("_c", normalize_query(key)), F.lit(s.concepts))], LADDER["concept"], "concept", key, "concept")
     out = F.when(*steps[0])
     for test, value in steps[1:]:
         out = out.when(test, value)
@@ -209,10 +213,36 @@ def valid_ranges(text: Column, ranges: Column) -> Column:
     return F.filter(ranges, lambda r: (r["start"] >= 0) & (r["start"] < r["end"]) & (r["end"] <= n))
 
 
-def reason(m: Column, labels: dict[str, str]) -> Column:
-    """A match in words: the concept's label, or the matched term; expansions say what they came from."""
+def read_field(s: Surfaces, path: Column) -> Column:
+    """The raw text that a match's path names; null for paths of concepts and unknown ones."""
+    out = F.lit(None).cast("string")
+    for c in (*s.names, *s.effects):
+        out = F.when(path == c, F.col(c)).otherwise(out)
+    for c in (s.requirements, s.synonyms):
+        if c:
+            place = F.regexp_extract(path, rf"^{c}\.(\d+)$", 1).try_cast("int")
+            out = F.when(place.isNotNull(), F.get(F.col(c), place)).otherwise(out)
+    return out
+
+
+@pandas_udf(StringType())
+def first_surface(raw: pd.Series, term: pd.Series) -> pd.Series:
+    """The part of each raw text that the first of occurrences() of the term covers, as it is written there; null without one."""
+
+    def of(r: str | None, t: str | None) -> str | None:
+        spans = occurrences(r or "", t or "")
+        return r.encode("utf-16-le")[2 * spans[0][0] : 2 * spans[0][1]].decode("utf-16-le", "replace") if spans else None
+
+    return pd.Series([of(r, t) for r, t in zip(raw, term, strict=True)])
+
+
+def reason(m: Column, s: Surfaces, labels: dict[str, str], fields: dict[str, str] | None = None) -> Column:
+    """A match in words: the concept's label, or the text that was hit as it is written, after the label of its field."""
     label = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])[m["term"]] if labels else F.lit(None).cast("string")
-    return F.when(m["kind"] == "concept", F.concat(F.lit("concept: "), F.coalesce(label, m["term"]))).when(m["kind"] == "queryExpansion", F.concat(F.lit("related: "), m["term"])).otherwise(m["term"])
+    stem = F.regexp_replace(m["path"], r"\.\d+$", "")
+    field = F.coalesce(F.create_map(*[F.lit(x) for kv in fields.items() for x in kv])[stem], F.lit("match")) if fields else stem
+    shown = F.concat(F.when(m["kind"] == "queryExpansion", "related ").otherwise(""), field, F.lit(": "), F.coalesce(first_surface(read_field(s, m["path"]), m["term"]), m["term"]))
+    return F.when(m["kind"] == "concept", F.concat(F.lit("concept: "), F.coalesce(label, m["term"]))).otherwise(shown)
 
 
 def used_phrases(query: str, lexicon: Lexicon) -> Sequence[str]:

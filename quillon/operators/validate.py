@@ -45,15 +45,100 @@ def dangling(rows: DataFrame, reference: str, targets: DataFrame, target: str, k
     return rows.where(F.col(reference).isNotNull()).join(t, reference, "left_anti").select(key, F.lit(path or reference).alias("path"), F.col(reference).cast("string").alias("value"))
 
 
-def provenance_problems(entries: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
-    """(key, field, source_id, problem). entries: (key, field, source_id, confidence, locale); manifest: (source_id, confidence, locales, use_for)."""
-    m = manifest.select("source_id", F.col("confidence").alias("_c"), F.col("locales").alias("_l"), F.col("use_for").alias("_u"), F.lit(True).alias("_m"))
+def provenance_problems(entries: DataFrame, manifest: DataFrame, key: str, stale: str | None = None) -> DataFrame:
+    """(key, field, source_id, problem). entries: (key, field, source_id, confidence, locale); manifest: (source_id, confidence, locales, use_for).
+
+    stale: a pattern; with it the manifest has `note` too (address and warnings), and sources whose id or note match are stale_source.
+    """
+    m = manifest.select("source_id", F.col("confidence").alias("_c"), F.col("locales").alias("_l"), F.col("use_for").alias("_u"), F.lit(True).alias("_m"), *([F.col("note").alias("_note")] if stale else []))
     known = F.col("_m").isNotNull()
     checks = [(~known, "unknown_source"), (known & ~F.col("confidence").eqNullSafe(F.col("_c")), "confidence_drift"), (known & F.col("locale").isNotNull() & ~F.array_contains("_l", F.col("locale")), "locale_mismatch"), (known & ~F.array_contains("_u", F.col("field")), "use_not_allowed")]
+    if stale:
+        checks.append((known & F.concat_ws(" ", "source_id", "_note").rlike(stale), "stale_source"))
     problems = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for c, n in checks]))
     return entries.join(m, "source_id", "left").select(key, "field", "source_id", F.explode(problems).alias("problem"))
 
 
+#: Kinds of values that a decision may give a field.
+SHAPES = ("text", "category", "amount", "effect", "ranges", "unknown", "omitted")
+
+
+def shape_problem(kind: Column, value: Column, categories: Sequence[str]) -> Column:
+    """What is wrong with a decided value (a JSON text, null if omitted) of a kind; null if nothing is.
+
+    text: not empty; category: a known one; amount: a finite number from 0 on; effect: text without unresolved placeholders; ranges:
+    a non-empty list of ordered windows; unknown: an object that says so; omitted: nothing at all.
+    """
+    v = F.try_parse_json(value)
+    text = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    blank = F.coalesce(F.trim(text), F.lit("")) == ""
+    number = F.when(F.schema_of_variant(v).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double"))
+    point = "struct<stage:int,round:int>"
+    ranges = F.try_variant_get(v, "$", f"array<struct<start:{point},end:{point}>>")
+    good = lambda r: (r["start"]["stage"] >= 1) & (r["start"]["round"] >= 1) & (r["end"]["stage"] >= 1) & (r["end"]["round"] >= 1) & (r["start"] <= r["end"])
+    checks = {
+        "text": (blank, "empty text"), "category": (~F.coalesce(text.isin(*categories), F.lit(False)), "unknown category"), "amount": (~F.coalesce((number >= 0) & (number < float("inf")), F.lit(False)), "not an amount"),
+        "effect": (blank | F.coalesce(text.rlike(r"@[A-Za-z][A-Za-z0-9_]*(?:\s*\*\s*100)?@"), F.lit(False)), "empty or unresolved text"), "ranges": (~F.coalesce((F.size(ranges) > 0) & F.forall(ranges, lambda r: F.coalesce(good(r), F.lit(False))), F.lit(False)), "not ordered windows"),
+        "unknown": (~F.coalesce(F.try_variant_get(v, "$.status", "string") == "unknown", F.lit(False)), "not marked unknown"), "omitted": (value.isNotNull(), "must be left out")}
+    out = F.lit("unknown field")
+    for name, (wrong, problem) in checks.items():
+        out = F.when(kind == name, F.when(wrong, problem)).otherwise(out)
+    return out
+
+
+def production_problems(records: DataFrame, key: str, alternate: str, name: str, sources: str, fields: Sequence[str], placeholder: str, evidence: DataFrame) -> DataFrame:
+    """(key, path, problem) of a catalogue that is to be published.
+
+    repeated alternate ids; names that match the placeholder pattern; fields without provenance in the map of sources; names that
+    no row of evidence (source_id, name) of their source shows.
+    """
+    twice = records.where(F.col(alternate).isNotNull()).groupBy(alternate).agg(F.count("*").alias("_n")).where("_n > 1").select(alternate)
+    repeats = records.join(twice, alternate, "left_semi").select(key, F.lit(alternate).alias("path"), F.lit("repeated").alias("problem"))
+    checks = [(name, ~F.coalesce(F.col(name), F.lit("")).rlike(placeholder), "placeholder")] + [(f"{sources}.{f}", F.try_element_at(F.col(sources), F.lit(f)).isNotNull(), "no provenance") for f in fields]
+    source = F.try_element_at(F.col(sources), F.lit(name))["source_id"]
+    claimed = records.select(key, source.alias("source_id"), F.col(name).alias("name")).where("source_id is not null")
+    unseen = claimed.join(evidence.select("source_id").distinct(), "source_id", "left_semi").join(evidence.select("source_id", "name").distinct(), ["source_id", "name"], "left_anti")
+    return all_of(repeats, errors(records, key, checks), unseen.select(key, F.lit(name).alias("path"), F.lit("no evidence").alias("problem")))
+
+
+def rules_problems(rules: DataFrame, records: DataFrame, categories: Sequence[str], milestones: Sequence[int], effects: Sequence[str], positive: Sequence[str], flags: Sequence[str], model: str) -> DataFrame:
+    """(path, problem) of a nested rules dataset of one row: patch, categories in order, whole positive numbers, flags, milestones, model.
+
+    rules: patch, categories array, milestones map (level as text to effect), model, the columns in positive and flags (which must be
+    true); records: patch of every record, which must be the rules'.
+    """
+    patches = records.agg(F.count("*").alias("_n"), F.count_if(~F.coalesce(F.col("patch").eqNullSafe(F.lit(None)), F.lit(False))).alias("_with"), F.min("patch").alias("_least"), F.max("patch").alias("_most"))
+    r = rules.crossJoin(F.broadcast(patches))  # two single rows
+    levels = F.transform(F.map_keys("milestones"), lambda k: k.try_cast("int"))
+    checks = [("patch", F.trim("patch") != "", "empty"), ("records", (F.col("_n") > 0) & (F.col("_with") == F.col("_n")) & (F.col("_least") == F.col("patch")) & (F.col("_most") == F.col("patch")), "records of another patch"), ("categories", F.col("categories") == F.array(*map(F.lit, categories)), "not the categories in order")]
+    checks += [(c, (F.col(c) > 0) & (F.col(c) == F.floor(c)), "not a whole positive number") for c in positive] + [(c, F.col(c), "must be true") for c in flags]
+    checks += [("milestones", F.array_sort(levels) == F.array(*map(F.lit, milestones)), "not the milestones"), ("milestones", F.forall(F.map_values("milestones"), lambda e: e.isin(*effects)), "unknown effect"), ("model", F.col("model") == model, "unknown model")]
+    return errors(r.withColumn("_one", F.lit(1)), "_one", checks).select("path", "problem")
+
+
+def lexicon_problems(concepts: DataFrame, synonyms: DataFrame, taxonomy: DataFrame, groups: DataFrame, membership: DataFrame, patch: str, same: Sequence[str] = ("patch", "version", "digest", "records")) -> DataFrame:
+    """(part, key, problem) of a search lexicon: whether its artifacts fit the dataset and each other, and refer to concepts that exist.
+
+    concepts, synonyms: one row of metadata each; taxonomy: (key, label); groups: (group, aliases, concepts); membership: (key, concepts).
+    """
+    a = concepts.select(*[F.col(c).cast("string").alias(f"_a_{c}") for c in same])
+    b = synonyms.select(*[F.col(c).cast("string").alias(f"_b_{c}") for c in same])
+    differs = F.array_compact(F.array(*[F.when(~F.col(f"_a_{c}").eqNullSafe(F.col(f"_b_{c}")), F.lit(c)) for c in same], *[F.when(~F.col(f"_{x}_patch").eqNullSafe(F.lit(patch)), F.lit(f"{x}:patch")) for x in "ab"]))
+    meta = a.crossJoin(F.broadcast(b)).select(F.lit("metadata").alias("part"), F.explode(differs).alias("key"), F.lit("different").alias("problem"))
+    twice = taxonomy.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select(F.lit("taxonomy").alias("part"), "key", F.lit("repeated").alias("problem"))
+    empty = taxonomy.where("coalesce(key, '') = '' or coalesce(label, '') = ''").select(F.lit("taxonomy").alias("part"), F.coalesce("key", F.lit("")).alias("key"), F.lit("empty").alias("problem"))
+    known = taxonomy.select(F.col("key").alias("_concept")).distinct()
+    refers = lambda df, part, key: df.select(F.lit(part).alias("part"), F.col(key).alias("key"), F.explode(F.array_distinct("concepts")).alias("_concept")).join(known, "_concept", "left_anti").select("part", "key", F.lit("unknown concept").alias("problem")).distinct()
+    return all_of(meta, twice, empty, refers(groups, "groups", "group"), refers(membership, "membership", "key"))
+
+
+def publication_problems(pairs: Sequence[tuple[str, DataFrame, DataFrame]], counts: Sequence[tuple[str, DataFrame, int]]) -> DataFrame:
+    """(name, problem): published tables that differ from what they were made from, by digest, and tables of another size than agreed."""
+    out = [digest(a, sorted(a.columns)).alias("a").crossJoin(digest(b, sorted(a.columns)).alias("b")).select(F.lit(n).alias("name"), F.when(F.col("a.digest") != F.col("b.digest"), "different").alias("problem")) for n, a, b in pairs]
+    out += [df.agg(F.count("*").alias("_n")).select(F.lit(n).alias("name"), F.when(F.col("_n") != want, F.format_string(f"%d rows, not {want}", "_n")).alias("problem")) for n, df, want in counts]
+    return all_of(*out).where("problem is not null")
+
+
 def all_of(*tables: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 

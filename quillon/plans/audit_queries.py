@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.conditions import knowledge_state
 from quillon.operators import audit as A
 from quillon.operators import concepts as C
 from quillon.operators import provenance as V
@@ -43,12 +44,16 @@ def judged(t: Tables) -> DataFrame:
     return t.documents.join(t.labels, "doc_id", "left")
 
 
-@query("""SELECT field, state, count(*) AS n FROM (SELECT 'quality' AS field, CASE WHEN quality IS NULL AND lang = 'en' THEN 'unknown' WHEN quality IS NULL THEN 'missing' ELSE 'confirmed_value' END AS state FROM documents LEFT JOIN labels USING (doc_id)
-UNION ALL SELECT 'toxic', CASE WHEN toxic IS NULL THEN 'missing' WHEN toxic = 0 THEN 'confirmed_null' ELSE 'confirmed_value' END FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY 1, 2""")
+@query("""WITH d AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id)), x AS (SELECT 'quality' AS field, CASE WHEN quality = 1 THEN 'confirmed_value' WHEN quality = 0 THEN 'confirmed_null' WHEN lang = 'en' THEN 'unknown' WHEN lang = 'de' THEN 'legacy_value' WHEN lang = 'fr' THEN 'legacy_null' ELSE 'unknown' END AS state FROM d
+UNION ALL SELECT 'toxic', CASE WHEN toxic = 1 THEN 'confirmed_true' WHEN toxic = 0 THEN 'confirmed_false' WHEN lang = 'en' THEN 'unknown' WHEN n_chars > 2000 THEN 'legacy_true' ELSE 'legacy_false' END FROM d),
+b AS (SELECT 'quality' AS field, unnest(['confirmed_value', 'confirmed_null', 'unknown', 'legacy_value', 'legacy_null']) AS state UNION ALL SELECT 'toxic', unnest(['confirmed_true', 'confirmed_false', 'unknown', 'legacy_true', 'legacy_false']))
+SELECT field, state, (SELECT count(*) FROM x WHERE x.field = b.field AND x.state = b.state) AS n FROM b""")
 def q_knowledge_hist(t: Tables) -> DataFrame:
-    quality = (F.when(F.col("quality").isNotNull(), "confirmed").when(F.col("lang") == "en", "unknown"), F.col("quality"))
-    toxic = (F.when(F.col("toxic").isNotNull(), "confirmed"), F.nullif(F.col("toxic"), F.lit(0)))
-    return A.knowledge_histogram(judged(t), {"quality": quality, "toxic": toxic})
+    """Five buckets a field: confirmed by label, unknown by status or because it isn't there, or a plain older value."""
+    lang = F.col("lang")
+    quality = knowledge_state(F.when(F.col("quality").isNotNull(), "confirmed").when(lang == "en", "unknown"), F.nullif(F.col("quality"), F.lit(0)), F.when(lang == "de", F.col("n_chars")), lang.isin("de", "fr"))
+    toxic = knowledge_state(F.when(F.col("toxic").isNotNull(), "confirmed"), F.col("toxic") == 1, F.when(lang != "en", F.col("n_chars") > 2000), flag=True)
+    return A.knowledge_histogram(judged(t), {"quality": quality, "toxic": toxic}, flags=("toxic",))
 
 
 @query("SELECT field, confidence, count(*) AS n FROM (SELECT 'text' AS field, CASE WHEN lang = 'en' THEN 'official' ELSE 'observed' END AS confidence FROM documents UNION ALL SELECT 'source', CASE WHEN length(source) = 4 THEN 'official' ELSE 'unverified' END FROM documents) GROUP BY 1, 2")
@@ -72,6 +77,17 @@ def q_alias_audit(t: Tables) -> DataFrame:
     return A.occurrences(t.documents, F.col("text"), ALIASES)
 
 
+@query(f"SELECT term, doc_id, field FROM (SELECT doc_id, 'text' AS field, {norm('text')} AS f FROM documents UNION ALL SELECT doc_id, 'source', {norm('source')} FROM documents), (SELECT unnest({[*ALIASES, 'src3']}) AS term) WHERE contains(f, term)")
+def q_alias_list(t: Tables) -> DataFrame:
+    """Where each alias occurs, besides how often."""
+    return A.occurrence_list(t.documents, "doc_id", {"text": F.col("text"), "source": F.col("source")}, (*ALIASES, "src3"))
+
+
+@query("SELECT count(*) AS records, count(*) FILTER (p_size > 30) AS special, count(DISTINCT p_type) FILTER (p_size > 30) AS special_categories FROM part")
+def q_rules_summary(t: Tables) -> DataFrame:
+    return A.rules_summary(t.part.withColumn("special", F.col("p_size") > 30), "special", "p_type")
+
+
 def rules() -> tuple[C.Rule, ...]:
     """Rules of all kinds: plain, flagged, and guarded by record or by field."""
     return (C.Rule("licence", "(?i)licen[sc]ed? under"), C.Rule("licence", "All rights reserved", "needs_review", "wording"), C.Rule("contact", r"[\w.]+@[\w.]+", "needs_review", "personal"), C.Rule("shout", "[A-Z]{4,}!!"), C.Rule("german", "und", records=F.col("lang") == "de"), C.Rule("source_zero", "^src0$", fields=F.col("field") == "source"))

@@ -16,19 +16,60 @@ def q_html_title(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).cast("long").alias("links"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS shown FROM pages""")
+_NAMED = "replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39))"
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(" + _NAMED.format(r"regexp_replace(regexp_replace(html, '(?is)<(?:script|style)\b.*?</(?:script|style)>', '', 'g'), '(?s)<[^>]+>', ' ', 'g')") + r", '\s+', ' ', 'g'), ' ([.,;:!?])', '\1', 'g')) AS shown FROM pages")
 def q_visible_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.visible_text(F.col("html")).alias("shown"))
 
 
+@query("SELECT p_partkey, 'a' || chr(60 + p_size) || 'b' || chr(97 + p_size % 26) || '😀 < x, y! &#99999999; &#x; &#12' AS shown FROM part")
+def q_character_references(t: Tables) -> DataFrame:
+    """Decimal and hexadecimal references, one that a decoded ampersand begins, numbers of no character, unfinished ones."""
+    hexed = F.hex((97 + F.col("p_size") % 26).cast("long"))
+    page = F.format_string("<script>no</script>a&#%d;b&#X%s;&#x1F600; &amp;lt;<br> x , y ! &#99999999; &#x; &#12", 60 + F.col("p_size"), hexed)
+    return t.part.select("p_partkey", T.visible_text(page).alias("shown"))
+
+
 @query("""SELECT page_id, array_to_string(regexp_extract_all(html, 'class="ad"[^>]*>([^<]*)<', 1), '~') AS titles FROM pages""")
 def q_class_titles(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.array_join(S.titles(F.col("html"), "ad"), "~").alias("titles"))
 
 
-@query("""SELECT page_id, regexp_extract(html, '(?s)class="ad">(.*?)</div>', 1) AS inner_html FROM pages""")
+@query("""SELECT page_id, array_to_string(regexp_extract_all(html, '(?s)class="ad">(.*?)</div>', 1), '~') AS inner_html FROM pages""")
 def q_class_elements(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.element_at(S.class_elements("ad")("html"), 1).alias("inner_html"))
+    return t.pages.select("page_id", F.array_join(S.class_elements("ad")("html"), "~").alias("inner_html"))
+
+
+@query("SELECT p_partkey, 2::BIGINT AS n, 'x<div class=\"c\">' || p_name || '</div>' AS first_one FROM part")
+def q_nested_elements(t: Tables) -> DataFrame:
+    """An element of the class within one of the class is no match of its own; names that only begin alike are none."""
+    page = F.concat(F.lit('<div class="a c">x<div class="c">'), "p_name", F.lit('</div></div><p class="c-x">no</p><div class="c">z</div>'))
+    return t.part.select("p_partkey", S.class_elements("c")(page).alias("e")).select("p_partkey", F.size("e").cast("long").alias("n"), F.get("e", 0).alias("first_one"))
+
+
+def card_pages(t: Tables) -> DataFrame:
+    """A page of one rendered card for each part."""
+    size = F.col("p_size")
+    page = F.format_string('<ul><li class="card" data-category="%s"><div class="name-cell">%s</div><div class="cost-cell">cost %d</div><div class="description-cell">gain &amp; lose</div><div class="hint">Requirements: level %d</div><div class="stage-info">2-1 to 3-%d, 4-%d ~ 5-7</div><p>%s</p></li></ul>', "p_type", "p_name", size, size, 1 + size % 7, 1 + size % 5, F.when(size % 2 == 0, "Once per game. Reoffered after 3 shops").otherwise("often"))
+    return t.part.select("p_partkey", page.alias("page"))
+
+
+@query("SELECT p_partkey, p_name AS name, p_size::DOUBLE AS cost, 'gain & lose' AS effect, p_type AS category, CASE WHEN p_size % 2 = 0 THEN 3 END AS cooldown, CASE WHEN p_size % 2 = 0 THEN true END AS once, 1 + p_size % 7 AS first_end, 1 + p_size % 5 AS second_start FROM part")
+def q_rendered_cards(t: Tables) -> DataFrame:
+    rows = S.card_rows(card_pages(t), "p_partkey", "page")
+    return rows.select("p_partkey", "name", "cost", "effect", "category", "cooldown", "once", F.col("ranges")[0]["end"]["round"].alias("first_end"), F.col("ranges")[1]["start"]["round"].alias("second_start"))
+
+
+@query("SELECT p_partkey, problem FROM part, (SELECT unnest(['wrong_identity', 'no_records', 'undeclared', 'count_mismatch']) AS problem) WHERE CASE problem WHEN 'wrong_identity' THEN p_size % 5 = 0 WHEN 'no_records' THEN p_size % 3 = 0 WHEN 'undeclared' THEN p_size % 4 = 0 ELSE p_size % 4 <> 0 AND (CASE WHEN p_size % 3 = 0 THEN 0 ELSE 1 END) <> p_size % 4 END")
+def q_import_problems(t: Tables) -> DataFrame:
+    size = F.col("p_size")
+    where = F.when(size % 5 == 0, "http://else.example/").when(size % 2 == 0, '').otherwise("")
+    head = F.when(size % 5 == 0, '<link rel="canonical" href="http://else.example/x">').when(size % 2 == 0, '<meta property="og:url" content="http://parts.example/list">').otherwise('<link rel="canonical" href="http://parts.example/list">')
+    said = F.when(size % 4 != 0, F.format_string("All %d items", size % 4)).otherwise("some items")
+    pages = t.part.select("p_partkey", F.concat(head, said, where).alias("page"))
+    return S.import_problems(pages, t.part.where("p_size % 3 <> 0"), "p_partkey", "page", "^http://parts[.]example/", r"All (\d+) items")
 
 
 PAYLOAD = """concat('<script type="application/json">{"items": [{"name": "n', event_id, '", "cost": ', user_id, ', "desc": "', event_type, '"}, {"other": 1}], "more": ', props, '}</script>')"""
@@ -110,9 +151,29 @@ def q_placeholders(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.inline(T.placeholders(F.lit("adds @Size@ and @Price*100@, not @Missing@"), values)))
 
 
-@query("SELECT p_partkey, '{\"a\":\"' || p_type || '\",\"b\":\"' || p_name || '\"}' AS json FROM part")
+@query("SELECT p_partkey, '{\"a\":{\"c\":[1,{\"x\":null,\"y\":' || p_size || '}],\"d\":\"' || p_type || '\"},\"b\":\"' || p_name || '\"}' AS json FROM part")
 def q_canonical_json(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", T.canonical_map_json(F.create_map(F.lit("b"), F.col("p_name"), F.lit("a"), F.col("p_type"))).alias("json"))
+    """Keys are sorted at every depth, also of objects within arrays."""
+    text = F.format_string('{"b": "%s", "a": {"d": "%s", "c": [1, {"y": %d, "x": null}]}}', "p_name", "p_type", "p_size")
+    return t.part.select("p_partkey", T.canonical_json(text).alias("json"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'more ' || p_name END AS second FROM part")
+def q_distinct_second(t: Tables) -> DataFrame:
+    second = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("<b>more</b> "), "p_name")).when(F.col("p_size") % 3 == 1, F.concat(F.lit("<i>"), "p_name", F.lit("</i>")))
+    return t.part.select("p_partkey", T.distinct_second(F.col("p_name"), second).alias("second"))
+
+
+@query("SELECT p_partkey, p_name || ' of ' || p_type AS plain FROM part")
+def q_strip_tags(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", T.strip_tags(F.concat(F.lit(" <p class='x'>"), "p_name", F.lit("</p> of <br/>"), "p_type", F.lit(" "))).alias("plain"))
+
+
+@query("SELECT doc_id, regexp_replace(lower(source || '-É ' || lang), '[^\\p{L}\\p{N}]', '', 'g') AS key FROM documents")
+def q_review_key(t: Tables) -> DataFrame:
+    """Full-width letters come to plain ones; accents stay."""
+    text = F.concat(F.translate("source", "src", "ｓｒｃ"), F.lit("-E\u0301 "), "lang")
+    return t.documents.select("doc_id", T.review_key(text).alias("key"))
 
 
 @query("SELECT doc_id, length(text) AS units FROM documents")

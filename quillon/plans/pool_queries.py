@@ -43,7 +43,7 @@ def q_exclude_anti(t: Tables) -> DataFrame:
 
 
 def windows(t: Tables) -> DataFrame:
-    """Each user's windows: from first to last event of each type, with a window per day of the epoch."""
+    """Each user's windows: from first to last event of each type. There are as many as types of events, so a list stays short."""
     spans = t.events.groupBy("user_id", "event_type").agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
     return spans.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
 
@@ -168,3 +168,66 @@ def q_playable_round(t: Tables) -> DataFrame:
 def q_form_number(t: Tables) -> DataFrame:
     text = F.when(F.col("event_type") == "click", "x1").when(F.col("event_type") == "view", F.concat(F.lit(" "), F.col("value").cast("string"))).when(F.col("event_type") == "error", "-3").otherwise("")
     return t.events.select("event_id", I.optional_number(text).alias("number"))
+
+
+@query("SELECT * FROM (VALUES (1, 'hp potion'), (2, 'HP2')) v(k, name)")
+def q_index_filter_compatible(t: Tables) -> DataFrame:
+    rows = t._spark.createDataFrame([(1, "hp potion", True), (2, "HP2", True), (3, "mana", True)], "k int, name string, has_special_rules boolean").withColumn("wide", F.translate("name", "hpHP", "ｈｐＨＰ"))
+    return rows.where(P.named_like("wide", "Hp", special_only=True)).select("k", "name")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (1, 2, 3)")
+def q_exclude_keeps_null(t: Tables) -> DataFrame:
+    """A row without id is none of the excluded ones, whether these are few or many."""
+    orders = t.orders.withColumn("o_custkey", F.nullif("o_custkey", F.lit(0)))
+    few = P.candidate_pool(orders, P.Criteria(excluded=(1, 2, 3)), P.Columns(id="o_custkey"))
+    many = P.candidate_pool(orders, P.Criteria(excluded=(1, 2, 3, *range(-2000, 0))), P.Columns(id="o_custkey"))
+    return few.join(many.select("o_orderkey"), "o_orderkey", "left_semi").select("o_orderkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size % 2 = 0 OR p_size <= 20")
+def q_condition_missing_list(t: Tables) -> DataFrame:
+    """A missing list of conditions rejects nothing."""
+    none = {"v_str": "string", "v_bool": "boolean", "v_arr": "array<string>"}
+    condition = F.struct(F.lit("gold").alias("type"), F.lit(">=").alias("operator"), F.col("p_size").cast("double").alias("v_num"), *[F.lit(None).cast(k).alias(n) for n, k in none.items()], F.lit(True).alias("evaluable"))
+    rows = t.part.withColumn("conditions", F.when(F.col("p_size") % 2 == 1, F.array(condition)))
+    return P.candidate_pool(rows, P.Criteria(state={"gold": 20}), P.Columns(id="p_partkey", conditions="conditions")).select("p_partkey")
+
+
+FORMS = ({"stage": "3-2", "from": "2-1", "to": "4-1", "gold": "x"}, {"from": "2-1", "to": "4-1", "gold": " 7.5 "}, {"from": "4-1", "to": "2-1"}, {"stage": "9-9"}, {"min_cost": "-1", "max_cost": "3"})
+
+
+@query("SELECT * FROM (VALUES (0, '3-2', NULL, NULL::DOUBLE, NULL::DOUBLE, 'not a number: gold'), (1, NULL, '2-1 to 4-1', 7.5::DOUBLE, NULL::DOUBLE, NULL), (2, NULL, NULL, NULL, NULL, 'the range can''t be read'), (3, NULL, NULL, NULL, NULL, 'the point can''t be read'), (4, NULL, NULL, NULL, 3.0::DOUBLE, 'not a number: min_cost')) v(form, point, span, gold, max_cost, message)")
+def q_form_criteria(t: Tables) -> DataFrame:
+    """What forms come to: an exact point suppresses the range; a field that can't be read is as if not asked, with advice."""
+    shown = lambda p: None if p is None else f"{p[0]}-{p[1]}"
+    rows = []
+    for i, form in enumerate(FORMS):
+        c = P.criteria_from_form(form)
+        rows.append((i, shown(c.point), " to ".join(map(shown, c.range)) if c.range else None, c.gold, c.max_cost, P.form_message(form)))
+    return t._spark.createDataFrame(rows, "form int, point string, span string, gold double, max_cost double, message string")
+
+
+@query("SELECT p_partkey, round(1 / (SELECT count(*) FROM part), 12) AS probability FROM part")
+def q_card_probability(t: Tables) -> DataFrame:
+    """In an uncertain slot a card shows the ordinary slot's probability."""
+    return Pr.per_card(t.part, F.col("p_type") == "PROMO", "uncertain").select("p_partkey", F.round("probability", 12).alias("probability"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN p_size WHEN p_size % 4 = 1 THEN -p_size END AS known FROM part")
+def q_known_value(t: Tables) -> DataFrame:
+    """A confirmed value, a plain one; null for what is unknown or confirmed to be nothing."""
+    k = F.col("p_size") % 4
+    status = F.when(k == 0, "confirmed").when(k == 2, "unknown").when(k == 3, "confirmed")
+    return t.part.select("p_partkey", C.known_value(status, F.when(k == 0, F.col("p_size")), -F.col("p_size")).alias("known"))
+
+
+@query("SELECT p_partkey, problem IS NULL AS fits FROM (SELECT p_partkey, CASE p_size % 8 WHEN 1 THEN 'x' WHEN 4 THEN 'x' WHEN 6 THEN 'x' WHEN 7 THEN 'x' END AS problem FROM part)")
+def q_condition_fits(t: Tables) -> DataFrame:
+    """Which operators go with which values: number with >=, none with <, text with =, list with in, an empty list, a name with active, none with inactive, no operator where a machine should decide."""
+    from quillon.operators.validate import condition_fits
+
+    k, null = F.col("p_size") % 8, F.lit(None)
+    op = F.element_at(F.array(*map(F.lit, (">=", "<", "=", "in", "in", "active", "inactive", None))), (k + 1).cast("int"))
+    r = F.struct(op.alias("operator"), F.when(k == 0, 1.0).alias("v_num"), F.when(k.isin(2, 5), "t").alias("v_str"), null.cast("boolean").alias("v_bool"), F.when(k == 3, F.array(F.lit("a"))).when(k == 4, F.array().cast("array<string>")).alias("v_arr"), F.lit(True).alias("evaluable"))
+    return t.part.select("p_partkey", F.coalesce(condition_fits(r), F.lit(False)).alias("fits"))

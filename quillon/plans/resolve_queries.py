@@ -71,21 +71,77 @@ def q_dice_topk(t: Tables) -> DataFrame:
 
 @query(f"WITH {FUZZY}, m AS (SELECT p_name, max(score) FILTER (rank = 1) AS best, max(score) FILTER (rank = 2) AS second FROM f GROUP BY 1) SELECT p_name, round(best, 9) AS best, round(best - second, 9) AS margin, CASE WHEN best - second < 0.1 THEN 'ambiguous' ELSE 'candidate' END AS status, best < 0.5 AS unresolved FROM m")
 def q_ambiguous_margin(t: Tables) -> DataFrame:
-    return R.margins(fuzzy(t), "p_name").withColumns({c: F.round(c, 9) for c in ("best", "margin")})
+    return R.margins(fuzzy(t), "p_name", left=t.part).withColumns({c: F.round(c, 9) for c in ("best", "margin")})
 
 
-@query("SELECT a.p_name AS a, b.p_name AS b, round(1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 9) AS similarity FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT p_name FROM part) b WHERE a.p_name < b.p_name")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 0.9::DOUBLE WHEN c_custkey % 3 = 1 THEN 0.4::DOUBLE END AS best, c_custkey % 3 > 0 AS unresolved FROM customer")
+def q_unresolved(t: Tables) -> DataFrame:
+    """A row without any candidate is unresolved, as one with a weak one is."""
+    k = F.col("c_custkey") % 3
+    candidates = t.customer.where(k < 2).select("c_custkey", F.when(k == 0, 0.9).otherwise(0.4).alias("score"), F.lit(1).alias("rank"))
+    return R.margins(candidates, "c_custkey", left=t.customer).select("c_custkey", "best", "unresolved")
+
+
+@query("""WITH l AS (SELECT DISTINCT p_type, p_size FROM part), r AS (SELECT DISTINCT p_type AS rt, p_size AS rs FROM part), p AS (SELECT p_type, p_size, rt || rs AS target, CASE WHEN p_type = rt THEN 1 ELSE 0 END + 0.25 * CASE WHEN p_type = rt THEN 1 ELSE 0 END + 0.15 * (p_type = rt)::INT + 0.10 * (p_size = rs)::INT AS score FROM l, r)
+SELECT p_type, p_size, target, rank::INT AS rank, round(score, 9)::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY p_type, p_size ORDER BY score DESC, target) AS rank FROM p) WHERE rank <= 3""")
+def q_discovery_score(t: Tables) -> DataFrame:
+    """The fixed weights of effect, name, category and cost, over two small catalogues."""
+    rows = t.part.select("p_type", "p_size").distinct()
+    left, right = rows.withColumn("l", F.concat("p_type", F.lit("/"), F.col("p_size").cast("string"))), rows.select(F.col("p_type").alias("rt"), F.col("p_size").alias("rs"), F.concat("p_type", F.col("p_size").cast("string")).alias("target"))
+    same = (F.col("p_type") == F.col("rt")).cast("double")
+    score = R.discovery_score(same, [same, F.lit(0.0)], F.col("p_type") == F.col("rt"), F.col("p_size") == F.col("rs"))
+    return R.fuzzy_candidates(left, right, "l", "target", F.round(score, 12)).select("p_type", "p_size", "target", "rank", F.round("score", 9).alias("score"))
+
+
+@query("SELECT p_partkey, round(1 - levenshtein(p_name, lower(p_type) || ' ' || p_brand) / greatest(length(p_name), length(p_type || p_brand) + 1), 9) AS similarity FROM part")
 def q_levenshtein(t: Tables) -> DataFrame:
-    names = t.part.select("p_name").distinct()
-    pairs = names.select(F.col("p_name").alias("a")).join(names.select(F.col("p_name").alias("b")), F.col("a") < F.col("b"))
-    return pairs.withColumn("similarity", F.round(T.edit_similarity(F.col("a"), F.col("b")), 9))
+    other = F.concat_ws(" ", F.lower("p_type"), "p_brand")
+    return t.part.select("p_partkey", F.round(T.edit_similarity(F.col("p_name"), other), 9).alias("similarity"))
+
+
+KINDS = "CASE WHEN count(*) = 1 THEN 'single' WHEN count(DISTINCT p_brand) = 1 THEN 'exact_duplicate' WHEN count(DISTINCT lower(p_type)) = 1 THEN 'equivalent_duplicate' ELSE 'conflicting_duplicate' END"
 
 
-@query("""SELECT p_name AS key, count(*) AS rows, CASE WHEN count(DISTINCT p_brand) = 1 THEN 'exact_duplicate' WHEN count(DISTINCT lower(p_type)) = 1 THEN 'equivalent_duplicate' ELSE 'conflicting_duplicate' END AS status FROM part GROUP BY 1 HAVING count(*) > 1""")
+@query(f"SELECT * FROM (SELECT p_name AS key, count(*) AS rows, {KINDS} AS status, {KINDS} = 'conflicting_duplicate' AS blocked FROM part GROUP BY 1) WHERE rows > 1")
 def q_dup_classify(t: Tables) -> DataFrame:
     return R.duplicate_audit(t.part.withColumnRenamed("p_name", "key"), "key", F.col("p_brand"), F.lower("p_type"))
 
 
+def named_clients(t: Tables) -> DataFrame:
+    """Client rows with variants, exact, equivalent and conflicting duplicates, and names of one canonical key."""
+    k = F.col("o_orderkey") % 97
+    name = F.concat(F.when(k % 5 == 4, "18_").otherwise("DA_"), F.lit("C"), (k % 40).cast("string"), F.when(k % 7 == 1, "_Upgrade").when(k % 7 == 2, "_Prismatic").otherwise(F.when(k % 2 == 0, "18").otherwise("")))
+    raw = F.when(k % 3 == 0, F.lit('{"a":1,"b":2}')).when(k % 3 == 1, F.when(F.col("o_orderkey") % 2 == 0, '{"b":2,"a":1}').otherwise('{"a":1,"b":2}')).otherwise(F.concat(F.lit('{"a":'), (F.col("o_orderkey") % 4).cast("string"), F.lit("}")))
+    return t.orders.select("o_orderkey", name.alias("name"), raw.alias("raw"))
+
+
+CLIENTS = """c AS (SELECT o_orderkey, CASE WHEN k % 5 = 4 THEN '18_' ELSE 'DA_' END || 'C' || (k % 40) || CASE WHEN k % 7 = 1 THEN '_Upgrade' WHEN k % 7 = 2 THEN '_Prismatic' WHEN k % 2 = 0 THEN '18' ELSE '' END AS name, CASE WHEN k % 3 = 0 THEN 'x' WHEN k % 3 = 1 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'y' ELSE 'x' END ELSE 'z' || (o_orderkey % 4) END AS raw, CASE WHEN k % 3 = 2 THEN 'z' || (o_orderkey % 4) ELSE 'x' END AS canon FROM (SELECT o_orderkey, o_orderkey % 97 AS k FROM orders)),
+g AS (SELECT name, count(*) AS n, min(o_orderkey) AS first, CASE WHEN name LIKE '%Prismatic' THEN 'prismatic' WHEN name LIKE '%Upgrade' THEN 'upgrade' ELSE 'base' END AS kind, CASE WHEN count(*) = 1 THEN 'single' WHEN count(DISTINCT raw) = 1 THEN 'exact_duplicate' WHEN count(DISTINCT canon) = 1 THEN 'equivalent_duplicate' ELSE 'conflicting_duplicate' END AS status FROM c GROUP BY name),
+b AS (SELECT *, nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(name), '^da_', ''), '^18_', ''), '18$', ''), '[^a-z0-9]', '', 'g'), '') AS canonical FROM g WHERE kind = 'base' AND status <> 'conflicting_duplicate'),
+per AS (SELECT canonical, count(*) AS n, min(name) AS name FROM b WHERE canonical IS NOT NULL GROUP BY 1)"""
+
+
+@query(f"WITH {CLIENTS} SELECT name, first AS o_orderkey FROM g WHERE status <> 'conflicting_duplicate'")
+def q_safe_rows(t: Tables) -> DataFrame:
+    """The first row of each name whose payloads don't conflict; key order within a payload doesn't matter."""
+    return R.safe_rows(named_clients(t), "name", F.col("raw"), T.canonical_json(F.col("raw")), "o_orderkey").select("name", "o_orderkey")
+
+
+@query(f"WITH {CLIENTS} SELECT canonical, name FROM per WHERE n = 1")
+def q_canonical_index(t: Tables) -> DataFrame:
+    """Canonical keys that may be looked up: those that several names come to are left out."""
+    safe = R.safe_rows(named_clients(t), "name", F.col("raw"), T.canonical_json(F.col("raw")), "o_orderkey")
+    return R.canonical_index(safe, T.client_key(F.col("name")), "name").select("canonical", "name")
+
+
+@query(f"""WITH {CLIENTS} SELECT sum(n)::BIGINT AS raw_rows, coalesce(sum(n) FILTER (kind = 'base'), 0)::BIGINT AS raw_base, coalesce(sum(n) FILTER (kind = 'upgrade'), 0)::BIGINT AS raw_upgrade, coalesce(sum(n) FILTER (kind = 'prismatic'), 0)::BIGINT AS raw_prismatic, count(*) AS names,
+count(*) FILTER (kind = 'base' AND status <> 'conflicting_duplicate') AS safe_base, count(*) FILTER (kind = 'upgrade' AND status <> 'conflicting_duplicate') AS safe_upgrade, count(*) FILTER (kind = 'prismatic' AND status <> 'conflicting_duplicate') AS safe_prismatic,
+count(*) FILTER (status = 'exact_duplicate') AS exact_duplicate, count(*) FILTER (status = 'equivalent_duplicate') AS equivalent_duplicate, count(*) FILTER (status = 'conflicting_duplicate') AS conflicting_duplicate, coalesce(sum(n - 1) FILTER (status <> 'conflicting_duplicate'), 0)::BIGINT AS rows_saved,
+(SELECT count(*) FROM per WHERE n > 1) AS canonical_collisions, (SELECT count(*) FROM per WHERE n = 1) AS base_identities FROM g""")
+def q_duplicate_metrics(t: Tables) -> DataFrame:
+    return R.duplicate_metrics(named_clients(t), "name", F.col("raw"), T.canonical_json(F.col("raw")), T.variant_kind(F.col("name")), T.client_key(F.col("name")), "o_orderkey")
+
+
 @query(f"SELECT {norm('split_part(text, chr(10), 1)')} AS canonical, array_to_string(list_sort(list(DISTINCT split_part(text, chr(10), 1))), '~') AS names FROM documents GROUP BY 1 HAVING count(DISTINCT split_part(text, chr(10), 1)) > 1")
 def q_collisions(t: Tables) -> DataFrame:
     docs = t.documents.withColumn("line", F.substring_index("text", "\n", 1))
@@ -114,11 +170,21 @@ def q_source_only(t: Tables) -> DataFrame:
     return t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
-@query("SELECT a.doc_id AS a, b.doc_id AS b, a.lang AS left_lang, b.lang AS right_lang FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id WHERE a.lang <> b.lang OR a.source <> b.source")
+@query("""WITH l AS (SELECT text, min(doc_id) AS l, min(source) AS ls FROM documents WHERE length(source) = 4 AND text <> '' GROUP BY 1 HAVING count(*) = 1), r AS (SELECT text, min(doc_id) AS r, min(source) AS rs FROM documents WHERE length(source) <> 4 AND text <> '' GROUP BY 1 HAVING count(*) = 1)
+SELECT l, r, right(ls, 1) AS left_category, right(rs, 1) AS right_category FROM l JOIN r USING (text) WHERE right(ls, 1) <> right(rs, 1)""")
 def q_category_discrepancy(t: Tables) -> DataFrame:
-    x, y = t.documents.alias("x"), t.documents.alias("y")
-    pairs = x.join(y, (F.col("x.text") == F.col("y.text")) & (F.col("x.doc_id") < F.col("y.doc_id")))
-    return pairs.where((F.col("x.lang") != F.col("y.lang")) | (F.col("x.source") != F.col("y.source"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.lang").alias("left_lang"), F.col("y.lang").alias("right_lang"))
+    """Confirmed matches whose categories differ: a match is one to one, so copies make no pairs."""
+    left, right = halves(t)
+    found = R.cascade(left, right, [("exact", F.col("lt"), F.col("rt"), True)], "l", "r")
+    category = t.documents.select("doc_id", F.right("source", F.lit(1)).alias("c"))
+    both = found.join(category.select(F.col("doc_id").alias("l"), F.col("c").alias("left_category")), "l").join(category.select(F.col("doc_id").alias("r"), F.col("c").alias("right_category")), "r")
+    return both.where("left_category <> right_category").select("l", "r", "left_category", "right_category")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_size > 20 AND p_type = 'PROMO' THEN 'all_present' WHEN p_size % 2 = 1 AND p_size <= 20 AND p_type <> 'PROMO' THEN 'all_absent' ELSE 'presence_conflict' END AS status FROM part")
+def q_presence_audit(t: Tables) -> DataFrame:
+    """Whether three sources agree that a field is there."""
+    return t.part.select("p_partkey", R.presence_audit(F.col("p_size") % 2 == 0, F.col("p_size") > 20, F.when(F.col("p_type") == "PROMO", True)).alias("status"))
 
 
 @query("""SELECT p_partkey, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') AS returned, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AS bulk, p_type = 'PROMO' AS promo,
@@ -148,6 +214,23 @@ def q_review_union(t: Tables) -> DataFrame:
     return R.review_union(queues, "c_custkey").select("c_custkey", F.array_join("reasons", ",").alias("reasons"))
 
 
+@query("""WITH q AS (SELECT c_custkey AS k, 1 AS i, 'low' AS n, c_acctbal AS v FROM customer WHERE c_acctbal < 3000 UNION ALL SELECT s_suppkey, 2, 'supplier', s_acctbal FROM supplier) SELECT k, string_agg(n, ',' ORDER BY i) AS reasons, arg_min(v, i) AS v FROM q GROUP BY 1""")
+def q_review_first_row(t: Tables) -> DataFrame:
+    """Each identity keeps the row of the first queue that has it."""
+    queues = [("low", t.customer.where("c_acctbal < 3000").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))), ("supplier", t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v")))]
+    return R.review_union(queues, "k", ["v"]).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("""WITH c AS (SELECT o_custkey AS k, o_orderkey AS target, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders WHERE o_orderstatus = 'O')
+SELECT c_custkey AS k, coalesce((SELECT string_agg(target, ',' ORDER BY n) FROM c WHERE c.k = c_custkey AND n <= 3), '') AS candidates, (SELECT min(s_name) FROM supplier WHERE s_suppkey = c_custkey) AS client, coalesce((SELECT string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F'), '') AS names, 'insufficient_evidence' AS action FROM customer""")
+def q_unmatched_queue(t: Tables) -> DataFrame:
+    """Unmatched rows with their best candidates, client evidence and other names; nothing is decided."""
+    orders = t.orders.withColumnRenamed("o_custkey", "k")
+    candidates = orders.where("o_orderstatus = 'O'").select("k", F.col("o_orderkey").alias("target"), F.col("o_totalprice").alias("score"))
+    out = R.unmatched_queue(t.customer.select(F.col("c_custkey").alias("k")), "k", candidates, t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("client")), orders.where("o_orderstatus = 'F'").select("k", F.col("o_orderpriority").alias("other")))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("candidates", "names")})
+
+
 @query("SELECT a.s_suppkey AS supplier, b.c_custkey AS customer FROM supplier a JOIN customer b ON a.s_suppkey = b.c_custkey WHERE a.s_acctbal <> b.c_acctbal")
 def q_cost_conflict(t: Tables) -> DataFrame:
     return t.supplier.join(t.customer, F.col("s_suppkey") == F.col("c_custkey")).where("s_acctbal <> c_acctbal").select(F.col("s_suppkey").alias("supplier"), F.col("c_custkey").alias("customer"))
@@ -159,11 +242,29 @@ def q_conditional_edges(t: Tables) -> DataFrame:
     return R.conditional_edges(exact, "p_name", 0.6).select("p_name", "target")
 
 
-@query("""WITH s AS (SELECT c_custkey, count(o_orderkey) FILTER (o_orderstatus = 'F') AS f, count(o_orderkey) FILTER (o_orderstatus = 'O') AS o, list_sort(list(DISTINCT o_orderkey) FILTER (o_orderpriority = '1-URGENT')) AS u FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
-SELECT c_custkey, CASE WHEN len(u) = 1 THEN 'same_identity' ELSE 'insufficient_evidence' END AS action, CASE WHEN len(u) = 1 THEN u[1] END AS target, CASE WHEN len(u) = 1 THEN NULL WHEN f > 0 AND f >= 2 AND o >= 1 AND coalesce(len(u), 0) = 0 THEN 'strong' WHEN f > 0 THEN 'moderate' ELSE 'none' END AS missing_hypothesis FROM s""")
+@query("""WITH s AS (SELECT c_custkey, count(o_orderkey) FILTER (o_orderstatus = 'F') AS f, count(o_orderkey) FILTER (o_orderstatus = 'O') AS o, coalesce(list_sort(list(DISTINCT o_orderkey) FILTER (o_orderpriority = '1-URGENT')), []) AS u, count(o_orderkey) FILTER (o_totalprice > 400000) AS left_over FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
+SELECT c_custkey, CASE WHEN len(u) = 1 THEN 'same_identity' ELSE 'insufficient_evidence' END AS action, CASE WHEN len(u) = 1 THEN u[1] END AS target, CASE WHEN len(u) > 0 OR f = 0 THEN 'none' WHEN left_over = 0 AND f >= 2 AND o >= 1 THEN 'strong' ELSE 'moderate' END AS missing_hypothesis FROM s""")
 def q_identity_proposals(t: Tables) -> DataFrame:
-    sums = t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count_if(F.col("o_orderstatus") == "O").alias("o"), F.array_sort(F.collect_set(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey")))).alias("u"))
-    return R.proposals(sums, "c_custkey", F.col("u"), F.col("f") > 0, F.col("f"), F.col("o"))
+    sums = t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count_if(F.col("o_orderstatus") == "O").alias("o"), F.array_sort(F.collect_set(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey")))).alias("u"), F.count_if(F.col("o_totalprice") > 400000).alias("left_over"))
+    return R.proposals(sums, "c_custkey", F.col("u"), F.col("f") > 0, F.col("f"), F.col("o"), F.col("left_over"))
+
+
+@query("""WITH l AS (SELECT DISTINCT p_type || '-' || (p_size % 3) AS name, p_type AS kind, p_size % 3 AS n FROM part), r AS (SELECT DISTINCT lower(p_type) || '+' || (p_size % 4) AS target, p_type AS rk, p_size % 4 AS rn FROM part),
+p AS (SELECT name, target, kind = rk AND n = rn AS by_id, lower(kind) = lower(rk) AND rn = 0 AS by_name, rn = 3 AND n = 2 AND kind = rk AS reviewed, 1 - levenshtein(regexp_replace(lower(name), '[^a-z0-9]', '', 'g'), regexp_replace(target, '[^a-z0-9]', '', 'g')) / greatest(length(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')), length(regexp_replace(target, '[^a-z0-9]', '', 'g'))) AS nm, kind = rk AS cat, n = rn AS cost FROM l, r),
+s AS (SELECT *, by_id OR reviewed AS binds, round(0.55 * nm + 0.25 * 0 + 0.10 * cat::INT + 0.05 * cost::INT + 0.05 * 0, 9) AS score FROM p),
+u AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, target) AS i FROM s WHERE NOT binds AND (round(nm, 9) >= 0.6 OR score >= 0.62)), b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, target) AS i FROM s)
+SELECT name, coalesce((SELECT string_agg(target, ',' ORDER BY target) FROM s WHERE s.name = l.name AND by_id), '') AS by_id, coalesce((SELECT string_agg(target, ',' ORDER BY target) FROM s WHERE s.name = l.name AND by_name), '') AS by_name, coalesce((SELECT string_agg(target, ',' ORDER BY target) FROM s WHERE s.name = l.name AND binds), '') AS targets,
+coalesce((SELECT string_agg(target, ',' ORDER BY i) FROM u WHERE u.name = l.name AND i <= 10), '') AS unresolved, (SELECT string_agg(target, ',' ORDER BY i) FROM b WHERE b.name = l.name AND i <= 5) AS best FROM l""")
+def q_identity_search(t: Tables) -> DataFrame:
+    """Exact tiers of which some bind, plausible candidates that remain unresolved, and the best by the fixed weights."""
+    left = t.part.select(F.concat_ws("-", "p_type", (F.col("p_size") % 3).cast("string")).alias("name"), F.col("p_type").alias("kind"), (F.col("p_size") % 3).alias("n")).distinct()
+    right = t.part.select(F.concat_ws("+", F.lower("p_type"), (F.col("p_size") % 4).cast("string")).alias("target"), F.col("p_type").alias("rk"), (F.col("p_size") % 4).alias("rn")).distinct()
+    same, cost = F.col("kind") == F.col("rk"), F.col("n") == F.col("rn")
+    tiers = {"by_id": same & cost, "by_name": same & (F.col("rn") == 0), "reviewed": same & (F.col("rn") == 3) & (F.col("n") == 2)}
+    name = T.edit_similarity(T.name_key(F.col("name")), T.name_key(F.col("target")))
+    score = F.round(R.proposal_score(name, F.lit(0.0), same, cost, F.lit(False)), 9)
+    found = R.identity_search(left.crossJoin(right), "name", "target", tiers, ("by_id", "reviewed"), F.round(name, 9), score)
+    return found.select("name", *[F.array_join(c, ",").alias(c) for c in ("by_id", "by_name", "targets", "unresolved", "best")])
 
 
 SNAPSHOTS = "a AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 7 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 11 <> 0)"
@@ -187,6 +288,23 @@ def q_field_diff(t: Tables) -> DataFrame:
     return A.field_diff(*snapshots(t), "o_orderkey", ["o_orderstatus", "o_totalprice"])
 
 
+@query("""SELECT o_orderkey, path, old, new FROM orders, (SELECT unnest(['r.status', 'r.tags[1]', 'r.tags[2]', 'r.who.note', 'm.b']) AS path), LATERAL (SELECT CASE path WHEN 'r.status' THEN CASE WHEN o_orderkey % 2 = 0 THEN '"' || o_orderstatus || '"' END WHEN 'r.tags[1]' THEN CASE WHEN o_orderkey % 3 = 0 THEN '"b"' END WHEN 'r.tags[2]' THEN NULL WHEN 'r.who.note' THEN CASE WHEN o_orderkey % 7 = 0 THEN 'null' END ELSE CASE WHEN o_orderkey % 11 = 0 THEN '1' END END AS old,
+CASE path WHEN 'r.status' THEN CASE WHEN o_orderkey % 2 = 0 THEN '"X"' END WHEN 'r.tags[1]' THEN CASE WHEN o_orderkey % 3 = 0 THEN '"a, b"' END WHEN 'r.tags[2]' THEN CASE WHEN o_orderkey % 5 = 0 THEN '"c"' END WHEN 'r.who.note' THEN CASE WHEN o_orderkey % 7 = 0 THEN '"null"' END ELSE NULL END AS new) x WHERE old IS NOT NULL OR new IS NOT NULL""")
+def q_nested_diff(t: Tables) -> DataFrame:
+    """Changes within nested records: fields, elements by place, one more element, null against the text null, a key that goes."""
+    k = F.col("o_orderkey")
+
+    def state(status, second, more, note, b):
+        tags = F.concat(F.array(F.lit("a"), second), F.when(more, F.array(F.lit("c"))).otherwise(F.array().cast("array<string>")))
+        m = F.when(b, F.create_map(F.lit("a"), F.lit(0), F.lit("b"), F.lit(1))).otherwise(F.create_map(F.lit("a"), F.lit(0)))
+        return t.orders.select("o_orderkey", F.struct(status.alias("status"), tags.alias("tags"), F.struct(k.alias("id"), note.alias("note")).alias("who")).alias("r"), m.alias("m"))
+
+    no, null = F.lit(False), F.lit(None).cast("string")
+    before = state(F.col("o_orderstatus"), F.lit("b"), no, null, k % 11 == 0)
+    after = state(F.when(k % 2 == 0, "X").otherwise(F.col("o_orderstatus")), F.when(k % 3 == 0, "a, b").otherwise("b"), k % 5 == 0, F.when(k % 7 == 0, "null"), no)
+    return A.nested_diff(before, after, "o_orderkey", ["r", "m"])
+
+
 @query(f"WITH {SNAPSHOTS} SELECT (SELECT count(*) FROM a WHERE o_orderkey NOT IN (SELECT o_orderkey FROM b)) AS only_left, (SELECT count(*) FROM b WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a)) AS only_right, 0::BIGINT AS repeated, false AS equal")
 def q_set_equal(t: Tables) -> DataFrame:
     return A.same_set(*snapshots(t), "o_orderkey")
@@ -201,7 +319,7 @@ OLD = "SELECT doc_id AS position, CASE WHEN lang = 'fr' THEN text END AS stable,
 FRESH = "SELECT doc_id AS position, CASE WHEN lang = 'fr' THEN text END AS stable, split_part(text, chr(10), 1) AS name FROM documents WHERE length(source) = 5"
 
 
-@query(rf"""WITH o AS (SELECT position AS o, stable AS s, regexp_replace(replace(lower(name), '''', ''), '[^\p{{L}}\p{{N}}]', '', 'g') AS k FROM ({OLD})), f AS (SELECT position AS f, stable AS s, regexp_replace(replace(lower(name), '''', ''), '[^\p{{L}}\p{{N}}]', '', 'g') AS k FROM ({FRESH})),
+@query(rf"""WITH o AS (SELECT position AS o, stable AS s, regexp_replace(replace(lower(strip_accents(name)), '''', ''), '[^\p{{L}}\p{{N}}]', '', 'g') AS k FROM ({OLD})), f AS (SELECT position AS f, stable AS s, regexp_replace(replace(lower(strip_accents(name)), '''', ''), '[^\p{{L}}\p{{N}}]', '', 'g') AS k FROM ({FRESH})),
 m AS (SELECT o.*, (SELECT count(*) FROM f WHERE f.s = o.s) AS sn, (SELECT min(f) FROM f WHERE f.s = o.s) AS sf, (SELECT min(k) FROM f WHERE f.s = o.s) AS sk, (SELECT count(*) FROM o p WHERE p.k = o.k AND o.k <> '') AS oc, (SELECT count(*) FROM f WHERE f.k = o.k AND o.k <> '') AS nn, (SELECT min(f) FROM f WHERE f.k = o.k AND o.k <> '') AS nf FROM o),
 x AS (SELECT *, CASE WHEN sn = 1 THEN sf WHEN oc = 1 AND nn = 1 THEN nf END AS f FROM m),
 y AS (SELECT *, o = min(o) OVER (PARTITION BY f) AND f IS NOT NULL AS claims, f IS NULL AND (sn > 1 OR nn >= 1) AS unclear FROM x),
@@ -220,6 +338,45 @@ def q_classify(t: Tables) -> DataFrame:
     return A.classify(t.part.select("p_partkey", "p_name"), clients, t.part.select("p_name").distinct(), "p_name").select("p_partkey", "base_identity", "classification")
 
 
+@query("""WITH c AS (SELECT p_name AS k, 'DA_' || p_name AS api FROM part GROUP BY 1) SELECT p_partkey, CASE WHEN p_type IN ('SMALL', 'PROMO') THEN 'existing' ELSE 'missing' END AS classification FROM part""")
+def q_classify_reviewed(t: Tables) -> DataFrame:
+    """A mapping reviewed by people is a target, if the catalogue knows the id that it names."""
+    name = F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))
+    rows = t.part.select("p_partkey", name.alias("name"), "p_type")
+    clients = rows.select("name", F.concat(F.lit("DA_"), "name").alias("api_name"))
+    known = rows.where("p_type = 'SMALL'").select("name").union(rows.where("p_type = 'PROMO'").select(F.concat(F.lit("id "), "name")))
+    reviewed = rows.where("p_type in ('PROMO', 'LARGE')").select(F.concat(F.lit("DA_"), "name").alias("api_name"), F.concat(F.lit("id "), "name").alias("id"))
+    return A.classify(rows.select("p_partkey", "name"), clients, known, "name", reviewed=reviewed).select("p_partkey", "classification")
+
+
+def catalogue_delta(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two states of a catalogue with the client's rows of it: (alignment, delta report, classified rows)."""
+    rows = t.part.select(F.col("p_partkey").alias("position"), F.lit(None).cast("string").alias("stable"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("name"), "p_type", "p_size")
+    old, fresh = rows.where("p_size % 5 <> 0 or p_type = 'LARGE'"), rows.where("p_size % 7 <> 0")
+    found = A.align(old, fresh, "position", "stable", "name")
+    only = found.where("status = 'fresh_only'").select(F.col("fresh_position").alias("position")).join(fresh, "position")
+    bases = rows.where("p_type <> 'PROMO'").select("name", F.concat(F.lit("DA_"), "name").alias("api_name"))
+    variants = rows.where("p_type in ('SMALL', 'ECONOMY')").select(F.concat(F.lit("more "), "name").alias("name"), F.concat(F.lit("DA_"), "name", F.lit("_Upgrade")).alias("api_name"))
+    classified = A.classify(only.select("position", "name"), bases.union(variants), rows.where("p_type = 'ECONOMY'").select("name"), "name")
+    proposals = rows.where("p_size = 10").select(F.concat(F.lit("DA_"), "name").alias("identity"), F.concat(F.lit("C-"), F.col("position").cast("string")).alias("cluster"))
+    return found, A.delta_report(classified, bases.union(variants), proposals, "position"), classified
+
+
+DELTA = "p AS (SELECT *, p_name || ' ' || p_partkey AS name FROM part), d AS (SELECT *, CASE WHEN p_type = 'PROMO' THEN 'unresolved' WHEN p_type = 'ECONOMY' THEN 'existing' ELSE 'missing' END AS classification FROM p WHERE p_size % 7 <> 0 AND NOT (p_size % 5 <> 0 OR p_type = 'LARGE'))"
+
+
+@query(f"WITH {DELTA} SELECT p_partkey AS position, classification, CASE WHEN p_type <> 'PROMO' THEN 'DA_' || name END AS base, CASE WHEN p_type IN ('SMALL', 'ECONOMY') THEN 'DA_' || name || '_Upgrade' ELSE '' END AS upgrades, CASE WHEN p_size = 10 AND p_type <> 'PROMO' THEN 'C-' || p_partkey END AS cluster FROM d")
+def q_delta_report(t: Tables) -> DataFrame:
+    """Rows that only the fresh catalogue has, with the client's family of each and the proposal that it concerns."""
+    return catalogue_delta(t)[1].select("position", "classification", "base", F.array_join("upgrades", ",").alias("upgrades"), "cluster")
+
+
+@query(f"WITH {DELTA}, o AS (SELECT count(*) FILTER (p_size % 7 <> 0) - count(*) FILTER (p_size % 5 <> 0 OR p_type = 'LARGE') AS row_delta FROM p) SELECT (SELECT row_delta FROM o) AS row_delta, count(*) FILTER (classification = 'missing') AS missing, 0::BIGINT AS variant, count(*) FILTER (classification = 'existing') AS existing, 0::BIGINT AS renamed, count(*) FILTER (classification = 'unresolved') AS unresolved, true AS balanced FROM d")
+def q_delta_balance(t: Tables) -> DataFrame:
+    found, report, _ = catalogue_delta(t)
+    return A.delta_balance(found, report)
+
+
 @query("SELECT r_regionkey, r_name FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation) UNION ALL SELECT n_regionkey, max_by(n_name, n_nationkey) FROM nation GROUP BY 1")
 def q_overlay(t: Tables) -> DataFrame:
     last = R.last_wins(t.nation.select(F.col("n_regionkey").alias("r_regionkey"), F.col("n_name").alias("r_name"), "n_nationkey"), "r_regionkey", F.col("n_nationkey")).select("r_regionkey", "r_name")
@@ -242,3 +399,40 @@ SELECT cluster, members, 'R-' || lpad(row_number() OVER (ORDER BY members DESC,
 def q_cluster_summary(t: Tables) -> DataFrame:
     found = K.shared_key_clusters(t.documents, "doc_id", F.array("text")).groupBy("cluster").agg(F.count("*").alias("members")).where("members > 1")
     return K.numbered(found, [F.desc("members"), F.col("cluster")])
+
+
+REVIEWED = """i AS (SELECT doc_id AS item, min(doc_id) OVER (PARTITION BY split_part(text, chr(10), 1) || lang) AS cluster, source, 'k' || (doc_id % 50) AS source_key, CASE WHEN doc_id % 7 = 0 THEN 'p' || (doc_id % 3) END AS exact_id, CASE WHEN doc_id % 11 = 0 THEN 'b' END AS variant_of, doc_id % 5 = 0 AS confirmed FROM documents WHERE text <> ''),
+s AS (SELECT cluster, count(*) AS members, arg_min(source_key, item) AS source_key, bool_or(source = 'src0') AS f, bool_or(confirmed) AS c, list_sort(list(DISTINCT exact_id) FILTER (exact_id IS NOT NULL)) AS targets, count(DISTINCT variant_of) AS bases FROM i GROUP BY 1),
+k AS (SELECT cluster, unnest(['p' || (item % 4), 'q' || (item % 2)]) AS id, unnest([(item % 10) / 10.0, 0.1]) AS score FROM i WHERE item % 2 = 0), b AS (SELECT cluster, id, max(score) AS score FROM k GROUP BY 1, 2),
+r AS (SELECT s.*, CASE WHEN f THEN 0 WHEN c THEN 1 WHEN bases > 0 THEN 2 ELSE 3 END AS rank, CASE WHEN len(targets) = 1 THEN 'same_identity' WHEN coalesce(len(targets), 0) = 0 AND bases = 1 THEN 'source_variant' ELSE 'insufficient_evidence' END AS action, (SELECT count(*) FROM b WHERE b.cluster = s.cluster AND score >= 0.2) AS n_relevant, (SELECT count(*) FROM b WHERE b.cluster = s.cluster AND score >= 0.8) AS n_strong, (SELECT arg_min(id, (-score, id)) FROM b WHERE b.cluster = s.cluster) AS best FROM s)"""
+
+
+def review_items(t: Tables) -> DataFrame:
+    """Review items: documents with made-up identities and candidates, clustered by language and first line."""
+    k = F.col("doc_id")
+    docs = t.documents.where("text <> ''")
+    rows = docs.select(k.alias("item"), "source", F.concat(F.lit("k"), (k % 50).cast("string")).alias("source_key"), F.when(k % 7 == 0, F.concat(F.lit("p"), (k % 3).cast("string"))).alias("exact_id"), F.when(k % 11 == 0, "b").alias("variant_of"), (k % 5 == 0).alias("confirmed"),
+                       F.when(k % 2 == 0, F.array(F.struct(F.concat(F.lit("p"), (k % 4).cast("string")).alias("id"), ((k % 10) / 10).alias("score")), F.struct(F.concat(F.lit("q"), (k % 2).cast("string")).alias("id"), F.lit(0.1).alias("score")))).alias("candidates"))
+    found = K.shared_key_clusters(docs, "doc_id", F.array(F.concat(F.substring_index("text", "\n", 1), "lang")))
+    return rows.join(found.withColumnRenamed("doc_id", "item"), "item")
+
+
+@query(f"WITH {REVIEWED} SELECT 'C4I-' || lpad(row_number() OVER (ORDER BY rank, source_key, cluster)::VARCHAR, 3, '0') AS cluster_id, cluster, members, 'P' || rank AS priority, action, CASE WHEN action = 'same_identity' THEN targets[1] END AS target, CASE WHEN action <> 'insufficient_evidence' THEN 'strong' WHEN n_relevant > 0 THEN 'supporting_only' ELSE 'low' END AS confidence, rank <= 1 OR action <> 'insufficient_evidence' AS genuine, n_relevant::INT AS n_relevant, n_strong::INT AS n_strong, best FROM r")
+def q_cluster_review(t: Tables) -> DataFrame:
+    """Clusters in the order of review, with candidates, action, priority and confidence."""
+    review = K.numbered(K.cluster_review(review_items(t), "src0"), [F.col("rank"), F.col("source_key"), F.col("cluster")], "C4I-%03d")
+    return review.select("cluster_id", "cluster", "members", "priority", "action", "target", "confidence", "genuine", "n_relevant", "n_strong", F.get("candidates", 0)["id"].alias("best"))
+
+
+@query(f"WITH {REVIEWED} SELECT cluster, CASE rank WHEN 0 THEN 'Is ' || source_key || ' the confirmed one?' WHEN 1 THEN 'Which record is ' || source_key || '?' ELSE 'How should ' || source_key || ' be linked?' END AS question FROM r")
+def q_review_questions(t: Tables) -> DataFrame:
+    review = K.cluster_review(review_items(t), "src0")
+    return K.questions(review, {"P0": "Is %s the confirmed one?", "P1": "Which record is %s?"}, "How should %s be linked?").select("cluster", "question")
+
+
+@query("SELECT c_custkey AS cluster, s_name AS name, CASE WHEN c_acctbal <> s_acctbal AND c_nationkey <> s_nationkey THEN 'cost,category' WHEN c_acctbal <> s_acctbal THEN 'cost' WHEN c_nationkey <> s_nationkey THEN 'category' ELSE '' END AS follow_up FROM customer JOIN supplier ON s_suppkey = c_custkey")
+def q_supporting_evidence(t: Tables) -> DataFrame:
+    """Another source's row of the same name supports; what differs is followed up, and nothing is confirmed."""
+    mine = t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("cost"), F.col("s_nationkey").alias("category"))
+    clusters = t.customer.join(mine.select("k", "name"), F.col("c_custkey") == F.col("k")).select(F.col("c_custkey").alias("cluster"), "name", F.col("c_acctbal").alias("cost"), F.col("c_nationkey").alias("category"))
+    return K.supporting(clusters, mine.drop("k"), "name", "cost", "category")

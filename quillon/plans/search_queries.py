@@ -99,10 +99,42 @@ def q_search_topk(t: Tables) -> DataFrame:
     return found(S.ranked(S.search(parts(t), "small", PARTS, order="p_partkey"), "p_partkey", 20), "p_partkey")
 
 
-@query(f"WITH b AS ({PART_BASE}) SELECT p_partkey, CASE WHEN contains(n, 'ring') OR contains(b, 'ring') OR contains(e, 'ring') OR contains(r, 'ring') THEN 'ring' WHEN contains(n, 'bolt') THEN 'related: bolt' ELSE 'concept: metalwork' END AS reason FROM b WHERE contains(n, 'ring') OR contains(n, 'bolt') OR metal")
+@query(f"WITH b AS ({PART_BASE}) SELECT p_partkey, CASE WHEN contains(n, 'ring') THEN 'name: RING' WHEN contains(b, 'ring') THEN 'p_brand: ring' WHEN contains(e, 'ring') THEN 'kind: ring' WHEN contains(r, 'ring') THEN 'requirements: ring' WHEN contains(n, 'bolt') THEN 'related name: BOLT' ELSE 'concept: metalwork' END AS reason FROM b WHERE contains(n, 'ring') OR contains(n, 'bolt') OR metal")
 def q_search_reason(t: Tables) -> DataFrame:
-    hits = S.search(parts(t), "ring", PARTS, LEXICON, "p_partkey")
-    return hits.select("p_partkey", S.reason(F.element_at("matches", 1), dict(LEXICON.concepts)).alias("reason"))
+    """The hit is shown as the record writes it, behind the label of its field."""
+    rows = parts(t).withColumn("p_name", F.upper("p_name"))
+    hits = S.search(rows, "ring", PARTS, LEXICON, "p_partkey")
+    return hits.select("p_partkey", S.reason(F.element_at("matches", 1), PARTS, dict(LEXICON.concepts), {"p_name": "name", "p_type": "kind", "p_brand": "p_brand", "requirements": "requirements"}).alias("reason"))
+
+
+@query("SELECT p_partkey, 'requirements.1' AS path, 'Size ' || p_size || '!' AS field FROM part")
+def q_search_paths(t: Tables) -> DataFrame:
+    """The path of an element of a list ends in its number, and is read back from the record."""
+    rows = t.part.withColumn("requirements", F.array(F.lit("none"), F.concat(F.lit("Size "), F.col("p_size").cast("string"), F.lit("!"))))
+    hits = S.search(rows, "size", S.Surfaces(("p_name",), requirements="requirements"), order="p_partkey").withColumn("path", F.get("matches", 0)["path"])
+    return hits.select("p_partkey", "path", S.read_field(S.Surfaces(("p_name",), requirements="requirements"), F.col("path")).alias("field"))
+
+
+#: Names in other forms of the same characters, and what a search for `hp cafe\u0301` or `ｈｐ` makes of them.
+WIDE = ((0, "ＨＰ potion"), (1, "hp-café"), (2, "HP cafe\u0301"), (3, "h\u0085p"), (4, "ﬁre ①"), (5, "Ｆｉｒｅ　wand"))
+
+
+@query("SELECT * FROM (VALUES (0, 700, 'namePrefix'), (1, 700, 'namePrefix'), (2, 700, 'namePrefix')) v(k, total, fields)")
+def q_search_compatible(t: Tables) -> DataFrame:
+    """Records in full width match a plain query, and the other way round."""
+    rows = t._spark.createDataFrame(WIDE, "k int, name string")
+    return S.search(rows, "ｈｐ", S.Surfaces(("name",)), order="k").select("k", "total", F.array_join("matched_fields", ",").alias("fields"))
+
+
+@query("SELECT * FROM (VALUES (1, 'hp café'), (2, 'hp café'), (4, 'fire 1'), (5, 'fire wand')) v(k, form)")
+def q_search_accents(t: Tables) -> DataFrame:
+    """Composed and decomposed accents, ligatures and circled numbers: the form, of what either of two searches finds."""
+    from quillon.functions.text import normalize
+
+    rows = t._spark.createDataFrame(WIDE, "k int, name string").withColumn("synonyms", F.array(F.col("name")))
+    s = S.Surfaces((), ("name",), synonyms="synonyms")
+    hits = [S.search(rows, q, s, order="k").select("k", "name") for q in ("CAFÉ", "ﬁre")]
+    return hits[0].union(hits[1]).select("k", normalize(F.col("name")).alias("form"))
 
 
 @query("SELECT p_partkey, strpos(p_name, 'ring') - 1 AS start_at, strpos(p_name, 'ring') + 3 AS end_at FROM part WHERE contains(p_name, 'ring')")

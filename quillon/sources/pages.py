@@ -78,14 +78,17 @@ def embedded_objects(pages: pd.Series) -> pd.Series:
 
 
 def elements(page: str, name: str) -> list[str]:
-    """Inner HTML of each element that has the class; nesting of the same tag is counted."""
-    out = []
-    for m in re.finditer(rf"""<([a-zA-Z][\w-]*)\b[^>]*\bclass=["'][^"']*(?<![\w-]){re.escape(name)}(?![\w-])[^"']*["'][^>]*>""", page):
-        depth = 1
-        for t in re.finditer(rf"<(/?){m[1]}\b[^>]*?(/?)>", page[m.end() :], re.IGNORECASE):
-            depth += -1 if t[1] else not t[2]
+    """Inner HTML of each element that has the class; nesting of the same tag is counted, and what lies within a match is no match of its own."""
+    opening = re.compile(rf"""<([a-zA-Z][\w:-]*)\b[^>]*\bclass=["'](?:[^"']*\s)?{re.escape(name)}(?:\s[^"']*)?["'][^>]*>""")
+    out, at = [], 0
+    while m := opening.search(page, at):
+        depth, tags = 1, re.compile(rf"<(/?){m[1]}\b[^>]*>", re.IGNORECASE)
+        at = m.end()
+        for t in tags.finditer(page, m.end()):
+            depth += -1 if t[1] else 1
             if not depth:
-                out.append(page[m.end() : m.end() + t.start()])
+                out.append(page[m.end() : t.start()])
+                at = t.end()
                 break
     return out
 
@@ -105,20 +108,34 @@ def shown(fragment: str) -> str:
     return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", text)).split())
 
 
-CARD = "name string, cost double, effect string, upgrades array<string>, hints array<string>, windows array<string>"
+CARD = "name string, cost double, effect string, upgrades array<string>, hints array<string>, windows array<string>, category string, cooldown int, once boolean, ranges array<struct<start:struct<stage:int,round:int>,end:struct<stage:int,round:int>>>"
+_RANGE = re.compile(r"(\d+)-(\d+)\s*(?:to|~|–|—)\s*(\d+)-(\d+)", re.IGNORECASE)
+_CATEGORY = re.compile(r"""\bdata-category=["']([^"']+)["']""", re.IGNORECASE)
+_COOLDOWN = re.compile(r"(?:re-?offer(?:ed)?|offered again)[^\d]{0,40}(\d+)\s*shops?", re.IGNORECASE)
 
 
 def cards(page: str, card: str = "card", name: str = "name-cell", cost: str = "cost-cell", effect: str = "description-cell", upgrade: str = "upgrade-line", hint: str = "hint", window: str = "stage-info") -> list[tuple]:
-    """Rendered records of a page by the classes of their parts; a card without a name or without anything else is dropped."""
+    """Rendered records of a page by the classes of their parts; a card without a name or without anything else is dropped.
+
+    Its category is an attribute; cooldown, once-a-game and the windows as ranges are read from its text.
+    """
     out = []
-    for c in elements(page, card):
+    for m in re.finditer(rf"""<([a-zA-Z][\w:-]*)\b[^>]*\bclass=["'](?:[^"']*\s)?{re.escape(card)}(?:\s[^"']*)?["'][^>]*>""", page):
+        inner = next(iter(elements(page[m.start() :], card)), None) if not out or m.start() >= out[-1][0] else None
+        if inner is None:
+            continue
+        out.append((m.end() + len(inner), m[0], inner))
+    rows = []
+    for _, tag, c in out:
         first = lambda k, c=c: next((shown(e) for e in elements(c, k)), None)
         every = lambda k, c=c: [t for e in elements(c, k) if (t := shown(e))]
         number = re.search(r"\d+(?:\.\d+)?", first(cost) or "")
-        title, text = first(name), first(effect)
+        title, text, windows, whole = first(name), first(effect), every(window), shown(c)
+        category, cooldown = _CATEGORY.search(tag) or _CATEGORY.search(c), _COOLDOWN.search(whole)
+        ranges = [{"start": {"stage": a, "round": b}, "end": {"stage": x, "round": y}} for a, b, x, y in (map(int, r) for r in _RANGE.findall(" ".join(windows)))]
         if title and (text or number):
-            out.append((title, float(number[0]) if number else None, text, every(upgrade), every(hint), every(window)))
-    return out
+            rows.append((title, float(number[0]) if number else None, text, every(upgrade), every(hint), windows, category[1] if category else None, int(cooldown[1]) if cooldown else None, True if re.search(r"\bonce per game\b", whole, re.IGNORECASE) else None, ranges))
+    return rows
 
 
 def card_rows(pages: DataFrame, key: str, page: str, **classes: str) -> DataFrame:
@@ -127,7 +144,7 @@ def card_rows(pages: DataFrame, key: str, page: str, **classes: str) -> DataFram
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(k, i, *c) for k, p in zip(b[key], b[page], strict=True) for i, c in enumerate(cards(p or "", **classes))]
-            yield pd.DataFrame(rows, columns=[key, "position", "name", "cost", "effect", "upgrades", "hints", "windows"])
+            yield pd.DataFrame(rows, columns=[key, "position", *(c.split()[0] for c in re.split(r", (?=[a-z]+ )", CARD))])
 
     return pages.select(key, page).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, position int, {CARD}")
 
@@ -143,21 +160,38 @@ def marked_object(page: Column, marker: str) -> Column:
     return F.when(F.size(found) == 1, F.replace(F.element_at(found, 1), F.lit('\\"'), F.lit('"')))
 
 
-def first_of(obj: Column, *keys: str) -> Column:
-    """The first of several keys that a JSON object has."""
-    return F.coalesce(*[F.nullif(F.get_json_object(obj, f"$.{k}"), F.lit("")) for k in keys])
+#: Keys under which a record's parts may stand, the first that is there counts.
+KEYS = {"name": ("name", "title", "displayName"), "effect": ("effect", "description", "desc"), "category": ("category", "type"), "cost": ("cost", "price"), "source_key": ("key", "id")}
 
 
 def record_of(obj: Column) -> Column:
-    """A JSON object as a record, or null: it needs a name, and an effect, a category or a cost."""
-    name, effect, kind = first_of(obj, "name", "title", "displayName"), first_of(obj, "effect", "description", "desc"), first_of(obj, "category", "type")
-    cost = first_of(obj, "cost", "price").try_cast("double")
-    ok = name.isNotNull() & (effect.isNotNull() | kind.isNotNull() | cost.isNotNull())
-    return F.when(ok, F.struct(first_of(obj, "key", "id").alias("source_key"), name.alias("name"), effect.alias("effect"), kind.alias("category"), cost.alias("cost")))
+    """A JSON object, parsed once, as a record, or null: it needs a name, and an effect, a category or a cost."""
+    parsed = F.from_json(obj, ", ".join(f"`{k}` string" for keys in KEYS.values() for k in keys))
+    first = {n: F.coalesce(*[F.nullif(parsed[k], F.lit("")) for k in keys]) for n, keys in KEYS.items()}
+    cost = first["cost"].try_cast("double")
+    ok = first["name"].isNotNull() & (first["effect"].isNotNull() | first["category"].isNotNull() | cost.isNotNull())
+    return F.when(ok, F.struct(first["source_key"].alias("source_key"), first["name"].alias("name"), first["effect"].alias("effect"), first["category"].alias("category"), cost.alias("cost")))
 
 
 def canonical_url(page: Column) -> Column:
-    return F.nullif(F.regexp_extract(page, r"""<link[^>]*rel=["']canonical["'][^>]*href=["']([^"']*)["']""", 1), F.lit(""))
+    link = F.regexp_extract(page, r"""<link\b[^>]*rel=["']canonical["'][^>]*href=["']([^"']+)""", 1)
+    meta = F.regexp_extract(page, r"""<meta\b[^>]*property=["']og:url["'][^>]*content=["']([^"']+)""", 1)
+    return F.coalesce(F.nullif(link, F.lit("")), F.nullif(meta, F.lit("")))
+
+
+def import_problems(pages: DataFrame, records: DataFrame, key: str, page: str, identity: str, declared: str | None = None) -> DataFrame:
+    """(key, problem) of saved pages that must not be imported: fail closed on any row.
+
+    records: (key, ...), what was read from each page. wrong_identity: neither its canonical address nor its og:url matches the pattern;
+    no_records: nothing was read; undeclared and count_mismatch: it doesn't state how many there are (the pattern's group), or another number.
+    """
+    n = records.groupBy(key).agg(F.count("*").alias("_n"))
+    p = pages.select(key, canonical_url(F.col(page)).alias("_url"), (F.regexp_extract(F.col(page), declared, 1).try_cast("long") if declared else F.lit(None).cast("long")).alias("_said"))
+    both = p.join(n, key, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    checks = [(~F.coalesce(F.col("_url").rlike(identity), F.lit(False)), "wrong_identity"), (F.col("_n") == 0, "no_records")]
+    if declared:
+        checks += [(F.col("_said").isNull(), "undeclared"), (F.col("_said") != F.col("_n"), "count_mismatch")]
+    return both.select(key, F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(x)) for c, x in checks]))).alias("problem"))
 
 
 def dedupe(rows: DataFrame, key: Column, prefer: Column, order: str) -> DataFrame:

@@ -72,9 +72,11 @@ def test_conditions_are_three_valued(spark):
         assert df.select(C.evaluate(F.col("r"), state)).first()[0] is expected, (row, state)
 
 
-def test_knowledge_has_four_states(spark):
-    df = spark.createDataFrame([(None, None), ("unknown", None), ("confirmed", None), ("confirmed", 3)], "s string, v int")
-    assert [r[0] for r in df.select(C.knowledge_state(F.col("s"), F.col("v"))).collect()] == ["missing", "unknown", "confirmed_null", "confirmed_value"]
+def test_knowledge_has_five_buckets(spark):
+    df = spark.createDataFrame([("unknown", None, None, False), (None, None, None, False), ("confirmed", None, None, False), ("confirmed", 3, None, False), (None, None, 0, True), (None, None, None, True)], "s string, v int, p int, there boolean")
+    state = lambda flag: [r[0] for r in df.select(C.knowledge_state(F.col("s"), F.col("v"), F.col("p"), F.col("there"), flag)).collect()]
+    assert state(False) == ["unknown", "unknown", "confirmed_null", "confirmed_value", "legacy_value", "legacy_null"]
+    assert state(True) == ["unknown", "unknown", "confirmed_false", "confirmed_true", "legacy_false", "legacy_false"]
 
 
 def test_probabilities(spark):
@@ -90,6 +92,7 @@ def test_probabilities(spark):
 def test_text_forms(spark):
     df = spark.createDataFrame([("  Ｆｕｌｌ-Width, Test!! ",), ("a",), ("",), ("😀a",)], "x string")
     got = [tuple(r) for r in df.select(T.normalize(F.col("x"), compatible=False), F.size(T.bigrams(F.col("x"))), T.utf16_length(F.col("x"))).collect()]
+    assert spark.sql("select 'a\u0085b\u3000c\u00a0' as x").select(T.normalize(F.col("x"))).first()[0] == P.normalize_query("a\u0085b\u3000c\u00a0") == "a\u0085b c"
     assert got[0][0] == "full width test" and got[1][1:] == (0, 1) and got[2][1:] == (0, 0) and got[3][2] == 3
     assert spark.sql("select 'ab' as x").select(T.fnv1a(F.col("x"))).first()[0] == "4d2505ca"
     assert spark.sql("select '' as a, '' as b").select(T.edit_similarity(F.col("a"), F.col("b")), T.dice(T.bigrams(F.col("a")), T.bigrams(F.col("b")))).first()[:] == (1.0, 0.0)
@@ -133,8 +136,11 @@ def test_margins(spark):
 
 def test_duplicates_and_collisions(spark):
     df = spark.createDataFrame([("a", '{"x":1,"y":2}', "1"), ("a", '{"y":2,"x":1}', "1"), ("b", "p", "p"), ("b", "q", "q"), ("c", "r", "r"), ("d", "s", "s"), ("d", "s", "s")], "k string, raw string, canon string")
-    got = dict(R.duplicate_audit(df, "k", F.col("raw"), F.col("canon")).select("k", "status").collect())
-    assert got == {"a": "equivalent_duplicate", "b": "conflicting_duplicate", "d": "exact_duplicate"}
+    got = {r["k"]: (r["status"], r["blocked"]) for r in R.duplicate_audit(df, "k", F.col("raw"), F.col("canon")).collect()}
+    assert got == {"a": ("equivalent_duplicate", False), "b": ("conflicting_duplicate", True), "d": ("exact_duplicate", False)}
+    left = spark.createDataFrame([(1,), (2,)], "l int")
+    none = R.margins(spark.createDataFrame([(1, 0.9, 1)], "l int, score double, rank int"), "l", left=left).orderBy("l").collect()
+    assert [(r["best"], r["unresolved"]) for r in none] == [(0.9, False), (None, True)]
 
 
 def test_snapshot_diff(spark):
@@ -150,6 +156,20 @@ def test_align(spark):
     assert got == {(0, 0): "unchanged", (1, 5): "renamed", (2, None): "ambiguous", (3, None): "old_only", (4, 8): "shifted", (None, 6): "ambiguous_fresh", (None, 7): "ambiguous_fresh", (None, 9): "fresh_only"}
 
 
+def test_rows_are_numbered_in_order(spark):
+    from quillon.operators.saved import numbered
+
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("v")).repartition(9)
+    got = numbered(df, [F.desc("v")]).orderBy("position").collect()
+    assert [(r["position"], r["v"]) for r in got] == [(i + 1, 999 - i) for i in range(1000)]
+    assert numbered(df.where("false"), [F.col("v")]).count() == 0
+
+
+def test_nested_changes():
+    old, new = {"a": 1, "b": [1, {"c": None}], "d": True, "g": 1.0}, {"a": 1, "b": [1, {"c": "null"}, 2], "d": 1, "e": [], "g": 1}
+    assert list(A._changes(old, new, "")) == [("b[1].c", "null", '"null"'), ("b[2]", None, "2"), ("d", "true", "1"), ("e", None, "[]")]
+
+
 def test_clusters(spark):
     chain = spark.createDataFrame([(i, [f"k{i}", f"k{i + 1}"]) for i in range(30)] + [(99, ["z", ""]), (100, [])], "i int, keys array<string>")
     got = dict(K.shared_key_clusters(chain, "i", F.col("keys")).collect())
@@ -190,6 +210,7 @@ def test_saved_pages(spark):
     df = spark.createDataFrame([(1, page), (2, None)], "k long, html string")
     cards = pages.card_rows(df, "k", "html").collect()
     assert [(r["name"], r["cost"], r["effect"], r["hints"]) for r in cards] == [("A & B", 3.0, "x deep", ["h1"])]
+    assert pages.elements('<div class="a b">1<div class="a">2</div></div><div class="ab">3</div><p class="a">4', "a") == ['1<div class="a">2</div>']
     found = df.where("k = 1").select(F.array_compact(F.transform(pages.embedded_objects("html"), pages.record_of)).alias("r")).first()["r"]
     assert [(r["name"], r["effect"], r["cost"]) for r in found] == [("N", None, 4.0), ("T", "d", None)]
     assert df.select(pages.canonical_url(F.col("html"))).first()[0] == "u"
