@@ -143,14 +143,14 @@ def suggestions(records: DataFrame, name: str, query: str, order: str, n: int =
 
 
 #: White space as in quillon.functions.text.WHITE.
-_WHITE = re.compile("[\t\n\x0b\f\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
+WHITE_SPACE = re.compile("[\t\n\x0b\f\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
 
 
 def normalize_query(text: str) -> str:
     """The search form of a query string, on the driver."""
     t = unicodedata.normalize("NFKC", text).lower()
     t = "".join(" " if unicodedata.category(ch)[0] in "PS" else ch for ch in t)
-    return _WHITE.sub(" ", t).strip(" ")
+    return WHITE_SPACE.sub(" ", t).strip(" ")
 
 
 # ---------------------------------------------------------------- forms to criteria

@@ -16,7 +16,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from quillon.functions.text import nfkc, nfkc_each, normalize
-from quillon.operators.pool import normalize_query
+from quillon.operators.pool import WHITE_SPACE, normalize_query
 
 #: Scores of the steps of the ladder, the first that holds counts.
 LADDER = {"nameExact": 1000, "namePrefix": 700, "name": 500, "effect": 300, "requirement": 220, "synonym": 140, "expansion": 140, "concept": 100}
@@ -173,7 +173,7 @@ def normalized_with_map(raw: str) -> tuple[str, list[tuple[int, int]]]:
     text, spans = [], []
     for unit, a, b in units:
         for ch in unicodedata.normalize("NFKC", unit).lower():
-            blank = ch.isspace() or unicodedata.category(ch)[0] in "PS"
+            blank = bool(WHITE_SPACE.match(ch)) or unicodedata.category(ch)[0] in "PS"
             if blank and text and text[-1] == " ":
                 spans[-1] = (spans[-1][0], b)
             else:

@@ -142,3 +142,10 @@ def q_match_ranges(t: Tables) -> DataFrame:
     hits = parts(t).where(F.lower("p_name").contains("ring"))
     ranges = S.valid_ranges(F.col("p_name"), S.match_ranges("p_name", F.lit("ring")))
     return hits.select("p_partkey", F.inline(ranges).alias("start_at", "end_at")).select("p_partkey", F.col("start_at").cast("long"), F.col("end_at").cast("long"))
+
+
+@query("SELECT * FROM (VALUES (0, 0, 2), (1, 0, 2), (2, 0, 2)) v(k, start_at, end_at)")
+def q_match_ranges_wide(t: Tables) -> DataFrame:
+    """Where a plain term stands in texts of full-width, small and capital letters, in UTF-16 units of the raw text."""
+    rows = t._spark.createDataFrame(WIDE, "k int, name string")
+    return rows.select("k", F.inline(S.match_ranges("name", F.lit("hp"))).alias("start_at", "end_at"))
