@@ -5,6 +5,9 @@
 3. secret_scan: found secrets are replaced in the text.
 4. mix_sources: documents are repeated or left out, so that sources come near their target weights.
 5. bpe: texts are encoded, and decoded again to make sure of it.
+
+Each stage reads the columns of documents by name; others don't matter, whatever they are called. Very long texts are treated whole;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,14 +23,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; models are learned from a bounded sample of those with lang."""
+    """Documents whose language is identified; models are learned from a bounded sample of those with lang.
+
+    Texts that are null, empty or without a letter have no language and go; repeated rows and rows without doc_id are each judged.
+    """
     model = langid.learn(docs, F.lit(True))
     found = langid.identify(docs, model, keep=("text", "source", "n_chars"))
     return found.where(~F.col("rejected")).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group. Rows without doc_id stay; of rows of one doc_id one stays."""
+    """The document of the smallest doc_id of each group. Rows without doc_id stay; of rows of one doc_id one stays.
+
+    Null and empty texts are like nothing, and stay. Whether rows repeat a doc_id is asked of all of them.
+    """
     docs = docs.select(*COLUMNS)
     dropped = minhash.near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
     kept = docs.join(dropped, "doc_id", "left_anti")
@@ -38,15 +47,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; spans of secrets are replaced, and n_chars follows the new text."""
+    """All documents; secrets are replaced, and n_chars follows the new text. Null texts stay null, and keep their n_chars."""
     docs = docs.select(*COLUMNS)
     return secrets.redact(docs, secrets.learn(docs)).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes its words, rounded. Rows without doc_id stay once.
+    """Each document as many times as the mix takes its words, rounded. Rows without doc_id stay once; those without words go.
 
-    Shards follow each source's own rows, so that rounding is of one document a shard and a small source isn't lost in it.
+    A mix takes each document of a shard alike, but for one that it takes in part: so a source is off by half a document a shard at
+    most, and a small source is one shard. Equal doc_ids are told apart by size and rank.
     """
     docs = docs.select(*COLUMNS)
     known = docs.where("doc_id is not null")
@@ -64,7 +74,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids, decoded_sha256) of each row: the ids of its text, and what they decode to."""
+    """(doc_id, lang, source, n_tokens, ids, decoded_sha256) of each row: the ids of its text, and what they decode to.
+
+    Null and empty texts have no ids and the digest of the empty text; repeated rows are each encoded.
+    """
     bounded_batches(spark)
     path = bpe.default_vocabulary()
 
