@@ -20,6 +20,8 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.common import bounded_batches, needs, table
 
-#: Entries of each of the four caches of a Python worker; a full cache is emptied.
+#: Entries of each of the three caches of a Python worker; a full cache is emptied.
 CACHE = 500_000
 #: Longer fragments aren't cached.
 CACHED_CHARS = 40
@@ -46,8 +48,13 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class _Irregular(Exception):
-    """A piece that isn't independent of its neighbours: it is empty or has white space at an end."""
+def _kinds() -> np.ndarray:
+    """The kind of each code point below 65536, between which the pre-tokeniser cuts: 1 letter, 2 number, 3 white space, else 0."""
+    out = np.zeros(1 << 16, dtype=np.int8)
+    every = "".join(chr(c) for c in range(1 << 16) if not 0xD800 <= c < 0xE000)
+    for kind, pattern in enumerate((r"\p{L}", r"\p{N}", r"\s"), 1):
+        out[[ord(c) for c in regex.findall(pattern, every)]] = kind
+    return out
 
 
 class _Cache(dict):
@@ -96,6 +103,7 @@ class ForcedBoundaryBPE:
                 inside[x, y] = True
         #: forced[256 * a + b]: between bytes a and b there is a cut in every encoding.
         self.forced = bytes((~inside).ravel().tobytes())
+        self._forced = np.frombuffer(self.forced, dtype=bool)
         self.forced_pairs = frozenset(zip(*(x.tolist() for x in np.nonzero(~inside)), strict=True))
         blank = {0x20, *range(0x09, 0x0E)}
         if any(inside[b, 0x20] for b in range(256) if b not in blank and b not in (0x85, 0xA0) and not 0x80 <= b <= 0xBF):
@@ -107,11 +115,12 @@ class ForcedBoundaryBPE:
         self._merge = tiktoken.Encoding("fragments", pat_str=PRETOKENS, mergeable_ranks={b: i for i, b in self.bytes_of.items() if i not in self.special.values()}, special_tokens={})._core_bpe.encode_single_piece
         self._simple = re.compile(r"( ?)([^\W\d_]+)([,.;:!?]*)")
         self._pretokens = regex.compile(PRETOKENS)
+        self._kinds, self._wide = _kinds(), re.compile(f"[{WHITE}]{{2}}")
         self._units = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
         self._specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._white = frozenset(re.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001)))))
-        self._fragments, self._words = _Cache(self._merged), _Cache(self._word)
-        self._after_space, self._units_seen = _Cache(self._spaced), _Cache(self._unit)
+        self._fragments, self._units_seen = _Cache(self._merged), _Cache(self._unit)
+        self._after_space: dict[str, bytes] = {}
 
     # -- encoding
 
@@ -123,31 +132,103 @@ class ForcedBoundaryBPE:
         """One pre-token, cut at the byte pairs that no token holds."""
         b = word.encode()
         if self.forced_pairs.isdisjoint(zip(b, b[1:], strict=False)):
-            return self._merged(b)
+            return self._fragments[b]
         v = np.frombuffer(b, dtype=np.uint8)
-        cuts = (np.flatnonzero(np.frombuffer(self.forced, dtype=bool)[v[:-1].astype(np.int64) << 8 | v[1:]]) + 1).tolist()
+        cuts = (np.flatnonzero(self._forced[v[:-1].astype(np.int64) << 8 | v[1:]]) + 1).tolist()
         return b"".join(self._fragments[b[i:j]] for i, j in zip([0, *cuts], [*cuts, len(b)], strict=True))
 
     def _unit(self, unit: str) -> bytes:
         """A text whose surroundings don't matter: pre-tokens, forced cuts, merges."""
         m = self._simple.fullmatch(unit)
         if m and m[2].isalpha():
-            return self._words[m[1] + m[2]] + self._words[m[3]] if m[3] else self._words[unit]
-        return b"".join(map(self._words.__getitem__, self._pretokens.findall(unit)))
-
-    def _spaced(self, piece: str) -> bytes:
-        if not piece or piece[0] in self._white or piece[-1] in self._white:
-            raise _Irregular
-        return self._unit(f" {piece}")
+            return self._word(m[1] + m[2]) + self._word(m[3]) if m[3] else self._word(unit)
+        return b"".join(map(self._word, self._pretokens.findall(unit)))
+
+    def _cut(self, units: list[str]) -> dict[str, bytes] | None:
+        """The ids of units behind a space, cut all at once: between kinds of characters, and at forced pairs.
+
+        Null if one of them is of a kind whose cuts aren't these: with an apostrophe, with white space at an end or side by
+        side, or beyond the basic plane.
+        """
+        text = " ".join(["", *units])
+        c = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+        if "'" in text or c.max() > 0xFFFF:
+            return None
+        kind, space = self._kinds[c], c == 0x20
+        white = kind == 3
+        if white[-1] or (white[1:] & white[:-1]).any():
+            return None
+        cut = space.copy()
+        cut[1:] |= (kind[1:] != kind[:-1]) & ~space[:-1]
+        data = text.encode()
+        v = np.frombuffer(data, dtype=np.uint8)
+        cuts = np.zeros(len(v), dtype=bool)
+        cuts[1:] = self._forced[v[:-1].astype(np.int64) << 8 | v[1:]]
+        if len(v) > len(c):
+            size = 1 + (c >= 0x80) + (c >= 0x800)
+            at = np.cumsum(size) - size
+            cuts[at[cut]] = True
+            begins = at[space]
+        else:
+            cuts |= cut
+            begins = np.flatnonzero(space)
+        begin = np.flatnonzero(cuts)
+        known = self._fragments
+        pieces = [data[i:j] for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(data)], strict=True)]
+        ids = list(map(known.get, pieces))
+        if None in ids:
+            new = list(set(compress(pieces, map(not_, ids))))
+            if len(known) + len(new) > CACHE:
+                known.clear()
+                new = list(set(pieces))
+            merged = list(map(self._merge, new))
+            ends = np.cumsum(np.fromiter(map(len, merged), dtype=np.int64, count=len(merged))) * self.dtype.itemsize
+            raw = np.fromiter(chain.from_iterable(merged), dtype=self.dtype).tobytes()
+            known.update(zip(new, [raw[i:j] for i, j in zip([0, *ends.tolist()], ends.tolist(), strict=False)], strict=True))
+            ids = list(map(known.get, pieces))
+            if max(map(len, new)) > CACHED_CHARS:
+                for piece in new:
+                    if len(piece) > CACHED_CHARS:
+                        del known[piece]
+        first = [*np.searchsorted(begin, begins).tolist(), len(ids)]
+        return {u: ids[i] if j - i == 1 else b"".join(ids[i:j]) for u, i, j in zip(units, first, first[1:], strict=False)}
+
+    def _learn(self, units: list[str]) -> dict[str, bytes] | None:
+        """The ids of units behind a space; null if one of them is empty or has white space at an end, and so isn't independent of its neighbours."""
+        out = self._cut(units)
+        if out is None:
+            if any(not u or u[0] in self._white or u[-1] in self._white for u in units):
+                return None
+            odd = {u for u in units if "'" in u or max(u) > "\uffff" or self._wide.search(u)}
+            even = [u for u in units if u not in odd]
+            out = (self._cut(even) if even else None) or {u: self._unit(f" {u}") for u in even}
+            out |= {u: self._unit(f" {u}") for u in odd}
+        return out
 
     def _plain(self, text: str) -> bytes:
         first, *rest = text.split(" ")
-        if not first or first[-1] not in self._white:
-            try:
-                ids = b"".join(map(self._after_space.__getitem__, rest))
-                return self._units_seen[first] + ids if first else ids
-            except _Irregular:
-                pass
+        if first and first[-1] in self._white:
+            return self._uneven(text)
+        known = self._after_space
+        ids = list(map(known.get, rest))
+        if None in ids:
+            new = list(set(compress(rest, map(not_, ids))))
+            if len(known) + len(new) > CACHE:
+                known.clear()
+                new = list(set(rest))
+            made = self._learn(new)
+            if made is None:
+                return self._uneven(text)
+            if max(map(len, new)) <= CACHED_CHARS:
+                known.update(made)
+                ids = list(map(known.get, rest))
+            else:  # longer ones aren't remembered
+                known.update({u: i for u, i in made.items() if len(u) <= CACHED_CHARS})
+                ids = [known.get(u) or made[u] for u in rest]
+        return b"".join([self._units_seen[first], *ids]) if first else b"".join(ids)
+
+    def _uneven(self, text: str) -> bytes:
+        """A text with more white space than single spaces between its words."""
         return b"".join(map(self._units_seen.__getitem__, self._units.findall(text)))
 
     def encode_bytes(self, text: str | None) -> bytes:
