@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of Arrow data handed to Python at once; long texts then come in smaller batches.
-ARROW_BATCH_BYTES = 2 << 20
+ARROW_BATCH_BYTES = 1 << 20
 ARROW_BATCH_ROWS = 2048
 
 _U = np.uint64

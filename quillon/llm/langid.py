@@ -47,7 +47,7 @@ GROUND = 10
 #: Words a worker remembers, with one language; with more, as many fewer, but LEAST_CACHE.
 CACHE, LEAST_CACHE = 1_200_000, 20_000
 #: Cells of the table of positions and languages that are computed at once.
-CELLS = 4_000_000
+CELLS = 250_000
 
 _U = np.uint64
 _STEP = _U(0x9FB21C651E98DF25)
