@@ -211,11 +211,29 @@ class Field:
         return out[::-1]
 
 
+def marginals(e: np.ndarray, moves: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of tags (sequences, words, 3) and of pairs of neighbours (sequences, words - 1, 3, 3), by scaled forward and backward passes."""
+    n, length = used.shape
+    own, move = np.exp(e - e.max(axis=2, keepdims=True)), np.exp(moves)
+    forward, backward = np.empty((n, length, 3)), np.ones((n, length, 3))
+    scale = np.ones((n, length))
+    first = own[:, 0] * np.array([1.0, 1.0, 0.0])
+    forward[:, 0] = first / first.sum(axis=1, keepdims=True)
+    for i in range(1, length):
+        new = forward[:, i - 1] @ move * own[:, i]
+        scale[:, i] = np.where(used[:, i], new.sum(axis=1), 1.0)
+        forward[:, i] = np.where(used[:, i, None], new / scale[:, i, None], forward[:, i - 1])
+    for i in range(length - 2, -1, -1):
+        new = (own[:, i + 1] * backward[:, i + 1]) @ move.T / scale[:, i + 1, None]
+        backward[:, i] = np.where(used[:, i + 1, None], new, 1.0)
+    pairs = forward[:, :-1, :, None] * move * (own * backward)[:, 1:, None, :] / scale[:, 1:, None, None]
+    return forward * backward, pairs
+
+
 def fit(ids: np.ndarray, tags: np.ndarray, used: np.ndarray, steps: int = STEPS) -> Field:
     """Maximum likelihood with a small penalty. ids: (sequences, words, features); tags, used: (sequences, words)."""
     n, length = tags.shape
-    moves = np.zeros((3, 3))
-    barred = np.zeros((3, 3))
+    moves, barred = np.zeros((3, 3)), np.zeros((3, 3))
     barred[OUT, IN] = _NEVER
     weights = np.zeros((N_FEATURES, 3))
     m = [np.zeros_like(weights), np.zeros_like(weights), np.zeros((3, 3)), np.zeros((3, 3))]
@@ -225,25 +243,13 @@ def fit(ids: np.ndarray, tags: np.ndarray, used: np.ndarray, steps: int = STEPS)
     pair_used = used[:, 1:] & used[:, :-1]
     gold_moves = np.einsum("nla,nlb->ab", gold[:, :-1] * pair_used[:, :, None], gold[:, 1:])
     total = max(1, int(used.sum()))
-    log_sum = lambda x, axis: (top := x.max(axis=axis, keepdims=True)) .squeeze(axis) + np.log(np.exp(x - top).sum(axis=axis))
-    for step in range(1, steps + 1):
-        e = weights[ids].sum(axis=2)
-        t = moves + barred
-        forward, backward = np.zeros((n, length, 3)), np.zeros((n, length, 3))
-        forward[:, 0] = e[:, 0] + np.array([0, 0, _NEVER])
-        for i in range(1, length):
-            new = log_sum(forward[:, i - 1, :, None] + t, 1) + e[:, i]
-            forward[:, i] = np.where(used[:, i, None], new, forward[:, i - 1])
-        for i in range(length - 2, -1, -1):
-            new = log_sum(t[None] + (e[:, i + 1] + backward[:, i + 1])[:, None, :], 2)
-            backward[:, i] = np.where(used[:, i + 1, None], new, 0.0)
-        z = log_sum(forward[:, -1], 1)
-        expected = np.exp(np.minimum(forward + backward - z[:, None, None], 0)) * used[:, :, None]
-        both = forward[:, :-1, :, None] + t + (e[:, 1:] + backward[:, 1:])[:, :, None, :] - z[:, None, None, None]
-        expected_moves = (np.exp(np.minimum(both, 0)) * pair_used[:, :, None, None]).sum(axis=(0, 1))
-        difference = (gold - expected).reshape(-1, 3)
-        gradient = np.stack([sum(np.bincount(ids[:, :, k].ravel(), weights=difference[:, tag], minlength=N_FEATURES) for k in range(ids.shape[2])) for tag in range(3)], axis=1) / total - 2e-5 * weights
-        gradient_moves = (gold_moves - expected_moves) / total - 2e-5 * moves
+    flat = [ids[:, :, k].ravel() for k in range(ids.shape[2])]
+    for step in range(1, steps + 1 if n else 0):
+        e = sum(weights[at] for at in flat).reshape(n, length, 3)
+        expected, pairs = marginals(e, moves + barred, used)
+        difference = (gold - expected * used[:, :, None]).reshape(-1, 3)
+        gradient = np.stack([sum(np.bincount(at, weights=difference[:, tag], minlength=N_FEATURES) for at in flat) for tag in range(3)], axis=1) / total - 2e-5 * weights
+        gradient_moves = (gold_moves - (pairs * pair_used[:, :, None, None]).sum(axis=(0, 1))) / total - 2e-5 * moves
         for x, g, a, b in ((weights, gradient, m[0], m[1]), (moves, gradient_moves, m[2], m[3])):
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
