@@ -339,6 +339,26 @@ def test_pipeline_edges(spark, data):
     assert docs.count() == 0
 
 
+def test_pipeline_stages_with_clashing_columns_and_long_texts(spark, data):
+    """Each stage on a table with columns of the names that operators use inside, and a text of a million characters."""
+    import corpus_pipeline as p
+    from quillon.llm.common import table, written
+
+    docs = table(spark, data, "documents").limit(60)
+    long = docs.limit(1).withColumns({"doc_id": F.lit(10_000_000).cast("long"), "text": F.concat(F.lit("password = hunter22x "), F.repeat(F.lit("the words of one very long text and its secret "), F.lit(20_000)))})
+    docs = written(docs.unionByName(long), "odd")
+    for name, stage in p.STAGES:
+        odd = docs
+        for c in ("key", "size", "taken", "copies", "turn", "copy", "lang_pred", "rejected", "component_id", "kept", "part", "ids", "mark", "shard", "n"):
+            odd = odd.withColumn(c, F.lit("clash"))
+        docs = written(stage(spark, odd, data), name)
+        if name != "bpe":
+            assert docs.columns == p.COLUMNS, name
+            if name == "secret_scan":
+                assert docs.where("doc_id = 10000000").select(F.left("text", F.lit(30))).first()[0] == "password = [secret] the words "
+    assert docs.where("doc_id = 10000000").select("n_tokens").distinct().count() == 1
+
+
 def test_mix_stage_with_repeated_rows(spark, data):
     import corpus_pipeline as p
 

@@ -7,6 +7,7 @@ import re
 import string
 import uuid
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -99,6 +100,8 @@ def test_binary_output(spark, edge, coder, tmp_path):
     for d, ids in order:
         assert (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) in got[d]
         at += len(ids)
+    starts = sorted((a, n) for v in got.values() for a, n, _ in v)
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
     first = sorted(manifest, key=lambda m: m["shard"])[0]
     shard = binary_output.Shard(first["path"])
     ids, mask = shard.sequence(0)
@@ -108,6 +111,20 @@ def test_binary_output(spark, edge, coder, tmp_path):
     assert binary_output.write(edge.where("false"), PATH, folder + "-none").count() == 0
 
 
+def test_shards_of_hot_ids(spark, coder, tmp_path):
+    """An id, or null, whose rows fill several shards is dealt out to them; all rows are there, in ascending order of ids."""
+    rows = [(7, f"text {i % 5}") for i in range(300)] + [(None, "none")] * 120 + [(i, f"single {i}") for i in range(100, 180)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    ranges = binary_output.ranges_of(df.select("doc_id"), 16)
+    assert ranges.shards.max() > 10 and ranges.shards.sum() < 60
+    manifest = binary_output.write(df, PATH, f"file://{tmp_path}/hot", shard_docs=16).collect()
+    assert max(m["docs"] for m in manifest) <= 64 and sum(m["docs"] for m in manifest) == len(rows)
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in binary_output.read_digests(spark, manifest).collect())
+    ids = [-1 if i is None else i for _, i, _ in got]
+    assert ids == sorted(-1 if i is None else i for i, _ in rows)
+    assert all(a + n == b for (a, _, n), (b, _, _) in zip(got, got[1:], strict=False))
+
+
 def test_language_held_out(spark, data):
     truth = dict(pq.read_table(f"{data}/documents.parquet", columns=["doc_id", "lang"]).to_pandas().itertuples(index=False))
     rows = langid.op6_language_id(spark, data).collect()
@@ -117,18 +134,66 @@ def test_language_held_out(spark, data):
     assert all(0 <= r["score"] <= 1 for r in rows) and np.mean([r["rejected"] for r in rows]) < 0.02
 
 
-def test_kneser_ney_sums_to_one():
-    model = langid.fit({"x": (["ab", "abc", "ba"], np.array([3.0, 2.0, 1.0])), "y": (["zz"], np.array([1.0]))})
-    chars = [c for c in "abcz"]
-    for prefix in ("", "a", "ab", "zz"):
-        # one more character or the end, given the prefix: probabilities of distinct continuations stay below one
-        total = np.zeros(2)
-        for c in chars:
-            s = model.score([prefix + c, prefix])
-            full = np.exp(-(s[0, 1:])) / 1.0
-            total += full
-        assert (total <= 1.0 + 1e-6).all()
-    assert model.score(["ab"])[0, 1] < model.score(["ab"])[0, 2]
+def plain_kneser_ney(words, times, kinds):
+    """Probabilities of the next character by the textbook: (history, character) to a number, for one language."""
+    counts = [defaultdict(float) for _ in range(langid.ORDER + 1)]
+    before = [defaultdict(set) for _ in range(langid.ORDER + 1)]
+    for word, n in zip(words, times, strict=True):
+        w = f"\x02{word}\x03"
+        for k in range(1, langid.ORDER + 1):
+            for end in range(max(1, k - 1), len(w)):
+                g = w[end - k + 1 : end + 1]
+                counts[k][g] += n
+                if end - k >= 0:
+                    before[k][g].add(w[end - k])
+    # the highest order and what starts a word count occurrences, the others different characters before
+    used = [None] + [{g: c if k == langid.ORDER or g[0] == "\x02" else len(before[k][g]) for g, c in counts[k].items()} for k in range(1, langid.ORDER + 1)]
+    discount = [None]
+    for k in range(1, langid.ORDER + 1):
+        once, twice = (sum(v == x for v in used[k].values()) for x in (1, 2))
+        discount.append(min(0.95, max(0.1, once / max(1, once + 2 * twice))))
+
+    def p(history, ch):
+        out = 1 / (langid.GROUND * kinds)
+        for k in range(1, min(len(history) + 1, langid.ORDER) + 1):
+            h = history[len(history) - k + 1 :]
+            followers = {g: c for g, c in used[k].items() if g[:-1] == h}
+            if followers:
+                total = sum(followers.values())
+                out = max(followers.get(h + ch, 0) - discount[k], 0) / total + discount[k] * len(followers) / total * out
+        return out
+
+    return p
+
+
+def test_kneser_ney_by_the_textbook():
+    rng = random.Random(5)
+    samples = {x: sorted({"".join(rng.choices(letters, k=rng.randrange(1, 8))) for _ in range(40)}) for x, letters in (("x", "abcd"), ("y", "cdefg"))}
+    times = {x: [rng.randrange(1, 4) for _ in v] for x, v in samples.items()}
+    model = langid.fit({x: (v, np.array(times[x], dtype=float)) for x, v in samples.items()})
+    kinds = len({c for v in samples.values() for w in v for c in w}) + 1
+    asked = samples["x"][:10] + samples["y"][:10] + ["zzz", "abcdefgh", "q"]
+    got = model.score(asked)
+    for j, x in enumerate(("x", "y")):
+        p = plain_kneser_ney(samples[x], times[x], kinds)
+        for i, word in enumerate(asked):
+            w = f"\x02{word}\x03"
+            want = -sum(np.log(p(w[:k], w[k])) for k in range(1, len(w)))
+            assert got[i, 0] == len(word) + 1 and got[i, 1 + j] == pytest.approx(want, rel=1e-4), (x, word)
+
+
+def test_words_are_scored_alike_however_they_come(monkeypatch):
+    """In bulk with a small memory, and one by one."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcde", k=rng.randrange(1, 9))) for _ in range(300)]
+    model = langid.fit({"a": (words[:50], np.ones(50)), "b": (words[50:90], np.ones(40))})
+    texts = [[rng.choice(words) for _ in range(rng.randrange(1, 60))] for _ in range(50)] + [[]]
+    want = np.array([model.score(t).sum(axis=0) if t else np.zeros(3) for t in texts])
+    for cache in (10, 10_000):
+        monkeypatch.setattr(langid, "CACHE", cache)
+        monkeypatch.setattr(langid, "LEAST_CACHE", cache)
+        monkeypatch.setattr(langid, "CELLS", 50)
+        assert np.allclose(langid.Scorer(model).sums(texts), want)
 
 
 def test_language_edges(edge):
@@ -140,6 +205,7 @@ def test_language_edges(edge):
         assert (r["lang_pred"] == "und") == blank and (not blank or (r["score"] == 0 and r["rejected"]))
     assert {r["lang_pred"] for r in langid.identify(edge, None).collect()} == {"und"}
     assert langid.learn(edge.where("false"), F.lit(True)) is None
+    assert langid.identify(edge.where("false"), model).count() == 0
 
 
 def test_every_language_is_learned(spark):
@@ -167,12 +233,41 @@ def test_quality_held_out(spark, data):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
 
 
+def test_quality_weights_against_plain_steps():
+    """The minimum that Newton steps find, against plain gradient steps on listed differences."""
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(60, 5))
+    better, worse = rng.integers(0, 30, 400), rng.integers(30, 60, 400)
+    z[:30, 0] += 1
+    penalty = np.array([1e-2, 1e-2, 1e-1, 1e-2, 1e-2])
+    got, d, w = quality.ranked_weights(z, better, worse, penalty), z[better] - z[worse], np.zeros(5)
+    for _ in range(20_000):
+        w += 0.2 * ((d / (1 + np.exp(d @ w))[:, None]).mean(axis=0) - penalty * w)
+    assert np.allclose(got, w, atol=1e-4)
+
+
+def test_quality_tells_content(spark):
+    """Texts alike in all counts, good and bad by their words only."""
+    rng = random.Random(8)
+    good, bad = (["".join(rng.choices("abcdefghij", k=5)) for _ in range(40)] for _ in range(2))
+    rows = [(i, " ".join(rng.choices(good if i % 2 else bad, k=30)), i % 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.learn(df, df, F.col("doc_id") < 400)
+    got = {r["doc_id"]: r["predicted"] for r in quality.score(df.where("doc_id >= 400"), model).collect()}
+    assert np.mean([got[i] == q for i, _, q in rows[400:]]) >= 0.95
+
+
 def test_quality_edges(spark, edge):
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = quality.learn(edge, none, F.lit(True))
     assert quality.score(edge, model).count() == len(EDGE)
-    one = spark.createDataFrame([(4, 1), (4, 1), (3, None), (77, 0)], "doc_id long, quality int")
+    one = spark.createDataFrame([(4, 1), (4, 1), (3, None), (77, 0), (None, 1)], "doc_id long, quality int")
     assert {r["predicted"] for r in quality.score(edge, quality.learn(edge, one, F.lit(True))).collect()} == {1}
+    assert quality.score(edge.where("false"), model).count() == 0
+    two = spark.createDataFrame([(4, 1), (5, 0), (2, 0)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.score(edge, quality.learn(edge, two, F.lit(True))).collect()}
+    assert got[4] > got[5] and got[1] == got[2] == got[3]
+    assert quality.score(edge, quality.learn(edge.where("false"), two, F.lit(True))).count() == len(EDGE)
 
 
 def brute_spans(text):
@@ -264,6 +359,27 @@ def test_field_leaves_clean_documents(field, unseen):
     assert sum(bool(s) for s in secrets.field_spans(unseen, field)) <= 0.01 * len(unseen)
 
 
+def test_marginals_by_listing():
+    rng = np.random.default_rng(1)
+    e, moves = rng.normal(size=(2, 4, 3)), rng.normal(size=(3, 3))
+    moves[0, 2] = -1e4
+    used = np.array([[True] * 4, [True, True, True, False]])
+    tags, pairs = secrets.marginals(e, moves, used)
+    for k, length in enumerate((4, 3)):
+        want, both, z = np.zeros((length, 3)), np.zeros((length - 1, 3, 3)), 0.0
+        for code in range(3**length):
+            path = [code // 3**i % 3 for i in range(length)]
+            if path[0] == 2:
+                continue
+            w = np.exp(sum(e[k, i, t] for i, t in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:], strict=False)))
+            z += w
+            for i, t in enumerate(path):
+                want[i, t] += w
+            for i, (a, b) in enumerate(zip(path, path[1:], strict=False)):
+                both[i, a, b] += w
+        assert np.allclose(tags[k, :length], want / z) and np.allclose(pairs[k, : length - 1], both / z)
+
+
 def test_viterbi_is_exact(field):
     rng, m = np.random.default_rng(0), field.moves
     for _ in range(50):
