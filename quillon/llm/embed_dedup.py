@@ -129,13 +129,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64())), *(batch.column(i) for i in (2, 1, 3, 4))], names=["id", "codes", "label", "vec", "size", "dim"])
 
     kind = classes.schema["label"].dataType.simpleString()
-    coded = written(classes.select("id", "vec", "label", "size", "dim").mapInArrow(encode, f"id long, codes array<long>, label {kind}, vec binary, size long, dim int"), "codes")
-    keys = coded.select("id", "dim", "label", F.explode("codes").alias("code"))
+    coded = classes.select("id", "vec", "label", "size", "dim").mapInArrow(encode, f"id long, codes array<long>, label {kind}, vec binary, size long, dim int")
+    # rows of one id may have several vectors or labels: each class is told by a digest too
+    coded = written(coded.withColumn("uid", F.xxhash64("vec", "label")), "codes")
+    keys = coded.select("id", "uid", "dim", "label", F.explode("codes").alias("code"))
     large = keys.groupBy("dim", "label", "code").agg(F.count("*").alias("n")).where("n > 1").select("dim", "label", "code", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     placed = keys.join(large, ["dim", "label", "code"]).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.select("id", "dim", "label", "code", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    met = placed.join(coded.select("id", "dim", "label", "codes", "vec", "size"), ["id", "dim", "label"]).select("dim", "label", "code", "i", "j", "own", "id", "size", "codes", "vec")
+    placed = placed.select("id", "uid", "dim", "label", "code", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    met = placed.join(coded.select("id", "uid", "dim", "label", "codes", "vec", "size"), ["id", "uid", "dim", "label"]).select("dim", "label", "code", "i", "j", "own", "id", "uid", "size", "codes", "vec")
     met = met.repartition("dim", "label", "code", "i", "j").sortWithinPartitions("dim", "label", "code", "i", "j", "own", "id")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +145,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id
 
         def rerank(rows: pa.Table) -> pa.RecordBatch:
             code, i, j = rows["code"][0].as_py(), rows["i"][0].as_py(), rows["j"][0].as_py()
-            own, ids, size = rows["own"].to_numpy(), rows["id"].to_numpy(), rows["size"].to_numpy()
+            own, ids, uid, size = (rows[n].to_numpy() for n in ("own", "id", "uid", "size"))
             c = np.array(rows["codes"].to_pylist(), dtype=np.int64)
             x = matrix(rows["vec"].to_pylist())
             norm = np.sqrt((x * x).sum(axis=1))
@@ -157,9 +159,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id
             n_links = np.bincount(a, weights=size[b], minlength=len(ids)) + np.bincount(b, weights=size[a], minlength=len(ids))
             some = np.flatnonzero(n_links)
             trees = _forest(len(ids), a, b)
-            first = pa.array(np.concatenate([ids[some], ids[a[trees]]]), pa.int64())
+            first, which = (pa.array(np.concatenate([v[some], v[a[trees]]]), pa.int64()) for v in (ids, uid))
             second = pa.array([*[None] * len(some), *ids[b[trees]].tolist()], pa.int64())
-            return pa.RecordBatch.from_arrays([first, second, pa.array(np.concatenate([n_links[some], np.zeros(len(trees))]).astype(np.int64))], names=["a", "b", "n"])
+            return pa.RecordBatch.from_arrays([first, which, second, pa.array(np.concatenate([n_links[some], np.zeros(len(trees))]).astype(np.int64))], names=["a", "uid", "b", "n"])
 
         for batch in batches:
             if not len(batch):
@@ -175,10 +177,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id
         if held:
             yield rerank(pa.Table.from_batches(held))
 
-    found = written(met.mapInArrow(links, "a long, b long, n long"), "links")
-    counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
+    found = written(met.mapInArrow(links, "a long, uid long, b long, n long"), "links")
+    counts = found.where("b is null").groupBy(F.col("a").alias("id"), "uid").agg(F.sum("n").alias("n"))
     labels = written(components(found.where("b is not null").select("a", "b")), "labels")
-    by_class = classes.select("label", "same", "id", "size").join(counts.withColumnRenamed("a", "id"), "id", "left").join(labels, "id", "left")
+    by_class = classes.select("label", "same", "id", "size", F.xxhash64("vec", "label").alias("uid")).join(counts, ["id", "uid"], "left").join(labels, "id", "left")
     by_class = by_class.select("label", "same", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     linked = rows.where(good).select("id", "label", "same").join(by_class, ["label", "same"], "left").select("id", "n_links", "component_id")
     alone = rows.where(~F.coalesce(good, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))

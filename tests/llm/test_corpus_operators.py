@@ -180,7 +180,7 @@ def vectors(spark):
     rng = np.random.default_rng(4)
     x = clusters(rng, 700)
     out = [(i, v.tolist(), int(rng.integers(0, 3))) for i, v in enumerate(x)]
-    out += [(900, None, 1), (901, [0.0] * 32, 1), (902, [float("nan")] + [1.0] * 31, 1), (903, [None] + [1.0] * 31, 1), (904, [1.0, 2.0], 1), (907, [2.0, 4.0], 1), (908, [1.0, 2.01], 1), (909, [-2.0, 1.0], 1), (910, [1.0, 2.0], 2), (850, [1.0, 2.2], 1), (905, x[6].tolist(), None), (906, [], 1), (950, x[6].tolist(), 0), (950, x[6].tolist(), 0)]
+    out += [(900, None, 1), (901, [0.0] * 32, 1), (902, [float("nan")] + [1.0] * 31, 1), (903, [None] + [1.0] * 31, 1), (904, [1.0, 2.0], 1), (907, [2.0, 4.0], 1), (908, [1.0, 2.01], 1), (909, [-2.0, 1.0], 1), (910, [1.0, 2.0], 2), (850, [1.0, 2.2], 1), (905, x[6].tolist(), None), (906, [], 1), (950, x[6].tolist(), 0), (950, x[6].tolist(), 0), (951, (x[6] * 1.5).tolist(), 0), (951, x[8].tolist(), 0), (951, x[8].tolist(), 1)]
     return spark.createDataFrame(out, "vec_id long, embedding array<double>, label int").withColumn("id", F.lit("clash")).withColumn("vec", F.lit("clash"))
 
 
