@@ -232,6 +232,10 @@ def test_codes_are_balanced():
     c = embed_dedup.codes(x, p, 24)
     assert c.shape == (2000, 24) and c.max() < 1 << 16
     assert 0.1 < ((x @ p) >= 0).mean() < 0.9
+    bits = ((c[:, :, None] >> np.arange(16)) & 1).reshape(2000, -1)
+    assert (embed_dedup.hamming(c[:50], c[50:80], 16) == (bits[:50, None] != bits[None, 50:80]).sum(axis=2)).all()
+    cos, far = x[:400] @ x[:400].T, embed_dedup.hamming(c[:400], c[:400], 16) / 384
+    assert far[cos >= 0.98].max() < embed_dedup.FAR < far[np.abs(cos) < 0.1].mean()
 
 
 def test_nearest_by_brute_force(vectors):
