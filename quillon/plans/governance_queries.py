@@ -87,7 +87,7 @@ def q_binding_problems(t: Tables) -> DataFrame:
     return V.binding_problems(decisions, items, "o_orderkey", F.lit("now"))
 
 
-@query("SELECT c_custkey, field, count(o_orderkey) AS n_evidence, array_to_string(list_sort(list(DISTINCT v) FILTER (v IS NOT NULL)), ',') AS vals, CASE WHEN count(v) = 0 THEN 'missing' WHEN count(DISTINCT v) = 1 THEN 'decision_ready' ELSE 'semantic_conflict' END AS status FROM (SELECT c_custkey, field, o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN CASE field WHEN 'priority' THEN o_orderpriority ELSE o_orderstatus END END AS v FROM customer CROSS JOIN (SELECT unnest(['priority', 'status']) AS field) LEFT JOIN orders ON o_custkey = c_custkey) GROUP BY 1, 2")
+@query("SELECT c_custkey, field, count(o_orderkey) AS n_evidence, coalesce(array_to_string(list_sort(list(DISTINCT v) FILTER (v IS NOT NULL)), ','), '') AS vals, CASE WHEN count(v) = 0 THEN 'missing' WHEN count(DISTINCT v) = 1 THEN 'decision_ready' ELSE 'semantic_conflict' END AS status FROM (SELECT c_custkey, field, o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN CASE field WHEN 'priority' THEN o_orderpriority ELSE o_orderstatus END END AS v FROM customer CROSS JOIN (SELECT unnest(['priority', 'status']) AS field) LEFT JOIN orders ON o_custkey = c_custkey) GROUP BY 1, 2")
 def q_review_packet(t: Tables) -> DataFrame:
     """One unit of review per record and field, with its evidence compared."""
     cells = F.array(F.struct(F.lit("priority").alias("field"), F.col("o_orderpriority").alias("value")), F.struct(F.lit("status").alias("field"), F.col("o_orderstatus").alias("value")))
