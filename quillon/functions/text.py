@@ -131,9 +131,9 @@ REFERENCES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&
 def _numbered(x: Column, mark: str, shown: str, digits: str, base: int) -> Column:
     """x with its numbered references decoded; numbers that no character has stay as they are."""
     parts = F.split(x, mark)
-    number = lambda p: F.conv(F.regexp_extract(p, f"^({digits}+);", 1), base, 10).try_cast("long")
+    number = lambda p: F.conv(F.regexp_extract(p, f"^0*({digits}{{1,8}});", 1), base, 10).try_cast("long")
     char = lambda p: F.decode(F.unhex(F.lpad(F.hex(number(p)), 8, "0")), "UTF-32")
-    known = lambda p: p.rlike(f"^{digits}+;") & (number(p) <= 0x10FFFF) & ~number(p).between(0xD800, 0xDFFF)
+    known = lambda p: p.rlike(f"^0*{digits}{{1,8}};") & (number(p) <= 0x10FFFF) & ~number(p).between(0xD800, 0xDFFF)
     rest = F.transform(F.slice(parts, 2, F.greatest(F.lit(0), F.size(parts) - 1)), lambda p: F.when(known(p), F.concat(char(p), F.regexp_replace(p, f"^{digits}+;", ""))).otherwise(F.concat(F.lit(shown), p)))
     return F.concat(F.get(parts, 0), F.array_join(rest, ""))
 

@@ -21,9 +21,8 @@ def shared_root(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
 
 
-def saved(df: DataFrame, name: str = "table") -> DataFrame:
-    """df, written and read back, so that lost executors cost no recomputation; removed when the driver ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is removed when the driver ends."""
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def remove() -> None:
@@ -34,8 +33,14 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
             pass
 
     atexit.register(remove)
+    return path
+
+
+def saved(df: DataFrame, name: str = "table") -> DataFrame:
+    """df, written and read back, so that lost executors cost no recomputation."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:

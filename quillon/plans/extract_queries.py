@@ -24,11 +24,11 @@ def q_visible_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.visible_text(F.col("html")).alias("shown"))
 
 
-@query("SELECT p_partkey, 'a' || chr(60 + p_size) || 'b' || chr(97 + p_size % 26) || '😀 < x, y! &#99999999; &#x; &#12' AS shown FROM part")
+@query("SELECT p_partkey, 'a' || chr(60 + p_size) || 'b' || chr(97 + p_size % 26) || '😀 < x, y! &#99999999; &#123456789012345678901234567890; &#x; &#12 0' AS shown FROM part")
 def q_character_references(t: Tables) -> DataFrame:
     """Decimal and hexadecimal references, one that a decoded ampersand begins, numbers of no character, unfinished ones."""
     hexed = F.hex((97 + F.col("p_size") % 26).cast("long"))
-    page = F.format_string("<script>no</script>a&#%d;b&#X%s;&#x1F600; &amp;lt;<br> x , y ! &#99999999; &#x; &#12", 60 + F.col("p_size"), hexed)
+    page = F.format_string("<script>no</script>a&#%d;b&#X%s;&#x1F600; &amp;lt;<br> x , y ! &#99999999; &#123456789012345678901234567890; &#x; &#12 &#x000000000030;", 60 + F.col("p_size"), hexed)
     return t.part.select("p_partkey", T.visible_text(page).alias("shown"))
 
 

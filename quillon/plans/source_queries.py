@@ -9,21 +9,14 @@ from quillon.functions import intervals as I
 from quillon.functions import text as T
 from quillon.operators import align as A
 from quillon.operators import rules as U
-from quillon.operators.saved import shared_root
+from quillon.operators.saved import scratch
 from quillon.plans.registry import Tables, query
 from quillon.sources import catalogue, sinks
 
 
-def scratch(t: Tables, name: str) -> str:
-    """A new path in the shared folder."""
-    import uuid
-
-    return f"{shared_root(t._spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def dataset(t: Tables, name: str, rows: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     """rows (few) as one JSON document with an envelope, written and read back with an explicit schema: (records, envelope)."""
-    path = scratch(t, name)
+    path = scratch(t._spark, name)
     whole = rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias("records")).select(F.lit("1.2").alias("patch"), F.lit("ready").alias("status"), F.lit("2024-01-02").alias("verifiedAt"), "records")
     whole.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).coalesce(1).write.text(path)
     return catalogue.read_dataset(t._spark, path, schema)
@@ -63,7 +56,7 @@ def q_parallel_load(t: Tables) -> DataFrame:
 def q_json_sink(t: Tables) -> DataFrame:
     """JSON lines in a fixed order, nulls included, read back."""
     rows = t.customer.select("c_custkey", "c_name", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("balance"))
-    path = scratch(t, "lines")
+    path = scratch(t._spark, "lines")
     sinks.write_json(rows, path, ["c_custkey"])
     return t._spark.read.schema(rows.schema).json(path)
 
@@ -71,7 +64,7 @@ def q_json_sink(t: Tables) -> DataFrame:
 @query("SELECT s_suppkey, s_name FROM supplier")
 def q_publish(t: Tables) -> DataFrame:
     """Published rows are read back and compared by digest before anyone reads them."""
-    rows, path = t.supplier.select("s_suppkey", "s_name"), scratch(t, "published")
+    rows, path = t.supplier.select("s_suppkey", "s_name"), scratch(t._spark, "published")
     sinks.publish(rows, path)
     return t._spark.read.schema(rows.schema).parquet(path)
 
@@ -79,7 +72,7 @@ def q_publish(t: Tables) -> DataFrame:
 @query("SELECT r_regionkey, true AS refused FROM region")
 def q_write_once(t: Tables) -> DataFrame:
     """Frozen evidence isn't overwritten: the second write is refused, the first stays."""
-    rows, path, refused = t.region.select("r_regionkey"), scratch(t, "frozen"), False
+    rows, path, refused = t.region.select("r_regionkey"), scratch(t._spark, "frozen"), False
     sinks.write_once(rows, path)
     try:
         sinks.write_once(rows.limit(0), path)
