@@ -158,18 +158,34 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return both.mapInArrow(run, "a long, b long")
 
 
-def _links_of_block(words: int, percent: int):
+def hashed_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(id, set) of each row of (id, text): its distinct shingles as sorted 64-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, h = shingles(batch.column(1), words)
+            at = np.searchsorted(row, np.arange(len(batch) + 1)).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())], names=["id", "set"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, set binary")
+
+
+def _sets(column: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and hash of all elements, and the size of each row's set."""
+    sizes = column.map(len).to_numpy(dtype=np.int64) // 8
+    return np.repeat(np.arange(len(sizes)), sizes), np.frombuffer(b"".join(column), dtype=np.uint64), sizes
+
+
+def _links_of_block(percent: int):
     """For a block of documents (role 0) and a chunk of others (role 1): one link to each component that a document links with."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         mine, others = rows[rows["role"] == 0], rows[rows["role"] == 1]
-        row, h = shingles(pa.array(mine["text"], pa.string()), words)
+        row, h, sizes = _sets(mine["set"])
         order = np.argsort(h, kind="stable")
         row, h = row[order], h[order]
         vocabulary, first, n = np.unique(h, return_index=True, return_counts=True)
-        sizes = np.bincount(row, minlength=len(mine))
-        other_row, other_h = shingles(pa.array(others["text"], pa.string()), words)
-        other_sizes = np.bincount(other_row, minlength=len(others))
+        other_row, other_h, other_sizes = _sets(others["set"])
         at = np.minimum(np.searchsorted(vocabulary, other_h), max(0, len(vocabulary) - 1))
         known = vocabulary[at] == other_h if len(vocabulary) else np.zeros(len(other_h), dtype=bool)
         other_row, at = other_row[known], at[known]
@@ -178,7 +194,8 @@ def _links_of_block(words: int, percent: int):
         bounds = np.searchsorted(other_row, np.arange(len(others) + 1))
         for j, (b, c) in enumerate(zip(others["id"].tolist(), others["component"].tolist(), strict=True)):
             k = at[bounds[j] : bounds[j + 1]]
-            if not len(k):
+            # without so many common shingles no set of any size is similar enough
+            if 100 * len(k) < percent * other_sizes[j]:
                 continue
             lengths = n[k]
             # the documents of all postings of this one's shingles, end to end
@@ -199,7 +216,7 @@ def _missed_links(members: DataFrame, texts: DataFrame, words: int, percent: int
 
     Every such link has an end outside the bucket's main component. These documents are dealt out to
     blocks of BLOCK, those of one main component together; a block meets all members of its documents'
-    buckets, in chunks of CHUNK.
+    buckets, in chunks of CHUNK. Shingles are made once; their hashes travel, not texts.
     """
     main = members.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
     outside = members.join(main, "bucket").where("component != main")
@@ -212,8 +229,9 @@ def _missed_links(members: DataFrame, texts: DataFrame, words: int, percent: int
     others = met.join(chunks, ["home", "part"]).select("home", "part", F.pmod(F.xxhash64("id", F.lit(1)), "chunks").alias("chunk"), F.lit(1).alias("role"), "id", "component")
     of = members.select("id", "component").distinct()
     mine = blocks.join(chunks, ["home", "part"]).join(of, "id").select("home", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), "id", "component")
-    full = mine.unionByName(others).join(texts, "id").select("home", "part", "chunk", "role", "id", "component", "text")
-    return full.groupBy("home", "part", "chunk").applyInPandas(_links_of_block(words, percent), "a long, b long")
+    sets = written(hashed_sets(texts.join(of.select("id").distinct(), "id", "left_semi"), words), "sets")
+    full = mine.unionByName(others).join(sets, "id").select("home", "part", "chunk", "role", "id", "component", "set")
+    return full.groupBy("home", "part", "chunk").applyInPandas(_links_of_block(percent), "a long, b long")
 
 
 def _labelled(pairs: DataFrame, labels: DataFrame, *ends: str) -> DataFrame:
