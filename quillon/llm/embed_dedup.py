@@ -74,16 +74,21 @@ def codes(x: np.ndarray, projection: np.ndarray, tables: int) -> np.ndarray:
     return (ones << np.arange(ones.shape[2], dtype=np.int64)).sum(axis=2, dtype=np.int64)
 
 
-def hamming(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    """(rows of a, rows of b) distances of codes whose substrings have so many bits; several substrings are compared as one word."""
-    mask, per_word = (1 << bits) - 1, 64 // bits
+def packed(c: np.ndarray, bits: int) -> np.ndarray:
+    """(rows, words) whole codes as 64-bit words: as many substrings of so many bits in each as there is room for."""
+    per_word = 64 // bits
+    c = (c & ((1 << bits) - 1)).astype(np.uint64)
+    c = np.concatenate([c, np.zeros((len(c), -c.shape[1] % per_word), dtype=np.uint64)], axis=1).reshape(len(c), -1, per_word)
+    return np.bitwise_or.reduce(c << (np.arange(per_word, dtype=np.uint64) * np.uint64(bits)), axis=2)
+
+
+def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(rows of a, rows of b) distances of packed codes."""
+    if len(a) * len(b) < 4096:
+        return np.bitwise_count(a[:, None] ^ b[None]).sum(axis=2, dtype=np.uint16)
     out = np.zeros((len(a), len(b)), dtype=np.uint16)
-    for t in range(0, a.shape[1], per_word):
-        x, y = np.zeros(len(a), dtype=np.uint64), np.zeros(len(b), dtype=np.uint64)
-        for k in range(min(per_word, a.shape[1] - t)):
-            x |= (a[:, t + k] & mask).astype(np.uint64) << np.uint64(bits * k)
-            y |= (b[:, t + k] & mask).astype(np.uint64) << np.uint64(bits * k)
-        out += np.bitwise_count(x[:, None] ^ y[None, :])
+    for w in range(a.shape[1]):
+        out += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
     return out
 
 
@@ -134,17 +139,19 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims, raw = batch.column(4).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            out: list = [None] * len(batch)
+            out, whole = [None] * len(batch), [None] * len(batch)
             for d in np.unique(dims).tolist():
-                at, tables = np.flatnonzero(dims == d), plans[d][0]
-                c = codes(matrix([raw[i] for i in at]), projections[d], tables) + (np.arange(tables, dtype=np.int64) << TABLE_AT)
-                for i, row in zip(at.tolist(), c, strict=True):
-                    out[i] = row
+                at, (tables, bits) = np.flatnonzero(dims == d), plans[d]
+                c = codes(matrix([raw[i] for i in at]), projections[d], tables)
+                words = packed(c, min(bits, d))
+                c += np.arange(tables, dtype=np.int64) << TABLE_AT
+                for k, i in enumerate(at.tolist()):
+                    out[i], whole[i] = c[k], words[k].tobytes()
             if len(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64())), *(batch.column(i) for i in (2, 1, 3, 4))], names=["id", "codes", "label", "vec", "size", "dim"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64())), *(batch.column(i) for i in (2, 1, 3, 4)), pa.array(whole, pa.binary())], names=["id", "codes", "label", "vec", "size", "dim", "whole"])
 
     kind = classes.schema["label"].dataType.simpleString()
-    coded = classes.select("id", "vec", "label", "size", "dim").mapInArrow(encode, f"id long, codes array<long>, label {kind}, vec binary, size long, dim int")
+    coded = classes.select("id", "vec", "label", "size", "dim").mapInArrow(encode, f"id long, codes array<long>, label {kind}, vec binary, size long, dim int, whole binary")
     # rows of one id may have several vectors or labels: each class is told by a digest too
     coded = written(coded.withColumn("uid", F.xxhash64("vec", "label")), "codes")
     keys = coded.select("id", "uid", "dim", "label", F.explode("codes").alias("code"))
@@ -152,7 +159,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id
     placed = keys.join(large, ["dim", "label", "code"]).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     placed = placed.select("id", "uid", "dim", "label", "code", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    met = placed.join(coded.select("id", "uid", "dim", "label", "codes", "vec", "size"), ["id", "uid", "dim", "label"]).select("dim", "label", "code", "i", "j", "own", "id", "uid", "size", "codes", "vec")
+    met = placed.join(coded.select("id", "uid", "dim", "label", "codes", "whole", "vec", "size"), ["id", "uid", "dim", "label"]).select("dim", "label", "code", "i", "j", "own", "id", "uid", "size", "codes", "whole", "vec")
     met = met.repartition("dim", "label", "code", "i", "j").sortWithinPartitions("dim", "label", "code", "i", "j", "own", "id")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +175,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id
             tables, bits = plans[rows["dim"][0].as_py()]
             bits = min(bits, x.shape[1])
             if bits >= LEAST_BITS:  # shorter vectors have too few bits that differ independently
-                near = hamming(c[left], c[right], bits) <= FAR * tables * bits
+                words = np.frombuffer(b"".join(rows["whole"].to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
+                near = hamming(words[left], words[right]) <= FAR * tables * bits
                 if i == j:
                     near[np.arange(len(left)), np.arange(len(left))] = False
                 left, right = left[near.any(axis=1)], right[near.any(axis=0)]

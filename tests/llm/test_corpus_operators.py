@@ -233,8 +233,13 @@ def test_codes_are_balanced():
     assert c.shape == (2000, 24) and c.max() < 1 << 16
     assert 0.1 < ((x @ p) >= 0).mean() < 0.9
     bits = ((c[:, :, None] >> np.arange(16)) & 1).reshape(2000, -1)
-    assert (embed_dedup.hamming(c[:50], c[50:80], 16) == (bits[:50, None] != bits[None, 50:80]).sum(axis=2)).all()
-    cos, far = x[:400] @ x[:400].T, embed_dedup.hamming(c[:400], c[:400], 16) / 384
+    words = embed_dedup.packed(c, 16)
+    assert words.shape == (2000, 6)
+    for n in (20, 400):
+        assert (embed_dedup.hamming(words[:n], words[500:580]) == (bits[:n, None] != bits[None, 500:580]).sum(axis=2)).all()
+    odd = embed_dedup.packed(c[:5, :7] & 0x1FFF, 13)
+    assert odd.shape == (5, 2) and (embed_dedup.hamming(odd, odd) == (bits.reshape(2000, 24, 16)[:5, None, :7, :13] != bits.reshape(2000, 24, 16)[None, :5, :7, :13]).sum(axis=(2, 3))).all()
+    cos, far = x[:400] @ x[:400].T, embed_dedup.hamming(words[:400], words[:400]) / 384
     assert far[cos >= 0.98].max() < embed_dedup.FAR < far[np.abs(cos) < 0.1].mean()
 
 
