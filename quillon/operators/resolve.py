@@ -85,7 +85,7 @@ def with_bigrams(rows: DataFrame, key: Column, name: str) -> DataFrame:
 
 
 def discovery_score(effect: Column, names: Sequence[Column], category: Column, cost: Column) -> Column:
-    """Fixed weights of a candidate search: similar effects, names (the best of several), equal category, equal cost. It never confirms."""
+    """Weights of a candidate search: similar effects, names (the best of several), equal category, equal cost. It never confirms."""
     return effect + 0.25 * (F.greatest(*names) if len(names) > 1 else names[0]) + 0.15 * F.coalesce(category, F.lit(False)).cast("double") + 0.10 * F.coalesce(cost, F.lit(False)).cast("double")
 
 
@@ -148,7 +148,7 @@ def duplicate_metrics(rows: DataFrame, key: str, raw: Column, canonical: Column,
 
 
 def proposal_score(name: Column, effect: Column, category: Column, cost: Column, stage: Column) -> Column:
-    """Fixed weights of an identity search."""
+    """Weights of an identity search."""
     return 0.55 * name + 0.25 * effect + 0.10 * category.cast("double") + 0.05 * cost.cast("double") + 0.05 * stage.cast("double")
 
 

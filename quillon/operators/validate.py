@@ -59,6 +59,8 @@ def provenance_problems(entries: DataFrame, manifest: DataFrame, key: str, stale
     return entries.join(m, "source_id", "left").select(key, "field", "source_id", F.explode(problems).alias("problem"))
 
 
+#: Fixed value: a placeholder that a client fills in.
+PLACEHOLDER = r"@[A-Za-z][A-Za-z0-9_]*(?:\s*\*\s*100)?@"
 #: Kinds of values that a decision may give a field.
 SHAPES = ("text", "category", "amount", "effect", "ranges", "unknown", "omitted")
 
@@ -78,7 +80,7 @@ def shape_problem(kind: Column, value: Column, categories: Sequence[str]) -> Col
     good = lambda r: (r["start"]["stage"] >= 1) & (r["start"]["round"] >= 1) & (r["end"]["stage"] >= 1) & (r["end"]["round"] >= 1) & (r["start"] <= r["end"])
     checks = {
         "text": (blank, "empty text"), "category": (~F.coalesce(text.isin(*categories), F.lit(False)), "unknown category"), "amount": (~F.coalesce((number >= 0) & (number < float("inf")), F.lit(False)), "not an amount"),
-        "effect": (blank | F.coalesce(text.rlike(r"@[A-Za-z][A-Za-z0-9_]*(?:\s*\*\s*100)?@"), F.lit(False)), "empty or unresolved text"), "ranges": (~F.coalesce((F.size(ranges) > 0) & F.forall(ranges, lambda r: F.coalesce(good(r), F.lit(False))), F.lit(False)), "not ordered windows"),
+        "effect": (blank | F.coalesce(text.rlike(PLACEHOLDER), F.lit(False)), "empty or unresolved text"), "ranges": (~F.coalesce((F.size(ranges) > 0) & F.forall(ranges, lambda r: F.coalesce(good(r), F.lit(False))), F.lit(False)), "not ordered windows"),
         "unknown": (~F.coalesce(F.try_variant_get(v, "$.status", "string") == "unknown", F.lit(False)), "not marked unknown"), "omitted": (value.isNotNull(), "must be left out")}
     out = F.lit("unknown field")
     for name, (wrong, problem) in checks.items():

@@ -109,6 +109,7 @@ def shown(fragment: str) -> str:
 
 
 CARD = "name string, cost double, effect string, upgrades array<string>, hints array<string>, windows array<string>, category string, cooldown int, once boolean, ranges array<struct<start:struct<stage:int,round:int>,end:struct<stage:int,round:int>>>"
+#: How a card writes a window, its category, and after how many shops it comes again.
 _RANGE = re.compile(r"(\d+)-(\d+)\s*(?:to|~|–|—)\s*(\d+)-(\d+)", re.IGNORECASE)
 _CATEGORY = re.compile(r"""\bdata-category=["']([^"']+)["']""", re.IGNORECASE)
 _COOLDOWN = re.compile(r"(?:re-?offer(?:ed)?|offered again)[^\d]{0,40}(\d+)\s*shops?", re.IGNORECASE)
@@ -160,7 +161,7 @@ def marked_object(page: Column, marker: str) -> Column:
     return F.when(F.size(found) == 1, F.replace(F.element_at(found, 1), F.lit('\\"'), F.lit('"')))
 
 
-#: Keys under which a record's parts may stand, the first that is there counts.
+#: Keys under which a record's parts may stand, the first that is there counts.
 KEYS = {"name": ("name", "title", "displayName"), "effect": ("effect", "description", "desc"), "category": ("category", "type"), "cost": ("cost", "price"), "source_key": ("key", "id")}
 
 
@@ -173,10 +174,12 @@ def record_of(obj: Column) -> Column:
     return F.when(ok, F.struct(first["source_key"].alias("source_key"), first["name"].alias("name"), first["effect"].alias("effect"), first["category"].alias("category"), cost.alias("cost")))
 
 
+#: Where a page states its own address, by preference.
+ADDRESSES = (r"""<link\b[^>]*rel=["']canonical["'][^>]*href=["']([^"']+)""", r"""<meta\b[^>]*property=["']og:url["'][^>]*content=["']([^"']+)""")
+
+
 def canonical_url(page: Column) -> Column:
-    link = F.regexp_extract(page, r"""<link\b[^>]*rel=["']canonical["'][^>]*href=["']([^"']+)""", 1)
-    meta = F.regexp_extract(page, r"""<meta\b[^>]*property=["']og:url["'][^>]*content=["']([^"']+)""", 1)
-    return F.coalesce(F.nullif(link, F.lit("")), F.nullif(meta, F.lit("")))
+    return F.coalesce(*[F.nullif(F.regexp_extract(page, p, 1), F.lit("")) for p in ADDRESSES])
 
 
 def import_problems(pages: DataFrame, records: DataFrame, key: str, page: str, identity: str, declared: str | None = None) -> DataFrame:
