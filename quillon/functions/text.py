@@ -11,8 +11,12 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
 
-def _form(kind: str):
-    """A column function for a Unicode normal form; Spark has no expression for it. Texts of ASCII only don't leave the JVM."""
+#: Characters that NFKC leaves as they are, whatever stands beside them; a text of only these doesn't leave the JVM for it.
+STABLE = r"\x00-\x7F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0400-\u0482\u048A-\u04FF\u2013\u2014\u2018\u2019\u201C\u201D\u20AC\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3"
+
+
+def _form(kind: str, stable: str):
+    """A column function for a Unicode normal form; Spark has no expression for it. Texts of stable characters only don't leave the JVM."""
 
     def of(s: str | None) -> str | None:
         return None if s is None else unicodedata.normalize(kind, s)
@@ -22,12 +26,12 @@ def _form(kind: str):
         return x.map(of)
 
     def column(x: Column) -> Column:
-        return F.coalesce(one(F.when(x.rlike(r"[^\x00-\x7F]"), x)), x)
+        return F.coalesce(one(F.when(x.rlike(f"[^{stable}]"), x)), x)
 
     return column
 
 
-nfkc, nfkd = _form("NFKC"), _form("NFKD")
+nfkc, nfkd = _form("NFKC", STABLE), _form("NFKD", r"\x00-\x7F")
 
 
 @pandas_udf(ArrayType(StringType()))
@@ -37,7 +41,7 @@ def _nfkc_each(x: pd.Series) -> pd.Series:
 
 def nfkc_each(x: Column) -> Column:
     """NFKC of each element of an array of strings."""
-    return F.coalesce(_nfkc_each(F.when(F.exists(x, lambda s: s.rlike(r"[^\x00-\x7F]")), x)), x)
+    return F.coalesce(_nfkc_each(F.when(F.exists(x, lambda s: s.rlike(f"[^{STABLE}]")), x)), x)
 
 
 #: White space as the search form knows it; a next-line mark is none.
@@ -140,7 +144,8 @@ def _numbered(x: Column, mark: str, shown: str, digits: str, base: int) -> Colum
 
 def decode_references(x: Column) -> Column:
     """Character references: decimal and hexadecimal numbers, then the named ones in order."""
-    out = _numbered(_numbered(x, "&#(?![xX])", "&#", "[0-9]", 10), "(?i)&#x", "&#x", "[0-9a-fA-F]", 16)
+    numbered = _numbered(_numbered(x, "&#(?![xX])", "&#", "[0-9]", 10), "(?i)&#x", "&#x", "[0-9a-fA-F]", 16)
+    out = F.when(x.contains("&#"), numbered).otherwise(x)
     for a, b in REFERENCES:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out

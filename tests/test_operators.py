@@ -98,6 +98,19 @@ def test_text_forms(spark):
     assert spark.sql("select '' as a, '' as b").select(T.edit_similarity(F.col("a"), F.col("b")), T.dice(T.bigrams(F.col("a")), T.bigrams(F.col("b")))).first()[:] == (1.0, 0.0)
 
 
+def test_stable_characters_are_stable():
+    import re
+    import unicodedata
+
+    every = [chr(c) for c in range(1 << 16) if not 0xD800 <= c < 0xE000]
+    stable = re.findall(f"[{T.STABLE}]", "".join(every))
+    assert len(stable) > 30_000
+    starters = [c for c in every if unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c)]
+    assert set(stable) <= set(starters)
+    # none composes with a character before it
+    assert all(unicodedata.normalize("NFKC", a + b) == a + b for a in ("a", "e", "\uac00", "\u3046", "\u0415", "\u1100") for b in stable)
+
+
 def test_clauses_take_the_longest_phrase():
     lexicon = S.Lexicon((S.Group("g", ("attack", "attack speed"), ("k2", "k1")),), (("c", "Speed"),))
     assert S.clauses("Attack-speed speed x x", lexicon) == [S.Clause("attack speed", ("attack", "attack speed"), ("k1", "k2")), S.Clause("speed", ("speed",), ("c",)), S.Clause("x", ("x",)), S.Clause("x", ("x",))]
