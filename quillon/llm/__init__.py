@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "html_extract", "minhash", "langid", "mixing", "quality", "secrets", "binary_output", "embed_dedup", "ann", "spelling")
+MODULES = ("bpe", "html_extract", "minhash", "langid", "mixing", "quality", "secrets", "binary_output", "embed_dedup", "ann", "spelling", "exact_dedup", "phrases")
 
 
 def _all(name: str) -> dict:

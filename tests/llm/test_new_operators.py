@@ -1,13 +1,15 @@
 """Spelling variants, exact duplicates and phrases: against brute force and SQL."""
 
+import hashlib
 import random
+import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import spelling
+from quillon.llm import exact_dedup, phrases, spelling
 from tests.util import oracle, rows
 
 
@@ -66,8 +68,6 @@ def test_typed_words(spark):
 
 
 def spelling_runs(text):
-    import re
-
     return re.findall("[a-zÀ-ÿ]+", "".join(c.lower() if c.isascii() else c for c in text))
 
 
@@ -75,3 +75,117 @@ def test_spelling_query(spark, data):
     names, want = oracle(spelling.ORACLE["op11_spelling_variants"], data)
     got = spelling.op11_spelling_variants(spark, data)
     assert sorted(got.columns) == names and rows(got) == want
+
+
+def test_trie_by_dict():
+    rng, trie, want, spilled = random.Random(4), exact_dedup.Trie(), Counter(), Counter()
+    for i in range(4000):
+        text = b"<html>" * rng.randrange(2) + bytes(rng.choice(b"abc") for _ in range(rng.randrange(0, 7)))
+        node = trie.terminal(text)
+        node.end = (node.end or 0) + 1
+        want[text] += 1
+        if i % 900 == 899:
+            before = trie.held
+            for t, n in trie.spilled(before // 2):
+                spilled[t] += n
+            assert trie.held <= before // 2
+    assert trie.held == trie.size(trie.root)
+    for t, n in trie.ends(trie.root):
+        spilled[t] += n
+    assert spilled == want
+
+
+@pytest.mark.parametrize("held", [1 << 10, 48 << 20])
+def test_exact_duplicates_by_listing(spark, held):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("ab \n\té") for _ in range(rng.randrange(12))) for _ in range(120)] + ["x" * 30000, "x" * 30000 + "y", None, "", " ", " ", "  a"]
+    texts = [(i, rng.choice(base)) for i in range(1500)] + [(i, "hot") for i in range(1500, 2500)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumns({"key": F.lit("clash"), "at": F.lit(1), "n": F.lit(2)}).repartition(7)
+    forms = {i: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for i, t in texts}
+    groups = {}
+    for i, t in forms.items():
+        groups.setdefault(t, []).append(i)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact_dedup.exact_duplicates(df, held=held).collect()}
+    assert got == {i: (min(groups[t]), len(groups[t]), i == min(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in forms.items()}
+
+
+def test_exact_duplicates_edges(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "a"), (1, "b"), (1, "b"), (None, "b"), (2, "c"), (1, "c ")], "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(df).collect())
+    assert got == Counter({(None, None, 2, True): 1, (None, None, 2, False): 1, (1, 1, 3, True): 1, (1, 1, 3, False): 1, (None, 1, 3, False): 1, (2, 2, 1, True): 1, (1, 1, 1, True): 1})
+    named = spark.createDataFrame([("b", "x"), ("a", "x"), (None, "x")], "name string, body string")
+    assert {r["name"]: (r["keep_id"], r["kept"]) for r in exact_dedup.exact_duplicates(named, "name", "body").collect()} == {"a": ("a", True), "b": ("a", False), None: ("a", False)}
+    assert exact_dedup.exact_duplicates(df.where("false")).count() == 0
+
+
+def test_exact_query(spark, data):
+    names, want = oracle(exact_dedup.ORACLE["op12_exact_dedup"], data)
+    got = exact_dedup.op12_exact_dedup(spark, data)
+    assert sorted(got.columns) == names and rows(got) == want
+
+
+def listed_phrases(texts, at_least, longest):
+    """Plain counts of all phrases: the contract word by word."""
+    f, n = defaultdict(Counter), Counter()
+    for lang, text in texts:
+        lang = "und" if lang is None else lang
+        lower = "".join(c.lower() if c.isascii() else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, longest + 1):
+                f[lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = {}
+    for lang, counts in f.items():
+        kept = {p: a for p, a in counts.items() if len(p) > 1 and a >= at_least}
+        for p, a in kept.items():
+            if any(len(q) > len(p) and b >= a and any(q[i : i + len(p)] == p for i in range(len(q))) for q, b in kept.items()):
+                continue
+            score, cut = min((1000 * a * n[lang] // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p)))
+            out[lang, " ".join(p)] = (a, counts[p[:cut]], counts[p[cut:]], n[lang], score)
+    return out
+
+
+def phrase_texts(rng):
+    vocabulary = [f"w{i}" for i in range(12)] + ["É", "né", "X-1", " q"]
+    passage = " ".join(rng.choice(vocabulary) for _ in range(30))
+    texts = [(rng.choice(["en", "fr", None]), "".join(rng.choice(vocabulary) + rng.choice([" ", " ", "\t", "  ", ". ", "\n", "!,"]) for _ in range(rng.randrange(60)))) for _ in range(150)]
+    texts += [("en", passage.upper())] * 40 + [("fr", "a a a a a a, a a a")] * 12 + [("en", None), (None, ""), ("de", " \t"), ("de", ". . .")]
+    return texts + [("en", (passage + "; ") * 700)]
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_phrases_by_listing(spark, parts):
+    rng = random.Random(8)
+    texts = phrase_texts(rng)
+    df = spark.createDataFrame(texts, "lang string, text string").withColumns({"block": F.lit("clash"), "n": F.lit(1), "word": F.lit("x")}).repartition(parts)
+    got = {(r["lang"], r["phrase"]): (r["a"], r["l"], r["r"], r["n"], r["score"]) for r in phrases.collocations(df, at_least=9).collect()}
+    assert got == listed_phrases(texts, 9, 5)
+    assert phrases.collocations(df.where("false")).count() == 0
+
+
+def test_blocks_and_automata_of_any_size(monkeypatch):
+    """What bounds memory changes nothing: slices of a text, and several automata for one block."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("ab \t.,") for _ in range(5000)).encode().translate(phrases._TABLE)
+    monkeypatch.setattr(phrases, "SLICE", 50)
+    parts = list(phrases._slices(text))
+    assert b".".join(parts) == text and max(map(len, parts)) <= 60
+    sequences = [[rng.randrange(4) for _ in range(rng.randrange(1, 15))] for _ in range(300)]
+    want, got = Counter(), Counter()
+    for s in sequences:
+        want.update(tuple(s[i : i + k]) for k in range(2, 6) for i in range(len(s) - k + 1))
+    for some in (sequences[:100], sequences[100:]):
+        automaton = phrases.Automaton()
+        for s, n in Counter(map(tuple, some)).items():
+            automaton.add(list(s), n)
+        found = list(automaton.phrases(5))
+        assert len({p for p, _ in found}) == len(found)
+        got.update(dict(found))
+    assert got == want
+
+
+def test_phrase_query(spark, data):
+    names, want = oracle(phrases.ORACLE["op13_phrase_collocations"], data)
+    got = phrases.op13_phrase_collocations(spark, data)
+    assert sorted(got.columns) == names and rows(got) == want
