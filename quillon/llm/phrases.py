@@ -5,12 +5,15 @@
 2. Words are summed over all blocks, and those that come often enough are handed back to each block that has them. Then
    pairs of neighbouring frequent words are summed and handed back alike. A phrase is no more frequent than its words and
    pairs, so nothing that can become a candidate is lost. A block gets what it has itself: no list of all words or pairs exists
-   anywhere. Pairs travel as 64-bit hashes; two that collide only let a rare pair pass, as phrases are counted exactly.
+   anywhere. Words and pairs travel as 64-bit hashes; two that collide only let a rare one pass, as phrases are counted exactly.
 3. What is left of a block are runs of words of which each neighbouring pair is frequent. The different runs, weighed by how often they come,
    go into a generalised suffix automaton; its states get their endpos counts along suffix links, and its paths of up
    to five words are the block's phrases. Counts of a phrase are summed over all blocks.
 4. A phrase is subsumed if a longer one that holds it is as frequent. It is enough to look one word further: to the phrases whose
    suffix link leads to it when they lose their first word, and to those it leads to by one transition.
+
+What is summed travels packed: a block sends one row to each of CHUNKS or more parts of the hash range, with all it has there. There are as many parts as
+the number of words asks for, so that a part's rows fit one task; a hot word is one entry a block.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,6 +39,8 @@ BLOCK, OPEN = 8 << 20, 32 << 20
 STATES = 150_000
 #: Bytes of a text that are split into words at once, cut between pieces.
 SLICE = 1 << 20
+#: Parts of the hash range at least, and words of all texts for each part.
+CHUNKS, CHUNK_WORDS = 32, 2_000_000
 
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0a\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz ..........")
 _U = np.uint64
@@ -106,29 +112,87 @@ def _sequence(size: int, packed: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True), np.int32)
 
 
-def _pair_keys(seq: np.ndarray, words: list[bytes], known: np.ndarray, lang: str) -> tuple[np.ndarray, np.ndarray]:
-    """(where, hash) of the neighbouring words that are both known."""
-    hashes = np.zeros(len(words), dtype=np.uint64)
+def _word_keys(words: list[bytes], lang: str) -> np.ndarray:
     seed = xxhash.xxh3_64_intdigest(lang.encode())
-    for i in np.flatnonzero(known).tolist():
-        hashes[i] = xxhash.xxh3_64_intdigest(words[i], seed)
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
+
+
+def _pair_keys(seq: np.ndarray, keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where, hash) of the neighbouring words that are both known."""
     at = np.flatnonzero(known[seq[:-1]] & known[seq[1:]])
-    return at, mix(hashes[seq[at]] * _U(0x9FB21C651E98DF25) + hashes[seq[at + 1]])
+    return at, mix(keys[seq[at]] * _U(0x9FB21C651E98DF25) + keys[seq[at + 1]])
+
+
+_PACKED = pa.schema([("chunk", pa.int32()), ("block", pa.int64()), ("size", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def _packed(block: int, keys: np.ndarray, counts: np.ndarray, chunks: int) -> pa.RecordBatch:
+    """Rows of one block: its keys in order, in parts by their leading bits, with how often each comes."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order].astype(np.uint32)
+    edges = np.searchsorted(keys, np.arange(1, chunks, dtype=np.uint64) << _U(64 - chunks.bit_length() + 1)) if chunks > 1 else np.empty(0, np.int64)
+    rows = [(c, block, len(k), k, n) for c, (k, n) in enumerate(zip(np.split(keys, edges), np.split(counts, edges), strict=True)) if len(k)]
+    # differences of sorted hashes are small numbers, by planes of bytes they compress
+    flat = lambda a: pa.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes(), codec="zstd", asbytes=True)
+    columns = [[r[0] for r in rows], [block] * len(rows), [r[2] for r in rows], [flat(np.diff(r[3], prepend=_U(0))) for r in rows], [flat(r[4]) for r in rows]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PACKED.types, strict=True)], schema=_PACKED)
+
+
+def _unpacked(data: bytes, size: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=size * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, size).T).view(kind).ravel()
+
+
+def frequent(packed: DataFrame, at_least: int) -> DataFrame:
+    """(block, known): of packed rows, the keys of each block that come at_least times over all blocks, as bytes."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.to_pylist()
+        keys = [np.cumsum(_unpacked(r["keys"], r["size"], np.uint64)) for r in rows]
+        _, which = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(which, weights=np.concatenate([_unpacked(r["counts"], r["size"], np.uint32) for r in rows]))
+        often = np.split((sums >= at_least)[which], np.cumsum([r["size"] for r in rows])[:-1])
+        found = [(r["block"], k[o].tobytes()) for r, k, o in zip(rows, keys, often, strict=True) if o.any()]
+        return pa.table({"block": pa.array([f[0] for f in found], pa.int64()), "known": pa.array([f[1] for f in found], pa.binary())})
+
+    found = packed.groupBy("chunk").applyInArrow(run, "block long, known binary")
+    # a block gets back no more than it sent
+    return found.groupBy("block").agg(F.collect_list("known").alias("known"))
+
+
+def _known(parts: list[bytes] | None) -> np.ndarray:
+    return np.frombuffer(b"".join(parts or []), np.uint64)
 
 
-def pairs(known: DataFrame) -> DataFrame:
-    """(block, pair, c) of (block, lang, words, size, sequence, places): hashes of neighbouring words of which both places are listed, and how often they come."""
+def words(stored: DataFrame, chunks: int) -> DataFrame:
+    """Packed rows of the words of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                marked = np.zeros(len(row["words"]), dtype=bool)
-                marked[row["places"]] = True
-                _, keys = _pair_keys(_sequence(row["size"], row["sequence"]), row["words"], marked, row["lang"])
-                keys, c = np.unique(keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row["block"])), pa.array(keys.view(np.int64)), pa.array(c.astype(np.int64))], names=["block", "pair", "c"])
+                yield _packed(row["block"], _word_keys(row["words"][1:], row["lang"]), np.array(row["counts"][1:]), chunks)
 
-    return known.select("block", "lang", "words", "size", "sequence", "places").mapInArrow(run, "block long, pair long, c long")
+    return stored.select("block", "lang", "words", "counts").mapInArrow(run, _PACKED_DDL)
+
+
+_PACKED_DDL = "chunk int, block long, size long, keys binary, counts binary"
+
+
+def pairs(stored: DataFrame, chunks: int) -> DataFrame:
+    """Packed rows of the pairs of neighbouring known words of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys = _word_keys(row["words"], row["lang"])
+                known = np.isin(keys, _known(row["known"]))
+                known[0] = False
+                found, n = np.unique(_pair_keys(_sequence(row["size"], row["sequence"]), keys, known)[1], return_counts=True)
+                if len(found):
+                    yield _packed(row["block"], found, n, chunks)
+
+    return stored.select("block", "lang", "words", "size", "sequence", "known").mapInArrow(run, _PACKED_DDL)
 
 
 class Automaton:
@@ -197,46 +261,46 @@ def _runs(seq: np.ndarray, at: np.ndarray) -> Counter:
     return Counter(data[4 * s : 4 * e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True))
 
 
-def phrase_counts(known: DataFrame, longest: int) -> DataFrame:
-    """(lang, phrase, c) of (block, lang, words, size, sequence, pairs): phrases of each block's runs of listed pairs."""
-
-    def rows(automaton: Automaton, words: list[bytes], lang: str) -> Iterator[pa.RecordBatch]:
-        found, c = [], []
-        for path, n in automaton.phrases(longest):
-            found.append(b" ".join([words[i] for i in path]))
-            c.append(n)
-            if len(c) == 20_000:
-                yield batch_of(found, c, lang)
-                found, c = [], []
-        if c:
-            yield batch_of(found, c, lang)
-
-    def batch_of(found: list[bytes], c: list[int], lang: str) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(found, pa.binary()), pa.array(c, pa.int64())], names=["lang", "phrase", "c"])
+def phrase_counts(stored: DataFrame, longest: int, at_least: int, chunks: int) -> DataFrame:
+    """(lang, phrase, f) of stored blocks with known words and pairs: words and phrases that come at_least times over all blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 words, seq = row["words"], _sequence(row["size"], row["sequence"])
-                marked = np.ones(len(words), dtype=bool)
-                marked[0] = False
-                at, keys = _pair_keys(seq, words, marked, row["lang"])
-                at = at[np.isin(keys, np.array(row["pairs"], dtype=np.int64).view(np.uint64))]
+                keys = _word_keys(words, row["lang"])
+                known = np.isin(keys, _known(row["known"]))
+                known[0] = False
+                parts: list[tuple[list, list]] = [([], []) for _ in range(chunks)]
+
+                def add(phrase: bytes, n: int, parts=parts) -> None:
+                    found, c = parts[xxhash.xxh3_64_intdigest(phrase) % chunks]
+                    found.append(phrase)
+                    c.append(n)
+
+                for i in np.flatnonzero(known).tolist():
+                    add(words[i], row["counts"][i])
+                at, hashes = _pair_keys(seq, keys, known)
+                at = at[np.isin(hashes, _known(row["pairs"]))]
                 automaton, held = Automaton(), 0
-                for run_, n in _runs(seq, at).items():
+                for run_, n in [*_runs(seq, at).items(), (b"", 0)]:
+                    if held > STATES or not n:
+                        for path, ends in automaton.phrases(longest):
+                            add(b" ".join([words[i] for i in path]), ends)
+                        automaton, held = Automaton(), 0
                     automaton.add(np.frombuffer(run_, np.int32).tolist(), n)
                     held += len(run_) // 4
-                    if held > STATES:
-                        yield from rows(automaton, words, row["lang"])
-                        automaton, held = Automaton(), 0
-                yield from rows(automaton, words, row["lang"])
-
-    return known.select("block", "lang", "words", "size", "sequence", "pairs").mapInArrow(run, "lang string, phrase binary, c long")
+                full = [(c, *p) for c, p in enumerate(parts) if p[0]]
+                yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(full), pa.string()), pa.array([p[0] for p in full], pa.int32()), pa.array([p[1] for p in full], pa.list_(pa.binary())), pa.array([p[2] for p in full], pa.list_(pa.int64()))], names=["lang", "chunk", "phrases", "counts"])
 
+    def summed(key: tuple, rows: pa.Table) -> pa.Table:
+        flat = pa.table({"phrase": pc.list_flatten(rows["phrases"]), "c": pc.list_flatten(rows["counts"])})
+        sums = flat.group_by("phrase").aggregate([("c", "sum")])
+        sums = sums.filter(pc.greater_equal(sums["c_sum"], at_least))
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(sums), pa.string()), "phrase": sums["phrase"], "f": sums["c_sum"]})
 
-def _handed_back(frequent: DataFrame, item: str, name: str) -> DataFrame:
-    """(block, list of its items): a list is no longer than its block."""
-    return frequent.groupBy("block").agg(F.collect_list(item).alias(name))
+    packed = stored.select("block", "lang", "words", "counts", "size", "sequence", "known", "pairs").mapInArrow(run, "lang string, chunk int, phrases array<binary>, counts array<long>")
+    return packed.groupBy("lang", "chunk").applyInArrow(summed, "lang string, phrase binary, f long").select("lang", F.col("phrase").cast("string").alias("phrase"), "f")
 
 
 def _joined(words: Column) -> Column:
@@ -256,17 +320,15 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     stored = written(blocks(texts), "blocks")
     totals = stored.groupBy("lang").agg(F.sum("n").alias("n"))
 
-    each = stored.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("block", "lang", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("c")).where("place > 0")
-    words = written(each.withColumn("f", F.sum("c").over(Window.partitionBy("lang", "word"))).where(F.col("f") >= at_least).select("block", "lang", "place", F.col("word").cast("string").alias("word"), "f"), "words")
-
-    counted = pairs(stored.join(_handed_back(words, "place", "places"), "block"))
-    frequent = counted.withColumn("f", F.sum("c").over(Window.partitionBy("pair"))).where(F.col("f") >= at_least)
-    handed = written(_handed_back(frequent, "pair", "pairs"), "pairs")
-
-    counts = phrase_counts(stored.join(handed, "block"), longest).groupBy("lang", "phrase").agg(F.sum("c").alias("a")).where(F.col("a") >= at_least)
-    found = written(counts.withColumn("phrase", F.col("phrase").cast("string")).withColumn("k", F.size(F.split("phrase", " "))), "phrases")
+    all_words = totals.agg(F.sum("n")).first()[0] or 0
+    chunks = max(CHUNKS, 1 << (all_words // CHUNK_WORDS).bit_length())
 
-    of = written(found.select("lang", "phrase", F.col("a").alias("f")).unionByName(words.groupBy("lang", F.col("word").alias("phrase")).agg(F.first("f").alias("f"))), "parts")
+    # blocks are moved to their lists by a merge at every size
+    known = written(frequent(words(stored, chunks), at_least), "known")
+    paired = frequent(pairs(stored.hint("merge").join(known, "block"), chunks), at_least).withColumnRenamed("known", "pairs")
+    both = stored.hint("merge").join(known.join(paired, "block", "left"), "block")
+    of = written(phrase_counts(both, longest, at_least, chunks), "phrases")
+    found = of.withColumn("k", F.size(F.split("phrase", " "))).where("k > 1").withColumnRenamed("f", "a")
     word = F.split("phrase", " ")
     cuts = found.withColumn("w", word).select("lang", "phrase", "a", "w", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
     cuts = cuts.select("lang", "phrase", "a", "cut", _joined(F.slice("w", 1, F.col("cut"))).alias("first"), _joined(F.slice("w", F.col("cut") + 1, longest)).alias("rest"))
@@ -281,8 +343,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
 
 
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = collocations(table(spark, sf_dir, "documents")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(64))
+    # the first of each part first, so that a language's last sort is of 64 times as many rows at most
+    some = collocations(table(spark, sf_dir, "documents")).withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).where(F.col("rank") <= TOP)
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= TOP)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
