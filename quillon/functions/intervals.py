@@ -28,11 +28,11 @@ def remaining(ranges: Column, point: Column) -> Column:
     return F.transform(F.filter(ranges, lambda r: r["end"] >= point), lambda r: F.struct(F.greatest(r["start"], point).alias("start"), r["end"].alias("end")))
 
 
-def stage_ranges(text: Column, prefix: str = "") -> Column:
-    """All `a-b ~ c-d` behind a label, as intervals of (stage, round)."""
+def stage_ranges(text: Column, prefix: str = "", separator: str = "~") -> Column:
+    """All `a-b ~ c-d` behind a label, as intervals of (stage, round); separator is a pattern for what stands between two points."""
     part = F.regexp_extract(text, f"{prefix}(.*)", 1) if prefix else text
-    pattern = r"(\d+)-(\d+)\s*~\s*(\d+)-(\d+)"
-    a, b, c, d = (F.transform(F.regexp_extract_all(part, F.lit(pattern), F.lit(i)), lambda v: v.cast("int")) for i in range(1, 5))
+    pattern = rf"(?i)(\d+)-(\d+)\s*{separator}\s*(\d+)-(\d+)"
+    a, b, c, d = (F.transform(F.regexp_extract_all(part, F.lit(pattern), F.lit(i)), lambda v: v.try_cast("int")) for i in range(1, 5))
     point = lambda s, r: F.struct(s.alias("stage"), r.alias("round"))
     return F.transform(F.arrays_zip(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d")), lambda z: F.struct(point(z["a"], z["b"]).alias("start"), point(z["c"], z["d"]).alias("end")))
 

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import bigrams, dice
+from quillon.functions.text import bigrams
 from quillon.operators.saved import saved
+from quillon.operators.similar import DIGITS, Dice, Edit, Score, at_least, most_similar, scored
 
 
 def unique_index(rows: DataFrame, key: Column, name: str = "key") -> DataFrame:
@@ -62,21 +63,9 @@ def cascade(left: DataFrame, right: DataFrame, stages: Sequence[tuple[str, Colum
     return found.select(F.col("_l").alias(left_id), F.col("_r").alias(right_id), "method")
 
 
-def fuzzy_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, score: Column, n: int = 3) -> DataFrame:
-    """The n best targets of each left row by score, then id, with rank. One side must be a small catalogue.
-
-    left and right have no column in common. Every pair is scored, as even pairs without a common bigram can
-    rank: this is for what a cascade left over of two catalogues. The smaller side is broadcast only while Spark can see that it is
-    small, and only the n best of each task's pairs are shuffled.
-    """
-    ranked = left.crossJoin(right).withColumn("score", score)
-    w = Window.partitionBy(left_id).orderBy(F.desc("score"), right_id)
-    return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-
-
-def name_similarity(a: str, b: str) -> Column:
-    """Dice of two columns of bigram sets."""
-    return dice(F.col(a), F.col(b))
+def fuzzy_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, score: Score, n: int = 3) -> DataFrame:
+    """The n best targets of each left row by score, then id, with rank; found through rare common grams, not by scoring all pairs."""
+    return most_similar(left, right, left_id, right_id, score, n)
 
 
 def with_bigrams(rows: DataFrame, key: Column, name: str) -> DataFrame:
@@ -84,9 +73,9 @@ def with_bigrams(rows: DataFrame, key: Column, name: str) -> DataFrame:
     return rows.withColumn("_key", key).withColumn(name, bigrams(F.col("_key"))).drop("_key")
 
 
-def discovery_score(effect: Column, names: Sequence[Column], category: Column, cost: Column) -> Column:
+def discovery_score(effect: Dice, names: Sequence[Dice], category: tuple[str, str], cost: tuple[str, str]) -> Score:
     """Weights of a candidate search: similar effects, names (the best of several), equal category, equal cost. It never confirms."""
-    return effect + 0.25 * (F.greatest(*names) if len(names) > 1 else names[0]) + 0.15 * F.coalesce(category, F.lit(False)).cast("double") + 0.10 * F.coalesce(cost, F.lit(False)).cast("double")
+    return Score([(1.0, [effect]), (0.25, list(names))], [(0.15, *category), (0.10, *cost)])
 
 
 def margins(candidates: DataFrame, left_id: str, least_margin: float = 0.1, least_score: float = 0.5, left: DataFrame | None = None) -> DataFrame:
@@ -147,33 +136,42 @@ def duplicate_metrics(rows: DataFrame, key: str, raw: Column, canonical: Column,
     return sums.crossJoin(per.agg(n(F.col("_n") > 1).alias("canonical_collisions"), n(F.col("_n") == 1).alias("base_identities")))
 
 
-def proposal_score(name: Column, effect: Column, category: Column, cost: Column, stage: Column) -> Column:
-    """Weights of an identity search."""
-    return 0.55 * name + 0.25 * effect + 0.10 * category.cast("double") + 0.05 * cost.cast("double") + 0.05 * stage.cast("double")
+def proposal_score(names: Sequence[Edit], effects: Sequence[Edit], category: tuple[str, str], cost: tuple[str, str], stage: tuple[str, str] | None = None) -> Score:
+    """Weights of an identity search. Of several names, and of several effects, the most similar counts."""
+    groups = [(0.55, list(names)), *([(0.25, list(effects))] if effects else [])]
+    return Score(groups, [(0.10, *category), (0.05, *cost), *([(0.05, *stage)] if stage else [])])
 
 
-def identity_search(pairs: DataFrame, left_id: str, right_id: str, tiers: dict[str, Column], binding: Sequence[str], name: Column, score: Column, least_name: float = 0.6, least_score: float = 0.62, n_unresolved: int = 10, n_best: int = 5) -> DataFrame:
+def identity_search(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tiers: dict[str, tuple[Column, Column]], binding: Sequence[str], score: Score, least_name: float = 0.6, least_score: float = 0.62, n_unresolved: int = 10, n_best: int = 5) -> DataFrame:
     """Per left row: the targets of each exact tier, those that bind, plausible others that remain unresolved, and the best by score.
 
-    pairs: left and right rows side by side (both sides are small catalogues). tiers: name and condition of each exact tier; the
-    targets of those in binding are what policy allows. Lists of candidates are cut by rank before the shuffle.
+    tiers: of each exact tier its name and the keys of both sides, which match where they are equal and not null; the targets of those in
+    binding are what policy allows. Plausible is what scores at least least_score, or has a name (the first group of score) as similar as least_name.
+    Tiers are joins by key, the rest goes through rare common grams. left and right have no column in common, their ids no repeats.
     """
-    scored = pairs.withColumn("_name", name).withColumn("_score", score)
-    binds = F.lit(False)
-    for t in binding:
-        binds = binds | F.coalesce(tiers[t], F.lit(False))
-    scored = scored.withColumn("_binds", binds)
-    hit = F.lit(False)
-    for c in tiers.values():
-        hit = hit | F.coalesce(c, F.lit(False))
-    exact = scored.where(hit).groupBy(left_id).agg(*[F.array_sort(F.collect_set(F.when(c, F.col(right_id)))).alias(t) for t, c in tiers.items()], F.array_sort(F.collect_set(F.when(F.col("_binds"), F.col(right_id)))).alias("targets"))
-    w = Window.partitionBy(left_id).orderBy(F.desc("_score"), right_id)
-    listed = lambda rows, n, name: rows.select(left_id, right_id, "_score", F.row_number().over(w).alias("_rank")).where(F.col("_rank") <= n).groupBy(left_id).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", right_id))), lambda c: c[right_id]).alias(name))
-    unresolved = listed(scored.where(~F.col("_binds") & ((F.col("_name") >= least_name) | (F.col("_score") >= least_score))), n_unresolved, "unresolved")
-    best = listed(scored, n_best, "best")
-    none = F.array().cast(f"array<{pairs.schema[right_id].dataType.simpleString()}>")
-    out = best.join(exact, left_id, "left").join(unresolved, left_id, "left")
-    return out.select(left_id, *[F.coalesce(c, none).alias(c) for c in (*tiers, "targets", "unresolved", "best")])
+    matched = None
+    for name, (a, b) in tiers.items():
+        l_keys = left.select(F.col(left_id).alias("id"), a.alias("_k")).where("_k is not null")
+        r_keys = right.select(F.col(right_id).alias("r"), b.alias("_k")).where("_k is not null")
+        one = l_keys.join(r_keys, "_k").select("id", "r", F.lit(name).alias("tier"))
+        matched = one if matched is None else matched.unionByName(one)
+    matched = saved(matched, "tiers")
+    of = lambda c, name: F.array_sort(F.collect_set(F.when(c, F.col("r")))).alias(name)
+    exact = matched.groupBy("id").agg(*[of(F.col("tier") == t, t) for t in tiers], of(F.col("tier").isin(*binding), "targets"))
+
+    named = Score([(1.0, score.groups[0][1])])
+    near = at_least(left, right, left_id, right_id, named, least_name).select(F.col(left_id).alias("id"), F.col(right_id).alias("r"))
+    near = scored(near, left, right, left_id, right_id, score).select(left_id, right_id, "score")
+    plausible = near.unionByName(at_least(left, right, left_id, right_id, score, least_score)).groupBy(left_id, right_id).agg(F.max("score").alias("score"))
+    bound = matched.where(F.col("tier").isin(*binding)).select(F.col("id").alias(left_id), F.col("r").alias(right_id)).distinct()
+    w = Window.partitionBy(left_id).orderBy(F.round("score", DIGITS).desc(), right_id)
+    plausible = plausible.join(bound, [left_id, right_id], "left_anti").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n_unresolved)
+    listed = lambda rows, name: rows.groupBy(F.col(left_id).alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", right_id))), lambda c: c[right_id]).alias(name))
+    best = listed(most_similar(left, right, left_id, right_id, score, n_best), "best")
+
+    none = F.array().cast(f"array<{right.schema[right_id].dataType.simpleString()}>")
+    out = left.select(F.col(left_id).alias("id")).join(best, "id", "left").join(exact, "id", "left").join(listed(plausible, "unresolved"), "id", "left")
+    return out.select(F.col("id").alias(left_id), *[F.coalesce(c, none).alias(c) for c in (*tiers, "targets", "unresolved", "best")])
 
 
 def proposals(candidates: DataFrame, left_id: str, targets: Column, confirmed: Column, support: Column, exclusion: Column, unresolved: Column | None = None) -> DataFrame:

@@ -50,16 +50,38 @@ def q_nested_elements(t: Tables) -> DataFrame:
 
 
 def card_pages(t: Tables) -> DataFrame:
-    """A page of one rendered card for each part."""
+    """A page of two rendered cards for each part, in the shape that list pages have, and one item that is no card."""
     size = F.col("p_size")
-    page = F.format_string('<ul><li class="card" data-category="%s"><div class="name-cell">%s</div><div class="cost-cell">cost %d</div><div class="description-cell">gain &amp; lose</div><div class="hint">Requirements: level %d</div><div class="stage-info">2-1 to 3-%d, 4-%d ~ 5-7</div><p>%s</p></li></ul>', "p_type", "p_name", size, size, 1 + size % 7, 1 + size % 5, F.when(size % 2 == 0, "Once per game. Reoffered after 3 shops").otherwise("often"))
-    return t.part.select("p_partkey", page.alias("page"))
+    upgrade = F.when(size % 3 == 0, "").when(size % 3 == 1, '<div class="upgrade-line"><span class="upgrade-label">Blossom Upgrade:</span><p>gain <b>more</b>.</p></div>').otherwise('<span class="upgrade-label">Blossom Upgrade:</span> of old <p>gain much</p>')
+    prismatic = F.when(size % 4 == 0, '<div class="upgrade-line">Prismatic Blossom : gain all </div>').otherwise("")
+    often = F.when(size % 2 == 0, "Once per game. Reoffered after 3 shops").otherwise("often")
+    one = F.format_string('<li data-category="%s"><div class="name-cell"><img class="icon"><strong>%s</strong> new</div><div class="cost-cell">cost <strong>%d</strong></div><div class="description-cell"><p class="description"><span>gain &amp; </span><br>lose .</p>%s%s<p class="hint">Requirements: level %d</p><p class="hint">%s</p></div><div class="stage-cell">9-9 to 9-9<div class="stage-info">2-1 to 3-%d, 4-%d ~ 5-7</div></div></li>', "p_type", "p_name", size, upgrade, prismatic, size, often, 1 + size % 7, 1 + size % 5)
+    plain = F.format_string('<li class="x"><img alt="Shop Wisp"><div class="name-cell">%s</div><div class="cost-cell">%d gold</div><div class="description-cell"><p class="description">plain</p></div><div class="stage-cell">1-1 – 1-%d</div></li>', "p_brand", size, 1 + size % 7)
+    return t.part.select("p_partkey", F.concat(F.lit("<ul>"), one, F.lit('<li><div class="name-cell">no card</div></li>'), plain, F.lit("</ul>")).alias("page"))
 
 
-@query("SELECT p_partkey, p_name AS name, p_size::DOUBLE AS cost, 'gain & lose' AS effect, p_type AS category, CASE WHEN p_size % 2 = 0 THEN 3 END AS cooldown, CASE WHEN p_size % 2 = 0 THEN true END AS once, 1 + p_size % 7 AS first_end, 1 + p_size % 5 AS second_start FROM part")
+@query("""SELECT p_partkey, 0 AS position, p_name AS name, p_size::DOUBLE AS cost, 'gain & lose.' AS effect, CASE p_size % 3 WHEN 1 THEN 'gain more.' WHEN 2 THEN 'gain much' END AS blossom, CASE WHEN p_size % 4 = 0 THEN 'gain all' END AS prismatic, 'level ' || p_size AS requirements, p_type AS category, CASE WHEN p_size % 2 = 0 THEN 3 END AS cooldown, CASE WHEN p_size % 2 = 0 THEN true END AS once, '2-1 to 3-' || (1 + p_size % 7) || ', 4-' || (1 + p_size % 5) || ' to 5-7' AS windows FROM part
+UNION ALL SELECT p_partkey, 2, p_brand, NULL, 'plain', NULL, NULL, '', 'Shop', NULL, NULL, '1-1 to 1-' || (1 + p_size % 7) FROM part""")
 def q_rendered_cards(t: Tables) -> DataFrame:
     rows = S.card_rows(card_pages(t), "p_partkey", "page")
-    return rows.select("p_partkey", "name", "cost", "effect", "category", "cooldown", "once", F.col("ranges")[0]["end"]["round"].alias("first_end"), F.col("ranges")[1]["start"]["round"].alias("second_start"))
+    return rows.select("p_partkey", "position", "name", "cost", "effect", "blossom", "prismatic", F.array_join("requirements", ",").alias("requirements"), "category", "cooldown", "once", I.stage_text(F.col("ranges")).alias("windows"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'September ' || p_size || ', 2026' WHEN p_size % 3 = 1 THEN '2026-' || (1 + p_size % 12) || '-' || p_size END AS updated, CASE WHEN p_size % 2 = 0 THEN p_size END AS declared, sha256(page) AS sha256 FROM (SELECT *, '<p>' || CASE p_size % 3 WHEN 0 THEN 'Updated: September ' || p_size || ', 2026' WHEN 1 THEN '更新日期：2026-' || (1 + p_size % 12) || '-' || p_size ELSE 'never' END || '</p>' || CASE WHEN p_size % 2 = 0 THEN '全部 ' || p_size || ' 个' ELSE 'some' END AS page FROM part)")
+def q_page_facts(t: Tables) -> DataFrame:
+    """When a page was updated, how many records it declares, and its digest."""
+    size = F.col("p_size")
+    when = F.when(size % 3 == 0, F.format_string("Updated: September %d, 2026", size)).when(size % 3 == 1, F.format_string("更新日期：2026-%d-%d", 1 + size % 12, size)).otherwise("never")
+    page = F.concat(F.lit("<p>"), when, F.lit("</p>"), F.when(size % 2 == 0, F.format_string("全部 %d 个", size)).otherwise("some"))
+    return S.page_facts(t.part.select("p_partkey", page.alias("page")), "p_partkey", "page", r"全部\s*(\d+)").select("p_partkey", "updated", "declared", "sha256")
+
+
+@query("SELECT o_orderkey, 'repeated_name' AS problem FROM (SELECT o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(*) > count(DISTINCT l_returnflag)) UNION ALL SELECT o_orderkey, 'no_records' FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def q_repeated_names(t: Tables) -> DataFrame:
+    """Pages with a record twice under one name, whatever its case, are refused."""
+    pages = t.orders.select("o_orderkey", F.lit('<link rel="canonical" href="http://orders.example/">').alias("page"))
+    name = F.when(F.col("l_linenumber") % 2 == 0, F.lower("l_returnflag")).otherwise(F.col("l_returnflag"))
+    return S.import_problems(pages, t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), name.alias("name")), "o_orderkey", "page", "^http://orders[.]example/", name="name")
 
 
 @query("SELECT p_partkey, problem FROM part, (SELECT unnest(['wrong_identity', 'no_records', 'undeclared', 'count_mismatch']) AS problem) WHERE CASE problem WHEN 'wrong_identity' THEN p_size % 5 = 0 WHEN 'no_records' THEN p_size % 3 = 0 WHEN 'undeclared' THEN p_size % 4 = 0 ELSE p_size % 4 <> 0 AND (CASE WHEN p_size % 3 = 0 THEN 0 ELSE 1 END) <> p_size % 4 END")

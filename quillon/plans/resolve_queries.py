@@ -9,6 +9,7 @@ from quillon.functions import text as T
 from quillon.operators import align as A
 from quillon.operators import components as K
 from quillon.operators import resolve as R
+from quillon.operators import similar as S
 from quillon.plans.registry import Tables, norm, query
 
 
@@ -53,7 +54,7 @@ def fuzzy(t: Tables) -> DataFrame:
     """Brands against part names: two small catalogues."""
     left = R.with_bigrams(t.part.groupBy("p_name").agg(F.avg("p_size").alias("size"), F.min("p_type").alias("kind")), T.name_key(F.col("p_name")), "lb")
     right = R.with_bigrams(t.part.select(F.concat_ws(" ", F.lower("p_type"), F.substring_index("p_name", " ", -1)).alias("target"), "p_type").distinct(), T.name_key(F.col("target")), "rb")
-    score = R.name_similarity("lb", "rb") + 0.15 * (F.col("kind") == F.col("p_type")).cast("double")
+    score = S.Score([(1.0, [S.Dice("lb", "rb")])], [(0.15, "kind", "p_type")])
     return R.fuzzy_candidates(left, right, "p_name", "target", score)
 
 
@@ -87,10 +88,11 @@ SELECT p_type, p_size, target, rank::INT AS rank, round(score, 9)::DOUBLE AS sco
 def q_discovery_score(t: Tables) -> DataFrame:
     """The fixed weights of effect, name, category and cost, over two small catalogues."""
     rows = t.part.select("p_type", "p_size").distinct()
-    left, right = rows.withColumn("l", F.concat("p_type", F.lit("/"), F.col("p_size").cast("string"))), rows.select(F.col("p_type").alias("rt"), F.col("p_size").alias("rs"), F.concat("p_type", F.col("p_size").cast("string")).alias("target"))
-    same = (F.col("p_type") == F.col("rt")).cast("double")
-    score = R.discovery_score(same, [same, F.lit(0.0)], F.col("p_type") == F.col("rt"), F.col("p_size") == F.col("rs"))
-    return R.fuzzy_candidates(left, right, "l", "target", F.round(score, 12)).select("p_type", "p_size", "target", "rank", F.round("score", 9).alias("score"))
+    whole = lambda c: F.array(c)
+    left = rows.select("p_type", "p_size", F.concat("p_type", F.lit("/"), F.col("p_size").cast("string")).alias("l"), whole("p_type").alias("le"), F.array().cast("array<string>").alias("ln"))
+    right = rows.select(F.col("p_type").alias("rt"), F.col("p_size").alias("rs"), F.concat("p_type", F.col("p_size").cast("string")).alias("target"), whole("p_type").alias("re"))
+    score = R.discovery_score(S.Dice("le", "re"), [S.Dice("le", "re"), S.Dice("ln", "re")], ("p_type", "rt"), ("p_size", "rs"))
+    return R.fuzzy_candidates(left, right, "l", "target", score).select("p_type", "p_size", "target", "rank", F.round("score", 9).alias("score"))
 
 
 @query("SELECT p_partkey, round(1 - levenshtein(p_name, lower(p_type) || ' ' || p_brand) / greatest(length(p_name), length(p_type || p_brand) + 1), 9) AS similarity FROM part")
@@ -259,11 +261,9 @@ def q_identity_search(t: Tables) -> DataFrame:
     """Exact tiers of which some bind, plausible candidates that remain unresolved, and the best by the fixed weights."""
     left = t.part.select(F.concat_ws("-", "p_type", (F.col("p_size") % 3).cast("string")).alias("name"), F.col("p_type").alias("kind"), (F.col("p_size") % 3).alias("n")).distinct()
     right = t.part.select(F.concat_ws("+", F.lower("p_type"), (F.col("p_size") % 4).cast("string")).alias("target"), F.col("p_type").alias("rk"), (F.col("p_size") % 4).alias("rn")).distinct()
-    same, cost = F.col("kind") == F.col("rk"), F.col("n") == F.col("rn")
-    tiers = {"by_id": same & cost, "by_name": same & (F.col("rn") == 0), "reviewed": same & (F.col("rn") == 3) & (F.col("n") == 2)}
-    name = T.edit_similarity(T.name_key(F.col("name")), T.name_key(F.col("target")))
-    score = F.round(R.proposal_score(name, F.lit(0.0), same, cost, F.lit(False)), 9)
-    found = R.identity_search(left.crossJoin(right), "name", "target", tiers, ("by_id", "reviewed"), F.round(name, 9), score)
+    left, right = left.withColumn("lk", T.name_key(F.col("name"))), right.withColumn("rkey", T.name_key(F.col("target")))
+    tiers = {"by_id": (F.struct("kind", F.col("n").cast("long")), F.struct(F.col("rk").alias("kind"), F.col("rn").cast("long").alias("n"))), "by_name": (F.col("kind"), F.when(F.col("rn") == 0, F.col("rk"))), "reviewed": (F.when(F.col("n") == 2, F.col("kind")), F.when(F.col("rn") == 3, F.col("rk")))}
+    found = R.identity_search(left, right, "name", "target", tiers, ("by_id", "reviewed"), R.proposal_score([S.Edit("lk", "rkey")], [], ("kind", "rk"), ("n", "rn")))
     return found.select("name", *[F.array_join(c, ",").alias(c) for c in ("by_id", "by_name", "targets", "unresolved", "best")])
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators import search as S
+from quillon.operators import search_index as X
+from quillon.operators.saved import scratch
 from quillon.plans.registry import Tables, norm, query
 
 LEXICON = S.Lexicon((S.Group("licence", ("licensed", "all rights reserved", "released under"), ("legal",)), S.Group("metal", ("bolt", "small ring", "ring"), ("metalwork",))), (("legal", "Legal notice"), ("red_goods", "red")))
@@ -149,3 +151,30 @@ def q_match_ranges_wide(t: Tables) -> DataFrame:
     """Where a plain term stands in texts of full-width, small and capital letters, in UTF-16 units of the raw text."""
     rows = t._spark.createDataFrame(WIDE, "k int, name string")
     return rows.select("k", F.inline(S.match_ranges("name", F.lit("hp"))).alias("start_at", "end_at"))
+
+
+def ladder_sql(term: str, steps: list[tuple[str, int, str]], i: int) -> str:
+    return "CASE " + " ".join(f"WHEN {test.format(t=term)} THEN {s if i == 0 else repr(f)}" for test, s, f in steps) + " END"
+
+
+#: Steps of the ladder over a part's surfaces, for a term that is a column.
+PART_STEPS = [(f"{n} = {{t}}", 1000, "nameExact") for n in "nb"] + [(f"starts_with({n}, {{t}})", 700, "namePrefix") for n in "nb"] + [(f"contains({n}, {{t}})", 500, "name") for n in "nb"] + [("contains(e, {t})", 300, "effect"), ("contains(r, {t})", 220, "requirement")]
+
+
+@query(f"""WITH b AS ({PART_BASE}), q AS (SELECT DISTINCT p_type || ' ' || split_part(p_name, ' ', 1) || ' ' || (p_size % 4) AS q FROM part),
+w AS (SELECT q, unnest(string_split(lower(q), ' ')) AS w, generate_subscripts(string_split(q, ' '), 1) AS i FROM q), m AS (SELECT q, i, p_partkey, {ladder_sql("w", PART_STEPS, 0)} AS s, {ladder_sql("w", PART_STEPS, 1)} AS f FROM w, b),
+h AS (SELECT q, p_partkey, sum(s) AS total, max(f) FILTER (i = 1) AS f1, max(f) FILTER (i = 2) AS f2, max(f) FILTER (i = 3) AS f3 FROM m WHERE s IS NOT NULL GROUP BY q, p_partkey HAVING count(*) = 3)
+SELECT q AS query, p_partkey, total::INT AS total, round(total - p_partkey / 10000, 4) AS score, f1 || CASE WHEN f2 <> f1 THEN ',' || f2 ELSE '' END || CASE WHEN f3 NOT IN (f1, f2) THEN ',' || f3 ELSE '' END AS fields FROM h""")
+def q_search_batch(t: Tables) -> DataFrame:
+    """A table of queries of three words, answered from one stored index of all parts."""
+    index = X.build(parts(t), "p_partkey", PARTS, scratch(t._spark, "index"), "p_partkey")
+    queries = t.part.select(F.concat_ws(" ", "p_type", F.substring_index("p_name", " ", 1), (F.col("p_size") % 4).cast("string")).alias("query")).distinct()
+    hits = X.search_batch(index, queries.withColumn("text", F.col("query")), "query", "text")
+    return hits.select("query", F.col("key").alias("p_partkey"), "total", F.round("score", 4).alias("score"), F.array_join("matched_fields", ",").alias("fields"))
+
+
+@query(sql(DOC_BASE, "doc_id", [d("licensed", LICENCE, "legal"), d("src3")]))
+def q_search_index_one(t: Tables) -> DataFrame:
+    """One query over a stored index of whole documents: an expansion, a concept, and a source."""
+    index = X.build(documents(t), "doc_id", DOCS, scratch(t._spark, "index"), "doc_id")
+    return found(X.search_one(index, "Licensed src3", LEXICON).withColumnRenamed("key", "doc_id"), "doc_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
+from quillon.functions import intervals as I
+from quillon.functions import text as T
+from quillon.sources import elements as E
+
 _PAYLOAD = re.compile(r"""<script\b[^>]*?(?:type=["']application/(?:ld\+)?json["']|id=["']__NEXT_DATA__["'])[^>]*>(.*?)</script>""", re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""data-record=(?:"([^"]*)"|'([^']*)')""")
 
@@ -78,19 +82,8 @@ def embedded_objects(pages: pd.Series) -> pd.Series:
 
 
 def elements(page: str, name: str) -> list[str]:
-    """Inner HTML of each element that has the class; nesting of the same tag is counted, and what lies within a match is no match of its own."""
-    opening = re.compile(rf"""<([a-zA-Z][\w:-]*)\b[^>]*\bclass=["'](?:[^"']*\s)?{re.escape(name)}(?:\s[^"']*)?["'][^>]*>""")
-    out, at = [], 0
-    while m := opening.search(page, at):
-        depth, tags = 1, re.compile(rf"<(/?){m[1]}\b[^>]*>", re.IGNORECASE)
-        at = m.end()
-        for t in tags.finditer(page, m.end()):
-            depth += -1 if t[1] else 1
-            if not depth:
-                out.append(page[m.end() : t.start()])
-                at = t.end()
-                break
-    return out
+    """Inner HTML of each element that has the class; what lies within a match is no match of its own."""
+    return [page[n[4] : n[5]] for n in E.outermost([n for n in E.tree(page) if name in n[1]])]
 
 
 def class_elements(name: str):
@@ -103,51 +96,58 @@ def class_elements(name: str):
     return of
 
 
-def shown(fragment: str) -> str:
-    text = re.sub(r"<(script|style)\b.*?</\1>", " ", fragment, flags=re.DOTALL | re.IGNORECASE)
-    return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", text)).split())
+#: How a card writes its category, after how many shops it comes again, that it comes once, what stands within a window, what it asks for, and its two upgrades.
+CATEGORY = (r"""(?i)\bdata-category=["']([^"']+)["']""", r"""(?i)\b(?:alt|title)=["'](Champion|Combat|Misc|Shop|Gold/?XP|Risky|Item)\s+Wisp["']""")
+COOLDOWN = r"(?i)(?:re-?offer(?:ed)?|offered again)[^\d]{0,40}(\d+)\s*shops?"
+ONCE = r"(?i)\bonce per game\b"
+BETWEEN = "(?:to|~|–|—)"
+REQUIREMENTS = r"(?i)^Requirements\s*:\s*"
+UPGRADES = {"blossom": ("upgrade-label", r"(?i)^Blossom Upgrade\s*:\s*"), "prismatic": ("prismatic-label", r"(?i)^Prismatic Blossom\s*:\s*")}
 
 
-CARD = "name string, cost double, effect string, upgrades array<string>, hints array<string>, windows array<string>, category string, cooldown int, once boolean, ranges array<struct<start:struct<stage:int,round:int>,end:struct<stage:int,round:int>>>"
-#: How a card writes a window, its category, and after how many shops it comes again.
-_RANGE = re.compile(r"(\d+)-(\d+)\s*(?:to|~|–|—)\s*(\d+)-(\d+)", re.IGNORECASE)
-_CATEGORY = re.compile(r"""\bdata-category=["']([^"']+)["']""", re.IGNORECASE)
-_COOLDOWN = re.compile(r"(?:re-?offer(?:ed)?|offered again)[^\d]{0,40}(\d+)\s*shops?", re.IGNORECASE)
+def _or_null(text: Column) -> Column:
+    return F.nullif(F.trim(text), F.lit(""))
 
 
-def cards(page: str, card: str = "card", name: str = "name-cell", cost: str = "cost-cell", effect: str = "description-cell", upgrade: str = "upgrade-line", hint: str = "hint", window: str = "stage-info") -> list[tuple]:
-    """Rendered records of a page by the classes of their parts; a card without a name or without anything else is dropped.
+def _strong(html: Column, nodes: Column, cell: Column) -> Column:
+    """What a cell shows in bold, else all it shows."""
+    bold = E.first(E.of_tag(E.within(nodes, cell), "strong"))
+    return E.shown(html, F.coalesce(bold, cell))
 
-    Its category is an attribute; cooldown, once-a-game and the windows as ranges are read from its text.
-    """
-    out = []
-    for m in re.finditer(rf"""<([a-zA-Z][\w:-]*)\b[^>]*\bclass=["'](?:[^"']*\s)?{re.escape(card)}(?:\s[^"']*)?["'][^>]*>""", page):
-        inner = next(iter(elements(page[m.start() :], card)), None) if not out or m.start() >= out[-1][0] else None
-        if inner is None:
-            continue
-        out.append((m.end() + len(inner), m[0], inner))
-    rows = []
-    for _, tag, c in out:
-        first = lambda k, c=c: next((shown(e) for e in elements(c, k)), None)
-        every = lambda k, c=c: [t for e in elements(c, k) if (t := shown(e))]
-        number = re.search(r"\d+(?:\.\d+)?", first(cost) or "")
-        title, text, windows, whole = first(name), first(effect), every(window), shown(c)
-        category, cooldown = _CATEGORY.search(tag) or _CATEGORY.search(c), _COOLDOWN.search(whole)
-        ranges = [{"start": {"stage": a, "round": b}, "end": {"stage": x, "round": y}} for a, b, x, y in (map(int, r) for r in _RANGE.findall(" ".join(windows)))]
-        if title and (text or number):
-            rows.append((title, float(number[0]) if number else None, text, every(upgrade), every(hint), windows, category[1] if category else None, int(cooldown[1]) if cooldown else None, True if re.search(r"\bonce per game\b", whole, re.IGNORECASE) else None, ranges))
-    return rows
 
+def _upgrade(label: str, pattern: str) -> Column:
+    """The upgrade line with the label, without it; where there is none, the paragraph behind the label."""
+    html, nodes, cell = F.col("html"), F.col("nodes"), F.col("_described")
+    line = E.first(F.filter("_lines", lambda n: (F.size(E.of_class(E.within(nodes, n), label)) > 0) | E.shown(html, n).rlike(pattern)))
+    mark = E.first(E.of_class(E.within(nodes, cell), label))
+    behind = E.first(F.filter(E.of_tag(E.within(nodes, cell), "p"), lambda n: n["open"] >= mark["close"]))
+    return F.when(line.isNotNull(), _or_null(F.regexp_replace(E.shown(html, line), pattern, ""))).otherwise(_or_null(E.shown(html, behind)))
 
-def card_rows(pages: DataFrame, key: str, page: str, **classes: str) -> DataFrame:
-    """(key, position, card parts) of each rendered card."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, i, *c) for k, p in zip(b[key], b[page], strict=True) for i, c in enumerate(cards(p or "", **classes))]
-            yield pd.DataFrame(rows, columns=[key, "position", *(c.split()[0] for c in re.split(r", (?=[a-z]+ )", CARD))])
+def card_rows(pages: DataFrame, key: str, page: str, tag: str | None = "li", card: str | None = None, name: str = "name-cell", cost: str = "cost-cell", description: str = "description-cell", effect: str = "description", line: str = "upgrade-line", hint: str = "hint", windows: Sequence[str] = ("stage-info", "stage-cell")) -> DataFrame:
+    """(key, position, name, cost, effect, blossom, prismatic, requirements, hints, windows, category, cooldown, once, ranges): rendered records of each page.
 
-    return pages.select(key, page).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, position int, {CARD}")
+    A card is an outermost element of a tag, a class, or both that has a cell for the name and one for the description; it is a record
+    if it shows a name and an effect. Name and cost are what their cells show in bold, or all of it; a cost of other than digits is null. The effect
+    is one part of the description; upgrades and requirements stand in it behind their labels. Windows are read from the first of their classes that
+    is there. A page is parsed once; null pages have no cards.
+    """
+    html, nodes = F.col("html"), F.col("nodes")
+    cells = {c: E.first(E.of_class(nodes, k)) for c, k in (("_named", name), ("_cost", cost), ("_described", description))}
+    c = pages.select(key, F.posexplode(E.subtrees(tag, card)(F.col(page))).alias("position", "_card")).select(key, "position", "_card.*").withColumns(cells).where("_named is not null and _described is not null")
+    c = c.withColumns({"_inside": E.within(nodes, F.col("_described")), "_whole": T.visible_text(html), "_price": _strong(html, nodes, F.col("_cost"))})
+    times = E.of_class(nodes, windows[-1])
+    for k in reversed(windows[:-1]):
+        times = F.when(F.size(E.of_class(nodes, k)) > 0, E.of_class(nodes, k)).otherwise(times)
+    texts = lambda of: F.filter(F.transform(of, lambda n: E.shown(html, n)), lambda t: t != "")
+    c = c.withColumns({"_lines": E.of_class(F.col("_inside"), line), "hints": texts(E.of_class(F.col("_inside"), hint)), "windows": texts(times)})
+    asked = F.transform(F.filter("hints", lambda h: h.rlike(REQUIREMENTS)), lambda h: F.trim(F.regexp_replace(h, REQUIREMENTS, "")))
+    category = F.coalesce(*[F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in CATEGORY])
+    out = c.select(
+        key, "position", _strong(html, nodes, F.col("_named")).alias("name"), F.when(F.col("_price").rlike(r"^\d+$"), F.col("_price").try_cast("double")).alias("cost"), F.coalesce(E.shown(html, E.first(E.of_class(F.col("_inside"), effect))), F.lit("")).alias("effect"),
+        *[_upgrade(*UPGRADES[u]).alias(u) for u in UPGRADES], F.filter(asked, lambda h: h != "").alias("requirements"), "hints", "windows", category.alias("category"),
+        F.regexp_extract("_whole", COOLDOWN, 1).try_cast("int").alias("cooldown"), F.when(F.col("_whole").rlike(ONCE), True).alias("once"), I.stage_ranges(F.array_join("windows", " "), separator=BETWEEN).alias("ranges"))
+    return out.where("name <> '' and effect <> ''")
 
 
 def titles(page: Column, name: str) -> Column:
@@ -182,18 +182,35 @@ def canonical_url(page: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(page, p, 1), F.lit("")) for p in ADDRESSES])
 
 
-def import_problems(pages: DataFrame, records: DataFrame, key: str, page: str, identity: str, declared: str | None = None) -> DataFrame:
+#: How a page says when it was updated.
+UPDATED = r"(?i)(?:Updated|更新(?:日期|時間?)?)[：:\s]*([A-Za-z]+\s+\d{1,2},\s+\d{4}|\d{4}[-/.]\d{1,2}[-/.]\d{1,2})"
+
+
+def page_facts(pages: DataFrame, key: str, page: str, declared: str | None = None) -> DataFrame:
+    """(key, url, updated, declared, sha256): what a saved page says of itself, and the digest of all of it; null where it says nothing.
+
+    declared is the pattern of the number of records, in its group. A null page has no digest.
+    """
+    p = F.col(page)
+    said = F.regexp_extract(p, declared, 1).try_cast("long") if declared else F.lit(None).cast("long")
+    return pages.select(key, canonical_url(p).alias("url"), F.nullif(F.regexp_extract(p, UPDATED, 1), F.lit("")).alias("updated"), said.alias("declared"), F.sha2(p, 256).alias("sha256"))
+
+
+def import_problems(pages: DataFrame, records: DataFrame, key: str, page: str, identity: str, declared: str | None = None, name: str | None = None) -> DataFrame:
     """(key, problem) of saved pages that must not be imported: fail closed on any row.
 
     records: (key, ...), what was read from each page. wrong_identity: neither its canonical address nor its og:url matches the pattern;
-    no_records: nothing was read; undeclared and count_mismatch: it doesn't state how many there are (the pattern's group), or another number.
+    no_records: nothing was read; undeclared and count_mismatch: it doesn't state how many there are (the pattern's group), or another number;
+    repeated_name: two of its records have one name, in any case (only with name, their column).
     """
-    n = records.groupBy(key).agg(F.count("*").alias("_n"))
-    p = pages.select(key, canonical_url(F.col(page)).alias("_url"), (F.regexp_extract(F.col(page), declared, 1).try_cast("long") if declared else F.lit(None).cast("long")).alias("_said"))
-    both = p.join(n, key, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    said = page_facts(pages, key, page, declared).select(key, F.col("url").alias("_url"), F.col("declared").alias("_said"))
+    sums = [F.count("*").alias("_n"), *([F.count_distinct(F.lower(name)).alias("_names"), F.count(name).alias("_named")] if name else [])]
+    both = said.join(records.groupBy(key).agg(*sums), key, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     checks = [(~F.coalesce(F.col("_url").rlike(identity), F.lit(False)), "wrong_identity"), (F.col("_n") == 0, "no_records")]
     if declared:
         checks += [(F.col("_said").isNull(), "undeclared"), (F.col("_said") != F.col("_n"), "count_mismatch")]
+    if name:
+        checks.append((F.col("_names") != F.col("_named"), "repeated_name"))
     return both.select(key, F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(x)) for c, x in checks]))).alias("problem"))
 
 

@@ -1,6 +1,7 @@
 """Semantics of single operators on small fixtures."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from quillon.operators import resolve as R
 from quillon.operators import rules as U
 from quillon.operators import search as S
 from quillon.operators import validate as W
-from quillon.sources import catalogue, pages, sinks
+from quillon.sources import catalogue, elements, pages, sinks
 from quillon.streaming.pool import stream_pool
 
 RANGES = "array<struct<start:struct<stage:int,round:int>,end:struct<stage:int,round:int>>>"
@@ -219,10 +220,11 @@ def test_dataset_round_trip(spark, tmp_path):
 
 
 def test_saved_pages(spark):
-    page = '<link rel="canonical" href="u"><ul><li class="card"><div class="name-cell">A &amp; B</div><div class="cost-cell">cost 3</div><div class="description-cell">x<div>deep</div></div><div class="hint">h1</div></li><li class="card"><b class="name-cell"></b></li></ul><script>self.__f.push([1,"5:{\\"name\\":\\"N\\",\\"cost\\":4,\\"in\\":{\\"title\\":\\"T\\",\\"desc\\":\\"d\\"}} tail"])</script>'
+    card = '<li><div class="name-cell"><strong>A &amp; B</strong> new</div><div class="cost-cell"><strong>3</strong></div><div class="description-cell"><p class="description">x<span>deep</span></p><p class="hint">Requirements : h1</p><p class="hint">h2</p></div></li>'
+    page = '<link rel="canonical" href="u"><ul>' + card + '<li class="card"><b class="name-cell"></b></li><li><b class="name-cell">C</b><b class="description-cell">no effect</b></li></ul><script>self.__f.push([1,"5:{\\"name\\":\\"N\\",\\"cost\\":4,\\"in\\":{\\"title\\":\\"T\\",\\"desc\\":\\"d\\"}} tail"])</script>'
     df = spark.createDataFrame([(1, page), (2, None)], "k long, html string")
     cards = pages.card_rows(df, "k", "html").collect()
-    assert [(r["name"], r["cost"], r["effect"], r["hints"]) for r in cards] == [("A & B", 3.0, "x deep", ["h1"])]
+    assert [(r["name"], r["cost"], r["effect"], r["requirements"], r["hints"], r["blossom"]) for r in cards] == [("A & B", 3.0, "x deep", ["h1"], ["Requirements: h1", "h2"], None)]
     assert pages.elements('<div class="a b">1<div class="a">2</div></div><div class="ab">3</div><p class="a">4', "a") == ['1<div class="a">2</div>']
     found = df.where("k = 1").select(F.array_compact(F.transform(pages.embedded_objects("html"), pages.record_of)).alias("r")).first()["r"]
     assert [(r["name"], r["effect"], r["cost"]) for r in found] == [("N", None, 4.0), ("T", "d", None)]
@@ -250,3 +252,21 @@ def test_stream_pool(spark, tmp_path, records):
     assert ids(spark.table("kept")) == ["c"]
     with pytest.raises(ValueError, match="stream"):
         stream_pool(records, P.Criteria())
+
+
+def test_element_tree():
+    page = '<div class="a b">x<br><div class="a">y</div><p>open<img/></div><p class="c">z</P><i>'
+    nodes = [(n[0], n[1], n[2], page[n[3] : n[6]]) for n in elements.tree(page)]
+    assert nodes == [("div", ["a", "b"], 0, page[: page.index("<p class")]), ("div", ["a"], 1, '<div class="a">y</div>'), ("p", ["c"], 0, '<p class="c">z</P>')]
+    assert elements.tree("") == [] and elements.tree("<<p></q>") == []
+
+
+def test_cards_take_linear_time():
+    def took(n):
+        page = "<ul>" + '<li><div class="name-cell"><b>n</b></div></li>' * n + "<p>" * n + "</ul>"
+        began = time.perf_counter()
+        assert len(elements.outermost([x for x in elements.tree(page) if x[0] == "li"])) == n
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(16000) < 16 * max(took(4000), 0.01)
