@@ -5,7 +5,7 @@
 2. Words are summed over all blocks, and those that come often enough are handed back to each block that has them. Then
    pairs of neighbouring frequent words are summed and handed back alike. A phrase is no more frequent than its words and
    pairs, so nothing that can become a candidate is lost. A block gets what it has itself: no list of all words or pairs exists
-   anywhere. Words and pairs travel as 64-bit hashes; two that collide only let a rare one pass, as phrases are counted exactly.
+   anywhere. Words and pairs travel as hashes of 48 bits; two that collide only let a rare one pass, as phrases are counted exactly.
 3. What is left of a block are runs of words of which each neighbouring pair is frequent. The different runs, weighed by how often they come,
    go into a generalised suffix automaton; its states get their endpos counts along suffix links, and its paths of up
    to five words are the block's phrases. Counts of a phrase are summed over all blocks.
@@ -39,6 +39,8 @@ BLOCK, OPEN = 8 << 20, 32 << 20
 STATES = 150_000
 #: Bytes of a text that are split into words at once, cut between pieces.
 SLICE = 1 << 20
+#: Bits of the hashes that are dropped where words and pairs travel; more that collide only let more rare ones pass.
+DROPPED = 16
 #: Parts of the hash range at least, and words of all texts for each part.
 CHUNKS, CHUNK_WORDS = 32, 2_000_000
 
@@ -76,8 +78,23 @@ def _slices(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
+def _zstd(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """Numbers as their lowest bytes, then their next ones, and so on, compressed: small numbers take little."""
+    return _zstd(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes())
+
+
+def _unplaned(data: bytes, size: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=size * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, size).T).view(kind).ravel()
+
+
 def blocks(texts: DataFrame) -> DataFrame:
-    """(block, lang, n, words, counts, size, sequence) of (lang, text): sequence is compressed, size its bytes before; word 0 is the border of pieces."""
+    """(block, lang, n, words, words_size, counts, size, sequence) of (lang, text): words and sequence are compressed, with their bytes before; word 0 is the border of pieces."""
     bounded_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,11 +106,11 @@ def blocks(texts: DataFrame) -> DataFrame:
             seq = np.concatenate(block.parts)
             counts = np.bincount(seq, minlength=len(block.words))
             counts[0] = 0
-            packed = pa.compress(seq.tobytes(), codec="zstd", asbytes=True)
-            columns = [[next(number)], [lang], [int(counts.sum())], [list(block.words)], [counts], [seq.nbytes], [packed]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["block", "lang", "n", "words", "counts", "size", "sequence"])
+            names = b" ".join(block.words)
+            columns = [[next(number)], [lang], [int(counts.sum())], [_zstd(names)], [len(names)], [counts], [len(seq)], [_planes(seq)]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["block", "lang", "n", "words", "words_size", "counts", "size", "sequence"])
 
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for part in _slices((text or b"").translate(_TABLE)):
@@ -105,11 +122,11 @@ def blocks(texts: DataFrame) -> DataFrame:
         for lang in list(opened):
             yield closed(lang)
 
-    return texts.mapInArrow(run, "block long, lang string, n long, words array<binary>, counts array<long>, size long, sequence binary")
+    return texts.mapInArrow(run, "block long, lang string, n long, words binary, words_size long, counts array<long>, size long, sequence binary")
 
 
-def _sequence(size: int, packed: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True), np.int32)
+def _words(row: dict) -> list[bytes]:
+    return pa.decompress(row["words"], decompressed_size=row["words_size"], codec="zstd", asbytes=True).split(b" ")
 
 
 def _word_keys(words: list[bytes], lang: str) -> np.ndarray:
@@ -120,7 +137,7 @@ def _word_keys(words: list[bytes], lang: str) -> np.ndarray:
 def _pair_keys(seq: np.ndarray, keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(where, hash) of the neighbouring words that are both known."""
     at = np.flatnonzero(known[seq[:-1]] & known[seq[1:]])
-    return at, mix(keys[seq[at]] * _U(0x9FB21C651E98DF25) + keys[seq[at + 1]])
+    return at, mix(keys[seq[at]] * _U(0x9FB21C651E98DF25) + keys[seq[at + 1]]) >> _U(DROPPED)
 
 
 _PACKED = pa.schema([("chunk", pa.int32()), ("block", pa.int64()), ("size", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -130,18 +147,9 @@ def _packed(block: int, keys: np.ndarray, counts: np.ndarray, chunks: int) -> pa
     """Rows of one block: its keys in order, in parts by their leading bits, with how often each comes."""
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order].astype(np.uint32)
-    edges = np.searchsorted(keys, np.arange(1, chunks, dtype=np.uint64) << _U(64 - chunks.bit_length() + 1)) if chunks > 1 else np.empty(0, np.int64)
-    rows = [(c, block, len(k), k, n) for c, (k, n) in enumerate(zip(np.split(keys, edges), np.split(counts, edges), strict=True)) if len(k)]
-    # differences of sorted hashes are small numbers, by planes of bytes they compress
-    flat = lambda a: pa.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes(), codec="zstd", asbytes=True)
-    columns = [[r[0] for r in rows], [block] * len(rows), [r[2] for r in rows], [flat(np.diff(r[3], prepend=_U(0))) for r in rows], [flat(r[4]) for r in rows]]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PACKED.types, strict=True)], schema=_PACKED)
-
-
-def _unpacked(data: bytes, size: int, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=size * width, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(width, size).T).view(kind).ravel()
+    edges = np.searchsorted(keys, np.arange(1, chunks, dtype=np.uint64) << _U(64 - DROPPED - chunks.bit_length() + 1))
+    rows = [(c, block, len(k), _planes(np.diff(k, prepend=_U(0))), _planes(n)) for c, (k, n) in enumerate(zip(np.split(keys, edges), np.split(counts, edges), strict=True)) if len(k)]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _PACKED.types, strict=True)], schema=_PACKED)
 
 
 def frequent(packed: DataFrame, at_least: int) -> DataFrame:
@@ -149,9 +157,9 @@ def frequent(packed: DataFrame, at_least: int) -> DataFrame:
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.to_pylist()
-        keys = [np.cumsum(_unpacked(r["keys"], r["size"], np.uint64)) for r in rows]
+        keys = [np.cumsum(_unplaned(r["keys"], r["size"], np.uint64)) for r in rows]
         _, which = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(which, weights=np.concatenate([_unpacked(r["counts"], r["size"], np.uint32) for r in rows]))
+        sums = np.bincount(which, weights=np.concatenate([_unplaned(r["counts"], r["size"], np.uint32) for r in rows]))
         often = np.split((sums >= at_least)[which], np.cumsum([r["size"] for r in rows])[:-1])
         found = [(r["block"], k[o].tobytes()) for r, k, o in zip(rows, keys, often, strict=True) if o.any()]
         return pa.table({"block": pa.array([f[0] for f in found], pa.int64()), "known": pa.array([f[1] for f in found], pa.binary())})
@@ -171,9 +179,11 @@ def words(stored: DataFrame, chunks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield _packed(row["block"], _word_keys(row["words"][1:], row["lang"]), np.array(row["counts"][1:]), chunks)
+                keys = _word_keys(_words(row)[1:], row["lang"]) >> _U(DROPPED)
+                if len(keys):
+                    yield _packed(row["block"], keys, np.array(row["counts"][1:]), chunks)
 
-    return stored.select("block", "lang", "words", "counts").mapInArrow(run, _PACKED_DDL)
+    return stored.select("block", "lang", "words", "words_size", "counts").mapInArrow(run, _PACKED_DDL)
 
 
 _PACKED_DDL = "chunk int, block long, size long, keys binary, counts binary"
@@ -185,14 +195,14 @@ def pairs(stored: DataFrame, chunks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys = _word_keys(row["words"], row["lang"])
-                known = np.isin(keys, _known(row["known"]))
+                keys = _word_keys(_words(row), row["lang"])
+                known = np.isin(keys >> _U(DROPPED), _known(row["known"]))
                 known[0] = False
-                found, n = np.unique(_pair_keys(_sequence(row["size"], row["sequence"]), keys, known)[1], return_counts=True)
+                found, n = np.unique(_pair_keys(_unplaned(row["sequence"], row["size"], np.int32), keys, known)[1], return_counts=True)
                 if len(found):
                     yield _packed(row["block"], found, n, chunks)
 
-    return stored.select("block", "lang", "words", "size", "sequence", "known").mapInArrow(run, _PACKED_DDL)
+    return stored.select("block", "lang", "words", "words_size", "size", "sequence", "known").mapInArrow(run, _PACKED_DDL)
 
 
 class Automaton:
@@ -267,9 +277,9 @@ def phrase_counts(stored: DataFrame, longest: int, at_least: int, chunks: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                words, seq = row["words"], _sequence(row["size"], row["sequence"])
+                words, seq = _words(row), _unplaned(row["sequence"], row["size"], np.int32)
                 keys = _word_keys(words, row["lang"])
-                known = np.isin(keys, _known(row["known"]))
+                known = np.isin(keys >> _U(DROPPED), _known(row["known"]))
                 known[0] = False
                 parts: list[tuple[list, list]] = [([], []) for _ in range(chunks)]
 
@@ -290,16 +300,27 @@ def phrase_counts(stored: DataFrame, longest: int, at_least: int, chunks: int) -
                         automaton, held = Automaton(), 0
                     automaton.add(np.frombuffer(run_, np.int32).tolist(), n)
                     held += len(run_) // 4
-                full = [(c, *p) for c, p in enumerate(parts) if p[0]]
-                yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(full), pa.string()), pa.array([p[0] for p in full], pa.int32()), pa.array([p[1] for p in full], pa.list_(pa.binary())), pa.array([p[2] for p in full], pa.list_(pa.int64()))], names=["lang", "chunk", "phrases", "counts"])
+                rows = []
+                for c, (found, n) in enumerate(parts):
+                    if found:
+                        # in order, neighbours have their first words in common
+                        order = sorted(range(len(found)), key=found.__getitem__)
+                        listed = b"\n".join([found[i] for i in order])
+                        rows.append((row["lang"], c, len(order), len(listed), _zstd(listed), _planes(np.array(n, dtype=np.int64)[order])))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["lang", "chunk", "n", "size", "phrases", "counts"])
+
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def summed(key: tuple, rows: pa.Table) -> pa.Table:
-        flat = pa.table({"phrase": pc.list_flatten(rows["phrases"]), "c": pc.list_flatten(rows["counts"])})
+        rows = rows.to_pylist()
+        listed = [pa.decompress(r["phrases"], decompressed_size=r["size"], codec="zstd", asbytes=True).split(b"\n") for r in rows]
+        flat = pa.table({"phrase": pa.chunked_array([pa.array(x, pa.binary()) for x in listed]), "c": pa.chunked_array([pa.array(_unplaned(r["counts"], r["n"], np.int64)) for r in rows])})
         sums = flat.group_by("phrase").aggregate([("c", "sum")])
         sums = sums.filter(pc.greater_equal(sums["c_sum"], at_least))
         return pa.table({"lang": pa.array([key[0].as_py()] * len(sums), pa.string()), "phrase": sums["phrase"], "f": sums["c_sum"]})
 
-    packed = stored.select("block", "lang", "words", "counts", "size", "sequence", "known", "pairs").mapInArrow(run, "lang string, chunk int, phrases array<binary>, counts array<long>")
+    packed = stored.select("block", "lang", "words", "words_size", "counts", "size", "sequence", "known", "pairs").mapInArrow(run, "lang string, chunk int, n long, size long, phrases binary, counts binary")
     return packed.groupBy("lang", "chunk").applyInArrow(summed, "lang string, phrase binary, f long").select("lang", F.col("phrase").cast("string").alias("phrase"), "f")
 
 
