@@ -49,6 +49,7 @@ def playable_round(text: Column, least_stage: int = 2, most_round: int = 7) -> C
 
 
 def optional_number(text: Column) -> Column:
-    """A finite number from 0 on, or null for anything else that a form may hold."""
-    v = F.trim(text).try_cast("double")
+    """A finite number from 0 on in decimal digits, or null for anything else that a form may hold."""
+    said = F.trim(text)
+    v = F.when(said.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), said.try_cast("double"))
     return F.when((v >= 0) & (v < float("inf")) & ~F.isnan(v), v)

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions.conditions import BUCKETS
 from quillon.functions.text import normalize
+from quillon.operators.concepts import FEW
+from quillon.operators.pool import normalize_query
+from quillon.operators.terms import hits
 
 
 def counts_with_zeros(rows: DataFrame, value: Column, allowed: Sequence, name: str = "value") -> DataFrame:
@@ -53,21 +56,25 @@ def verdict(sums: DataFrame, criteria: dict[str, Column]) -> DataFrame:
 
 
 def occurrences(rows: DataFrame, text: Column, terms: Sequence[str]) -> DataFrame:
-    """(term, n): rows whose search form holds the term; zeros kept. One pass over the rows."""
-    from quillon.operators.pool import normalize_query
-
+    """(term, n): rows whose search form holds the term; zeros kept. One pass over the rows; of more than FEW terms by an automaton."""
     form = normalize(text)
+    if len(terms) > FEW:
+        found = hits(rows.select(form.alias("_t")), F.col("_t"), [normalize_query(t) for t in terms]).groupBy("term").agg(F.count("*").alias("n")).withColumnRenamed("term", "_i")
+        names = rows.sparkSession.createDataFrame(list(enumerate(terms)), "_i int, term string")
+        return names.join(found, "_i", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
     sums = rows.select(form.alias("_t")).agg(*[F.count_if(F.col("_t").contains(normalize_query(t))).alias(f"t{i}") for i, t in enumerate(terms)])
     return sums.select(F.inline(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"t{i}").alias("n")) for i, t in enumerate(terms)])))
 
 
 def occurrence_list(rows: DataFrame, key: str, fields: dict[str, Column], terms: Sequence[str]) -> DataFrame:
     """(term, key, field) of each field whose search form holds a term: what occurrences() counts. Hits are exploded, not fields times terms."""
-    from quillon.operators.pool import normalize_query
-
     forms = rows.select(key, *[normalize(c).alias(f"_f{i}") for i, c in enumerate(fields.values())])
-    hits = [F.when(F.col(f"_f{i}").contains(normalize_query(t)), F.struct(F.lit(t).alias("term"), F.lit(f).alias("field"))) for i, f in enumerate(fields) for t in terms]
-    return forms.select(key, F.inline(F.array_compact(F.array(*hits)))).select("term", key, "field")
+    if len(terms) > FEW:
+        each = forms.select(key, F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_f{i}").alias("_t")) for i, f in enumerate(fields)])))
+        names = rows.sparkSession.createDataFrame(list(enumerate(terms)), "term int, _name string")
+        return hits(each, F.col("_t"), [normalize_query(t) for t in terms]).join(F.broadcast(names), "term").select(F.col("_name").alias("term"), key, "field")
+    found = [F.when(F.col(f"_f{i}").contains(normalize_query(t)), F.struct(F.lit(t).alias("term"), F.lit(f).alias("field"))) for i, f in enumerate(fields) for t in terms]
+    return forms.select(key, F.inline(F.array_compact(F.array(*found)))).select("term", key, "field")
 
 
 def rules_summary(rows: DataFrame, special: str, category: str) -> DataFrame:

@@ -7,11 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import nfkc_each
+from quillon.operators import terms
+
+#: So many patterns are simply tried one after the other, in the JVM.
+FEW = 16
 
 
 @dataclass(frozen=True)
@@ -42,8 +47,11 @@ def unpivot_fields(records: DataFrame, key: str, scalars: dict[str, Column], lis
 def tag(fields: DataFrame, key: str, rules: Sequence[Rule]) -> DataFrame:
     """(key, field, rule, concept, confidence, flag, evidence) of each hit; evidence is the first match.
 
-    All rules are tested in one pass over the fields; hits are exploded, not fields times rules.
+    All rules are tested in one pass over the fields; hits are exploded, not fields times rules. Of more than FEW rules a text only meets those
+    of which a literal occurs in it, found by one automaton, and those that have none.
     """
+    if len(rules) > FEW:
+        return _tag_tried(fields, key, rules)
     hits = []
     for i, r in enumerate(rules):
         test = F.col("text").rlike(r.pattern)
@@ -53,6 +61,19 @@ def tag(fields: DataFrame, key: str, rules: Sequence[Rule]) -> DataFrame:
     return fields.select(key, "field", F.inline(F.array_compact(F.array(*hits))))
 
 
+def _tag_tried(fields: DataFrame, key: str, rules: Sequence[Rule]) -> DataFrame:
+    rows = [(i, r.pattern, r.concept, r.confidence, r.flag) for i, r in enumerate(rules)]
+    table = fields.sparkSession.createDataFrame(rows, "rule int, _pattern string, concept string, confidence string, flag string")
+    each = fields.withColumn("rule", F.explode(terms.tried([r.pattern for r in rules])(F.col("text")))).join(F.broadcast(table), "rule")
+    guard = F.lit(True)
+    for i, r in enumerate(rules):
+        own = [g for g in (r.fields, r.records) if g is not None]
+        if own:
+            guard = guard & ((F.col("rule") != i) | F.coalesce(reduce(lambda a, b: a & b, own), F.lit(False)))
+    hit = each.where(guard & F.rlike(F.col("text"), F.col("_pattern")))
+    return hit.select(key, "field", "rule", "concept", "confidence", "flag", F.call_function("regexp_extract", F.col("text"), F.concat(F.lit("("), F.col("_pattern"), F.lit(")")), F.lit(1)).alias("evidence"))
+
+
 def assignments(tags: DataFrame, key: str) -> DataFrame:
     """(key, concept, confidence, flag, evidence): one row per pair; confidence and flag of its first rule, evidence in order."""
     first = F.min_by(F.struct("confidence", "flag"), F.struct("rule", "field"))
@@ -62,6 +83,8 @@ def assignments(tags: DataFrame, key: str) -> DataFrame:
 
 def guards(fields: DataFrame, key: str, groups: dict[str, str]) -> DataFrame:
     """(key, field, risk): fields that a risk group's pattern makes a matter for review, whatever rules say."""
+    if len(groups) > FEW:
+        return _tag_tried(fields, key, [Rule(n, p) for n, p in groups.items()]).select(key, "field", F.col("concept").alias("risk"))
     risks = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(n)) for n, p in groups.items()]))
     return fields.select(key, "field", F.explode(risks).alias("risk"))
 

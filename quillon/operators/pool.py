@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,21 +157,26 @@ def normalize_query(text: str) -> str:
 # ---------------------------------------------------------------- forms to criteria
 
 
+#: How a form may write a number: decimal digits with a fraction and an exponent, or whole ones in hexadecimal, octal or binary.
+NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+")
+
+
 def form_number(text: str | None) -> float | None:
-    """A finite number from 0 on; anything else is as if not asked."""
-    try:
-        v = float((text or "").strip())
-    except ValueError:
+    """A finite number from 0 on; anything else is as if not asked. Digits are those of ASCII."""
+    said = (text or "").strip()
+    if not NUMBER.fullmatch(said):
         return None
+    v = float(int(said, 0)) if said[:2].lower() in ("0x", "0o", "0b") else float(said)
     return v if math.isfinite(v) and v >= 0 else None
 
 
 def form_point(text: str | None, playable: bool = True) -> tuple[int, int] | None:
-    m = re.fullmatch(r"\s*(\d+)-(\d+)\s*", text or "")
+    """`stage-round` in digits of ASCII, both from 1 on; a playable one is of stage 2 on, and of one of seven rounds."""
+    m = re.fullmatch(r"([0-9]+)-([0-9]+)", (text or "").strip())
     if not m:
         return None
     stage, turn = int(m[1]), int(m[2])
-    return (stage, turn) if not playable or (stage >= 2 and 1 <= turn <= 7) else None
+    return (stage, turn) if stage >= 1 and turn >= 1 and (not playable or (stage >= 2 and turn <= 7)) else None
 
 
 def form_range(start: str | None, end: str | None) -> tuple | None:
@@ -192,3 +198,24 @@ def form_message(form: dict) -> str | None:
         return "the range can't be read"
     bad = [k for k in ("gold", "min_cost", "max_cost") if form.get(k) and form_number(form[k]) is None]
     return f"not a number: {', '.join(bad)}" if bad else None
+
+
+def form_rows(forms: DataFrame, key: str) -> DataFrame:
+    """(key, point, span, gold, min_cost, max_cost, message): what each row of form strings comes to, read as criteria_from_form() does.
+
+    forms: key and the form's strings by name; those that are not there, and nulls, are as if not asked. Points are shown as stage-round.
+    """
+    fields = [c for c in forms.columns if c != key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shown = lambda p: None if p is None else f"{p[0]}-{p[1]}"
+        for b in batches:
+            out = []
+            for row in b.to_dict("records"):
+                form = {f: row[f] for f in fields if isinstance(row[f], str)}
+                c = criteria_from_form(form)
+                out.append((row[key], shown(c.point), " to ".join(map(shown, c.range)) if c.range else None, c.gold, c.min_cost, c.max_cost, form_message(form)))
+            yield pd.DataFrame(out, columns=[key, "point", "span", "gold", "min_cost", "max_cost", "message"])
+
+    kind = forms.schema[key].dataType.simpleString()
+    return forms.mapInPandas(run, f"{key} {kind}, point string, span string, gold double, min_cost double, max_cost double, message string")

@@ -34,9 +34,67 @@ def ordered_ranges(column: str) -> Check:
 
 
 def condition_fits(r: Column) -> Column:
-    """Whether a condition's operator and value go together."""
+    """Whether a typed condition's operator and value go together; of one that nobody evaluates only the operator must be a known one, or none."""
     op = r["operator"]
-    return F.when(op.isin(">", ">=", "<", "<="), r["v_num"].isNotNull()).when(op.isin("=", "!="), F.coalesce(r["v_num"].cast("string"), r["v_str"], r["v_bool"].cast("string")).isNotNull()).when(op == "in", F.size(r["v_arr"]) > 0).when(op.isin("active", "inactive"), r["v_str"].isNotNull()).otherwise(op.isNull() & ~r["evaluable"])
+    number = r["v_num"].isNotNull() & ~F.isnan(r["v_num"]) & (F.abs(r["v_num"]) < float("inf"))
+    fits = F.when(op.isin(*ORDERING), number).when(op.isin(*EQUALITY), number | r["v_str"].isNotNull() | r["v_bool"].isNotNull()).when(op == "in", (F.size(r["v_arr"]) > 0) & ~F.exists(r["v_arr"], lambda x: x.isNull())).when(op.isin(*STATES), F.trim(r["v_str"]) != "").otherwise(False)
+    return F.when(r["evaluable"], F.coalesce(fits, F.lit(False))).otherwise(op.isNull() | op.isin(*OPERATORS))
+
+
+#: Operators of conditions by what they compare with.
+ORDERING, EQUALITY, STATES = (">", ">=", "<", "<="), ("=", "!="), ("active", "inactive")
+OPERATORS = (*ORDERING, *EQUALITY, "in", *STATES)
+#: The parts of a condition as datasets name them.
+PARTS = {"type": "type", "text": "textZh", "second": "textEn", "evaluable": "machineEvaluable", "operator": "operator", "value": "value"}
+
+
+def _part(v: Column, name: str) -> Column:
+    return F.try_variant_get(v, f"$.{name}", "variant")
+
+
+def _kind(v: Column) -> Column:
+    """Of a variant: what it is; null if there is none."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def _is_text(v: Column) -> Column:
+    """Whether a variant is a text that isn't blank."""
+    return F.coalesce((_kind(v) == "STRING") & (F.regexp_replace(F.try_variant_get(v, "$", "string"), r"(?U)^[\s\uFEFF]+", "") != ""), F.lit(False))
+
+
+def _is_number(v: Column) -> Column:
+    return F.coalesce(_kind(v).isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "DECIMAL") & (F.abs(F.try_variant_get(v, "$", "double")) < float("inf")), F.lit(False))
+
+
+def requirement_problems(value: Column, path: str, parts: dict[str, str] = PARTS) -> Column:
+    """Of a JSON text that should be a list of conditions: an array of (path, problem), with the path of each element's part.
+
+    A condition is an object with a type, a text, perhaps a second text, and whether it is to be evaluated. Its operator must be a known one if it
+    has any; if it is evaluated it must have one, and a value that goes with it: a finite number to be compared by order, a text,
+    number or truth to be compared by equality, a list of texts to be in, a text for what is active. A value nobody evaluates may be anything.
+    """
+    v = F.try_parse_json(value)
+    problem = lambda at, says: F.struct(at.alias("path"), says.alias("problem"))
+    alone = lambda says: F.array(problem(F.lit(path), F.lit(says)))
+
+    def of(x: Column, i: Column) -> Column:
+        at = F.concat(F.lit(f"{path}["), i.cast("string"), F.lit("]"))
+        op, given = _part(x, parts["operator"]), _part(x, parts["value"])
+        name = F.try_variant_get(x, f"$.{parts['operator']}", "string")
+        known = F.coalesce((_kind(op) == "STRING") & name.isin(*OPERATORS), F.lit(False))
+        asked = F.coalesce(F.try_variant_get(_part(x, parts["evaluable"]), "$", "boolean") & (_kind(_part(x, parts["evaluable"])) == "BOOLEAN"), F.lit(False))
+        texts = F.coalesce(F.schema_of_variant(given) == "ARRAY<STRING>", F.lit(False))
+        plain = F.coalesce(_kind(given).isin("STRING", "BOOLEAN"), F.lit(False)) | _is_number(given)
+        checks = [
+            ("type", ~_is_text(_part(x, parts["type"])), "must be a text"), ("text", ~_is_text(_part(x, parts["text"])), "must be a text"), ("second", _part(x, parts["second"]).isNotNull() & (_kind(_part(x, parts["second"])) != "STRING"), "must be a text if it is there"),
+            ("evaluable", F.coalesce(_kind(_part(x, parts["evaluable"])) != "BOOLEAN", F.lit(True)), "must be true or false"), ("operator", op.isNotNull() & ~known, "unknown operator"), ("operator", asked & ~known, "needs a known operator"),
+            ("value", asked & known & name.isin(*ORDERING) & ~_is_number(given), "must be a finite number"), ("value", asked & known & name.isin(*EQUALITY) & ~plain, "must be a text, number or truth"),
+            ("value", asked & known & (name == "in") & ~texts, "must be a list of texts"), ("value", asked & known & name.isin(*STATES) & ~_is_text(given), "must be a text")]
+        found = F.array_compact(F.array(*[F.when(wrong, problem(F.concat(at, F.lit(f".{parts[part]}")), F.lit(says))) for part, wrong, says in checks]))
+        return F.when(_kind(x) == "OBJECT", found).otherwise(F.array(problem(at, F.lit("must be an object"))))
+
+    elements = F.try_variant_get(v, "$", "array<variant>")
+    return F.when((_kind(v) == "ARRAY") & elements.isNotNull(), F.flatten(F.transform(elements, of))).otherwise(alone("must be a list"))
 
 
 def dangling(rows: DataFrame, reference: str, targets: DataFrame, target: str, key: str, path: str | None = None) -> DataFrame:
@@ -62,14 +120,15 @@ def provenance_problems(entries: DataFrame, manifest: DataFrame, key: str, stale
 #: Fixed value: a placeholder that a client fills in.
 PLACEHOLDER = r"@[A-Za-z][A-Za-z0-9_]*(?:\s*\*\s*100)?@"
 #: Kinds of values that a decision may give a field.
-SHAPES = ("text", "category", "amount", "effect", "ranges", "unknown", "omitted")
+SHAPES = ("text", "category", "amount", "effect", "ranges", "requirements", "unknown", "omitted")
 
 
 def shape_problem(kind: Column, value: Column, categories: Sequence[str]) -> Column:
     """What is wrong with a decided value (a JSON text, null if omitted) of a kind; null if nothing is.
 
     text: not empty; category: a known one; amount: a finite number from 0 on; effect: text without unresolved placeholders; ranges:
-    a non-empty list of ordered windows; unknown: an object that says so; omitted: nothing at all.
+    a non-empty list of ordered windows; requirements: a list of conditions, of which the first problem is told with its path; unknown: an
+    object that says so; omitted: nothing at all.
     """
     v = F.try_parse_json(value)
     text = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
@@ -85,7 +144,8 @@ def shape_problem(kind: Column, value: Column, categories: Sequence[str]) -> Col
     out = F.lit("unknown field")
     for name, (wrong, problem) in checks.items():
         out = F.when(kind == name, F.when(wrong, problem)).otherwise(out)
-    return out
+    first = F.get(requirement_problems(value, "value"), 0)
+    return F.when(kind == "requirements", F.when(first.isNotNull(), F.concat_ws(": ", first["path"], first["problem"]))).otherwise(out)
 
 
 def production_problems(records: DataFrame, key: str, alternate: str, name: str, sources: str, fields: Sequence[str], placeholder: str, evidence: DataFrame) -> DataFrame:
@@ -103,18 +163,41 @@ def production_problems(records: DataFrame, key: str, alternate: str, name: str,
     return all_of(repeats, errors(records, key, checks), unseen.select(key, F.lit(name).alias("path"), F.lit("no evidence").alias("problem")))
 
 
-def rules_problems(rules: DataFrame, records: DataFrame, categories: Sequence[str], milestones: Sequence[int], effects: Sequence[str], positive: Sequence[str], flags: Sequence[str], model: str) -> DataFrame:
+def dataset_problems(dataset: DataFrame, conflicts: DataFrame, normalised: DataFrame, published: DataFrame, key: str, search: Sequence[str], open_as: str = "needs_review") -> DataFrame:
+    """(path, problem) of a dataset as a whole, before it is released.
+
+    dataset: one row (ready, status). A dataset with a conflict whose resolution is open must say that it isn't ready (null says nothing, and is
+    refused too), and must have a status. What is published must be the normalised records but for the columns that search adds; a
+    record that is only on one side, or differs, is named by its key. Tables are compared by a full join on the key.
+    """
+    waiting = conflicts.where(F.col("resolution") == open_as).limit(1).agg(F.count("*").alias("_open"))
+    state = dataset.crossJoin(waiting)  # two single rows
+    checks = [("ready", (F.col("_open") == 0) | F.coalesce(~F.col("ready"), F.lit(False)), "ready while conflicts are open"), ("status", F.trim(F.coalesce("status", F.lit(""))) != "", "missing")]
+    whole = errors(state.withColumn("_one", F.lit(1)), "_one", checks).select("path", "problem")
+    core = [c for c in normalised.columns if c != key and c not in search]
+    theirs = [c for c in published.columns if c != key and c not in search]
+    form = lambda df, name: df.select(key, F.to_json(F.struct(*[c for c in sorted({*core, *theirs}) if c in df.columns]), {"ignoreNullFields": "false"}).alias(name))
+    both = form(normalised, "_a").join(form(published, "_b"), key, "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b")))
+    differs = F.when(F.col("_a").isNull(), "not in the normalised records").when(F.col("_b").isNull(), "not published").otherwise("differs from the normalised record")
+    return whole.unionByName(both.select(F.concat(F.lit("records."), F.col(key).cast("string")).alias("path"), differs.alias("problem")))
+
+
+def rules_problems(rules: DataFrame, records: DataFrame, categories: Sequence[str], milestones: Sequence[int], effects: Sequence[str], positive: Sequence[str], flags: Sequence[str], model: str, denied: Sequence[str] = (), truths: Sequence[str] = (), stated: dict[str, str] | None = None, unknown: Sequence[str] | None = None) -> DataFrame:
     """(path, problem) of a nested rules dataset of one row: patch, categories in order, whole positive numbers, flags, milestones, model.
 
-    rules: patch, categories array, milestones map (level as text to effect), model, the columns in positive and flags (which must be
-    true); records: patch of every record, which must be the rules'.
+    rules: patch, categories array, milestones map (level as text to effect), model; the columns in positive; those in flags, which must be
+    true, in denied, which must be false, and in truths, which must be one of both; those in stated, which must be that text; unknown_models, which
+    must be the list `unknown` if that is given. records: patch of every record, which must be the rules'. Levels are read as numbers, so their order is given.
     """
-    patches = records.agg(F.count("*").alias("_n"), F.count_if(~F.coalesce(F.col("patch").eqNullSafe(F.lit(None)), F.lit(False))).alias("_with"), F.min("patch").alias("_least"), F.max("patch").alias("_most"))
-    r = rules.crossJoin(F.broadcast(patches))  # two single rows
+    patches = records.agg(F.count("*").alias("_n"), F.count_if(F.col("patch").isNotNull()).alias("_with"), F.min("patch").alias("_least"), F.max("patch").alias("_most"))
+    r = rules.crossJoin(patches)  # two single rows
     levels = F.transform(F.map_keys("milestones"), lambda k: k.try_cast("int"))
     checks = [("patch", F.trim("patch") != "", "empty"), ("records", (F.col("_n") > 0) & (F.col("_with") == F.col("_n")) & (F.col("_least") == F.col("patch")) & (F.col("_most") == F.col("patch")), "records of another patch"), ("categories", F.col("categories") == F.array(*map(F.lit, categories)), "not the categories in order")]
     checks += [(c, (F.col(c) > 0) & (F.col(c) == F.floor(c)), "not a whole positive number") for c in positive] + [(c, F.col(c), "must be true") for c in flags]
+    checks += [(c, ~F.col(c), "must be false") for c in denied] + [(c, F.col(c).isNotNull(), "must be true or false") for c in truths] + [(c, F.col(c) == x, f"must be {x}") for c, x in (stated or {}).items()]
     checks += [("milestones", F.array_sort(levels) == F.array(*map(F.lit, milestones)), "not the milestones"), ("milestones", F.forall(F.map_values("milestones"), lambda e: e.isin(*effects)), "unknown effect"), ("model", F.col("model") == model, "unknown model")]
+    if unknown is not None:
+        checks.append(("unknown_models", F.col("unknown_models") == F.array(*map(F.lit, unknown)), "not the unknown models"))
     return errors(r.withColumn("_one", F.lit(1)), "_one", checks).select("path", "problem")
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions import text as T
 from quillon.functions.conditions import knowledge_state
 from quillon.operators import audit as A
 from quillon.operators import concepts as C
 from quillon.operators import provenance as V
 from quillon.operators import rules as U
+from quillon.operators import terms as M
 from quillon.operators import validate as W
 from quillon.plans.registry import Tables, norm, query
 
@@ -83,6 +85,14 @@ def q_alias_list(t: Tables) -> DataFrame:
     return A.occurrence_list(t.documents, "doc_id", {"text": F.col("text"), "source": F.col("source")}, (*ALIASES, "src3"))
 
 
+@query(f"WITH w AS (SELECT DISTINCT unnest(string_split({norm('text')}, ' ')) AS term FROM benchmark), t AS (SELECT term FROM w WHERE length(term) >= 4 UNION SELECT DISTINCT {norm('p_name')} FROM part), f AS (SELECT {norm('text')} AS f FROM documents) SELECT term, count(f) AS n FROM t LEFT JOIN f ON contains(f, term) GROUP BY term")
+def q_alias_audit_many(t: Tables) -> DataFrame:
+    """How many documents hold each of a large list of terms, all of them found in one pass."""
+    words = t.benchmark.select(F.explode(T.tokens(F.col("text"))).alias("term")).where("char_length(term) >= 4")
+    terms = M.listed(words.unionByName(t.part.select(T.normalize(F.col("p_name")).alias("term"))))
+    return A.occurrences(t.documents, F.col("text"), terms)
+
+
 @query("SELECT count(*) AS records, count(*) FILTER (p_size > 30) AS special, count(DISTINCT p_type) FILTER (p_size > 30) AS special_categories FROM part")
 def q_rules_summary(t: Tables) -> DataFrame:
     return A.rules_summary(t.part.withColumn("special", F.col("p_size") > 30), "special", "p_type")

@@ -116,12 +116,47 @@ def q_evidence_bundle(t: Tables) -> DataFrame:
     return both.select("evidence_rows", "manifest_rows", "baseline_rows", "intact", "name")
 
 
-@query("SELECT p_partkey, problem FROM (SELECT p_partkey, CASE p_partkey % 14 WHEN 1 THEN 'empty text' WHEN 3 THEN 'unknown category' WHEN 5 THEN 'not an amount' WHEN 7 THEN 'empty or unresolved text' WHEN 9 THEN 'not ordered windows' WHEN 11 THEN 'not marked unknown' WHEN 13 THEN 'must be left out' END AS problem FROM part) WHERE problem IS NOT NULL")
+#: A condition that holds, and what is made of it to fail: the pattern to replace, by what, and the parts that then have problems.
+CONDITION = '{"type":"gold","operator":">=","value":5,"textZh":"x","machineEvaluable":true}'
+FAULTS = [
+    ("^.*$", "null", [("", "must be an object")]), ('"gold"', '" "', [(".type", "must be a text")]), ('"textZh":"x"', '"textEn":1', [(".textZh", "must be a text"), (".textEn", "must be a text if it is there")]),
+    ('true', '"yes"', [(".machineEvaluable", "must be true or false")]), ('">=","value":5(.*)true', '"~"$1false', [(".operator", "unknown operator")]), ('">="', '"~"', [(".operator", "unknown operator"), (".operator", "needs a known operator")]),
+    ('"operator":">=",', '', [(".operator", "needs a known operator")]), ('5', '"5"', [(".value", "must be a finite number")]), ('">=","value":5', '"!=","value":[1]', [(".value", "must be a text, number or truth")]),
+    ('">=","value":5', '"in","value":["a",1]', [(".value", "must be a list of texts")]), ('">=","value":5', '"in","value":[]', [(".value", "must be a list of texts")]), ('">=","value":5', '"active","value":" "', [(".value", "must be a text")]),
+    ('5(.*)true', '"any"$1false', []), ('">=","value":5', '"in","value":["a","b"]', []), ('">=","value":5', '"=","value":false', [])]
+_FAULTY = " UNION ALL ".join(f"SELECT p_partkey, 'requirements[' || (p_size % 3) || ']{path}' AS path, '{says}' AS problem FROM part WHERE p_partkey % {len(FAULTS) + 1} = {i}" for i, (_, _, found) in enumerate(FAULTS) for path, says in found)
+
+
+@query(f"{_FAULTY} UNION ALL SELECT p_partkey, 'requirements', 'must be a list' FROM part WHERE p_partkey % {len(FAULTS) + 1} = {len(FAULTS)}")
+def q_requirement_problems(t: Tables) -> DataFrame:
+    """Lists of conditions of which one has a fault, at another place in each, and texts that are no list."""
+    k = F.col("p_partkey") % (len(FAULTS) + 1)
+    bad = F.lit('{"no": "list"}')
+    for i, (pattern, by, _) in enumerate(FAULTS):
+        bad = F.when(k == i, F.regexp_replace(F.lit(CONDITION), pattern, by)).otherwise(bad)
+    at = F.col("p_size") % 3
+    listed = F.concat(F.lit("["), F.array_join(F.concat(F.array_repeat(F.lit(CONDITION), at.cast("int")), F.array(bad), F.array_repeat(F.lit(CONDITION), (2 - at).cast("int"))), ","), F.lit("]"))
+    value = F.when(k == len(FAULTS), bad).otherwise(listed)
+    return t.part.select("p_partkey", F.inline(W.requirement_problems(value, "requirements")))
+
+
+@query("""SELECT 'ready' AS path, 'ready while conflicts are open' AS problem WHERE (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') > 0 UNION ALL SELECT 'status', 'missing'
+UNION ALL SELECT 'records.' || p_partkey, CASE WHEN p_size % 10 = 1 THEN 'not published' WHEN p_size % 10 = 2 THEN 'not in the normalised records' ELSE 'differs from the normalised record' END FROM part WHERE p_size % 10 IN (1, 2, 3)""")
+def q_dataset_problems(t: Tables) -> DataFrame:
+    """A dataset that says it is ready though conflicts are open, has no status, and is published with other records than the normalised ones; search columns may differ."""
+    dataset = t._spark.range(1).select(F.lit(True).alias("ready"), F.lit(" ").alias("status"))
+    conflicts = t.orders.select(F.when(F.col("o_orderstatus") == "O", "needs_review").otherwise("resolved").alias("resolution"))
+    k = F.col("p_size") % 10
+    published = t.part.where(k != 1).select("p_partkey", F.when(k == 3, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")).alias("p_name"), "p_type", F.array("p_brand").alias("synonyms"))
+    return W.dataset_problems(dataset, conflicts, t.part.where(k != 2).select("p_partkey", "p_name", "p_type"), published, "p_partkey", ["synonyms"])
+
+
+@query("SELECT p_partkey, problem FROM (SELECT p_partkey, CASE p_partkey % 16 WHEN 1 THEN 'empty text' WHEN 3 THEN 'unknown category' WHEN 5 THEN 'not an amount' WHEN 7 THEN 'empty or unresolved text' WHEN 9 THEN 'not ordered windows' WHEN 11 THEN 'value[1].value: must be a finite number' WHEN 13 THEN 'not marked unknown' WHEN 15 THEN 'must be left out' END AS problem FROM part) WHERE problem IS NOT NULL")
 def q_field_shapes(t: Tables) -> DataFrame:
     """A good and a bad value of each kind that a decision may give a field."""
     window = '{"start":{"stage":%d,"round":1},"end":{"stage":3,"round":2}}'
-    good_bad = [("text", '"x"', '" "'), ("category", '"PROMO"', '"none"'), ("amount", "3.5", "-1"), ("effect", '"gain 3"', '"gain @Gold*100@"'), ("ranges", f"[{window % 2}]", f"[{window % 4}]"), ("unknown", '{"status":"unknown"}', '{"status":"confirmed","value":1}'), ("omitted", None, "1")]
-    k = (F.col("p_partkey") % 14 + 1).cast("int")
+    good_bad = [("text", '"x"', '" "'), ("category", '"PROMO"', '"none"'), ("amount", "3.5", "-1"), ("effect", '"gain 3"', '"gain @Gold*100@"'), ("ranges", f"[{window % 2}]", f"[{window % 4}]"), ("requirements", f"[{CONDITION}]", f"[{CONDITION}, {CONDITION.replace('5', 'true')}]"), ("unknown", '{"status":"unknown"}', '{"status":"confirmed","value":1}'), ("omitted", None, "1")]
+    k = (F.col("p_partkey") % 16 + 1).cast("int")
     kinds = F.array(*[F.lit(kind) for kind, _, _ in good_bad for _ in range(2)])
     values = F.array(*[F.lit(v).cast("string") for _, good, bad in good_bad for v in (good, bad)])
     return t.part.select("p_partkey", W.shape_problem(F.element_at(kinds, k), F.element_at(values, k), ("PROMO", "SMALL")).alias("problem")).where("problem is not null")
@@ -148,13 +183,21 @@ def q_stale_source(t: Tables) -> DataFrame:
     return W.provenance_problems(entries, manifest, "event_id", stale="(?i)pbe")
 
 
-@query("SELECT * FROM (VALUES ('bad', 'patch', 'empty'), ('bad', 'records', 'records of another patch'), ('bad', 'categories', 'not the categories in order'), ('bad', 'interval', 'not a whole positive number'), ('bad', 'rightmost', 'must be true'), ('bad', 'milestones', 'not the milestones'), ('bad', 'milestones', 'unknown effect'), ('bad', 'model', 'unknown model')) v(rules, path, problem)")
+_RULES = [("patch", "empty"), ("records", "records of another patch"), ("categories", "not the categories in order"), ("interval", "not a whole positive number"), ("rightmost", "must be true"), ("claimed", "must be false"), ("tracks", "must be true or false"), ("observed", "must be seen"), ("milestones", "not the milestones"), ("milestones", "unknown effect"), ("model", "unknown model"), ("unknown_models", "not the unknown models")]
+
+
+@query("SELECT r_name AS rules, path, problem FROM region, (VALUES " + ", ".join(map(str, _RULES)) + ") v(path, problem) WHERE r_regionkey % 2 = 1")
 def q_rules_problems(t: Tables) -> DataFrame:
-    """A good and a bad rules dataset against the records' patch."""
-    schema = "name string, patch string, categories array<string>, interval double, rightmost boolean, milestones map<string,string>, model string"
-    rows = [("good", "1.2", ["a", "b"], 2.0, True, {"3": "x", "5": "y"}, "equal"), ("bad", " ", ["b", "a"], 1.5, False, {"3": "x", "6": "z"}, "other")]
+    """A rules dataset for each region, good and bad ones in turn, against the records' patch."""
+    good = F.col("r_regionkey") % 2 == 0
+    of = lambda a, b: F.when(good, F.lit(a)).otherwise(F.lit(b))
+    listed = lambda *x: F.array(*map(F.lit, x))
+    rules = t.region.select(
+        "r_name", of("1.2", " ").alias("patch"), F.when(good, listed("a", "b")).otherwise(listed("b", "a")).alias("categories"), of(2.0, 1.5).alias("interval"), of(True, False).alias("rightmost"), of(False, True).alias("claimed"), F.when(good, False).alias("tracks"),
+        of("seen", "guessed").alias("observed"), F.when(good, F.create_map(*map(F.lit, ("5", "y", "3", "x")))).otherwise(F.create_map(*map(F.lit, ("3", "x", "6", "z")))).alias("milestones"), of("equal", "other").alias("model"), F.when(good, listed("m", "n")).otherwise(listed("m")).alias("unknown_models"))
     records = t.part.select(F.lit("1.2").alias("patch"))
-    out = [W.rules_problems(t._spark.createDataFrame([r], schema), records, ("a", "b"), (3, 5), ("x", "y"), ["interval"], ["rightmost"], "equal").select(F.lit(r[0]).alias("rules"), "path", "problem") for r in rows]
+    names = [r[0] for r in t.region.select("r_name").collect()]  # one dataset each
+    out = [W.rules_problems(rules.where(F.col("r_name") == n), records, ("a", "b"), (3, 5), ("x", "y"), ["interval"], ["rightmost"], "equal", ["claimed"], ["tracks"], {"observed": "seen"}, ("m", "n")).select(F.lit(n).alias("rules"), "path", "problem") for n in names]
     return W.all_of(*out)
 
 
@@ -170,14 +213,16 @@ def q_lexicon_problems(t: Tables) -> DataFrame:
     return W.lexicon_problems(spark.createDataFrame([("1.2", "v", "d", 3)], meta), spark.createDataFrame([("1.1", "v", "d", 4)], meta), taxonomy, groups, membership, "1.2")
 
 
-@query("SELECT * FROM (VALUES ('g2', 'not_approved'), ('g3', 'not_in_draft'), ('g4', 'undecided'), ('g5', 'contradictory'), ('g5', 'no_reason'), ('g6', 'unknown_group'), ('g7', 'repeated'), ('g8', 'repeated_alias')) v(grp, problem)")
+@query("""SELECT 'g' || p_partkey AS grp, problem FROM part, (VALUES (2, 'not_approved'), (3, 'not_in_draft'), (4, 'undecided'), (5, 'contradictory'), (5, 'no_reason'), (6, 'unknown_group'), (7, 'repeated'), (8, 'repeated_alias')) v(k, problem) WHERE p_partkey % 9 = k""")
 def q_alias_decisions(t: Tables) -> DataFrame:
-    """Decisions on aliases: exact (full width and case apart), incomplete, beyond the draft, missing, contradictory, of no group, twice."""
-    spark = t._spark
-    groups = spark.createDataFrame([(f"g{i}", ["HP", "Health"]) for i in (1, 2, 3, 4, 5, 7, 8)], "group string, aliases array<string>")
-    rows = [("g1", ["ｈｐ", "health"], []), ("g2", ["hp"], []), ("g3", ["hp", "health", "x"], []), ("g5", ["hp", "health"], [("HP", "")]), ("g6", ["a"], []), ("g7", ["hp", "health"], []), ("g7", ["hp", "health"], []), ("g8", ["hp", "hp", "health"], [])]
-    decisions = spark.createDataFrame(rows, "group string, approved array<string>, rejected array<struct<alias:string,reason:string>>")
-    return C.alias_problems(groups, decisions).withColumnRenamed("group", "grp")
+    """Decisions on each part's aliases: exact (full width and case apart), incomplete, beyond the draft, missing, contradictory, of no group, twice."""
+    k, name = F.col("p_partkey") % 9, F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("group")
+    wide = F.translate("p_name", "abcdefghijklmnopqrstuvwxyz", "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ")
+    groups = t.part.where(k != 6).select(name, F.array(F.upper("p_name"), "p_brand").alias("aliases"))
+    approved = F.when(k == 2, F.array("p_name")).when(k == 3, F.array("p_name", "p_brand", "p_type")).when(k == 8, F.array("p_name", "p_brand", "p_brand")).otherwise(F.array(wide, "p_brand"))
+    reject = F.when(k == 5, F.array(F.struct(F.col("p_brand").alias("alias"), F.lit("").alias("reason")))).otherwise(F.array().cast("array<struct<alias:string,reason:string>>"))
+    decisions = t.part.where(k != 4).select(name, approved.alias("approved"), reject.alias("rejected"), F.explode(F.when(k == 7, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    return C.alias_problems(groups, decisions.drop("col")).withColumnRenamed("group", "grp")
 
 
 @query("SELECT 'digest' AS \"column\", 'stale' AS problem")

@@ -9,6 +9,7 @@ from quillon.functions import conditions as C
 from quillon.functions import intervals as I
 from quillon.functions import text as T
 from quillon.operators import pool as P
+from quillon.operators import ranges as N
 from quillon.operators import probability as Pr
 from quillon.plans.registry import Tables, norm, query
 
@@ -78,6 +79,22 @@ def q_reference_overlap(t: Tables) -> DataFrame:
     return P.candidate_pool(users, criteria, P.Columns(id="user_id", ranges="ranges")).select("user_id")
 
 
+@query("""SELECT l_orderkey, l_linenumber, o_orderkey FROM lineitem JOIN orders ON l_suppkey = o_custkey AND l_shipdate::TIMESTAMP <= o_orderdate::TIMESTAMP + to_days((o_orderkey % 9)::INT) AND o_orderdate::TIMESTAMP <= l_shipdate::TIMESTAMP + to_days(l_linenumber::INT)""")
+def q_range_join(t: Tables) -> DataFrame:
+    """Deliveries that run while an order of the same number as their supplier is open: windows of two whole tables, by key."""
+    day = lambda c, n: F.col(c).cast("timestamp_ntz") + F.make_dt_interval(n.cast("int"))
+    left = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_suppkey").cast("long").alias("supplier"), F.col("l_shipdate").cast("timestamp_ntz").alias("l_from"), day("l_shipdate", F.col("l_linenumber")).alias("l_to"))
+    right = t.orders.select("o_orderkey", F.col("o_custkey").cast("long").alias("customer"), F.col("o_orderdate").cast("timestamp_ntz").alias("o_from"), day("o_orderdate", F.col("o_orderkey") % 9).alias("o_to"))
+    return N.overlapping(left, right, ("l_from", "l_to"), ("o_from", "o_to"), [("supplier", "customer")]).select("l_orderkey", "l_linenumber", "o_orderkey")
+
+
+@query(f"WITH {WINDOWS}, r AS (SELECT event_type || (user_id % 5) AS ref, min(ts) AS a, min(ts) + INTERVAL 30 MINUTE AS b FROM events GROUP BY 1), f AS (SELECT ref, greatest(a, TIMESTAMP '2024-01-01 00:10:00') AS a, b FROM r WHERE b >= TIMESTAMP '2024-01-01 00:10:00') SELECT DISTINCT user_id, ref FROM w JOIN f ON w.a <= f.b AND f.a <= w.b")
+def q_reference_pools(t: Tables) -> DataFrame:
+    """Users with a window that meets what remains of any of a table of references, all references at once."""
+    ref = t.events.groupBy(F.concat("event_type", (F.col("user_id") % 5).cast("string")).alias("ref")).agg(F.min("ts").alias("a")).select("ref", F.array(F.struct(F.col("a").alias("start"), (F.col("a") + F.expr("interval 30 minutes")).alias("end"))).alias("windows"), F.lit("2024-01-01 00:10:00").cast("timestamp_ntz").alias("since"))
+    return N.reference_pool(windows(t), ref, "user_id", "ref", "ranges", "windows", "since")
+
+
 def priced(t: Tables) -> DataFrame:
     return t.part.withColumn("least", F.when(F.col("p_size") > 25, F.col("p_retailprice") + F.col("p_size")))
 
@@ -170,10 +187,11 @@ def q_form_number(t: Tables) -> DataFrame:
     return t.events.select("event_id", I.optional_number(text).alias("number"))
 
 
-@query("SELECT * FROM (VALUES (1, 'hp potion'), (2, 'HP2')) v(k, name)")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'ring') AND p_size > 10")
 def q_index_filter_compatible(t: Tables) -> DataFrame:
-    rows = t._spark.createDataFrame([(1, "hp potion", True), (2, "HP2", True), (3, "mana", True)], "k int, name string, has_special_rules boolean").withColumn("wide", F.translate("name", "hpHP", "ｈｐＨＰ"))
-    return rows.where(P.named_like("wide", "Hp", special_only=True)).select("k", "name")
+    """Names in full width match a plain term."""
+    rows = t.part.withColumn("has_special_rules", F.col("p_size") > 10).withColumn("wide", F.translate(F.upper("p_name"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ"))
+    return rows.where(P.named_like("wide", "Ring", special_only=True)).select("p_partkey", "p_name")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (1, 2, 3)")
@@ -194,18 +212,17 @@ def q_condition_missing_list(t: Tables) -> DataFrame:
     return P.candidate_pool(rows, P.Criteria(state={"gold": 20}), P.Columns(id="p_partkey", conditions="conditions")).select("p_partkey")
 
 
-FORMS = ({"stage": "3-2", "from": "2-1", "to": "4-1", "gold": "x"}, {"from": "2-1", "to": "4-1", "gold": " 7.5 "}, {"from": "4-1", "to": "2-1"}, {"stage": "9-9"}, {"min_cost": "-1", "max_cost": "3"})
-
-
-@query("SELECT * FROM (VALUES (0, '3-2', NULL, NULL::DOUBLE, NULL::DOUBLE, 'not a number: gold'), (1, NULL, '2-1 to 4-1', 7.5::DOUBLE, NULL::DOUBLE, NULL), (2, NULL, NULL, NULL, NULL, 'the range can''t be read'), (3, NULL, NULL, NULL, NULL, 'the point can''t be read'), (4, NULL, NULL, NULL, 3.0::DOUBLE, 'not a number: min_cost')) v(form, point, span, gold, max_cost, message)")
+@query("""WITH f AS (SELECT p_partkey, p_partkey % 4 AS k, p_size // 10 AS s, p_size % 10 AS r FROM part),
+v AS (SELECT *, k <> 3 AND s >= 2 AND r BETWEEN 1 AND 7 AS good, s + 1 BETWEEN 2 AND 9 AND (s + 1 > 2 OR r >= 3) AND r BETWEEN 1 AND 7 AS ranged FROM f)
+SELECT p_partkey, CASE WHEN k IN (0, 3) OR NOT good THEN NULL ELSE s || '-' || r END AS point, CASE WHEN k IN (1, 2) AND good OR NOT ranged THEN NULL ELSE '2-3 to ' || (s + 1) || '-' || r END AS span, CASE k WHEN 0 THEN 7.5::DOUBLE WHEN 1 THEN 16 END AS gold,
+CASE WHEN k IN (1, 2, 3) AND NOT good THEN 'the point can''t be read' WHEN NOT ranged THEN 'the range can''t be read' WHEN k > 1 THEN 'not a number: gold' END AS message FROM v""")
 def q_form_criteria(t: Tables) -> DataFrame:
-    """What forms come to: an exact point suppresses the range; a field that can't be read is as if not asked, with advice."""
-    shown = lambda p: None if p is None else f"{p[0]}-{p[1]}"
-    rows = []
-    for i, form in enumerate(FORMS):
-        c = P.criteria_from_form(form)
-        rows.append((i, shown(c.point), " to ".join(map(shown, c.range)) if c.range else None, c.gold, c.max_cost, P.form_message(form)))
-    return t._spark.createDataFrame(rows, "form int, point string, span string, gold double, max_cost double, message string")
+    """What forms come to: an exact point suppresses the range; a field that can't be read is as if not asked, with advice. Digits of other scripts can't."""
+    k, s, r = F.col("p_partkey") % 4, F.floor(F.col("p_size") / 10).cast("string"), (F.col("p_size") % 10).cast("string")
+    point = F.concat(s, F.lit("-"), r)
+    wide = F.translate(point, "0123456789", "０１２３４５６７８９")
+    forms = t.part.select("p_partkey", F.when(k == 0, "").when(k == 3, wide).otherwise(F.concat(F.lit(" "), point)).alias("stage"), F.lit("2-3").alias("from"), F.concat((F.floor(F.col("p_size") / 10) + 1).cast("string"), F.lit("-"), r).alias("to"), F.element_at(F.array(*map(F.lit, (" 7.5 ", "0x10", "1_0", "１２"))), (k + 1).cast("int")).alias("gold"))
+    return P.form_rows(forms, "p_partkey").select("p_partkey", "point", "span", "gold", "message")
 
 
 @query("SELECT p_partkey, round(1 / (SELECT count(*) FROM part), 12) AS probability FROM part")

@@ -117,26 +117,32 @@ def q_search_paths(t: Tables) -> DataFrame:
     return hits.select("p_partkey", "path", S.read_field(S.Surfaces(("p_name",), requirements="requirements"), F.col("path")).alias("field"))
 
 
-#: Names in other forms of the same characters, and what a search for `hp cafe\u0301` or `ｈｐ` makes of them.
-WIDE = ((0, "ＨＰ potion"), (1, "hp-café"), (2, "HP cafe\u0301"), (3, "h\u0085p"), (4, "ﬁre ①"), (5, "Ｆｉｒｅ　wand"))
+WIDTH = ("abcdefghijklmnopqrstuvwxyz", "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ")
 
 
-@query("SELECT * FROM (VALUES (0, 700, 'namePrefix'), (1, 700, 'namePrefix'), (2, 700, 'namePrefix')) v(k, total, fields)")
+def wide_parts(t: Tables) -> DataFrame:
+    """Parts with names in full width, and in two ways to write an accent: as one character, or as a letter and a mark."""
+    accent = F.when(F.col("p_partkey") % 2 == 0, "\u00ed").otherwise("i\u0301")
+    return t.part.withColumn("wide", F.translate("p_name", *WIDTH)).withColumn("marked", F.replace(F.upper("p_name"), F.lit("I"), F.upper(accent)))
+
+
+@query(sql("SELECT p_partkey, p_name AS n FROM part", "p_partkey", [ladder("ring", ["n"], [], [])]))
 def q_search_compatible(t: Tables) -> DataFrame:
-    """Records in full width match a plain query, and the other way round."""
-    rows = t._spark.createDataFrame(WIDE, "k int, name string")
-    return S.search(rows, "ｈｐ", S.Surfaces(("name",)), order="k").select("k", "total", F.array_join("matched_fields", ",").alias("fields"))
+    """Records in full width match a plain query, and the other way round: both searches give the same."""
+    plain = S.search(wide_parts(t), "Ring", S.Surfaces(("wide",)), order="p_partkey")
+    asked = S.search(wide_parts(t), "ｒｉｎｇ", S.Surfaces(("p_name",)), order="p_partkey")
+    return found(plain, "p_partkey").intersect(found(asked, "p_partkey"))
 
 
-@query("SELECT * FROM (VALUES (1, 'hp café'), (2, 'hp café'), (4, 'fire 1'), (5, 'fire wand')) v(k, form)")
+@query("SELECT p_partkey, replace(p_name, 'i', 'í') AS form FROM part WHERE contains(p_name, 'ring') OR contains(p_name, 'widget')")
 def q_search_accents(t: Tables) -> DataFrame:
-    """Composed and decomposed accents, ligatures and circled numbers: the form, of what either of two searches finds."""
+    """Composed and decomposed accents, small and capital: the form, of what either of two searches finds."""
     from quillon.functions.text import normalize
 
-    rows = t._spark.createDataFrame(WIDE, "k int, name string").withColumn("synonyms", F.array(F.col("name")))
-    s = S.Surfaces((), ("name",), synonyms="synonyms")
-    hits = [S.search(rows, q, s, order="k").select("k", "name") for q in ("CAFÉ", "ﬁre")]
-    return hits[0].union(hits[1]).select("k", normalize(F.col("name")).alias("form"))
+    rows = wide_parts(t).withColumn("synonyms", F.array("marked"))
+    s = S.Surfaces((), ("marked",), synonyms="synonyms")
+    hits = [S.search(rows, q, s, order="p_partkey").select("p_partkey", "marked") for q in ("RI\u0301NG", "w\u00eddget")]
+    return hits[0].union(hits[1]).select("p_partkey", normalize(F.col("marked")).alias("form"))
 
 
 @query("SELECT p_partkey, strpos(p_name, 'ring') - 1 AS start_at, strpos(p_name, 'ring') + 3 AS end_at FROM part WHERE contains(p_name, 'ring')")
@@ -146,11 +152,10 @@ def q_match_ranges(t: Tables) -> DataFrame:
     return hits.select("p_partkey", F.inline(ranges).alias("start_at", "end_at")).select("p_partkey", F.col("start_at").cast("long"), F.col("end_at").cast("long"))
 
 
-@query("SELECT * FROM (VALUES (0, 0, 2), (1, 0, 2), (2, 0, 2)) v(k, start_at, end_at)")
+@query("SELECT p_partkey, (strpos(p_name, 'ring') - 1)::INT AS start_at, (strpos(p_name, 'ring') + 3)::INT AS end_at FROM part WHERE contains(p_name, 'ring')")
 def q_match_ranges_wide(t: Tables) -> DataFrame:
-    """Where a plain term stands in texts of full-width, small and capital letters, in UTF-16 units of the raw text."""
-    rows = t._spark.createDataFrame(WIDE, "k int, name string")
-    return rows.select("k", F.inline(S.match_ranges("name", F.lit("hp"))).alias("start_at", "end_at"))
+    """Where a plain term stands in texts of full width, in UTF-16 units of the raw text."""
+    return wide_parts(t).select("p_partkey", F.inline(S.match_ranges("wide", F.lit("ring"))).alias("start_at", "end_at"))
 
 
 def ladder_sql(term: str, steps: list[tuple[str, int, str]], i: int) -> str:

@@ -11,7 +11,7 @@ from quillon.operators import align as A
 from quillon.operators import rules as U
 from quillon.operators.saved import scratch
 from quillon.plans.registry import Tables, query
-from quillon.sources import catalogue, sinks
+from quillon.sources import catalogue, published, sinks
 
 
 def dataset(t: Tables, name: str, rows: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -64,9 +64,32 @@ def q_json_sink(t: Tables) -> DataFrame:
 @query("SELECT s_suppkey, s_name FROM supplier")
 def q_publish(t: Tables) -> DataFrame:
     """Published rows are read back and compared by digest before anyone reads them."""
-    rows, path = t.supplier.select("s_suppkey", "s_name"), scratch(t._spark, "published")
-    sinks.publish(rows, path)
-    return t._spark.read.schema(rows.schema).parquet(path)
+    return sinks.publish(t.supplier.select("s_suppkey", "s_name"), scratch(t._spark, "published"))
+
+
+@query("SELECT p_partkey, p_size + 1 AS p_size, 'part' AS of FROM part UNION ALL SELECT s_suppkey, 2, 'supplier' FROM supplier")
+def q_publish_together(t: Tables) -> DataFrame:
+    """Two tables in one publication, a second version of both, and a third that a check refuses: readers see the second whole."""
+    root = scratch(t._spark, "together")
+    for n in range(3):
+        tables = {"part": t.part.select("p_partkey", (F.col("p_size") + n).alias("p_size")), "supplier": t.supplier.select("s_suppkey", F.lit(1 + n).cast(t.part.schema["p_size"].dataType).alias("level"))}
+        try:
+            published.publish(tables, root, lambda staged: staged["supplier"].where("level > 2"))
+        except ValueError:
+            refused = n
+    part, supplier = published.read(t._spark, root, "part"), published.read(t._spark, root, "supplier")
+    return part.withColumn("of", F.lit("part")).union(supplier.withColumn("of", F.lit("supplier"))).where(F.lit(refused) == 2)
+
+
+@query("SELECT name, problem FROM (VALUES ('part', 'changed'), ('supplier', 'missing')) v(name, problem) WHERE (SELECT count(*) FROM part) > 0 AND (SELECT count(*) FROM region) > 0")
+def q_published_problems(t: Tables) -> DataFrame:
+    """What was published is compared with its manifest: rows added to one table afterwards, and the files of another gone."""
+    root = scratch(t._spark, "tampered")
+    found = published.publish({"part": t.part, "region": t.region, "supplier": t.supplier}, root)
+    t.part.write.mode("append").parquet(f"{root}/{found.tables['part']['path']}")
+    fs, gone = published._fs(t._spark, f"{root}/{found.tables['supplier']['path']}")
+    fs.delete(gone, True)
+    return published.problems(t._spark, root)
 
 
 @query("SELECT r_regionkey, true AS refused FROM region")
@@ -151,15 +174,16 @@ def q_index_order(t: Tables) -> DataFrame:
     return numbered(rows, U.index_order("ranges", "name", "p_partkey", "UTF8_LCASE"), "place").select("p_partkey", "place")
 
 
-@query("SELECT * FROM (VALUES ('刘', 1), ('王', 2), ('张', 3), ('a_b', 4), ('a1', 5)) v(name, place)")
+@query("""WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN (['刘', '王', '张'])[p_size % 3 + 1] ELSE CASE WHEN p_size % 2 = 0 THEN 'a_b' ELSE 'A1' END END AS name FROM part)
+SELECT p_partkey, name, row_number() OVER (PARTITION BY p_partkey % 2 ORDER BY CASE name WHEN '刘' THEN 1 WHEN '王' THEN 2 WHEN '张' THEN 3 WHEN 'a_b' THEN 1 ELSE 2 END, p_partkey) AS place FROM n""")
 def q_collated_order(t: Tables) -> DataFrame:
-    """Chinese names by pinyin, then Latin ones in the order of an English dictionary, where signs come before digits."""
-    from pyspark.sql import Window
+    """Chinese names by pinyin; Latin ones in the order of an English dictionary, where signs come before digits and case matters last."""
+    from quillon.operators.saved import numbered
 
-    rows = t._spark.createDataFrame([("a1", "en"), ("张", "zh"), ("王", "zh"), ("a_b", "en"), ("刘", "zh")], "name string, lang string")
-    zh = rows.where("lang = 'zh'").withColumn("n", F.row_number().over(Window.orderBy(*U.index_order_by_name("name", "zh"))))
-    en = rows.where("lang = 'en'").withColumn("n", F.row_number().over(Window.orderBy(*U.index_order_by_name("name", "en"))) + 3)
-    return zh.union(en).select("name", F.col("n").alias("place"))
+    name = F.when(F.col("p_partkey") % 2 == 0, F.element_at(F.array(*map(F.lit, ("刘", "王", "张"))), (F.col("p_size") % 3 + 1).cast("int"))).otherwise(F.when(F.col("p_size") % 2 == 0, "a_b").otherwise("A1"))
+    rows = t.part.select("p_partkey", name.alias("name"))
+    parts = [numbered(rows.where(F.col("p_partkey") % 2 == k), [*U.index_order_by_name("name", language), F.col("p_partkey")], "place") for k, language in ((0, "zh"), (1, "en"))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'weakened' WHEN o_orderstatus = 'O' AND o_orderkey % 2 = 0 THEN 'supported' ELSE 'unresolved' END AS impact FROM orders")

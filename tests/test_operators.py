@@ -270,3 +270,19 @@ def test_cards_take_linear_time():
 
     took(500)
     assert took(16000) < 16 * max(took(4000), 0.01)
+
+
+def test_requirement_paths(spark):
+    text = '[{"type": "a", "textZh": "b", "machineEvaluable": true, "operator": "<", "value": 1e400}, {"type": "a", "textZh": "b", "machineEvaluable": false, "operator": "in", "value": 3}, [], {}]'
+    df = spark.createDataFrame([(text,), ("[]",), (None,), ("not json",), ('"x"',)], "v string").select("v", W.requirement_problems(F.col("v"), "r").alias("p"))
+    got = {r["v"]: [tuple(x) for x in r["p"]] for r in df.collect()}
+    alone = [("r", "must be a list")]
+    assert got["[]"] == [] and got[None] == alone and got["not json"] == alone and got['"x"'] == alone
+    found = got[text]
+    assert found == alone or [p for p in found if p[0].startswith("r[2") or p[0].startswith("r[3")] == [("r[2]", "must be an object"), ("r[3].type", "must be a text"), ("r[3].textZh", "must be a text"), ("r[3].machineEvaluable", "must be true or false")]
+
+
+def test_forms_take_plain_digits():
+    numbers = {"1_0": None, "１２": None, "0x1F": 31.0, "1e2": 100.0, ".5": 0.5, "5.": 5.0, "+3": 3.0, "1d": None, "": None, None: None, "Infinity": None, "nan": None}
+    assert {k: P.form_number(k) for k in numbers} == numbers
+    assert P.form_point("２-１") is None and P.form_point(" 2-1 ") == (2, 1) and P.form_point("1-0", playable=False) is None and P.form_point("1-1", playable=False) == (1, 1) and P.form_point("2-8") is None
