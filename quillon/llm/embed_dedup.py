@@ -114,7 +114,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, key: str = "vec_id
     Rows of equal vectors and labels are one class, of which one member goes through the tables. Vectors of different lengths
     have no cosine and never link; each length has rotations of its own. Rows
     whose label is null, or whose vector is null, empty, zero or holds
-    null or non-finite components, link with nothing. Repeated rows are vectors of their own; rows of one
+    null or non-finite components, link with nothing. Vectors are scaled by powers of two first, so squares neither vanish nor overflow. Repeated rows are vectors of their own; rows of one
     vec_id are one node of components. A row without vec_id is counted but is kept alone: its component_id is null.
     An empty table gives an empty table.
     """

@@ -5,6 +5,10 @@ has more leading segments (then characters) of the URL in common. Both pages' te
 element) are aligned by a longest common subsequence; shared lines are what the site's template gave, and are
 deleted. Exact copies on one host are one page.
 
+A neighbour that shares nearly all of a page's undecided text may be another view of the same story (for print, with a
+tracking parameter). It can't tell template from story; then only lines go that differing pages of the host have shown to be template,
+where they stand in such a pair.
+
 Every page goes through that; where it alone can't give the right text, markup corrects it. A line that no
 other page has is still no text if it stands in an element whose name, role, class or id says menu, header,
 footer, sidebar, notice, advert, form, script or comment; and a line that two articles share is text if it stands
@@ -16,7 +20,7 @@ from __future__ import annotations
 import html as entities
 import os.path
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Collection, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import bounded_batches, needs, table, written
 
+#: Share of a page's undecided characters from which a neighbour that has them too is taken for a view of the same story.
+NEAR = 0.9
 #: Cells of an alignment beyond which it is cut in halves of the first page.
 CELLS = 200_000_000
 
@@ -41,9 +47,11 @@ DROPPED = frozenset("nav footer aside script style noscript template iframe svg
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 #: What an element's name may say; a name counts if all its parts are of these kinds or tell the place of a part.
-NAMES = frozenset("nav navbar navigation menu submenu breadcrumb breadcrumbs masthead topbar footer bottombar sidebar rail widget widgets ad ads adv advert adverts advertisement advertising adslot adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager disqus discussion reply replies respond toolbar copyright skip".split())
-COMMENTS = frozenset("comment comments commentlist commenter commenters usercomments".split())
+NAMES = frozenset("nav navbar navigation menu submenu breadcrumb breadcrumbs masthead topbar footer bottombar sidebar rail widget widgets ad ads adv advert adverts advertisement advertising adslot adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager disqus discussion reply replies respond toolbar copyright skip cta warning warnings taboola outbrain".split())
+COMMENTS = frozenset("comment comments commentlist commenter commenters usercomments responses".split())
 PLACES = frozenset("site page post entry article story content main body global primary secondary top bottom left right inner outer upper lower mobile desktop sticky fixed box block bar list item items link links area section container wrapper wrap row col unit slot text title heading panel module thread form count meta author user reader icon icons buttons group holder region zone posts articles stories".split())
+#: Kinds that name an element as the last of its name's parts, whatever stands before: what is a vendor's ad is an ad.
+THINGS = COMMENTS | frozenset("ad ads adv advert adverts advertisement advertising adslot sponsor sponsored promo promotion notice notices alert popup cookie cookies consent newsletter cta paywall".split())
 #: Parts that tell that an element holds the content, whatever its other names say.
 HOLDS = frozenset("content main article body post entry story page wrapper container layout".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -56,9 +64,14 @@ Line = tuple[str, int]
 
 
 def _says(name: str, kinds: frozenset) -> bool:
-    """Whether a class or id is one of these kinds as a whole: with nothing else in it but places, numbers and letters."""
-    parts = {p.lower() for p in _PART.findall(name)}
-    return bool(parts & kinds) and all(p in kinds or p in PLACES or len(p) < 2 or p.isdigit() for p in parts)
+    """Whether a class or id is one of these kinds: as a whole, with nothing else in it but places, numbers and letters, or by the last thing it names."""
+    parts = [p.lower() for p in _PART.findall(name)]
+    here = [p in kinds for p in parts]
+    rest = [not k and p not in PLACES and len(p) > 1 and not p.isdigit() for p, k in zip(parts, here, strict=True)]
+    if not any(rest):
+        return any(here)
+    last = next((p for p in reversed(parts) if p in kinds or p not in PLACES and len(p) > 1 and not p.isdigit()), "")
+    return last in kinds and last in THINGS
 
 
 def _state(tag: str, attrs: str, above: int) -> int:
@@ -89,13 +102,17 @@ _HEADER = frozenset(["header"])
 _FORM_END = re.compile(r"</?form\b", re.IGNORECASE)
 _STORY = re.compile(r"<(?:article|main|h1)\b|role=[\"']?main\b", re.IGNORECASE)
 _PARAGRAPH = re.compile(r"<p\b", re.IGNORECASE)
+_FIELD = re.compile(r"""<(?:textarea|select)\b|<input\b(?![^>]*\btype\s*=\s*["']?(?:hidden|submit|button|image|reset)\b)""", re.IGNORECASE)
 
 
 def _wraps(page: str, at: int) -> bool:
-    """Whether a form that begins at a place is the frame of a story and not a thing to fill in."""
+    """Whether a form that begins at a place is the frame of a story and not a thing to fill in: it has an article, a title, or three paragraphs and over two for each field."""
     end = _FORM_END.search(page, at)
     stop = end.start() if end else len(page)
-    return bool(_STORY.search(page, at, stop)) or sum(1 for _, _ in zip(_PARAGRAPH.finditer(page, at, stop), range(3), strict=False)) > 2
+    if _STORY.search(page, at, stop):
+        return True
+    paragraphs, fields = (sum(1 for _ in x.finditer(page, at, stop)) for x in (_PARAGRAPH, _FIELD))
+    return paragraphs > 2 and paragraphs > 2 * fields
 
 
 def lines(page: str) -> list[Line]:
@@ -225,24 +242,24 @@ def _halved(a: Sequence, b: Sequence, at: list[int]) -> set[int]:
     return {at[i] for i in shared(a[:half], b[:cut])} | {at[half + i] for i in shared(a[half:], b[cut:])}
 
 
-def main_text(page: list[Line], common: Sequence[set[int]]) -> str:
-    """The lines that stay. common: the places of lines shared with the nearest page, and with the one on the other side.
+def alike(sizes: Sequence[int], common: set[int]) -> bool:
+    """Whether a neighbour with the lines at the places in common has nearly all undecided characters; sizes has none for other lines."""
+    whole = sum(sizes)
+    return whole > 0 and sum(sizes[i] for i in common) >= NEAR * whole
 
-    Undecided lines stay if the nearest page doesn't share them. If that leaves no text at all, the page is a copy of the
-    nearest but for its markup, and the page on the other side decides; if that shares all too, all stay. Lines of
-    an article stay in any case; undecided lines beside an article only if they are the longer part.
-    """
+
+def main_text(page: list[Line], deleted: Collection[int]) -> str:
+    """The lines that stay: lines of an article in any case, undecided ones if they aren't deleted; beside an article only if they are the longer part."""
     content = [i for i, (_, s) in enumerate(page) if s == CONTENT]
-    plain = [i for i, (_, s) in enumerate(page) if s == PLAIN]
-    kept = [i for i in plain if not common or i not in common[0]]
+    kept = [i for i, (_, s) in enumerate(page) if s == PLAIN and i not in deleted]
     if content:
         length = lambda at: sum(len(page[i][0]) for i in at)
         kept = sorted(content + kept) if length(kept) > length(content) else content
-    elif not kept:
-        kept = next((k for c in common[1:] if (k := [i for i in plain if i not in c])), plain)
     return " ".join(page[i][0] for i in kept)
 
 
+#: A URL that begins with its host.
+BARE = r"^(?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,}(?::[0-9]+)?/|^www\.[^/?#]+"
 _SEPARATORS = "\x01\x02\x03"
 
 
@@ -310,8 +327,9 @@ def neighbours(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of each row.
 
-    Null, empty and blank pages, and pages without main text, have an empty text. Pages without a URL, and those alone on
-    their host, have no neighbour: all their undecided lines stay. Repeated rows are each extracted; exact copies on a host have one
+    Null, empty and blank pages, and pages without main text, have an empty text. Pages without a URL or with a relative one, and those alone on
+    their host, have no neighbour: all their undecided lines stay. So do those of pages whose nearest is a view of the same story, but for
+    lines that other pages of the host show to be template. A host is what stands behind `//`, or before the first slash of a URL without either if it ends like a domain. Repeated rows are each extracted; exact copies on a host have one
     text. Ties in nearness go to the page before. The text doesn't depend on how pages are dealt out. What is
     sorted and compared are 64-bit hashes of lines; what may be text of a page moves once, compressed, to meet what is to be
     deleted from it; of very many copies of one page Spark splits the join. Joins are by merging at every size. An empty table
@@ -320,24 +338,29 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     spark = pages.sparkSession
     bounded_batches(spark)
     u = F.coalesce(F.col(f"`{url}`").cast("string"), F.lit(""))
-    host = F.lower(F.regexp_extract(u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-    path = F.translate(F.regexp_extract(u, r"^[^:/?#]*://[^/?#]*([^#]*)", 1), "/?&", _SEPARATORS)
+    full = F.when(u.rlike(BARE), F.concat(F.lit("//"), u)).otherwise(u)
+    host = F.lower(F.regexp_extract(full, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
+    path = F.translate(F.regexp_extract(full, r"^(?:[^:/?#]*:)?//[^/?#]*([^#]*)", 1), "/?&", _SEPARATORS)
     page = F.coalesce(F.col(f"`{html}`").cast("string"), F.lit(""))
     narrow = needs(pages, key, url, html).select(host.alias("host"), path.alias("path"), F.md5(page).alias("mark"), F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), page.alias("html"))
     kinds = {f.name: f.dataType.simpleString() for f in narrow.schema}
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.array([xxhash.xxh3_64_intdigest(t) for t, _ in lines(p.as_py())], dtype="<u8").tobytes() for p in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.binary())], names=["host", "url", "mark", "lines"])
+            own = [lines(p.as_py()) for p in batch.column(3)]
+            marks = [np.array([xxhash.xxh3_64_intdigest(t) for t, _ in x], dtype="<u8").tobytes() for x in own]
+            sizes = [np.array([len(t) if state == PLAIN else 0 for t, state in x], dtype="<i4").tobytes() for x in own]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(marks, pa.binary()), pa.array(sizes, pa.binary())], names=["host", "url", "mark", "lines", "sizes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for rows in zip(*batch.columns[2:], strict=True):
-                own, *others = (None if r.as_py() is None else np.frombuffer(r.as_py(), dtype="<u8").tolist() for r in rows)
-                out.append([np.array(sorted(shared(own, x)), dtype="<i4").tobytes() for x in others if x is not None])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.list_(pa.binary()))], names=["host", "mark", "common"])
+            for own, sizes, near in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                marks, sizes = np.frombuffer(own, dtype="<u8"), np.frombuffer(sizes, dtype="<i4").tolist()
+                common = sorted(i for i in shared(marks.tolist(), np.frombuffer(near, dtype="<u8").tolist()) if sizes[i]) if near is not None else []
+                out.append((common, marks.view(np.int64)[common].tolist(), alike(sizes, common)))
+            columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.list_(pa.int32()), pa.list_(pa.int64()), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["host", "mark", "places", "marks", "alike"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(3).compress
@@ -351,21 +374,25 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             texts = []
-            for states, text, common in zip(*batch.columns[2:], strict=True):
+            for states, text, deleted in zip(*batch.columns[2:], strict=True):
                 own = list(zip(unpack(text.as_py()).decode().split("\n"), states.as_py(), strict=False))
-                texts.append(main_text(own, [set(np.frombuffer(c, dtype="<i4").tolist()) for c in common.as_py() or []]))
+                texts.append(main_text(own, set(deleted.as_py() or ())))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["key", "url", "text"])
 
-    seen = narrow.where("host != ''").select("host", "path", "mark", "html").mapInArrow(hashed, "host string, url string, mark string, lines binary")
-    seen = written(seen.groupBy("host", "mark").agg(F.min("url").alias("url"), F.min("lines").alias("lines")), "lines")
-    own = seen.select("host", "mark", "lines")
-    found = neighbours(seen).join(own.hint("merge"), ["host", "mark"])
-    for side in ("near", "other"):
-        found = found.join(own.select("host", F.col("mark").alias(side), F.col("lines").alias(f"{side}_lines")).hint("merge"), ["host", side], "left")
-    found = written(found.select("host", "mark", "lines", "near_lines", "other_lines").mapInArrow(compare, "host string, mark string, common array<binary>"), "shared")
+    seen = narrow.where("host != ''").select("host", "path", "mark", "html").mapInArrow(hashed, "host string, url string, mark string, lines binary, sizes binary")
+    seen = written(seen.groupBy("host", "mark").agg(F.min("url").alias("url"), F.min("lines").alias("lines"), F.min("sizes").alias("sizes")), "lines")
+    own = seen.select("host", "mark", "lines", "sizes")
+    found = neighbours(seen).select("host", "mark", "near").join(own.hint("merge"), ["host", "mark"])
+    found = found.join(own.select("host", F.col("mark").alias("near"), F.col("lines").alias("near_lines")).hint("merge"), ["host", "near"], "left")
+    found = written(found.select("host", "mark", "lines", "sizes", "near_lines").mapInArrow(compare, "host string, mark string, places array<int>, marks array<long>, alike boolean"), "shared")
+    # lines that differing pages share; of pages that nearly are their neighbour's copy only these go
+    template = found.where("not alike").select("host", F.explode("marks").alias("line")).distinct()
+    asked = found.where("alike").select("host", "mark", F.inline(F.arrays_zip(F.col("places").alias("place"), F.col("marks").alias("line"))))
+    shown = asked.join(template.hint("merge"), ["host", "line"]).groupBy("host", "mark").agg(F.collect_list("place").alias("places"))
+    deleted = found.where("not alike and size(places) > 0").select("host", "mark", "places").unionByName(shown)
     kinds = f"key {kinds['key']}, url {kinds['url']}"
     moved = narrow.select("host", "mark", "key", "url", "html").mapInArrow(packed, f"host string, mark string, {kinds}, states binary, texts binary")
-    done = moved.join(found.hint("merge"), ["host", "mark"], "left").select("key", "url", "states", "texts", "common").mapInArrow(finish, f"{kinds}, text string")
+    done = moved.join(deleted.hint("merge"), ["host", "mark"], "left").select("key", "url", "states", "texts", "places").mapInArrow(finish, f"{kinds}, text string")
     return done.select(F.col("key").alias(key), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 

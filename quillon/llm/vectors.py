@@ -26,8 +26,13 @@ def usable(values: list | None) -> np.ndarray | None:
     return v if np.isfinite(v).all() and v.any() else None
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """v times the power of two that brings its largest component near one: squares of very small and very large components keep their value, and cosines stay the same to the bit."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max())[1])
+
+
 def read(df: DataFrame, key: str, vector: str, *more: str) -> DataFrame:
-    """(id, more..., dim, same, vec) of each row: vec holds the components as doubles, same is a digest of them; null if unusable."""
+    """(id, more..., dim, same, vec) of each row: same is a digest of the components as doubles, vec holds them scaled; null if unusable."""
     bounded_batches(df.sparkSession)
     names = [f"m{i}" for i in range(len(more))]
     narrow = needs(df, key, vector, *more).select(F.col(f"`{key}`").cast("long").alias("id"), *[F.col(f"`{m}`").alias(n) for m, n in zip(more, names, strict=True)], F.col(f"`{vector}`").cast("array<double>").alias("vec"))
@@ -38,6 +43,7 @@ def read(df: DataFrame, key: str, vector: str, *more: str) -> DataFrame:
             raw = [None if v is None else (v + 0.0).tobytes() for v in got]
             same = [None if v is None else hashlib.blake2b(v, digest_size=16).digest() for v in raw]
             dims = [None if v is None else len(v) for v in got]
+            raw = [None if v is None else scaled(v + 0.0).tobytes() for v in got]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(dims, pa.int32()), pa.array(same, pa.binary()), pa.array(raw, pa.binary())], names=["id", *names, "dim", "same", "vec"])
 
     kinds = "".join(f", {n} {narrow.schema[n].dataType.simpleString()}" for n in names)

@@ -392,3 +392,22 @@ def test_mix_stage_keeps_a_small_source_near_its_target(spark, data, small, othe
     target = (sum(sizes) + other) * (1 if small == "a" else 2) / 3
     assert abs(words - target) <= 400, (words, target)  # half a document and a block
     assert got.select("doc_id").distinct().count() >= (20 if small == "a" else 70)
+
+
+def test_components_of_any_size(spark):
+    """Vectors whose squares vanish or overflow link and are found as their scaled ones would be."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((6, 8))
+    data = [(10 * k + j, (base[k] * f).tolist(), 1) for k in range(6) for j, f in enumerate((1.0, 1e-200, 1e200, -1e-300))] + [(100, [1e-200, 1e-200] + [0.0] * 6, 1), (101, [5e-324, 5e-324] + [0.0] * 6, 1), (102, [1e308, 1e308] + [0.0] * 6, 1)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(df).collect()}
+    unit = np.array([np.array(v) / np.abs(v).max() for _, v, _ in data])
+    linked = cosines(unit.tolist()) >= 0.98
+    np.fill_diagonal(linked, False)
+    ids = [i for i, _, _ in data]
+    want = union_find(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(linked), strict=True)])
+    assert got == {i: (int(n), want[i]) for i, n in zip(ids, linked.sum(axis=1), strict=True)}
+    near = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 0).collect():
+        near.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert {near[100][1][0], near[100][2][0]} == {101, 102} and all(abs(near[100][k][1] - 1) < 1e-12 for k in (1, 2))

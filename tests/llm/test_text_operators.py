@@ -459,31 +459,49 @@ def test_html_neighbour_is_found_whatever_the_dealing(spark):
     ('<div class="post-content comments-open"><article><p>x <math><mi>y</mi></math></p><h2 id="related-work">R</h2><section id="discussion">D</section><div class="comment-list">c</div></article></div>', "x y R D"),
     ('<article><p>teaser</p></article><div id="story"><p>the story is told at length in a plain part of the page</p></div>', "teaser the story is told at length in a plain part of the page"),
     ('<div class="entry-footer">f</div><div class="main sidebar-left">kept</div><div class="sidebar-left">s</div><div class="social-studies">kept too</div><div id="comments">c</div>', "kept kept too"),
+    ("<article><p>a</p>" + "".join(f'<div class="{c}">gone</div>' for c in ("fb-comments", "js-comments", "responses", "google-ad", "dfp-ad-slot", "taboola", "paywall-notice", "newsletter-cta", "warning")) + "<p>b</p></article>", "a b"),
+    ('<article><p>a</p><form class="contact"><p>Name <input></p><p>Mail <input type=email></p><p>Text <textarea></textarea></p></form><div class="ad-free reading">b</div><div class="notice-period">c</div></article>', "a b c"),
     ("<p>" + "long " * 100_000 + "</p>", ("long " * 100_000).strip()),
 ])
 def test_html_names(page, text):
     assert html_extract.main_text(html_extract.lines(page), []) == text
 
 
+def test_html_hosts_without_scheme(spark):
+    rows = [(i, url, f"<div>Site Home</div><p>{word} is told here</p><div>Copyright</div>") for i, (url, word) in enumerate([("//y.org/a", "one"), ("//y.org/b", "two"), ("www.z.org/a", "three"), ("www.z.org/b", "four"), ("/a", "five"), ("/b", "six"), ("page.html", "seven")])]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == [f"{w} is told here" for w in ("one", "two", "three", "four")]
+    assert [got[i] for i in range(4, 7)] == [f"Site Home {w} is told here Copyright" for w in ("five", "six", "seven")]
+
+
 def brute_pages(pages):
     """Text of each (page_id, url, html) by pairing on a sorted list of all pages of a host."""
-    hosts, out = {}, {}
+    hosts, out, template, pairs = {}, {}, {}, {}
     for _, url, page in pages:
         m = re.match(r"[a-z]+://([^/?#]*)([^#]*)", url or "")
         if m:
             hosts.setdefault(m[1].lower(), {}).setdefault(page or "", []).append(m[2])
     for host in hosts:
         hosts[host] = sorted((min(re.sub("[/?&]", lambda x: {"/": "\x01", "?": "\x02", "&": "\x03"}[x[0]], p) for p in paths), hashlib.md5(page.encode()).hexdigest(), page) for page, paths in hosts[host].items())
+    for host, order in hosts.items():
+        for i, (path, _, page) in enumerate(order):
+            near = [order[j] for j in (i - 1, i + 1) if 0 <= j < len(order)]
+            near.sort(key=lambda x: [-v for v in html_extract.nearness(path, x[0])])
+            assert not near or html_extract.nearness(path, near[0][0]) == max(html_extract.nearness(path, x[0]) for j, x in enumerate(order) if j != i)
+            own = html_extract.lines(page)
+            both = html_extract.shared([t for t, _ in own], [t for t, _ in html_extract.lines(near[0][2])]) if near else set()
+            both = {k for k in both if own[k][1] == html_extract.PLAIN}
+            whole = sum(len(t) for t, s in own if s == html_extract.PLAIN)
+            copy = bool(whole) and sum(len(own[k][0]) for k in both) >= 0.9 * whole
+            pairs[host, page] = both, copy
+            if not copy:
+                template.setdefault(host, set()).update(own[k][0] for k in both)
     for key, url, page in pages:
-        own, near = html_extract.lines(page or ""), []
+        own, deleted = html_extract.lines(page or ""), set()
         if m := re.match(r"[a-z]+://([^/?#]*)", url or ""):
-            order = hosts[m[1].lower()]
-            i = next(i for i, x in enumerate(order) if x[2] == (page or ""))
-            near = [order[j] for j in (i - 1, i + 1) if 0 <= j < len(order)]
-            near.sort(key=lambda x: [-v for v in html_extract.nearness(order[i][0], x[0])])
-            assert not near or html_extract.nearness(order[i][0], near[0][0]) == max(html_extract.nearness(order[i][0], x[0]) for j, x in enumerate(order) if j != i)
-        text = [t for t, _ in own]
-        out.setdefault(key, []).append(html_extract.main_text(own, [html_extract.shared(text, [t for t, _ in html_extract.lines(x[2])]) for x in near]))
+            both, copy = pairs[m[1].lower(), page or ""]
+            deleted = {k for k in both if not copy or own[k][0] in template.get(m[1].lower(), ())}
+        out.setdefault(key, []).append(html_extract.main_text(own, deleted))
     return out
 
 
@@ -497,6 +515,10 @@ def bare_pages(data):
         out.append((r["page_id"], r["url"], page))
     site = "<body><div>Shop</div><p>{}</p><p>{}</p><div>Terms of sale</div>"
     out += [(1000 + i, f"http://q.example/view?id={i}&lang=x", site.format(f"thing {i}", rng.choice(["red", "blue"]) + f" {i}")) for i in range(300)]
+    story = "".join(f"<p>Sentence {k} of the story is told here.</p>" for k in range(10))
+    out += [(3000 + i, f"http://s.example/a{view}", f"<body><div>The paper</div>{story}<p>{line}</p>") for i, (view, line) in enumerate([("", "read 1"), ("?print=1", "printed 10:00"), ("?utm=2", "read 2")])]
+    out += [(3010 + i, f"http://s.example/b/{i}", f"<body><div>The paper</div><p>Something else, number {i}, and quite long.</p>") for i in range(2)]
+    out += [(3020 + i, f"http://t.example/a{view}", f"<body><div>The paper</div>{story}<p>{line}</p>") for i, (view, line) in enumerate([("", "read 1"), ("?print=1", "printed 10:00")])]
     return out + [(2000 + i, f"http://c.example/a?utm={i}", site.format("one", "two")) for i in range(5)] + [(2010, "http://c.example/b", site.format("three", "four")), (2011, None, "<p>no url</p>"), (2012, "http://alone.example/", "<p>alone</p>")]
 
 
@@ -505,6 +527,9 @@ def test_html_differencing_by_brute_force(spark, bare_pages):
     want = brute_pages(bare_pages)
     assert all(want[1000 + i] == [f"thing {i} {c} {i}"] for i in range(300) for c in [want[1000 + i][0].split()[2]])
     assert all(want[2000 + i] == ["one two"] for i in range(5)) and want[2010] == ["three four"]
+    told = " ".join(f"Sentence {k} of the story is told here." for k in range(10))
+    assert [want[3000 + i] for i in range(3)] == [[f"{told} {x}"] for x in ("read 1", "printed 10:00", "read 2")] and want[3010] == ["Something else, number 0, and quite long."]
+    assert [want[3020 + i] for i in range(2)] == [[f"The paper {told} {x}"] for x in ("read 1", "printed 10:00")]
     df = spark.createDataFrame(bare_pages, "page_id long, url string, html string")
     for n in (1, 7, 211):
         spark.conf.set("spark.sql.shuffle.partitions", str(n))
