@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from quillon.functions.text import catalogue_key, client_family, is_variant
 from quillon.operators.saved import saved
@@ -41,38 +36,54 @@ def leaves(value: Column, kind, path: str = "") -> list[tuple[str, Column]]:
     return [leaf for f in kind.fields for leaf in leaves(value[f.name], f.dataType, f"{path}.{f.name}" if path else f.name)]
 
 
-_ABSENT = object()
+def _number(v: Column) -> Column:
+    """A variant's number, null for anything else."""
+    return F.when(F.schema_of_variant(v).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double"))
 
 
-def _changes(old: object, new: object, path: str) -> Iterator[tuple[str, str | None, str | None]]:
-    """(path, old, new) as JSON wherever two JSON values differ: objects by the union of their keys, arrays by place."""
-    if isinstance(old, dict) and isinstance(new, dict):
-        steps = [(f"{path}.{k}" if path else k, old.get(k, _ABSENT), new.get(k, _ABSENT)) for k in {**old, **new}]
-    elif isinstance(old, list) and isinstance(new, list):
-        longest = max(len(old), len(new))
-        steps = [(f"{path}[{i}]", *(v[i] if i < len(v) else _ABSENT for v in (old, new))) for i in range(longest)]
-    else:
-        if isinstance(old, bool) is not isinstance(new, bool) or old != new or (old is None) is not (new is None):
-            yield path, *(None if v is _ABSENT else json.dumps(v, ensure_ascii=False, separators=(",", ":")) for v in (old, new))
-        return
-    for at, a, b in steps:
-        yield from _changes(a, b, at)
+def _unlike(a: Column, b: Column) -> Column:
+    """Whether two variants differ; one that isn't there equals only another that isn't."""
+    same = F.to_json(a).eqNullSafe(F.to_json(b)) | F.coalesce(_number(a) == _number(b), F.lit(False))
+    return ~same
 
 
-@pandas_udf(ArrayType(StructType([StructField("path", StringType()), StructField("old", StringType()), StructField("new", StringType())])))
-def json_changes(old: pd.Series, new: pd.Series) -> pd.Series:
-    """Every place at which two JSON texts differ; a value that isn't there is null, a null one is the text null."""
-    return pd.Series([[{"path": p, "old": a, "new": b} for p, a, b in _changes(json.loads(x), json.loads(y), "")] for x, y in zip(old, new, strict=True)])
+def _children(a: Column, b: Column) -> Column:
+    """(step, a, b) of the parts of two objects by the union of their keys, or of two arrays by place; null for other pairs."""
+    maps = [F.try_variant_get(v, "$", "map<string,variant>") for v in (a, b)]
+    lists = [F.try_variant_get(v, "$", "array<variant>") for v in (a, b)]
+    part = lambda step, x, y: F.struct(step.alias("step"), x.alias("a"), y.alias("b"))
+    keyed = F.transform(F.array_union(F.map_keys(maps[0]), F.map_keys(maps[1])), lambda k: part(F.concat(F.lit("."), k), F.try_element_at(maps[0], k), F.try_element_at(maps[1], k)))
+    longest = F.greatest(F.size(lists[0]), F.size(lists[1]))
+    placed = F.transform(F.filter(F.sequence(F.lit(0), longest), lambda i: i < longest), lambda i: part(F.concat(F.lit("["), i.cast("string"), F.lit("]")), F.get(lists[0], i), F.get(lists[1], i)))
+    return F.when(maps[0].isNotNull() & maps[1].isNotNull(), keyed).when(lists[0].isNotNull() & lists[1].isNotNull(), placed)
+
+
+def json_diff(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
+    """(key, path, old, new) of every place at which two JSON texts differ, as JSON; what isn't there is null, a null one the text null.
+
+    Objects are compared by the union of their keys, arrays by place, numbers by value. Level by level, parts that differ are taken apart; equal ones go at once.
+    All of it is expressions over variants within a row: no join, and no text leaves the JVM. A text that can't be parsed is as if not there.
+    """
+    todo = pairs.select(F.col(key).alias("_key"), F.lit("").alias("path"), F.try_parse_json(old).alias("a"), F.try_parse_json(new).alias("b")).where(_unlike(F.col("a"), F.col("b")))
+    out = None
+    while True:
+        opened = saved(todo.withColumn("_parts", _children(F.col("a"), F.col("b"))), "level")
+        leaf = opened.where("_parts is null").select(F.col("_key").alias(key), "path", F.to_json("a").alias("old"), F.to_json("b").alias("new"))
+        out = leaf if out is None else out.unionByName(leaf)
+        deeper = opened.where("_parts is not null")
+        if deeper.isEmpty():
+            return out
+        todo = deeper.select("_key", "path", F.inline("_parts")).where(_unlike(F.col("a"), F.col("b"))).select("_key", F.when(F.col("path") == "", F.regexp_replace("step", r"^\.", "")).otherwise(F.concat("path", "step")).alias("path"), "a", "b")
 
 
 def nested_diff(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, path, old, new) of each leaf that differs between two snapshots' nested records.
 
-    One join; only records that differ as a whole leave the JVM. Values are JSON; added and removed records are snapshot_diff()'s.
+    One join; only records that differ as a whole are taken apart. Values are JSON; added and removed records are snapshot_diff()'s.
     """
     a = before.select(key, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("_a"))
     b = after.select(key, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("_b"))
-    return a.join(b, key).where("_a <> _b").select(key, F.inline(json_changes("_a", "_b")))
+    return json_diff(a.join(b, key).where("_a <> _b"), key, "_a", "_b")
 
 
 def same_set(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

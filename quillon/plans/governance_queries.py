@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillon.operators import concepts as C
 from quillon.operators import provenance as V
+from quillon.operators import seals as E
+from quillon.operators.saved import saved
 from quillon.operators import validate as W
 from quillon.plans.registry import Tables, query
 
@@ -238,3 +240,34 @@ def q_publication_problems(t: Tables) -> DataFrame:
     part = t.part.select("p_partkey", "p_size")
     pairs = [("parts", part, part.repartition(2)), ("parts with another size", part, part.withColumn("p_size", F.col("p_size") + 1))]
     return W.publication_problems(pairs, [("nations", t.nation, 25), ("regions", t.region, 7)])
+
+
+def order_evidence(t: Tables) -> DataFrame:
+    """Orders as evidence of what their customers' reviews decide."""
+    return t.orders.select(F.format_string("O%d", "o_orderkey").alias("evidence_id"), F.col("o_custkey").cast("string").alias("review"), F.col("o_orderpriority").alias("source_id"), F.col("o_orderstatus").alias("value"))
+
+
+SEALED = ("evidence_id", "source_id", "value")
+
+
+@query("SELECT o_custkey::VARCHAR AS review, CASE WHEN o_custkey % 50 = 7 THEN 'missing' ELSE 'changed' END AS problem FROM orders WHERE o_custkey % 50 = 7 OR (o_orderkey % 97 = 0 AND o_orderstatus <> 'X') GROUP BY ALL")
+def q_sealed_differences(t: Tables) -> DataFrame:
+    """Which reviews no longer have the evidence that was sealed: some lost all of it, in others a value changed."""
+    rows = order_evidence(t)
+    now = rows.where(F.col("review").cast("long") % 50 != 7).withColumn("value", F.when(F.substring("evidence_id", 2, 20).cast("long") % 97 == 0, "X").otherwise(F.col("value")))
+    return E.differences(E.tree(rows, "review", SEALED), now, "review", SEALED)
+
+
+@query("""WITH r AS (SELECT review, row_number() OVER (ORDER BY review) - 1 AS node, review::BIGINT % 10 = 3 AS moved FROM (SELECT DISTINCT o_custkey::VARCHAR AS review FROM orders)),
+levels AS (SELECT l AS level FROM range(0, 9) t(l) WHERE l <= (SELECT ceil(ln(count(*)) / ln(16)) FROM r))
+SELECT level::INT AS level, count(DISTINCT node // (16 ** level)::BIGINT) AS nodes, count(DISTINCT node // (16 ** level)::BIGINT) FILTER (moved) AS renewed, true AS as_anew FROM r, levels GROUP BY level""")
+def q_resealed(t: Tables) -> DataFrame:
+    """Overrides leave evidence and a source, and only the paths of their reviews are hashed again: nodes of each level, those renewed, and whether all are as if sealed anew."""
+    rows, manifest = order_evidence(t), t.orders.select(F.col("o_orderpriority").alias("source_id"), F.lit("B").alias("tier")).distinct()
+    nodes = saved(E.tree(rows, "review", SEALED), "tree")
+    reviews = rows.select("review").distinct().where(F.col("review").cast("long") % 10 == 3)
+    more, sources = E.override_evidence(rows, manifest, reviews.withColumn("value", F.lit("F")), "review", F.col("review"), {"source_id": "manual", "tier": "E"})
+    again = saved(E.resealed(nodes, more.join(reviews, "review", "left_semi"), "review", SEALED), "tree")
+    anew = E.tree(more, "review", SEALED)
+    both = again.join(nodes.select("level", "node", F.col("digest").alias("old")), ["level", "node"]).join(anew.select("level", "node", F.col("digest").alias("anew")), ["level", "node"], "full_outer")
+    return both.groupBy("level").agg(F.count("*").alias("nodes"), F.count_if(F.col("digest") != F.col("old")).alias("renewed"), F.coalesce(F.min(F.col("digest") == F.col("anew")), F.lit(False)).alias("as_anew"))
