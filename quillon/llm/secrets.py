@@ -4,7 +4,7 @@ The field tags the words of a text as secret begin, inside or outside. A word's
 (length, shares of digits and capitals, whether it is all hexadecimal), what it is made like (an address, a path, a
 number, a name in parts), how often it changes between kinds of characters, how its vowels and consonants are spread,
 the shapes of its neighbours, which of the three words before it name a secret or lead to a value, and how much
-the whole file looks like code or configuration. Weights are fitted by gradient steps on the likelihood; texts are
+the whole file looks like code or configuration. Weights are fitted by quasi-Newton steps on the likelihood; texts are
 decoded by Viterbi over all their words. A text in which no word can gain by any tag but outside, even
 with the best transitions on both sides, is all outside; the others are decoded step by step.
 
@@ -16,6 +16,7 @@ none, have been put at any place. Features are those of the whole text.
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +31,8 @@ from quillon.llm.common import bounded_batches, needs, table
 
 SAMPLE_DOCS = 1200
 WINDOW = 24
-STEPS = 120
+#: Quasi-Newton steps at most, and the penalty on squared weights.
+STEPS, PENALTY = 60, 4e-5
 
 #: The patterns of the base spans, in the order in which kinds are listed, and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -79,11 +81,15 @@ _CHANGE[65:91] = 1
 _CHANGE[97:123] = 2
 _CHANGE[_SIGN] = 3
 _KEYWORD = re.compile(rb"passw|passphrase|passcode|secret|token|api[_-]?key|access[_-]?key|credential|auth|private|\bpin\b|\bpwd\b", re.IGNORECASE)
+#: Where data or a digest of a file is written out in a page, and no secret.
+_DATA = re.compile(rb"(?<![^\x20\x09-\x0D\"'(=])(?:url\([\"']?)?(?:data:[a-z]+/|sha(?:1|224|256|384|512)[-:])")
+#: A password within an address.
+_LOGIN = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^/\x20\x09-\x0D:@]*:([^@/\x20\x09-\x0D]+)@")
 _LINKS = frozenset([b"is", b"was", b"are", b"to", b"as", b"=", b":", b":=", b"=>", b"->", b"=="])
 
 _LENGTHS = np.array([4, 8, 12, 16, 20, 32, 48])
 _SIZES = np.array([8, 12, 24])
-N_SHAPES, N_COARSE, N_CONTEXT, N_FILES, N_MAKES, N_CHANGES, N_SOUNDS = 8 * 4 * 3 * 2, 16, 2 * 27, 4, 11 * 4, 7 * 4, 6 * 2 * 4
+N_SHAPES, N_COARSE, N_CONTEXT, N_FILES, N_MAKES, N_CHANGES, N_SOUNDS = 8 * 4 * 3 * 2, 16, 2 * 27, 4, 15 * 4, 7 * 4, 6 * 2 * 4
 #: Where each kind of feature starts among all weights.
 _AT = np.cumsum([0, N_SHAPES, N_COARSE, N_COARSE, N_CONTEXT, N_FILES, N_MAKES, N_CHANGES, N_SOUNDS])
 N_FEATURES = int(_AT[-1])
@@ -141,7 +147,11 @@ def words_of(texts: list[bytes]) -> Words:
     coarse = np.minimum(length // 8, 3) * 4 + (digits > 0) * 2 + (assign > 0)
     size = np.searchsorted(_SIZES, length, side="right")
     uuid = (dash == 4) & (others <= signs) & (letters > 27) & (letters < 37)
-    make = np.select([scheme | (slash > 0) & (dot > 0), (mail == 1) & (dot > 0), uuid, digits + signs == length, slash > 0, under > 0, dash > 0, (digits == 0) & (signs == 0), (digits == 0) & (upper <= 1), (digits > 0) & (signs == 0)], range(1, 11), 0)
+    data_word = np.zeros(n, dtype=bool)
+    data_word[np.searchsorted(start, np.array([m.start() for m in _DATA.finditer(data.tobytes())], dtype=np.int64), side="right") - 1] = True
+    groups = (colon + dash > 4) & (others <= signs)
+    numbered = (digits > 0) & (digits < 3) & (signs == 0) & (kind[end - 1] == 0)
+    make = np.select([data_word, scheme & (mail == 1) & (colon > 1), groups, scheme | (slash > 0) & (dot > 0), (mail == 1) & (dot > 0), uuid, digits + signs == length, slash > 0, under > 0, dash > 0, (digits == 0) & (signs == 0), (digits == 0) & (upper <= 1), numbered, (digits > 0) & (signs == 0)], [11, 12, 13, *range(1, 10), 14, 10], 0)
     change = np.searchsorted([1, 8, 16, 28, 40, 55], 100 * changes // np.maximum(length, 1), side="right")
     alphas = lower + upper
     sound = np.where(alphas < 4, 5, np.searchsorted([14, 24, 33, 52], 100 * vowels // np.maximum(alphas, 1), side="right"))
@@ -211,14 +221,16 @@ class Field:
         return out[::-1]
 
 
-def marginals(e: np.ndarray, moves: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of tags (sequences, words, 3) and of pairs of neighbours (sequences, words - 1, 3, 3), by scaled forward and backward passes."""
+def marginals(e: np.ndarray, moves: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Probabilities of tags (sequences, words, 3) and of pairs of neighbours (sequences, words - 1, 3, 3), and the sum of log partition functions, by scaled forward and backward passes."""
     n, length = used.shape
-    own, move = np.exp(e - e.max(axis=2, keepdims=True)), np.exp(moves)
+    top = e.max(axis=2, keepdims=True)
+    own, move = np.exp(e - top), np.exp(moves)
     forward, backward = np.empty((n, length, 3)), np.ones((n, length, 3))
     scale = np.ones((n, length))
     first = own[:, 0] * np.array([1.0, 1.0, 0.0])
-    forward[:, 0] = first / first.sum(axis=1, keepdims=True)
+    scale[:, 0] = first.sum(axis=1)
+    forward[:, 0] = first / scale[:, 0, None]
     for i in range(1, length):
         new = forward[:, i - 1] @ move * own[:, i]
         scale[:, i] = np.where(used[:, i], new.sum(axis=1), 1.0)
@@ -227,40 +239,87 @@ def marginals(e: np.ndarray, moves: np.ndarray, used: np.ndarray) -> tuple[np.nd
         new = (own[:, i + 1] * backward[:, i + 1]) @ move.T / scale[:, i + 1, None]
         backward[:, i] = np.where(used[:, i + 1, None], new, 1.0)
     pairs = forward[:, :-1, :, None] * move * (own * backward)[:, 1:, None, :] / scale[:, 1:, None, None]
-    return forward * backward, pairs
-
-
-def fit(ids: np.ndarray, tags: np.ndarray, used: np.ndarray, steps: int = STEPS) -> Field:
-    """Maximum likelihood with a small penalty. ids: (sequences, words, features); tags, used: (sequences, words)."""
+    return forward * backward, pairs, float((np.log(scale) + top[:, :, 0])[used].sum())
+
+
+def minimised(f, x: np.ndarray, steps: int, kept: int = 8, enough: float = 2e-4) -> np.ndarray:
+    """x near the minimum of a convex function that gives (value, gradient), by limited-memory quasi-Newton steps with halving; ends when a step gains less than `enough` of the value."""
+    value, g = f(x)
+    s_list, y_list = [], []
+    for _ in range(steps):
+        q, coefficients = g.copy(), []
+        for s, y in zip(reversed(s_list), reversed(y_list), strict=True):
+            a = (s @ q) / (y @ s)
+            coefficients.append(a)
+            q -= a * y
+        q *= (s_list[-1] @ y_list[-1]) / (y_list[-1] @ y_list[-1]) if s_list else 1.0 / max(1e-12, np.abs(g).max())
+        for s, y, a in zip(s_list, y_list, reversed(coefficients), strict=True):
+            q += (a - (y @ q) / (y @ s)) * s
+        step = 1.0
+        while True:
+            new_value, new_g = f(x - step * q)
+            if new_value <= value - 1e-4 * step * (g @ q) or step < 1e-6:
+                break
+            step /= 2
+        s, y = -step * q, new_g - g
+        gained, x, value, g = value - new_value, x + s, new_value, new_g
+        if y @ s > 1e-12:
+            s_list, y_list = [*s_list[-kept + 1 :], s], [*y_list[-kept + 1 :], y]
+        if gained < enough * max(abs(value), 1e-12):
+            break
+    return x
+
+
+def fit(ids: np.ndarray, tags: np.ndarray, used: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> Field:
+    """Maximum likelihood with a penalty on squared weights. ids: (sequences, words, features); tags, used: (sequences, words).
+
+    Words with the same features are scored once, and their expected tags summed before they are dealt to features.
+    """
     n, length = tags.shape
-    moves, barred = np.zeros((3, 3)), np.zeros((3, 3))
+    barred = np.zeros((3, 3))
     barred[OUT, IN] = _NEVER
-    weights = np.zeros((N_FEATURES, 3))
-    m = [np.zeros_like(weights), np.zeros_like(weights), np.zeros((3, 3)), np.zeros((3, 3))]
+    if not n:
+        return Field(np.zeros((N_FEATURES, 3)), barred)
+    at = np.flatnonzero(used.ravel())
+    own = ids.reshape(n * length, -1)[at]
+    code = np.zeros(len(at), dtype=np.int64)
+    for k, (a, b) in enumerate(zip(_AT[:-1], _AT[1:], strict=True)):
+        code = code * (b - a) + own[:, k] - a
+    _, first, which = np.unique(code, return_index=True, return_inverse=True)
+    kinds = own[first]
+    pair_used = used[:, 1:] & used[:, :-1]
+    total = max(1, len(at))
+
+    def counts(of: np.ndarray) -> np.ndarray:
+        """Sums of (word, tag) over features."""
+        each = np.stack([np.bincount(which, weights=of[:, t], minlength=len(kinds)) for t in range(3)], axis=1)
+        return np.stack([sum(np.bincount(kinds[:, k], weights=each[:, t], minlength=N_FEATURES) for k in range(kinds.shape[1])) for t in range(3)], axis=1)
+
     gold = np.zeros((n, length, 3))
     np.put_along_axis(gold, tags[:, :, None], 1.0, axis=2)
-    gold *= used[:, :, None]
-    pair_used = used[:, 1:] & used[:, :-1]
     gold_moves = np.einsum("nla,nlb->ab", gold[:, :-1] * pair_used[:, :, None], gold[:, 1:])
-    total = max(1, int(used.sum()))
-    flat = [ids[:, :, k].ravel() for k in range(ids.shape[2])]
-    for step in range(1, steps + 1 if n else 0):
-        e = sum(weights[at] for at in flat).reshape(n, length, 3)
-        expected, pairs = marginals(e, moves + barred, used)
-        difference = (gold - expected * used[:, :, None]).reshape(-1, 3)
-        gradient = np.stack([sum(np.bincount(at, weights=difference[:, tag], minlength=N_FEATURES) for at in flat) for tag in range(3)], axis=1) / total - 2e-5 * weights
-        gradient_moves = (gold_moves - (pairs * pair_used[:, :, None, None]).sum(axis=(0, 1))) / total - 2e-5 * moves
-        for x, g, a, b in ((weights, gradient, m[0], m[1]), (moves, gradient_moves, m[2], m[3])):
-            a += 0.1 * (g - a)
-            b += 0.01 * (g * g - b)
-            x += 0.15 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-7)
-    return Field(weights, moves + barred)
+    gold_counts = counts(gold.reshape(-1, 3)[at])
+    split = N_FEATURES * 3
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        weights, moves = x[:split].reshape(-1, 3), x[split:].reshape(3, 3)
+        e = np.zeros((n * length, 3))
+        e[at] = weights[kinds].sum(axis=1)[which]
+        expected, pairs, partition = marginals(e.reshape(n, length, 3), moves + barred, used)
+        value = (partition - (gold_counts * weights).sum() - (gold_moves * moves).sum()) / total + penalty / 2 * float(x @ x)
+        gradient = np.concatenate([(counts(expected.reshape(-1, 3)[at]) - gold_counts).ravel(), ((pairs * pair_used[:, :, None, None]).sum(axis=(0, 1)) - gold_moves).ravel()]) / total + penalty * x
+        return value, gradient
+
+    x = minimised(loss, np.zeros(split + 9), steps)
+    return Field(x[:split].reshape(-1, 3), x[split:].reshape(3, 3) + barred)
 
 
 _SMALL, _CAPITAL, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _LETTERS = {"hex": _DIGITS + "abcdef", "upper": _CAPITAL + _DIGITS, "mixed": _SMALL + _CAPITAL + _DIGITS, "base64": _SMALL + _CAPITAL + _DIGITS + "+/", "small": _SMALL, "letters": _SMALL + _CAPITAL, "signs": _SMALL + _CAPITAL + _DIGITS + "!#$%&*+-?@^_~"}
 _NAMES = ("token", "secret", "password", "passphrase", "passwd", "pwd", "pin", "api_key", "apikey", "access_key", "auth", "credential", "credentials", "private_key")
 _PREFIXES = ("sk-", "key-", "tok_", "pat_", "live_")
+#: Words that names in programs are made of.
+_CODE = "get set is has find load save make read write user name list item items value values count index by id type from with key map data file path page order account session request response event handler service manager factory config option default current next configuration description notification repository subscription transaction permission attribute collection application".split()
 #: Words that follow a secret's name and are none.
 _AFTER = "required incorrect expired protected missing invalid wrong empty optional case-sensitive forgotten stored encrypted hashed changed reset below above here needed valid unknown long short strong weak shared given sent".split()
 
@@ -275,7 +334,13 @@ Tagged = list[tuple[str, int]]
 def _made_up(rng: np.random.Generator) -> Tagged:
     """Words of a made-up secret with its surroundings, and the tag of each."""
     kind = str(rng.choice(list(_LETTERS)))
-    form = int(rng.integers(0, 8))
+    form = int(rng.integers(0, 9))
+    if form == 8:  # a password within an address
+        login = _random(rng, _LETTERS[str(rng.choice(["small", "mixed"]))], 2, 12)
+        host = ".".join(_random(rng, _SMALL + _DIGITS, 2, 10) for _ in range(int(rng.integers(1, 4))))
+        return [(f"{rng.choice(['https', 'http', 'ftp', 'postgres', 'mysql', 'redis', 'amqp', 'mongodb+srv'])}://{login}:{_random(rng, _LETTERS[kind], 4, 24).replace('@', '')}x@{host}{rng.choice(['', ':5432', ':80'])}{rng.choice(['', '/', '/db', '/a/b?c=d'])}", BEGIN)]
+    if form > 5 and rng.random() < 0.3:
+        kind = "small"  # what people choose
     # without a name beside it only a long string of many kinds is a secret
     value = _random(rng, _LETTERS[kind if form else str(rng.choice(["mixed", "base64", "upper"]))], 8 if form else 28, 44 if form else 64)
     if form == 0 and rng.random() < 0.3:
@@ -303,16 +368,26 @@ def _harmless(rng: np.random.Generator, words: list[str]) -> Tagged:
     """Words that look like a secret, or stand where one might, and are none. words: those of the text, for names made of them."""
     plain = [w for w in words if w.isascii() and w.isalpha()][:400] or ["user", "value", "name", "list"]
     some = [str(w).lower() for w in rng.choice(plain, 6)]
-    form = int(rng.integers(0, 16))
-    if form <= 2:
+    form = int(rng.integers(0, 20))
+    if form == 18:
+        out = ":".join(_random(rng, _LETTERS["hex"], 1, 5) for _ in range(8)) if rng.random() < 0.5 else str(rng.choice([":", "-"])).join(_random(rng, _LETTERS["hex"], 2, 3) for _ in range(6))
+        out = out.upper() if rng.random() < 0.3 else out
+    elif form == 16:
+        out = f"data:{rng.choice(['image/png', 'image/jpeg', 'font/woff2', 'text/css', 'application/json'])};base64,{_random(rng, _LETTERS['base64'], 20, 120)}{rng.choice(['', '=', '=='])}"
+        out = str(rng.choice(["{}", "url({})", 'src="{}"', '"{}"'])).format(out)
+    elif form == 17:
+        out = f"{rng.choice(['sha256', 'sha384', 'sha512', 'sha1'])}{rng.choice(['-', ':'])}{_random(rng, _LETTERS['base64'], 27, 88)}{rng.choice(['', '=', '=='])}"
+        out = str(rng.choice(["{}", 'integrity="{}"', '"{}"', "{},"])).format(out)
+    elif form <= 2:
         path = "/".join(_random(rng, _LETTERS[str(rng.choice(["hex", "mixed", "small"]))], 3, 40) if rng.random() < 0.6 else str(rng.choice(some)) for _ in range(int(rng.integers(1, 6))))
         out = f"{rng.choice(['https', 'http'])}://{rng.choice(['cdn', 'www', 'static', 'img', some[0]])}.{some[1]}.{rng.choice(['com', 'org', 'net', 'io'])}/{path}{rng.choice(['', '.js', '.png', '.html', '?v=' + _random(rng, _DIGITS, 1, 12), '?id=' + _random(rng, _LETTERS['mixed'], 4, 20)])}"
     elif form <= 4:
         h = _random(rng, _LETTERS["hex"], 32, 33)
         out = "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))
         out = out.upper() if rng.random() < 0.3 else out
-    elif form <= 6:
-        out = some[0] + "".join(w.capitalize() for w in some[1 : int(rng.integers(2, 7))]) + str(rng.choice(["", "", "V2", "2", "Id", "URL", "64"]))
+    elif form <= 6 or form > 18:
+        some = [str(w) for w in rng.choice(_CODE, 8)] if rng.random() < 0.5 else some
+        out = some[0] + "".join(w.capitalize() for w in some[1 : int(rng.integers(2, 9))]) + str(rng.choice(["", "", "V2", "2", "Id", "URL", "64"]))
     elif form == 7:
         out = str(rng.choice(["_", "-", "."])).join(some[: int(rng.integers(2, 6))]) + str(rng.choice(["", "()", "_2", ".py", ".txt"]))
         out = out.upper() if rng.random() < 0.3 else out
@@ -362,7 +437,7 @@ def training(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.ndarray,
                     own[i], first = BEGIN if first else IN, False
         plain = [w[0] for w in words]
         copies: list[tuple[list[str], list[int], list[int]]] = [(plain, own, [int(rng.integers(0, len(plain))), *[i - int(rng.integers(2, WINDOW - 4)) for i, t in enumerate(own) if t == BEGIN][:8]])]
-        for make in (_made_up, _made_up, _harmless, _harmless, _harmless):
+        for make in (_made_up, _made_up, _made_up, _harmless, _harmless, _harmless, _harmless):
             new, at = _harmless(rng, plain) if make is _harmless else _made_up(rng), int(rng.integers(0, len(plain) + 1))
             if at < len(own) and own[at] == IN:
                 continue  # not into the middle of a secret
@@ -401,6 +476,10 @@ def field_spans(texts: list[str], field: Field) -> list[list[Span]]:
             a, b = int(words.start[lo + i]), int(words.end[lo + j - 1])
             start = len(raw[r][:a].decode())
             piece = raw[r][a:b].decode()
+            if k := _LOGIN.search(piece):
+                out[r].append(("field", start + k.start(1), start + k.end(1)))
+                i = j
+                continue
             if k := _KEY.match(piece):
                 start, piece = start + k.end(), piece[k.end() :]
             m = _TRIM.match(piece)
@@ -421,13 +500,30 @@ def spans_of(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Field:
-    """The field, from a sample of sample_docs rows in expectation by a hash of the key; the sample reaches the driver."""
+    """The field, from a sample of sample_docs rows in expectation by a hash of the key.
+
+    Windows are cut and their features made where the texts are; of a text the driver gets at most a dozen windows of two bytes a
+    feature, whatever its length. Each text's made-up things follow from the text, so they don't depend on how rows are dealt out.
+    """
+    bounded_batches(docs.sparkSession)
     narrow = needs(docs, key, text).select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     n = narrow.select("key").count()
     part = F.pmod(F.xxhash64("key"), F.lit(1_000_000))
-    rows = narrow.where((part < min(1.0, sample_docs / max(1, n)) * 1_000_000) & F.col("text").isNotNull()).collect()
-    texts = [r["text"] for r in sorted(rows, key=lambda r: (r["key"] or "", r["text"]))]
-    return fit(*training(texts or ["this is a plain line of text"] * 50))
+    chosen = narrow.where((part < min(1.0, sample_docs / max(1, n)) * 1_000_000) & F.col("text").isNotNull())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                ids, tags, used = training([t], zlib.crc32(t.encode("utf-8", "replace")))
+                if len(ids):
+                    columns = [a.astype(kind).reshape(len(a), -1) for a, kind in ((ids, "<u2"), (tags, "u1"), (used, "u1"))]
+                    yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in c], pa.binary()) for c in columns], names=["ids", "tags", "used"])
+
+    rows = sorted((bytes(r["ids"]), bytes(r["tags"]), bytes(r["used"])) for r in chosen.select("text").mapInArrow(cut, "ids binary, tags binary, used binary").collect())
+    if not rows:
+        return fit(*training(["this is a plain line of text"] * 50))
+    ids, tags, used = (np.frombuffer(b"".join(r[k] for r in rows), dtype=kind).reshape(len(rows), WINDOW, -1) for k, kind in enumerate(("<u2", "u1", "u1")))
+    return fit(ids.astype(np.int64), tags[:, :, 0].astype(np.int64), used[:, :, 0].astype(bool))
 
 
 def scan(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text") -> DataFrame:

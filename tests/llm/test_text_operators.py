@@ -316,6 +316,10 @@ HARMLESS = {
     "name in parts": lambda r: "_".join(r.choice(["max", "retry", "count", "user", "timeout", "value"]) for _ in range(4)),
     "path": lambda r: f"/usr/local/{_strings(r, string.ascii_lowercase, 6)}/lib/{_strings(r, string.ascii_lowercase, 8)}.so.1",
     "number": lambda r: _strings(r, string.digits, 14),
+    "data": lambda r: f"data:image/svg+xml;base64,{_strings(r, string.ascii_letters + string.digits + '+/', r.randrange(30, 300))}==",
+    "integrity": lambda r: f'integrity="sha512-{_strings(r, string.ascii_letters + string.digits + "+/", 86)}=="',
+    "address of six": lambda r: ":".join(f"{r.getrandbits(16):x}" for _ in range(8)),
+    "styled name": lambda r: f"{r.choice(['Button', 'Card', 'menu'])}__{r.choice(['root', 'title'])}--{_strings(r, string.ascii_letters, 5)}",
     "statement": lambda r: "the password is " + r.choice(["required", "incorrect", "mandatory", "visible", "obsolete", "displayed"]),
 }
 SECRET = {
@@ -324,6 +328,8 @@ SECRET = {
     "10 signs": lambda r: ("the password is ", _strings(r, string.ascii_letters + string.digits + "!#$%&*?@", 10)),
     "credential": lambda r: ("my credential is ", "'" + _strings(r, string.ascii_letters + string.digits, 27) + "'"),
     "auth": lambda r: ("auth ", _strings(r, string.ascii_uppercase + string.digits, 22)),
+    "in an address": lambda r: (f"{r.choice(['postgresql', 'rediss', 'smtp', 'https'])}://{r.choice(['admin', 'svc_app', 'u1'])}:", _strings(r, string.ascii_letters + string.digits, r.randrange(6, 20)) + f"@{_strings(r, string.ascii_lowercase, 7)}.example.org:6380/0"),
+    "three parts": lambda r: ("", ".".join(["eyJ" + _strings(r, string.ascii_letters + string.digits, 30), "eyJ" + _strings(r, string.ascii_letters + string.digits, 60), _strings(r, string.ascii_letters + string.digits + "-_", 43)])),
     "alone": lambda r: ("", _strings(r, string.ascii_letters + string.digits, 40)),
 }
 
@@ -364,7 +370,8 @@ def test_marginals_by_listing():
     e, moves = rng.normal(size=(2, 4, 3)), rng.normal(size=(3, 3))
     moves[0, 2] = -1e4
     used = np.array([[True] * 4, [True, True, True, False]])
-    tags, pairs = secrets.marginals(e, moves, used)
+    tags, pairs, partition = secrets.marginals(e, moves, used)
+    whole = 0.0
     for k, length in enumerate((4, 3)):
         want, both, z = np.zeros((length, 3)), np.zeros((length - 1, 3, 3)), 0.0
         for code in range(3**length):
@@ -378,6 +385,27 @@ def test_marginals_by_listing():
             for i, (a, b) in enumerate(zip(path, path[1:], strict=False)):
                 both[i, a, b] += w
         assert np.allclose(tags[k, :length], want / z) and np.allclose(pairs[k, : length - 1], both / z)
+        whole += np.log(z)
+    assert np.isclose(partition, whole)
+
+
+def test_quasi_newton_finds_the_minimum():
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(30, 12))
+    h, b = a.T @ a + 0.1 * np.eye(12), rng.normal(size=12)
+    x = secrets.minimised(lambda x: (x @ h @ x / 2 - b @ x + 50, h @ x - b), np.zeros(12), 200, enough=1e-14)
+    assert np.allclose(x, np.linalg.solve(h, b), atol=1e-4)
+
+
+def test_fit_matches_what_it_saw():
+    """At the maximum, the tags that the field expects come as often with each feature as they were seen."""
+    ids, tags, used = secrets.training(["some plain words and a few more of them here, token = abcdefgh12345 too"] * 30)
+    field = secrets.fit(ids, tags, used, steps=300, penalty=1e-5)
+    e = field.emissions(ids.reshape(-1, ids.shape[2])).reshape(*tags.shape, 3)
+    expected, _, _ = secrets.marginals(e, field.moves, used)
+    for tag in range(3):
+        assert abs(expected[:, :, tag][used].sum() - (tags[used] == tag).sum()) < 0.02 * used.sum()
+    assert np.mean([field.viterbi(e[i][used[i]]) == tags[i][used[i]].tolist() for i in range(len(tags))]) > 0.9
 
 
 def test_viterbi_is_exact(field):
