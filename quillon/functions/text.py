@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, StringType
 STABLE = r"\x00-\x7F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0400-\u0482\u048A-\u04FF\u2013\u2014\u2018\u2019\u201C\u201D\u20AC\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3"
 
 
-def _unlike(stable: str) -> str:
+def unlike(stable: str) -> str:
     """A pattern for other characters; most are of ASCII, which it looks at first."""
     return rf"[[^\x00-\x7F]&&[^{stable}]]"
 
@@ -31,7 +31,7 @@ def _form(kind: str, stable: str):
         return x.map(of)
 
     def column(x: Column) -> Column:
-        return F.coalesce(one(F.when(x.rlike(_unlike(stable)), x)), x)
+        return F.coalesce(one(F.when(x.rlike(unlike(stable)), x)), x)
 
     return column
 
@@ -46,7 +46,7 @@ def _nfkc_each(x: pd.Series) -> pd.Series:
 
 def nfkc_each(x: Column) -> Column:
     """NFKC of each element of an array of strings."""
-    return F.coalesce(_nfkc_each(F.when(F.exists(x, lambda s: s.rlike(_unlike(STABLE))), x)), x)
+    return F.coalesce(_nfkc_each(F.when(F.exists(x, lambda s: s.rlike(unlike(STABLE))), x)), x)
 
 
 #: White space as the search form knows it; a next-line mark is none.

@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from quillon.functions.text import nfkc, nfkc_each, normalize
+from quillon.functions.text import STABLE, nfkc, nfkc_each, normalize, unlike
 from quillon.operators.pool import WHITE_SPACE, normalize_query
 
+#: What the search form makes a blank of: signs, and white space as it knows it, in runs.
+SIGNS = r"[\p{P}\p{S}]"
+BLANKS = r"(?:[\p{P}\p{S}]|(?U:[\s\uFEFF&&[^\u0085]]))+"
 #: Scores of the steps of the ladder, the first that holds counts.
 LADDER = {"nameExact": 1000, "namePrefix": 700, "name": 500, "effect": 300, "requirement": 220, "synonym": 140, "expansion": 140, "concept": 100}
 
@@ -202,11 +205,39 @@ def occurrences(raw: str, term: str) -> list[tuple[int, int]]:
 
 
 @pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))
-def match_ranges(raw: pd.Series, term: pd.Series) -> pd.Series:
-    """occurrences() for columns. Use it on hits only."""
+def _mapped_ranges(raw: pd.Series, term: pd.Series) -> pd.Series:
+    """occurrences() for columns."""
     return pd.Series([[{"start": a, "end": b} for a, b in occurrences(r or "", t or "")] for r, t in zip(raw, term, strict=True)])
 
 
+def _one_to_one(raw: Column) -> Column:
+    """Whether each character of a text has one of the search form, before blanks are folded: NFKC leaves it, and its small letter is one character."""
+    return ~raw.rlike(unlike(STABLE)) & (F.char_length(F.lower(raw)) == F.char_length(raw))
+
+
+def _plain_ranges(raw: Column, term: Column) -> Column:
+    """The same for such a text, whose places are those of its small letters: a blank of the term is a run of blanks and signs there."""
+    low = F.lower(raw)
+    pattern = F.concat(F.lit(r"\Q"), F.replace(term, F.lit(" "), F.lit(rf"\E{BLANKS}\Q")), F.lit(r"\E"))
+    hits = F.transform(F.regexp_extract_all(low, pattern, F.lit(0)), lambda h: F.char_length(h))
+    between = F.transform(F.split(low, pattern, -1), lambda p: F.char_length(p))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    step = lambda a, z: F.struct((a["at"] + z["gap"] + z["hit"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + z["gap"]).alias("start"), (a["at"] + z["gap"] + z["hit"]).alias("end")))).alias("out"))
+    found = F.aggregate(F.arrays_zip(F.slice(between, 1, F.size(hits)).alias("gap"), hits.alias("hit")), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+    return F.when((term != "") & (F.size(hits) > 0), found).otherwise(none)
+
+
+def match_ranges(raw: Column | str, term: Column | str) -> Column:
+    """Where a text's search form is the term, as (start, end) in UTF-16 units of the text; nulls have none. Only texts that aren't mapped one to one leave the JVM.
+
+    The term is in search form; one that isn't is found nowhere.
+    """
+    raw, term = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in (raw, term))
+    plain = _one_to_one(raw)
+    formed = F.when(term.rlike(rf"^ | $|  |{SIGNS}"), F.lit("")).otherwise(term)
+    return F.when(plain, _plain_ranges(raw, formed)).otherwise(_mapped_ranges(F.when(~plain, raw), term))
+
+
 def valid_ranges(text: Column, ranges: Column) -> Column:
     """The ranges that lie within the text and aren't empty."""
     n = F.length(F.encode(text, "UTF-16BE")) / 2
@@ -226,9 +257,7 @@ def read_field(s: Surfaces, path: Column) -> Column:
 
 
 @pandas_udf(StringType())
-def first_surface(raw: pd.Series, term: pd.Series) -> pd.Series:
-    """The part of each raw text that the first of occurrences() of the term covers, as it is written there; null without one."""
-
+def _mapped_surface(raw: pd.Series, term: pd.Series) -> pd.Series:
     def of(r: str | None, t: str | None) -> str | None:
         spans = occurrences(r or "", t or "")
         return r.encode("utf-16-le")[2 * spans[0][0] : 2 * spans[0][1]].decode("utf-16-le", "replace") if spans else None
@@ -236,6 +265,13 @@ def first_surface(raw: pd.Series, term: pd.Series) -> pd.Series:
     return pd.Series([of(r, t) for r, t in zip(raw, term, strict=True)])
 
 
+def first_surface(raw: Column, term: Column) -> Column:
+    """The part of a raw text that the first of match_ranges() of the term covers, as it is written there; null without one."""
+    plain = _one_to_one(F.coalesce(raw, F.lit("")))
+    first = F.get(match_ranges(F.when(plain, raw), term), 0)
+    return F.when(plain, F.substring(raw, first["start"] + 1, first["end"] - first["start"])).otherwise(_mapped_surface(F.when(~plain, raw), term))
+
+
 def reason(m: Column, s: Surfaces, labels: dict[str, str], fields: dict[str, str] | None = None) -> Column:
     """A match in words: the concept's label, or the text that was hit as it is written, after the label of its field."""
     label = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])[m["term"]] if labels else F.lit(None).cast("string")
@@ -243,7 +279,3 @@ def reason(m: Column, s: Surfaces, labels: dict[str, str], fields: dict[str, str
     field = F.coalesce(F.create_map(*[F.lit(x) for kv in fields.items() for x in kv])[stem], F.lit("match")) if fields else stem
     shown = F.concat(F.when(m["kind"] == "queryExpansion", "related ").otherwise(""), field, F.lit(": "), F.coalesce(first_surface(read_field(s, m["path"]), m["term"]), m["term"]))
     return F.when(m["kind"] == "concept", F.concat(F.lit("concept: "), F.coalesce(label, m["term"]))).otherwise(shown)
-
-
-def used_phrases(query: str, lexicon: Lexicon) -> Sequence[str]:
-    return [c.source for c in clauses(query, lexicon)]

@@ -286,3 +286,17 @@ def test_forms_take_plain_digits():
     numbers = {"1_0": None, "１２": None, "0x1F": 31.0, "1e2": 100.0, ".5": 0.5, "5.": 5.0, "+3": 3.0, "1d": None, "": None, None: None, "Infinity": None, "nan": None}
     assert {k: P.form_number(k) for k in numbers} == numbers
     assert P.form_point("２-１") is None and P.form_point(" 2-1 ") == (2, 1) and P.form_point("1-0", playable=False) is None and P.form_point("1-1", playable=False) == (1, 1) and P.form_point("2-8") is None
+
+
+def test_ranges_of_plain_texts_are_those_of_mapped_ones(spark):
+    """What the JVM finds by pattern is what the offset map finds, whatever signs, cases and scripts are about."""
+    import random
+
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(["a", "B", "ab", " ", "  ", "-", "!?", "é", "İ", "ß", "法强", "ﬁ", "ｈ", "\t", "1", "🎉", "﻿", "_", "я"]) for _ in range(rng.randrange(14))) for _ in range(400)] + [None, ""]
+    terms = ["a", "ab", "a b", "b", "é", "法", "1 a", "ss", "ß", "fi", "h", "A", "a-b", " a", "", None, "i", "я", "b 法强"]
+    df = spark.createDataFrame([(x, t) for x in texts for t in terms], "x string, t string").select("x", "t", S.match_ranges("x", "t").alias("r"), S.first_surface(F.col("x"), F.col("t")).alias("s"))
+    for r in df.collect():
+        want = S.occurrences(r["x"] or "", r["t"] or "")
+        assert [tuple(p) for p in r["r"]] == want, (r["x"], r["t"])
+        assert r["s"] == (r["x"].encode("utf-16-le")[2 * want[0][0] : 2 * want[0][1]].decode("utf-16-le") if want else None)
