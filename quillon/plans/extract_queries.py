@@ -105,9 +105,8 @@ def payload_pages(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, 4::BIGINT AS objects, 'n' || event_id AS name, event_type AS effect, user_id::DOUBLE AS cost FROM events")
 def q_json_payloads(t: Tables) -> DataFrame:
-    objects = payload_pages(t).select("event_id", S.embedded_objects("page").alias("o"))
-    records = F.array_compact(F.transform("o", S.record_of))
-    return objects.select("event_id", F.size("o").cast("long").alias("objects"), F.inline(records)).select("event_id", "objects", "name", "effect", "cost")
+    found = payload_pages(t).select("event_id", S.embedded_records(F.col("page")).alias("f"))
+    return found.select("event_id", F.col("f.objects").alias("objects"), F.inline("f.records")).select("event_id", "objects", "name", "effect", "cost")
 
 
 @query("SELECT event_id, '{\"k\": ' || CAST(json_extract_string(props, '$.k') AS INT) || '}' AS found FROM events")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from quillon.functions import intervals as I
 from quillon.functions import text as T
@@ -81,6 +81,43 @@ def embedded_objects(pages: pd.Series) -> pd.Series:
     return pages.map(of)
 
 
+_RECORD = StructType([StructField(n, StringType()) for n in ("source_key", "name", "effect", "category", "cost")])
+
+
+def _said(obj: dict, keys: Sequence[str]) -> str | None:
+    """The first of the keys that an object has with a value that isn't null or empty, as text."""
+    for k in keys:
+        v = obj.get(k)
+        if v is not None and v != "":
+            return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    return None
+
+
+@pandas_udf(StructType([StructField("objects", LongType()), StructField("records", ArrayType(_RECORD))]))
+def _embedded(pages: pd.Series) -> pd.DataFrame:
+    n, found = [], []
+    for page in pages:
+        objects, records = 0, []
+        for text in payloads(page or ""):
+            try:
+                every = list(walk(json.loads(text)))
+            except (ValueError, RecursionError):
+                continue
+            objects += len(every)
+            records += [r for o in every if (r := {f: _said(o, KEYS[f]) for f in _RECORD.names})["name"] is not None]
+        n.append(objects)
+        found.append(records)
+    return pd.DataFrame({"objects": n, "records": found})
+
+
+def embedded_records(page: Column) -> Column:
+    """(objects, records) of a page: how many objects its JSON texts hold, and which of these are records, as record_of() has it. Parsed once."""
+    both = _embedded(page)
+    cost = F.transform(both["records"], lambda r: r.withField("cost", r["cost"].try_cast("double")))
+    kept = F.filter(cost, lambda r: r["effect"].isNotNull() | r["category"].isNotNull() | r["cost"].isNotNull())
+    return F.struct(both["objects"].alias("objects"), kept.alias("records"))
+
+
 def elements(page: str, name: str) -> list[str]:
     """Inner HTML of each element that has the class; what lies within a match is no match of its own."""
     return [page[n[4] : n[5]] for n in E.outermost([n for n in E.tree(page) if name in n[1]])]

@@ -228,6 +228,11 @@ def test_saved_pages(spark):
     assert pages.elements('<div class="a b">1<div class="a">2</div></div><div class="ab">3</div><p class="a">4', "a") == ['1<div class="a">2</div>']
     found = df.where("k = 1").select(F.array_compact(F.transform(pages.embedded_objects("html"), pages.record_of)).alias("r")).first()["r"]
     assert [(r["name"], r["effect"], r["cost"]) for r in found] == [("N", None, 4.0), ("T", "d", None)]
+    one = df.where("k = 1").select(pages.embedded_records(F.col("html")).alias("r")).first()["r"]
+    assert one["objects"] == 2 and [(r["name"], r["effect"], r["cost"]) for r in one["records"]] == [("N", None, 4.0), ("T", "d", None)]
+    odd = df.select(pages.embedded_records(F.lit('<script type="application/json">[{"name": "", "title": 5, "price": "x"}, {"name": "a", "cost": "1.5"}, {"desc": "d"}, 3]</script><script type="application/json">{bad</script>')).alias("r")).first()["r"]
+    assert odd["objects"] == 3 and [(r["name"], r["cost"]) for r in odd["records"]] == [("a", 1.5)]
+    assert df.where("k = 2").select(pages.embedded_records(F.col("html")).alias("r")).first()["r"]["records"] == []
     assert df.select(pages.canonical_url(F.col("html"))).first()[0] == "u"
 
 
