@@ -109,13 +109,13 @@ def safe_rows(rows: DataFrame, key: str, raw: Column, canonical: Column, order:
 
 
 def collisions(rows: DataFrame, canonical: Column, name: str) -> DataFrame:
-    """(canonical, names): canonical keys that more than one raw name comes to."""
-    return rows.withColumn("canonical", canonical).where("canonical is not null").groupBy("canonical").agg(F.array_sort(F.collect_set(name)).alias("names")).where(F.size("names") > 1)
+    """(canonical, names): canonical keys that more than one raw name comes to. Names that come to nothing have no key and don't collide."""
+    return rows.withColumn("canonical", canonical).where("canonical <> ''").groupBy("canonical").agg(F.array_sort(F.collect_set(name)).alias("names")).where(F.size("names") > 1)
 
 
 def canonical_index(safe: DataFrame, canonical: Column, name: str) -> DataFrame:
     """safe with its canonical key, of keys that one name and one row come to: what may be looked up."""
-    keyed = safe.withColumn("canonical", canonical).where("canonical is not null")
+    keyed = safe.withColumn("canonical", canonical).where("canonical <> ''")
     one = keyed.groupBy("canonical").agg(F.count("*").alias("_n"), F.count_distinct(name).alias("_names")).where("_n = 1 and _names = 1").select("canonical")
     return keyed.join(one, "canonical", "left_semi")
 

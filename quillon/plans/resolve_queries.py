@@ -144,7 +144,7 @@ def q_duplicate_metrics(t: Tables) -> DataFrame:
     return R.duplicate_metrics(named_clients(t), "name", F.col("raw"), T.canonical_json(F.col("raw")), T.variant_kind(F.col("name")), T.client_key(F.col("name")), "o_orderkey")
 
 
-@query(f"SELECT {norm('split_part(text, chr(10), 1)')} AS canonical, array_to_string(list_sort(list(DISTINCT split_part(text, chr(10), 1))), '~') AS names FROM documents GROUP BY 1 HAVING count(DISTINCT split_part(text, chr(10), 1)) > 1")
+@query(f"SELECT {norm('split_part(text, chr(10), 1)')} AS canonical, array_to_string(list_sort(list(DISTINCT split_part(text, chr(10), 1))), '~') AS names FROM documents GROUP BY 1 HAVING canonical <> '' AND count(DISTINCT split_part(text, chr(10), 1)) > 1")
 def q_collisions(t: Tables) -> DataFrame:
     docs = t.documents.withColumn("line", F.substring_index("text", "\n", 1))
     return R.collisions(docs, T.normalize(F.col("line")), "line").select("canonical", F.array_join("names", "~").alias("names"))

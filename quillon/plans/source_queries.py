@@ -12,6 +12,7 @@ from quillon.operators import rules as U
 from quillon.operators.saved import scratch
 from quillon.plans.registry import Tables, query
 from quillon.sources import catalogue, published, sinks
+from quillon.streaming.publish import keep_last, publish_stream
 
 
 def dataset(t: Tables, name: str, rows: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -81,6 +82,17 @@ def q_publish_together(t: Tables) -> DataFrame:
     return part.withColumn("of", F.lit("part")).union(supplier.withColumn("of", F.lit("supplier"))).where(F.lit(refused) == 2)
 
 
+@query("SELECT o_custkey, max(o_orderkey) AS last_order, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1")
+def q_stream_published(t: Tables) -> DataFrame:
+    """A stream of all orders, published as the last order of each customer; read as readers see it."""
+    orders = t.orders.select(F.col("o_custkey"), F.col("o_orderkey").alias("last_order"), F.col("o_orderstatus").alias("status"))
+    incoming, root = scratch(t._spark, "incoming"), scratch(t._spark, "stream")
+    orders.repartition(2, "last_order").write.parquet(incoming)
+    stream = t._spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
+    publish_stream(stream, root, scratch(t._spark, "offsets"), keep_last("o_custkey", "last_order")).awaitTermination()
+    return published.read(t._spark, root, "rows")
+
+
 @query("SELECT name, problem FROM (VALUES ('part', 'changed'), ('supplier', 'missing')) v(name, problem) WHERE (SELECT count(*) FROM part) > 0 AND (SELECT count(*) FROM region) > 0")
 def q_published_problems(t: Tables) -> DataFrame:
     """What was published is compared with its manifest: rows added to one table afterwards, and the files of another gone."""

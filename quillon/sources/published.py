@@ -24,6 +24,7 @@ class Manifest:
     number: int
     version: str
     tables: dict
+    note: dict
 
 
 def _fs(spark: SparkSession, path: str) -> tuple:
@@ -62,11 +63,12 @@ def _state(rows: DataFrame) -> list[str]:
     return [str(x) for x in digest(rows, rows.columns).first()]
 
 
-def publish(tables: dict[str, DataFrame], root: str, checks: Callable[[dict[str, DataFrame]], DataFrame] | None = None) -> Manifest:
+def publish(tables: dict[str, DataFrame], root: str, checks: Callable[[dict[str, DataFrame]], DataFrame] | None = None, note: dict | None = None) -> Manifest:
     """Stage tables, compare them with what was to be written, run checks over them, and make all of them visible.
 
     checks gets the staged tables and returns violations; any row of it stops the publication, as does a difference. What was
     visible then stays so; the staged version is removed. Tables that aren't named are not part of the new version.
+    note is kept in the manifest as it is.
     """
     spark = next(iter(tables.values())).sparkSession
     version = uuid.uuid4().hex
@@ -88,7 +90,7 @@ def publish(tables: dict[str, DataFrame], root: str, checks: Callable[[dict[str,
         aside, target = f"{root}/manifests/.{version}", f"{root}/manifests/{number:012d}.json"
         fs, p = _fs(spark, aside)
         out = fs.create(p, False)
-        out.write(json.dumps({"version": version, "tables": said}).encode())
+        out.write(json.dumps({"version": version, "tables": said, "note": note or {}}).encode())
         out.close()
         goal = _fs(spark, target)[1]
         if fs.exists(goal) or not fs.rename(p, goal):
@@ -98,7 +100,7 @@ def publish(tables: dict[str, DataFrame], root: str, checks: Callable[[dict[str,
         fs, p = _fs(spark, stage)
         fs.delete(p, True)
         raise
-    return Manifest(number, version, said)
+    return Manifest(number, version, said, note or {})
 
 
 def problems(spark: SparkSession, root: str) -> DataFrame:
