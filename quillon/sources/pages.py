@@ -134,7 +134,7 @@ def class_elements(name: str):
 
 
 #: How a card writes its category, after how many shops it comes again, that it comes once, what stands within a window, what it asks for, and its two upgrades.
-CATEGORY = (r"""(?i)\bdata-category=["']([^"']+)["']""", r"""(?i)\b(?:alt|title)=["'](Champion|Combat|Misc|Shop|Gold/?XP|Risky|Item)\s+Wisp["']""")
+CATEGORY = (r"""(?i)\bdata-category=["']([^"']+)["']""", r"""(?i)\b(?:alt|title)=["'](Champion|Combat|Misc|Shop|Gold/?XP|Risky|Item)\s+[A-Za-z]+["']""")
 COOLDOWN = r"(?i)(?:re-?offer(?:ed)?|offered again)[^\d]{0,40}(\d+)\s*shops?"
 ONCE = r"(?i)\bonce per game\b"
 BETWEEN = "(?:to|~|–|—)"
