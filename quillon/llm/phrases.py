@@ -12,8 +12,8 @@
 4. A phrase is subsumed if a longer one that holds it is as frequent. It is enough to look one word further: to the phrases whose
    suffix link leads to it when they lose their first word, and to those it leads to by one transition.
 
-What is summed travels packed: a block sends one row to each of CHUNKS or more parts of the hash range, with all it has there. There are as many parts as
-the number of words asks for, so that a part's rows fit one task; a hot word is one entry a block.
+What is summed travels packed: a block sends one row to each part of the hash range in which it has something. There are CHUNKS parts or as many
+as the number of words asks for, so that a part's rows fit one task; a hot word is one entry a block.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from quillon.llm.common import bounded_batches, mix, needs, table, written
 LONGEST, AT_LEAST, SUBSUMES, TOP = 5, 100, 100, 2000
 #: Bytes of text of a block, and of all blocks that a task keeps open.
 BLOCK, OPEN = 8 << 20, 32 << 20
-#: Words in one automaton; a block with more in its runs gets several.
+#: Words in one automaton; a block with more in its runs gets several, a longer run is cut.
 STATES = 150_000
 #: Bytes of a text that are split into words at once, cut between pieces.
 SLICE = 1 << 20
@@ -140,6 +140,7 @@ def _pair_keys(seq: np.ndarray, keys: np.ndarray, known: np.ndarray) -> tuple[np
     return at, mix(keys[seq[at]] * _U(0x9FB21C651E98DF25) + keys[seq[at + 1]]) >> _U(DROPPED)
 
 
+_PACKED_DDL = "chunk int, block long, size long, keys binary, counts binary"
 _PACKED = pa.schema([("chunk", pa.int32()), ("block", pa.int64()), ("size", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
@@ -147,8 +148,9 @@ def _packed(block: int, keys: np.ndarray, counts: np.ndarray, chunks: int) -> pa
     """Rows of one block: its keys in order, in parts by their leading bits, with how often each comes."""
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order].astype(np.uint32)
-    edges = np.searchsorted(keys, np.arange(1, chunks, dtype=np.uint64) << _U(64 - DROPPED - chunks.bit_length() + 1))
-    rows = [(c, block, len(k), _planes(np.diff(k, prepend=_U(0))), _planes(n)) for c, (k, n) in enumerate(zip(np.split(keys, edges), np.split(counts, edges), strict=True)) if len(k)]
+    part = (keys >> _U(64 - DROPPED - chunks.bit_length() + 1)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(part)) + 1  # parts that the block has nothing in get no row
+    rows = [(c, block, len(k), _planes(np.diff(k, prepend=_U(0))), _planes(n)) for c, k, n in zip(part[np.concatenate([[0], edges])].tolist(), np.split(keys, edges), np.split(counts, edges), strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _PACKED.types, strict=True)], schema=_PACKED)
 
 
@@ -186,9 +188,6 @@ def words(stored: DataFrame, chunks: int) -> DataFrame:
     return stored.select("block", "lang", "words", "words_size", "counts").mapInArrow(run, _PACKED_DDL)
 
 
-_PACKED_DDL = "chunk int, block long, size long, keys binary, counts binary"
-
-
 def pairs(stored: DataFrame, chunks: int) -> DataFrame:
     """Packed rows of the pairs of neighbouring known words of each block."""
 
@@ -271,6 +270,16 @@ def _runs(seq: np.ndarray, at: np.ndarray) -> Counter:
     return Counter(data[4 * s : 4 * e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True))
 
 
+def _pieces(run: list[int], n: int, longest: int) -> Iterator[tuple[list[int], int]]:
+    """A run in parts of STATES words at most, with weights: parts overlap by one word less than a phrase may have, and what both hold is taken off once."""
+    at = 0
+    while len(run) - at > STATES:
+        yield run[at : at + STATES], n
+        at += STATES - longest + 1
+        yield run[at : at + longest - 1], -n
+    yield run[at:], n
+
+
 def phrase_counts(stored: DataFrame, longest: int, at_least: int, chunks: int) -> DataFrame:
     """(lang, phrase, f) of stored blocks with known words and pairs: words and phrases that come at_least times over all blocks."""
 
@@ -281,10 +290,10 @@ def phrase_counts(stored: DataFrame, longest: int, at_least: int, chunks: int) -
                 keys = _word_keys(words, row["lang"])
                 known = np.isin(keys >> _U(DROPPED), _known(row["known"]))
                 known[0] = False
-                parts: list[tuple[list, list]] = [([], []) for _ in range(chunks)]
+                parts: dict[int, tuple[list, list]] = {}
 
                 def add(phrase: bytes, n: int, parts=parts) -> None:
-                    found, c = parts[xxhash.xxh3_64_intdigest(phrase) % chunks]
+                    found, c = parts.setdefault(xxhash.xxh3_64_intdigest(phrase) % chunks, ([], []))
                     found.append(phrase)
                     c.append(n)
 
@@ -293,20 +302,20 @@ def phrase_counts(stored: DataFrame, longest: int, at_least: int, chunks: int) -
                 at, hashes = _pair_keys(seq, keys, known)
                 at = at[np.isin(hashes, _known(row["pairs"]))]
                 automaton, held = Automaton(), 0
-                for run_, n in [*_runs(seq, at).items(), (b"", 0)]:
-                    if held > STATES or not n:
-                        for path, ends in automaton.phrases(longest):
-                            add(b" ".join([words[i] for i in path]), ends)
-                        automaton, held = Automaton(), 0
-                    automaton.add(np.frombuffer(run_, np.int32).tolist(), n)
-                    held += len(run_) // 4
+                for run_, times in [*_runs(seq, at).items(), (b"", 0)]:
+                    for piece, n in _pieces(np.frombuffer(run_, np.int32).tolist(), times, longest):
+                        if held > STATES or not times:
+                            for path, ends in automaton.phrases(longest):
+                                add(b" ".join([words[i] for i in path]), ends)
+                            automaton, held = Automaton(), 0
+                        automaton.add(piece, n)
+                        held += len(piece)
                 rows = []
-                for c, (found, n) in enumerate(parts):
-                    if found:
-                        # in order, neighbours have their first words in common
-                        order = sorted(range(len(found)), key=found.__getitem__)
-                        listed = b"\n".join([found[i] for i in order])
-                        rows.append((row["lang"], c, len(order), len(listed), _zstd(listed), _planes(np.array(n, dtype=np.int64)[order])))
+                for c, (found, n) in parts.items():
+                    # in order, neighbours have their first words in common
+                    order = sorted(range(len(found)), key=found.__getitem__)
+                    listed = b"\n".join([found[i] for i in order])
+                    rows.append((row["lang"], c, len(order), len(listed), _zstd(listed), _planes(np.array(n, dtype=np.int64)[order])))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["lang", "chunk", "n", "size", "phrases", "counts"])
 

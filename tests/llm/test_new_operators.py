@@ -185,6 +185,22 @@ def test_blocks_and_automata_of_any_size(monkeypatch):
     assert got == want
 
 
+def test_long_runs_are_cut(monkeypatch):
+    rng = random.Random(10)
+    monkeypatch.setattr(phrases, "STATES", 12)
+    for longest in (2, 3, 5):
+        run = [rng.randrange(3) for _ in range(rng.randrange(200))]
+        got = Counter()
+        for piece, n in phrases._pieces(run, 7, longest):
+            assert len(piece) <= 12
+            automaton = phrases.Automaton()
+            automaton.add(piece, n)
+            for p, c in automaton.phrases(longest):
+                got[p] += c
+        want = Counter(tuple(run[i : i + k]) for k in range(2, longest + 1) for i in range(len(run) - k + 1))
+        assert {p: c for p, c in got.items() if c} == {p: 7 * c for p, c in want.items()}
+
+
 def test_phrase_query(spark, data):
     names, want = oracle(phrases.ORACLE["op13_phrase_collocations"], data)
     got = phrases.op13_phrase_collocations(spark, data)
