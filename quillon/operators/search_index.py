@@ -20,7 +20,7 @@ from quillon.operators.pool import normalize_query
 from quillon.operators.search import LADDER, Lexicon, Surfaces, _indexed, clauses
 
 #: Folders that postings are dealt to, characters of the longest gram, and grams that a term looks up.
-FOLDERS, LONGEST, LOOKED_UP = 64, 3, 3
+FOLDERS, LONGEST, LOOKED_UP = 16, 3, 3
 
 _CLAUSES = "array<struct<source:string,expansions:array<string>,concepts:array<struct<name:string,form:string>>>>"
 
@@ -90,8 +90,8 @@ def build(records: DataFrame, key: str, surfaces: Surfaces, path: str, order: st
     index = Index(spark, path)
     grams = F.array_distinct(F.concat(*[_grams(F.col("form"), n) for n in range(1, LONGEST + 1)]))
     postings = index.surfaces.where("kind <> 'concept' and form <> ''").select("surface", F.explode(grams).alias("gram")).withColumn("folder", _folder(F.col("gram")))
-    # a common gram's postings are spread over several tasks by the rebalancing hint, none gets a folder of its own
-    postings.hint("rebalance", "folder", "gram").sortWithinPartitions("folder", "gram", "surface").write.partitionBy("folder").parquet(f"{path}/postings")
+    # a folder is one task's, or several tasks' if it is large: the rebalancing hint splits it
+    postings.hint("rebalance", "folder").sortWithinPartitions("folder", "gram", "surface").write.partitionBy("folder").parquet(f"{path}/postings")
     index.postings.groupBy("gram").agg(F.count("*").alias("surfaces")).write.parquet(f"{path}/grams")
     return index
 

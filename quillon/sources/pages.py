@@ -152,13 +152,18 @@ def _strong(html: Column, nodes: Column, cell: Column) -> Column:
     return E.shown(html, F.coalesce(bold, cell))
 
 
-def _upgrade(label: str, pattern: str) -> Column:
+def _made(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are made once: by a generator, which the optimizer doesn't inline into each of their uses."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def _upgrade(name: str, label: str, pattern: str) -> Column:
     """The upgrade line with the label, without it; where there is none, the paragraph behind the label."""
-    html, nodes, cell = F.col("html"), F.col("nodes"), F.col("_described")
-    line = E.first(F.filter("_lines", lambda n: (F.size(E.of_class(E.within(nodes, n), label)) > 0) | E.shown(html, n).rlike(pattern)))
-    mark = E.first(E.of_class(E.within(nodes, cell), label))
-    behind = E.first(F.filter(E.of_tag(E.within(nodes, cell), "p"), lambda n: n["open"] >= mark["close"]))
-    return F.when(line.isNotNull(), _or_null(F.regexp_replace(E.shown(html, line), pattern, ""))).otherwise(_or_null(E.shown(html, behind)))
+    html, inside, mark = F.col("html"), F.col("_inside"), F.col(f"_mark_{name}")
+    labelled = lambda n: F.exists(inside, lambda x: F.array_contains(x["classes"], label) & (x["open"] >= n["open"]) & (x["close"] <= n["close"]))
+    line = E.first(F.filter("_lines", lambda n: n["text"].rlike(pattern) | labelled(n)))["text"]
+    behind = E.first(F.filter(inside, lambda n: (n["tag"] == "p") & (n["open"] >= mark["close"])))
+    return F.when(line.isNotNull(), _or_null(F.regexp_replace(line, pattern, ""))).otherwise(_or_null(E.shown(html, behind)))
 
 
 def card_rows(pages: DataFrame, key: str, page: str, tag: str | None = "li", card: str | None = None, name: str = "name-cell", cost: str = "cost-cell", description: str = "description-cell", effect: str = "description", line: str = "upgrade-line", hint: str = "hint", windows: Sequence[str] = ("stage-info", "stage-cell")) -> DataFrame:
@@ -169,22 +174,24 @@ def card_rows(pages: DataFrame, key: str, page: str, tag: str | None = "li", car
     is one part of the description; upgrades and requirements stand in it behind their labels. Windows are read from the first of their classes that
     is there. A page is parsed once; null pages have no cards.
     """
-    html, nodes = F.col("html"), F.col("nodes")
-    cells = {c: E.first(E.of_class(nodes, k)) for c, k in (("_named", name), ("_cost", cost), ("_described", description))}
-    c = pages.select(key, F.posexplode(E.subtrees(tag, card)(F.col(page))).alias("position", "_card")).select(key, "position", "_card.*").withColumns(cells).where("_named is not null and _described is not null")
-    c = c.withColumns({"_inside": E.within(nodes, F.col("_described")), "_whole": T.visible_text(html), "_price": _strong(html, nodes, F.col("_cost"))})
+    html, nodes, inside = F.col("html"), F.col("nodes"), F.col("_inside")
+    c = pages.select(key, F.posexplode(E.subtrees(tag, card)(F.col(page))).alias("position", "_card")).select(key, "position", "_card.*")
+    c = _made(c, **{n: E.first(E.of_class(nodes, k)) for n, k in (("_named", name), ("_cost", cost), ("_described", description))}).where("_named is not null and _described is not null")
+    c = _made(c, _inside=E.within(nodes, F.col("_described")))
     times = E.of_class(nodes, windows[-1])
     for k in reversed(windows[:-1]):
         times = F.when(F.size(E.of_class(nodes, k)) > 0, E.of_class(nodes, k)).otherwise(times)
     texts = lambda of: F.filter(F.transform(of, lambda n: E.shown(html, n)), lambda t: t != "")
-    c = c.withColumns({"_lines": E.of_class(F.col("_inside"), line), "hints": texts(E.of_class(F.col("_inside"), hint)), "windows": texts(times)})
+    lines = F.transform(E.of_class(inside, line), lambda n: F.struct(n["open"].alias("open"), n["close"].alias("close"), E.shown(html, n).alias("text")))
+    marks = {f"_mark_{u}": E.first(E.of_class(inside, label)) for u, (label, _) in UPGRADES.items()}
+    effects = F.coalesce(E.shown(html, E.first(E.of_class(inside, effect))), F.lit(""))
+    c = _made(c, _whole=T.visible_text(html), _price=_strong(html, nodes, F.col("_cost")), _lines=lines, hints=texts(E.of_class(inside, hint)), windows=texts(times), name=_strong(html, nodes, F.col("_named")), effect=effects, **marks).where("name <> '' and effect <> ''")
     asked = F.transform(F.filter("hints", lambda h: h.rlike(REQUIREMENTS)), lambda h: F.trim(F.regexp_replace(h, REQUIREMENTS, "")))
     category = F.coalesce(*[F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in CATEGORY])
-    out = c.select(
-        key, "position", _strong(html, nodes, F.col("_named")).alias("name"), F.when(F.col("_price").rlike(r"^\d+$"), F.col("_price").try_cast("double")).alias("cost"), F.coalesce(E.shown(html, E.first(E.of_class(F.col("_inside"), effect))), F.lit("")).alias("effect"),
-        *[_upgrade(*UPGRADES[u]).alias(u) for u in UPGRADES], F.filter(asked, lambda h: h != "").alias("requirements"), "hints", "windows", category.alias("category"),
-        F.regexp_extract("_whole", COOLDOWN, 1).try_cast("int").alias("cooldown"), F.when(F.col("_whole").rlike(ONCE), True).alias("once"), I.stage_ranges(F.array_join("windows", " "), separator=BETWEEN).alias("ranges"))
-    return out.where("name <> '' and effect <> ''")
+    return c.select(
+        key, "position", "name", F.when(F.col("_price").rlike(r"^\d+$"), F.col("_price").try_cast("double")).alias("cost"), "effect", *[_upgrade(u, *UPGRADES[u]).alias(u) for u in UPGRADES],
+        F.filter(asked, lambda h: h != "").alias("requirements"), "hints", "windows", category.alias("category"), F.regexp_extract("_whole", COOLDOWN, 1).try_cast("int").alias("cooldown"),
+        F.when(F.col("_whole").rlike(ONCE), True).alias("once"), I.stage_ranges(F.array_join("windows", " "), separator=BETWEEN).alias("ranges"))
 
 
 def titles(page: Column, name: str) -> Column:
