@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,6 +12,11 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), where x is made once, however often f uses it. f has no Python functions."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 #: Characters that NFKC leaves as they are, whatever stands beside them; a text of only these doesn't leave the JVM for it.
 STABLE = r"\x00-\x7F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0400-\u0482\u048A-\u04FF\u2013\u2014\u2018\u2019\u201C\u201D\u20AC\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3"
 
@@ -149,8 +155,8 @@ def _numbered(x: Column, mark: str, shown: str, digits: str, base: int) -> Colum
 
 def decode_references(x: Column) -> Column:
     """Character references: decimal and hexadecimal numbers, then the named ones in order."""
-    numbered = _numbered(_numbered(x, "&#(?![xX])", "&#", "[0-9]", 10), "(?i)&#x", "&#x", "[0-9a-fA-F]", 16)
-    out = F.when(x.contains("&#"), numbered).otherwise(x)
+    numbered = lambda x: let(_numbered(x, "&#(?![xX])", "&#", "[0-9]", 10), lambda y: _numbered(y, "(?i)&#x", "&#x", "[0-9a-fA-F]", 16))
+    out = let(x, lambda x: F.when(x.contains("&#"), numbered(x)).otherwise(x))
     for a, b in REFERENCES:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out

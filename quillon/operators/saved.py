@@ -48,6 +48,11 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to a few tasks a core: for a small file whose rows are much work, which would be one task's."""
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """df with the place of each row, from 1, in an order. Rows are sorted over all tasks; only a count per task meets in one place."""
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())

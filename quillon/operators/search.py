@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from quillon.functions.text import STABLE, nfkc, nfkc_each, normalize, unlike
+from quillon.functions.text import STABLE, let, nfkc, nfkc_each, normalize, unlike
 from quillon.operators.pool import WHITE_SPACE, normalize_query
 
 #: What the search form makes a blank of: signs, and white space as it knows it, in runs.
@@ -215,10 +215,19 @@ def _one_to_one(raw: Column) -> Column:
     return ~raw.rlike(unlike(STABLE)) & (F.char_length(F.lower(raw)) == F.char_length(raw))
 
 
+def _spelled(term: Column) -> Column:
+    """The pattern of a term: its blanks are runs of blanks and signs."""
+    return F.concat(F.lit(r"\Q"), F.replace(term, F.lit(" "), F.lit(rf"\E{BLANKS}\Q")), F.lit(r"\E"))
+
+
+def _formed(term: Column) -> Column:
+    """The term if it is in search form, else an empty one."""
+    return F.when(term.rlike(rf"^ | $|  |{SIGNS}"), F.lit("")).otherwise(term)
+
+
 def _plain_ranges(raw: Column, term: Column) -> Column:
     """The same for such a text, whose places are those of its small letters: a blank of the term is a run of blanks and signs there."""
-    low = F.lower(raw)
-    pattern = F.concat(F.lit(r"\Q"), F.replace(term, F.lit(" "), F.lit(rf"\E{BLANKS}\Q")), F.lit(r"\E"))
+    low, pattern = F.lower(raw), _spelled(term)
     hits = F.transform(F.regexp_extract_all(low, pattern, F.lit(0)), lambda h: F.char_length(h))
     between = F.transform(F.split(low, pattern, -1), lambda p: F.char_length(p))
     none = F.array().cast("array<struct<start:int,end:int>>")
@@ -234,8 +243,7 @@ def match_ranges(raw: Column | str, term: Column | str) -> Column:
     """
     raw, term = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in (raw, term))
     plain = _one_to_one(raw)
-    formed = F.when(term.rlike(rf"^ | $|  |{SIGNS}"), F.lit("")).otherwise(term)
-    return F.when(plain, _plain_ranges(raw, formed)).otherwise(_mapped_ranges(F.when(~plain, raw), term))
+    return F.when(plain, _plain_ranges(raw, _formed(term))).otherwise(_mapped_ranges(F.when(~plain, raw), term))
 
 
 def valid_ranges(text: Column, ranges: Column) -> Column:
@@ -259,23 +267,35 @@ def read_field(s: Surfaces, path: Column) -> Column:
 @pandas_udf(StringType())
 def _mapped_surface(raw: pd.Series, term: pd.Series) -> pd.Series:
     def of(r: str | None, t: str | None) -> str | None:
-        spans = occurrences(r or "", t or "")
+        spans = occurrences(r, t or "") if r else None
         return r.encode("utf-16-le")[2 * spans[0][0] : 2 * spans[0][1]].decode("utf-16-le", "replace") if spans else None
 
-    return pd.Series([of(r, t) for r, t in zip(raw, term, strict=True)])
+    return pd.Series([of(r, t) for r, t in zip(raw, term, strict=True)], dtype=object)
+
+
+def _plain_surface(raw: Column, term: Column) -> Column:
+    """What the first of _plain_ranges() covers."""
+    low, pattern = F.lower(raw), _spelled(term)
+    hit = F.regexp_substr(low, pattern)
+    return F.when((_formed(term) != "") & hit.isNotNull(), F.substring(raw, F.regexp_instr(low, pattern), F.char_length(hit)))
 
 
 def first_surface(raw: Column, term: Column) -> Column:
     """The part of a raw text that the first of match_ranges() of the term covers, as it is written there; null without one."""
-    plain = _one_to_one(F.coalesce(raw, F.lit("")))
-    first = F.get(match_ranges(F.when(plain, raw), term), 0)
-    return F.when(plain, F.substring(raw, first["start"] + 1, first["end"] - first["start"])).otherwise(_mapped_surface(F.when(~plain, raw), term))
+    # both arguments are made once, whatever they are made of
+    plain = let(F.struct(raw.alias("raw"), term.alias("term")), lambda x: F.when(_one_to_one(x["raw"]), _plain_surface(x["raw"], x["term"])))
+    return F.coalesce(plain, _mapped_surface(let(raw, lambda x: F.when(~_one_to_one(x), x)), term))
 
 
 def reason(m: Column, s: Surfaces, labels: dict[str, str], fields: dict[str, str] | None = None) -> Column:
     """A match in words: the concept's label, or the text that was hit as it is written, after the label of its field."""
-    label = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])[m["term"]] if labels else F.lit(None).cast("string")
-    stem = F.regexp_replace(m["path"], r"\.\d+$", "")
-    field = F.coalesce(F.create_map(*[F.lit(x) for kv in fields.items() for x in kv])[stem], F.lit("match")) if fields else stem
-    shown = F.concat(F.when(m["kind"] == "queryExpansion", "related ").otherwise(""), field, F.lit(": "), F.coalesce(first_surface(read_field(s, m["path"]), m["term"]), m["term"]))
-    return F.when(m["kind"] == "concept", F.concat(F.lit("concept: "), F.coalesce(label, m["term"]))).otherwise(shown)
+    names, shows = (F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) if d else None for d in (labels, fields))
+
+    def of(m: Column, surface: Column) -> Column:
+        label = names[m["term"]] if labels else F.lit(None).cast("string")
+        stem = F.regexp_replace(m["path"], r"\.\d+$", "")
+        field = F.coalesce(shows[stem], F.lit("match")) if fields else stem
+        shown = F.concat(F.when(m["kind"] == "queryExpansion", "related ").otherwise(""), field, F.lit(": "), F.coalesce(surface, m["term"]))
+        return F.when(m["kind"] == "concept", F.concat(F.lit("concept: "), F.coalesce(label, m["term"]))).otherwise(shown)
+
+    return let(F.struct(m.alias("m"), first_surface(read_field(s, m["path"]), m["term"]).alias("surface")), lambda x: of(x["m"], x["surface"]))

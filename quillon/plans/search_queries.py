@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import search as S
 from quillon.operators import search_index as X
-from quillon.operators.saved import scratch
+from quillon.operators.saved import scratch, spread
 from quillon.plans.registry import Tables, norm, query
 
 LEXICON = S.Lexicon((S.Group("licence", ("licensed", "all rights reserved", "released under"), ("legal",)), S.Group("metal", ("bolt", "small ring", "ring"), ("metalwork",))), (("legal", "Legal notice"), ("red_goods", "red")))
@@ -104,7 +104,7 @@ def q_search_topk(t: Tables) -> DataFrame:
 @query(f"WITH b AS ({PART_BASE}) SELECT p_partkey, CASE WHEN contains(n, 'ring') THEN 'name: RING' WHEN contains(b, 'ring') THEN 'p_brand: ring' WHEN contains(e, 'ring') THEN 'kind: ring' WHEN contains(r, 'ring') THEN 'requirements: ring' WHEN contains(n, 'bolt') THEN 'related name: BOLT' ELSE 'concept: metalwork' END AS reason FROM b WHERE contains(n, 'ring') OR contains(n, 'bolt') OR metal")
 def q_search_reason(t: Tables) -> DataFrame:
     """The hit is shown as the record writes it, behind the label of its field."""
-    rows = parts(t).withColumn("p_name", F.upper("p_name"))
+    rows = spread(parts(t)).withColumn("p_name", F.upper("p_name"))
     hits = S.search(rows, "ring", PARTS, LEXICON, "p_partkey")
     return hits.select("p_partkey", S.reason(F.element_at("matches", 1), PARTS, dict(LEXICON.concepts), {"p_name": "name", "p_type": "kind", "p_brand": "p_brand", "requirements": "requirements"}).alias("reason"))
 
