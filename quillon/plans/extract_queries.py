@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import intervals as I
 from quillon.functions import text as T
+from quillon.operators.saved import spread
 from quillon.plans.registry import Tables, query
 from quillon.sources import pages as S
 
@@ -57,7 +58,7 @@ def card_pages(t: Tables) -> DataFrame:
     often = F.when(size % 2 == 0, "Once per game. Reoffered after 3 shops").otherwise("often")
     one = F.format_string('<li data-category="%s"><div class="name-cell"><img class="icon"><strong>%s</strong> new</div><div class="cost-cell">cost <strong>%d</strong></div><div class="description-cell"><p class="description"><span>gain &amp; </span><br>lose .</p>%s%s<p class="hint">Requirements: level %d</p><p class="hint">%s</p></div><div class="stage-cell">9-9 to 9-9<div class="stage-info">2-1 to 3-%d, 4-%d ~ 5-7</div></div></li>', "p_type", "p_name", size, upgrade, prismatic, size, often, 1 + size % 7, 1 + size % 5)
     plain = F.format_string('<li class="x"><img alt="Shop offer"><div class="name-cell">%s</div><div class="cost-cell">%d gold</div><div class="description-cell"><p class="description">plain</p></div><div class="stage-cell">1-1 – 1-%d</div></li>', "p_brand", size, 1 + size % 7)
-    return t.part.select("p_partkey", F.concat(F.lit("<ul>"), one, F.lit('<li><div class="name-cell">no card</div></li>'), plain, F.lit("</ul>")).alias("page"))
+    return spread(t.part).select("p_partkey", F.concat(F.lit("<ul>"), one, F.lit('<li><div class="name-cell">no card</div></li>'), plain, F.lit("</ul>")).alias("page"))
 
 
 @query("""SELECT p_partkey, 0 AS position, p_name AS name, p_size::DOUBLE AS cost, 'gain & lose.' AS effect, CASE p_size % 3 WHEN 1 THEN 'gain more.' WHEN 2 THEN 'gain much' END AS blossom, CASE WHEN p_size % 4 = 0 THEN 'gain all' END AS prismatic, 'level ' || p_size AS requirements, p_type AS category, CASE WHEN p_size % 2 = 0 THEN 3 END AS cooldown, CASE WHEN p_size % 2 = 0 THEN true END AS once, '2-1 to 3-' || (1 + p_size % 7) || ', 4-' || (1 + p_size % 5) || ' to 5-7' AS windows FROM part

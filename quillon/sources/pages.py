@@ -152,6 +152,11 @@ def _strong(html: Column, nodes: Column, cell: Column) -> Column:
     return E.shown(html, F.coalesce(bold, cell))
 
 
+def _unless_none(nodes: Column, others: Column) -> Column:
+    """The nodes, or the others where there are none."""
+    return T.let(nodes, lambda n: F.when(F.size(n) > 0, n).otherwise(others))
+
+
 def _made(rows: DataFrame, **columns: Column) -> DataFrame:
     """rows with columns that are made once: by a generator, which the optimizer doesn't inline into each of their uses."""
     return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
@@ -163,7 +168,7 @@ def _upgrade(name: str, label: str, pattern: str) -> Column:
     labelled = lambda n: F.exists(inside, lambda x: F.array_contains(x["classes"], label) & (x["open"] >= n["open"]) & (x["close"] <= n["close"]))
     line = E.first(F.filter("_lines", lambda n: n["text"].rlike(pattern) | labelled(n)))["text"]
     behind = E.first(F.filter(inside, lambda n: (n["tag"] == "p") & (n["open"] >= mark["close"])))
-    return F.when(line.isNotNull(), _or_null(F.regexp_replace(line, pattern, ""))).otherwise(_or_null(E.shown(html, behind)))
+    return T.let(line, lambda x: F.when(x.isNotNull(), _or_null(F.regexp_replace(x, pattern, ""))).otherwise(_or_null(E.shown(html, behind))))
 
 
 def card_rows(pages: DataFrame, key: str, page: str, tag: str | None = "li", card: str | None = None, name: str = "name-cell", cost: str = "cost-cell", description: str = "description-cell", effect: str = "description", line: str = "upgrade-line", hint: str = "hint", windows: Sequence[str] = ("stage-info", "stage-cell")) -> DataFrame:
@@ -180,7 +185,7 @@ def card_rows(pages: DataFrame, key: str, page: str, tag: str | None = "li", car
     c = _made(c, _inside=E.within(nodes, F.col("_described")))
     times = E.of_class(nodes, windows[-1])
     for k in reversed(windows[:-1]):
-        times = F.when(F.size(E.of_class(nodes, k)) > 0, E.of_class(nodes, k)).otherwise(times)
+        times = _unless_none(E.of_class(nodes, k), times)
     texts = lambda of: F.filter(F.transform(of, lambda n: E.shown(html, n)), lambda t: t != "")
     lines = F.transform(E.of_class(inside, line), lambda n: F.struct(n["open"].alias("open"), n["close"].alias("close"), E.shown(html, n).alias("text")))
     marks = {f"_mark_{u}": E.first(E.of_class(inside, label)) for u, (label, _) in UPGRADES.items()}
