@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.text import let
+
 Check = tuple[str, Column, str]
 
 
@@ -57,13 +59,13 @@ def _kind(v: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
 
-def _is_text(v: Column) -> Column:
-    """Whether a variant is a text that isn't blank."""
-    return F.coalesce((_kind(v) == "STRING") & (F.regexp_replace(F.try_variant_get(v, "$", "string"), r"(?U)^[\s\uFEFF]+", "") != ""), F.lit(False))
+def _shows(text: Column) -> Column:
+    """Whether there is a text that isn't blank."""
+    return F.coalesce(F.regexp_replace(text, r"(?U)^[\s\uFEFF]+", "") != "", F.lit(False))
 
 
-def _is_number(v: Column) -> Column:
-    return F.coalesce(_kind(v).isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "DECIMAL") & (F.abs(F.try_variant_get(v, "$", "double")) < float("inf")), F.lit(False))
+#: Kinds of variants that are numbers.
+NUMBERS = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "DECIMAL")
 
 
 def requirement_problems(value: Column, path: str, parts: dict[str, str] = PARTS) -> Column:
@@ -73,28 +75,37 @@ def requirement_problems(value: Column, path: str, parts: dict[str, str] = PARTS
     has any; if it is evaluated it must have one, and a value that goes with it: a finite number to be compared by order, a text,
     number or truth to be compared by equality, a list of texts to be in, a text for what is active. A value nobody evaluates may be anything.
     """
-    v = F.try_parse_json(value)
     problem = lambda at, says: F.struct(at.alias("path"), says.alias("problem"))
     alone = lambda says: F.array(problem(F.lit(path), F.lit(says)))
 
+    def facts(x: Column) -> Column:
+        """What the checks ask of a condition, each made once: its parts, what kinds they are, and what they say."""
+        made = let(F.struct(*[_part(x, p).alias(n) for n, p in parts.items()]), lambda c: F.struct(*[F.struct(c[n].alias("v"), F.schema_of_variant(c[n]).alias("schema")).alias(n) for n in parts]))
+        kind = lambda c: F.regexp_extract(c["schema"], "^[A-Z]+", 0)
+        number = lambda c: F.coalesce(kind(c).isin(*NUMBERS) & (F.abs(F.try_variant_get(c["v"], "$", "double")) < float("inf")), F.lit(False))
+        text = lambda c: F.when(kind(c) == "STRING", F.try_variant_get(c["v"], "$", "string"))
+        said = lambda c: F.struct(*[kind(c[n]).alias(f"{n}_kind") for n in parts], *[_shows(text(c[n])).alias(f"{n}_text") for n in ("type", "text", "value")], text(c["operator"]).alias("name"), number(c["value"]).alias("number"),
+                                  F.coalesce(c["value"]["schema"] == "ARRAY<STRING>", F.lit(False)).alias("texts"), F.coalesce(F.when(kind(c["evaluable"]) == "BOOLEAN", F.try_variant_get(c["evaluable"]["v"], "$", "boolean")), F.lit(False)).alias("asked"))
+        return let(made, said)
+
+    def checked(c: Column, at: Column) -> Column:
+        name, asked, there = c["name"], c["asked"], lambda n: c[f"{n}_kind"].isNotNull()
+        known = F.coalesce(name.isin(*OPERATORS), F.lit(False))
+        plain = F.coalesce(c["value_kind"].isin("STRING", "BOOLEAN"), F.lit(False)) | c["number"]
+        checks = [
+            ("type", ~c["type_text"], "must be a text"), ("text", ~c["text_text"], "must be a text"), ("second", there("second") & (c["second_kind"] != "STRING"), "must be a text if it is there"),
+            ("evaluable", F.coalesce(c["evaluable_kind"] != "BOOLEAN", F.lit(True)), "must be true or false"), ("operator", there("operator") & ~known, "unknown operator"), ("operator", asked & ~known, "needs a known operator"),
+            ("value", asked & known & name.isin(*ORDERING) & ~c["number"], "must be a finite number"), ("value", asked & known & name.isin(*EQUALITY) & ~plain, "must be a text, number or truth"),
+            ("value", asked & known & (name == "in") & ~c["texts"], "must be a list of texts"), ("value", asked & known & name.isin(*STATES) & ~c["value_text"], "must be a text")]
+        return F.array_compact(F.array(*[F.when(wrong, problem(F.concat(at, F.lit(f".{parts[part]}")), F.lit(says))) for part, wrong, says in checks]))
+
     def of(x: Column, i: Column) -> Column:
         at = F.concat(F.lit(f"{path}["), i.cast("string"), F.lit("]"))
-        op, given = _part(x, parts["operator"]), _part(x, parts["value"])
-        name = F.try_variant_get(x, f"$.{parts['operator']}", "string")
-        known = F.coalesce((_kind(op) == "STRING") & name.isin(*OPERATORS), F.lit(False))
-        asked = F.coalesce(F.try_variant_get(_part(x, parts["evaluable"]), "$", "boolean") & (_kind(_part(x, parts["evaluable"])) == "BOOLEAN"), F.lit(False))
-        texts = F.coalesce(F.schema_of_variant(given) == "ARRAY<STRING>", F.lit(False))
-        plain = F.coalesce(_kind(given).isin("STRING", "BOOLEAN"), F.lit(False)) | _is_number(given)
-        checks = [
-            ("type", ~_is_text(_part(x, parts["type"])), "must be a text"), ("text", ~_is_text(_part(x, parts["text"])), "must be a text"), ("second", _part(x, parts["second"]).isNotNull() & (_kind(_part(x, parts["second"])) != "STRING"), "must be a text if it is there"),
-            ("evaluable", F.coalesce(_kind(_part(x, parts["evaluable"])) != "BOOLEAN", F.lit(True)), "must be true or false"), ("operator", op.isNotNull() & ~known, "unknown operator"), ("operator", asked & ~known, "needs a known operator"),
-            ("value", asked & known & name.isin(*ORDERING) & ~_is_number(given), "must be a finite number"), ("value", asked & known & name.isin(*EQUALITY) & ~plain, "must be a text, number or truth"),
-            ("value", asked & known & (name == "in") & ~texts, "must be a list of texts"), ("value", asked & known & name.isin(*STATES) & ~_is_text(given), "must be a text")]
-        found = F.array_compact(F.array(*[F.when(wrong, problem(F.concat(at, F.lit(f".{parts[part]}")), F.lit(says))) for part, wrong, says in checks]))
-        return F.when(_kind(x) == "OBJECT", found).otherwise(F.array(problem(at, F.lit("must be an object"))))
-
-    elements = F.try_variant_get(v, "$", "array<variant>")
-    return F.when((_kind(v) == "ARRAY") & elements.isNotNull(), F.flatten(F.transform(elements, of))).otherwise(alone("must be a list"))
+        return F.when(_kind(x) == "OBJECT", let(facts(x), lambda c: checked(c, at))).otherwise(F.array(problem(at, F.lit("must be an object"))))
+
+    elements = lambda v: F.when(_kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>"))
+    listed = let(F.try_parse_json(value), elements)
+    return F.coalesce(F.flatten(F.transform(listed, of)), alone("must be a list"))
 
 
 def dangling(rows: DataFrame, reference: str, targets: DataFrame, target: str, key: str, path: str | None = None) -> DataFrame:

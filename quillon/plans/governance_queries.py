@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.operators import concepts as C
 from quillon.operators import provenance as V
 from quillon.operators import seals as E
-from quillon.operators.saved import saved
+from quillon.operators.saved import saved, spread
 from quillon.operators import validate as W
 from quillon.plans.registry import Tables, query
 
@@ -139,7 +139,7 @@ def q_requirement_problems(t: Tables) -> DataFrame:
     at = F.col("p_size") % 3
     listed = F.concat(F.lit("["), F.array_join(F.concat(F.array_repeat(F.lit(CONDITION), at.cast("int")), F.array(bad), F.array_repeat(F.lit(CONDITION), (2 - at).cast("int"))), ","), F.lit("]"))
     value = F.when(k == len(FAULTS), bad).otherwise(listed)
-    return t.part.select("p_partkey", F.inline(W.requirement_problems(value, "requirements")))
+    return spread(t.part).select("p_partkey", F.inline(W.requirement_problems(value, "requirements")))
 
 
 @query("""SELECT 'ready' AS path, 'ready while conflicts are open' AS problem WHERE (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') > 0 UNION ALL SELECT 'status', 'missing'

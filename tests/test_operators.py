@@ -306,3 +306,22 @@ def test_ranges_of_plain_texts_are_those_of_mapped_ones(spark):
         want = S.occurrences(r["x"] or "", r["t"] or "")
         assert [tuple(p) for p in r["r"]] == want, (r["x"], r["t"])
         assert r["s"] == (r["x"].encode("utf-16-le")[2 * want[0][0] : 2 * want[0][1]].decode("utf-16-le") if want else None)
+
+
+def test_small_files_are_spread(spark, data, tmp_path):
+    """What is much work a row isn't left to the one task that scans a small file; no expression repeats its arguments."""
+    from quillon.plans import QUERIES
+
+    tasks = spark.sparkContext.defaultParallelism
+    for name in ("q_search_reason", "q_rendered_cards", "q_requirement_problems"):
+        assert QUERIES[name](spark, data).rdd.getNumPartitions() >= tasks
+    for c in (S.first_surface(F.concat("x", "x"), F.col("x")), W.requirement_problems(F.concat("x", "x"), "r"), T.decode_references(F.concat("x", "x"))):
+        assert str(c).count("concat(x, x)") <= 2
+
+
+def test_first_surface_and_nested_classes(spark):
+    got = spark.createDataFrame([("a Big--Ring ring", "big ring"), ("x", ""), (None, "x"), ("ＲＩＮＧ", "ring"), ("x", None)], "x string, t string").select(S.first_surface(F.col("x"), F.col("t")).alias("s")).collect()
+    assert [r["s"] for r in got] == ["Big--Ring", None, None, "ＲＩＮＧ", None]
+    page = '<li class="a b">x<p>é</p></li><li/><li></li>'
+    got = spark.createDataFrame([(page,), (None,), ("",)], "p string").select(elements.subtrees("li")(F.col("p")).alias("s")).collect()
+    assert [[(c["html"], [(n["tag"], n["classes"], n["depth"], n["open"], n["close"]) for n in c["nodes"]]) for c in r["s"]] for r in got] == [[('<li class="a b">x<p>é</p></li>', [("li", ["a", "b"], 0, 0, 30), ("p", [], 1, 17, 25)]), ("<li></li>", [("li", [], 0, 0, 9)])], [], []]
