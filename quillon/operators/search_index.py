@@ -202,6 +202,8 @@ def containing(index: Index, terms: DataFrame, literal: list[str] | None = None)
     else:
         known = sorted({t[i : i + min(LONGEST, len(t))] for t in literal if t for i in range(len(t) - min(LONGEST, len(t)) + 1)})
         postings = postings.where(F.col("gram").isin(known) & F.col("folder").isin([r[0] for r in index.spark.createDataFrame([(g,) for g in known], "gram string").select(_folder(F.col("gram"))).distinct().collect()] if known else []))
+        # what has none of the terms needn't travel to the check
+        surfaces = surfaces.where(reduce(lambda a, t: a | F.col("form").contains(t), (t for t in literal if t), F.lit(False)))
     found = asked.withColumnRenamed("n", "_of").join(postings, ["folder", "gram"]).select("term", "_of", _listed()).groupBy("term", "_of", "surface").agg(F.count("*").alias("_k")).where("_k = _of").select("term", "surface")
     return found.join(surfaces, "surface").where(F.col("form").contains(F.col("term")))
 

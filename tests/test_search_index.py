@@ -103,3 +103,10 @@ def test_postings_over_batches(monkeypatch):
     batches = [pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int64()), pa.array(forms[a:b], pa.string())], ["surface", "form"]) for a, b in ((0, 2), (2, 2), (2, 7), (7, 9))]
     got = sorted((r["gram"], r["base"] + o) for b in X._posted(iter(batches)) for r in b.to_pylist() for o in r["offsets"])
     assert got == sorted({(f[i : i + n], j) for j, f in enumerate(forms) for n in (1, 2, 3) for i in range(len(f) - n + 1)})
+
+
+def test_one_query_joins_what_holds_its_terms(spark, tmp_path):
+    """Forms that hold none of one query's terms are dropped where they are read, before the join."""
+    index = X.build(records(spark), "k", SURFACES, str(tmp_path / "index"), "k")
+    plan = X.containing(index, spark.createDataFrame([("abc",)], "term string"), ["abc"])._jdf.queryExecution().executedPlan().toString()
+    assert "Contains(form, abc)" in plan or "StringContains(form,abc)" in plan
