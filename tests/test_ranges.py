@@ -47,3 +47,24 @@ def test_no_join_of_all_pairs(spark):
     right = left.toDF("c", "d")
     plan = N.overlapping(left, right, ("a", "b"), ("c", "d"))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_sparse_rows_are_entered_once(spark, monkeypatch):
+    """Where bins have few rows, all meet at one level, in one join and without a salt, whatever their lengths; crowded bins keep theirs."""
+    levels, salts = [], []
+    entries, salted = N._entries, N._salted
+    monkeypatch.setattr(N, "_entries", lambda *x: levels.append(x[2]) or entries(*x))
+    monkeypatch.setattr(N, "_salted", lambda *x: salts.append(salted(*x)) or salts[-1])
+    rng = random.Random(5)
+    make = lambda n: [(i, a, a + rng.choice([0, 1, 3, 17, 100, 1000]), i % 7) for i in range(n) for a in [rng.randrange(100_000)]]
+    ls, rs = make(300), make(200)
+    left, right = spark.createDataFrame(ls, "l int, a long, b long, lk int"), spark.createDataFrame(rs, "r int, c long, d long, rk int")
+    want = sorted((x[0], y[0]) for x in ls for y in rs if x[1] <= y[2] and y[1] <= x[2] and x[3] == y[3])
+    assert sorted((r["l"], r["r"]) for r in N.overlapping(left, right, ("a", "b"), ("c", "d"), [("lk", "rk")]).collect()) == want and want
+    assert levels == [[10], [10]] and [x[2] for x in salts] == [["_level", "_bin", "_k0"]]
+    levels.clear(), salts.clear()
+    thick = spark.range(400).selectExpr("cast(id as int) as r", "id % 5 as c", "id % 5 + if(id % 50 = 0, 1000, 1) as d", "cast(3 as int) as rk")
+    dense = spark.range(500).selectExpr("cast(id as int) as l", "id % 5 as a", "id % 5 as b", "cast(3 as int) as lk")
+    got = N.overlapping(dense, thick, ("a", "b"), ("c", "d"), [("lk", "rk")], hot=20)
+    assert got.count() == dense.crossJoin(thick).where("a <= d and c <= b").count() and got.distinct().count() == got.count()
+    assert len(levels[0]) > 1 and any("_salt" in x[2] for x in salts)
